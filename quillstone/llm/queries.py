@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, topk, warc
+from . import decontaminate, minhash, packing, topk, warc
 from .common import table
 
 
+def op2_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "item_ids")
+
+
 def op3_block_pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return topk.top_k(rows, rows.where("vec_id % 50 = 0"))
@@ -28,6 +32,7 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_prefix_decontamination": op2_prefix_decontamination,
     "op3_block_pruned_topk": op3_block_pruned_topk,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
