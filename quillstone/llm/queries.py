@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, packing, topk, warc
+from . import decontaminate, minhash, packing, quality, topk, warc
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -36,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_block_pruned_topk": op3_block_pruned_topk,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_subword_quality": op9_subword_quality,
     "op10_warc_salvage": op10_warc_salvage,
 }
 
