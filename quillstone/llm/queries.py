@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, packing, quality, topk, warc
+from . import decontaminate, minhash, packing, quality, topk, toxicity, warc
 from .common import table
 
 
+def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "item_ids")
 
@@ -36,6 +40,7 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_prefix_decontamination": op2_prefix_decontamination,
     "op3_block_pruned_topk": op3_block_pruned_topk,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
