@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, quality, topk, toxicity, warc
+from . import decontaminate, licences, lines, minhash, oracles, packing, quality, toolcalls, topk, toxicity, warc
 from .common import table
 
 
@@ -23,10 +24,25 @@ def op3_block_pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where("vec_id % 50 = 0"))
 
 
+def op4_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.recognise(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("identifiers", ",").alias("identifiers"), F.array_join("licences", ",").alias("licences"))
+
+
+def op5_cross_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.turns_as_events(table(spark, sf_dir, "conversations"))
+    tools = toolcalls.schemas(spark, {"ask": {"chars": ("BIGINT", True), "text": ("STRING", True)}})
+    return toolcalls.link(calls, results, tools)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,37 +56,25 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
-    "op2_prefix_decontamination": op2_prefix_decontamination,
-    "op3_block_pruned_topk": op3_block_pruned_topk,
-    "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
-    "op8_minhash_near_dedup": op8_minhash_near_dedup,
-    "op9_subword_quality": op9_subword_quality,
-    "op10_warc_salvage": op10_warc_salvage,
+    f.__name__: f
+    for f in (
+        op1_noisy_channel_toxicity,
+        op2_prefix_decontamination,
+        op3_block_pruned_topk,
+        op4_licence_rules,
+        op5_cross_site_lines,
+        op6_sum_of_squares_packing,
+        op7_tool_call_linking,
+        op8_minhash_near_dedup,
+        op9_subword_quality,
+        op10_warc_salvage,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op3_block_pruned_topk": """
-        WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
-            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-        ),
-        s AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
-        ),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
-    """,
-    # DuckDB strings are UTF-8, so strlen is the payload's length in bytes
-    "op10_warc_salvage": """
-        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-        d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest FROM p),
-        m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM d)
-        SELECT page_id, payload_bytes, payload_digest,
-               CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN top END AS refers_to
-        FROM m
-    """,
+    "op3_block_pruned_topk": oracles.TOPK,
+    "op4_licence_rules": oracles.licences_sql(),
+    "op5_cross_site_lines": oracles.LINES,
+    "op7_tool_call_linking": oracles.TOOLCALLS,
+    "op10_warc_salvage": oracles.WARC,
 }
