@@ -1 +1 @@
-
+"""Column functions and the expressions built from them."""

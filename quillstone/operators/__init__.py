@@ -1 +1 @@
-
+"""Operators over DataFrames: graph, retrieval, curation, stores and parsing."""

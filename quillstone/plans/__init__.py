@@ -1 +1 @@
-
+"""Named queries and the engine's surface."""
