@@ -15,7 +15,6 @@ takes further passes, whose spans are merged for each document.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,20 +24,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The contract's word: digits, lower-case letters and everything beyond ASCII.
-WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+#: A word is a run of digits, letters and whatever lies beyond ASCII; in UTF-8 all of that is bytes from 128 on.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SHINGLE = 3
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(_LOWER)) if text else []
+def words_of(text: str | None) -> list[bytes]:
+    """Words with A-Z lower-cased, as UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
 class _Vocabulary(dict):
     """Numbers of benchmark words; -1 for any other."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         return -1
 
 
@@ -59,13 +58,13 @@ def _keys(codes: np.ndarray, width: int, base: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
     base: int
     shingles: dict[int, np.ndarray]  # by shingle width: sorted keys
     numbers: dict[int, np.ndarray]  # their numbers, over all widths
     windows: dict[int, list[tuple[int, np.ndarray, tuple[int, ...]]]]  # by prefix shingle: offset, words, items
 
-    def codes(self, words: list[str]) -> np.ndarray:
+    def codes(self, words: list[bytes]) -> np.ndarray:
         known = self._known
         return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
@@ -99,8 +98,8 @@ class Index:
         return spans, items
 
 
-def _windows(items: list[tuple[int, str | None]], window: int) -> dict[tuple[str, ...], set[int]]:
-    out: dict[tuple[str, ...], set[int]] = defaultdict(set)
+def _windows(items: list[tuple[int, str | None]], window: int) -> dict[tuple[bytes, ...], set[int]]:
+    out: dict[tuple[bytes, ...], set[int]] = defaultdict(set)
     for item, text in items:
         words = words_of(text)
         for i in range(max(1, len(words) - window + 1) if words else 0):
@@ -187,7 +186,6 @@ def _search(shared):
     return search
 
 
-@F.pandas_udf(FOUND)
 def _join_passes(passes: pd.Series) -> pd.DataFrame:
     out = []
     for row in passes:
@@ -227,7 +225,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", *,
         columns = [_search(spark.sparkContext.broadcast(Index({}, 1, {}, {}, {}).parts()))(F.col(text_col))]
     if len(columns) == 1:
         return docs.withColumn(result, columns[0])
-    return docs.withColumn(result, _join_passes(F.array(*columns)))
+    return docs.withColumn(result, F.pandas_udf(_join_passes, FOUND)(F.array(*columns)))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
