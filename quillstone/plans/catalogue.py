@@ -818,7 +818,7 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
     """Changes of each user's event type, by a stateful stream."""
     events = _stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("task"), F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), F.lit(0).alias("current_step"), F.lit("running").alias("status"))
-    return jobs.run_available(jobs.progress(events), "stream-progress")
+    return jobs.run_available(jobs.progress(events, timed=False), "stream-progress")
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ IDLE_MS = 600_000
 EVENTS = "task string, seq long, event string, stage string, current_step int, status string"
 
 
-def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _changes(timed: bool, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Events whose (stage, step) differs from the last one sent; a terminal status closes a task."""
     columns = [c.split()[0] for c in EVENTS.split(", ")]
     if state.hasTimedOut:
@@ -33,14 +34,20 @@ def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             out.append((key[0], row.seq, event, row.stage, row.current_step, row.status))
         stage, step = row.stage, int(row.current_step)
     state.update((stage, step, closed))
-    state.setTimeoutDuration(IDLE_MS)
+    if timed:
+        state.setTimeoutDuration(IDLE_MS)
     if out:
         yield pd.DataFrame(out, columns=columns)
 
 
-def progress(events: DataFrame) -> DataFrame:
-    """Changes of each task from a stream (task, seq, stage, current_step, status); idle tasks are forgotten."""
-    return events.groupBy("task").applyInPandasWithState(_changes, EVENTS, "stage string, step int, closed boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def progress(events: DataFrame, timed: bool = True) -> DataFrame:
+    """Changes of each task from a stream (task, seq, stage, current_step, status).
+
+    Tasks idle for ten minutes are forgotten, unless not `timed`: a stream over what is there
+    now must end, and one that waits for the clock does not.
+    """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return events.groupBy("task").applyInPandasWithState(partial(_changes, timed), EVENTS, "stage string, step int, closed boolean", "append", timeout)
 
 
 def with_symbols(questions: DataFrame, names: DataFrame) -> DataFrame:
@@ -55,7 +62,7 @@ def rates(requests: DataFrame, key: str, limit: int, window: str = "1 minute", l
     return counted.where(F.col("n") > limit).select(F.col("window.start").alias("start"), key, "n")
 
 
-def run_available(stream: DataFrame, name: str, timeout: int = 600) -> DataFrame:
+def run_available(stream: DataFrame, name: str, timeout: int = 120) -> DataFrame:
     """Runs a stream over what is there now, into a table, and returns the table."""
     spark = stream.sparkSession
     path = scratch(spark, name)
