@@ -35,7 +35,7 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BsdBinary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BsdEndorse",
     "this software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed": "BsdDisclaimer",
-    "this source code form is subject to the terms of the mozilla public license v. 2.0": "Mpl2Statement",
+    "this source code form is subject to the terms of the mozilla public license v 2.0": "Mpl2Statement",
     "all rights reserved": "AllRights",
 }
 

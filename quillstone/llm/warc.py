@@ -66,7 +66,10 @@ def parse_record(data: bytes, at: int) -> Parsed | str:
         name, colon, value = line.partition(b":")
         if not colon:
             return "bad header line"
-        headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        key = name.strip().lower().decode("latin-1")
+        if key in headers and key != "warc-concurrent-to":  # two records run into one another
+            return "repeated header"
+        headers[key] = value.strip().decode("utf-8", "replace")
     if not re.fullmatch(r"[0-9]{1,15}", headers.get("content-length", "")) or "warc-type" not in headers:
         return "no length or type"
     begin = stop + 4
