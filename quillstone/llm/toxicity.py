@@ -13,6 +13,8 @@ weighted (logistic regression) on a bounded sample of labelled rows.
 from __future__ import annotations
 
 import re
+import sys
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -234,41 +236,67 @@ class Lexicon:
     length: float  # of log(1 + words)
 
 
-def train(rows: list[tuple[dict[str, int], int, float]], *, terms: int = 4000, penalty: float = 0.02, steps: int = 400) -> Lexicon:
-    """rows: restored words with counts, the label and the row's weight."""
-    if not any(y for _, y, _ in rows) or all(y for _, y, _ in rows):
-        rate = 0.5 if not rows else (1e-3 if not rows[0][1] else 1 - 1e-3)
+#: Slots of the hashed counters by which terms are first weeded.
+SLOTS = 1 << 20
+
+
+def _contrast(one: np.ndarray, zero: np.ndarray, total: list[float]) -> np.ndarray:
+    """How far a term's share of documents differs between the classes, in size and ratio."""
+    a, b = (one + 0.5) / (total[1] + 1), (zero + 0.5) / (total[0] + 1)
+    return np.abs(a - b) * np.abs(np.log(a / b))
+
+
+def train(rows: list[tuple[list[str], np.ndarray, int, float]], *, terms: int = 4000, penalty: float = 0.3, steps: int = 400) -> Lexicon:
+    """rows: a document's distinct restored words, their counts, the label and the row's weight.
+
+    Terms are counted in hashed slots first; only those in the slots with most contrast are
+    then counted by name, so memory does not grow with the vocabulary.
+    """
+    if not any(y for *_, y, _ in rows) or all(y for *_, y, _ in rows):
+        rate = 0.5 if not rows else (1e-3 if not rows[0][2] else 1 - 1e-3)
         return Lexicon({}, float(np.log(rate / (1 - rate))), 0.0)
+    total = [sum(w for *_, y, w in rows if y == k) for k in (0, 1)]
+    least = 2 if len(rows) < 2000 else 3
+    slots: dict[str, np.ndarray] = {}
+
+    def slots_of(word: str) -> np.ndarray:
+        if (s := slots.get(word)) is None:
+            if len(slots) > 200_000:
+                slots.clear()
+            s = slots[word] = np.array([zlib.crc32(t.encode("utf-8", "replace")) % SLOTS for t in _beginnings(word)], dtype=np.int64)
+        return s
+
+    seen, often = np.zeros((2, SLOTS)), np.zeros(SLOTS)
+    for words, _, y, w in rows:
+        if words:
+            at = np.unique(np.concatenate([slots_of(word) for word in words]))
+            seen[y, at] += w
+            often[at] += 1
+    worth = np.where(often >= least, _contrast(seen[1], seen[0], total), 0)
+    wanted = np.zeros(SLOTS, dtype=bool)
+    wanted[np.argsort(-worth, kind="stable")[: 4 * terms]] = True
+    wanted &= worth > 0
+    named: tuple[Counter, Counter, Counter] = (Counter(), Counter(), Counter())
     docs = []
-    for words, y, w in rows:
+    for words, counts, y, w in rows:
         c: Counter = Counter()
-        for word, n in words.items():
-            for t in _beginnings(word):
-                c[t] += n
-        docs.append((c, y, w))
-    total = [sum(w for _, y, w in docs if y == k) for k in (0, 1)]
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    often: Counter = Counter()
-    for c, y, w in docs:
+        for word, n in zip(words, counts.tolist(), strict=True):
+            if wanted[slots_of(word)].any():
+                for t, s in zip(_beginnings(word), slots_of(word).tolist(), strict=True):
+                    if wanted[s]:
+                        c[t] += n
+        docs.append(c)
         for t in c:
-            seen[y][t] += w
-            often[t] += 1
-    least = 2 if len(rows) < 2000 else 3
-
-    def strength(t: str) -> float:
-        a, b = (seen[1][t] + 0.5) / (total[1] + 1), (seen[0][t] + 0.5) / (total[0] + 1)
-        return abs(a - b) * abs(float(np.log(a / b)))
-
-    chosen = sorted((t for t, n in often.items() if n >= least), key=lambda t: (-strength(t), t))[:terms]
+            named[y][t] += w
+            named[2][t] += 1
+    names = sorted(t for t, n in named[2].items() if n >= least)
+    strength = _contrast(np.array([named[1][t] for t in names], dtype=float), np.array([named[0][t] for t in names], dtype=float), total)
+    chosen = [names[i] for i in np.argsort(-strength, kind="stable")[:terms]]
     number = {t: i for i, t in enumerate(chosen)}
-    at, col, val = [], [], []
-    for i, (c, _, _) in enumerate(docs):
-        for t, n in c.items():
-            if t in number:
-                at.append(i), col.append(number[t]), val.append(np.log1p(n))
-    at, col, val = np.array(at, dtype=np.int64), np.array(col, dtype=np.int64), np.array(val)
-    size = np.array([np.log1p(sum(words.values())) for words, _, _ in rows])
-    y, weight = np.array([y for _, y, _ in docs], dtype=float), np.array([w for *_, w in docs])
+    entries = [(i, number[t], np.log1p(n)) for i, c in enumerate(docs) for t, n in c.items() if t in number]
+    at, col, val = (np.array([e[k] for e in entries], dtype=kind) for k, kind in enumerate((np.int64, np.int64, float)))
+    size = np.array([np.log1p(counts.sum()) for _, counts, _, _ in rows])
+    y, weight = np.array([y for *_, y, _ in rows], dtype=float), np.array([w for *_, w in rows])
     weight = weight / weight.sum()
     theta = np.zeros(len(chosen) + 2)
     theta[-2] = np.log(total[1] / total[0])
@@ -323,15 +351,16 @@ def _scorer(shared):
     return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", *, max_rows: int = 4000, logp: np.ndarray | None = None, **options) -> tuple[np.ndarray, Lexicon]:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", *, max_rows: int = 2000, logp: np.ndarray | None = None, **options) -> tuple[np.ndarray, Lexicon]:
     """The character model of all documents, and a lexicon learned from at most about `max_rows`
     labelled rows of each class, none of them held out."""
     logp = character_model(docs) if logp is None else logp
     shared = docs.sparkSession.sparkContext.broadcast(logp)
     chosen = sample(docs, labels, label_col, max_rows=max_rows)
     rows = chosen.withColumn("w", _word_counts(shared)("text")).select("id", "label", "weight", "w.words", "w.counts")
-    found = sorted(rows.toLocalIterator(), key=lambda r: r.id)
-    return logp, train([(dict(zip(r.words, r["counts"], strict=True)), r.label, r.weight) for r in found], **options)
+    found = [(r.id, [sys.intern(w) for w in r.words], np.array(r["counts"], dtype=np.int32), r.label, r.weight) for r in rows.toLocalIterator()]
+    found.sort(key=lambda r: r[0])
+    return logp, train([r[1:] for r in found], **options)
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, Lexicon], text_col: str = "text", result: str = "_score") -> DataFrame:

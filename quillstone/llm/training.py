@@ -37,4 +37,4 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, *, max_rows: int,
     chosen = F.broadcast(chosen.limit(2 * max_rows + 2000))  # two integers a row: bounded by max_rows
     text = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     weight = F.when(F.col("_label") == 1, F.lit(1.0 / share[1])).otherwise(F.lit(1.0 / share[0]))
-    return text.join(chosen, "_id").dropDuplicates(["_id"]).select(F.col("_id").alias("id"), F.coalesce("_text", F.lit("")).alias("text"), F.col("_label").alias("label"), weight.alias("weight"))
+    return text.join(chosen, "_id").groupBy("_id", "_label").agg(F.max("_text").alias("_text")).select(F.col("_id").alias("id"), F.coalesce("_text", F.lit("")).alias("text"), F.col("_label").alias("label"), weight.alias("weight"))
