@@ -137,7 +137,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
 
 
 #: Hashed counters that put shingles in order of rarity; any order is right, a finer one meets fewer pairs.
-RARITY = 1 << 20
+RARITY = 1 << 18
 
 
 def _tally(size: int):
