@@ -66,10 +66,11 @@ def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str =
     lines = staged(numbered_lines(docs, id_col, site_col, text_col), "lines")
     boilerplate = spread_lines(lines, min_sites=min_sites)
     # a document's repeated rows have the same lines: positions once, characters once
-    hit = lines.join(boilerplate, ["k1", "k2"]).groupBy("id", "seal", "at").agg(F.max("chars").alias("chars"))
+    hit = lines.join(boilerplate.hint("merge"), ["k1", "k2"]).groupBy("id", "seal", "at").agg(F.max("chars").alias("chars"))
     hit = staged(hit.groupBy("id", "seal").agg(F.collect_list("at").alias("_at"), F.sum("chars").alias("_hit")).withColumnsRenamed({"id": "_id", "seal": "_seal"}), "hits")
     on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_seal"))
-    rows = docs.join(hit, on, "left")
+    # hits grow with the documents, so they are never broadcast
+    rows = docs.join(hit.hint("merge"), on, "left")
     whole = F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
     cut = F.col("_at").isNotNull() & (F.col("_hit") <= whole * F.lit(float(largest_share)))
     kept = F.array_join(F.filter(_pieces(F.col(text_col)), lambda x, i: ~F.array_contains("_at", i)), "\n")
