@@ -146,6 +146,7 @@ class Channel:
 _ODD = re.compile(r"[a-z][0-9@$!|+*(€£]+[a-z]|^[0-9@$|(€£][a-z]|[a-z][0-9]+$|[a-z][@$][0-9@$]*$|[a-z][0-9@$!|]{2}")
 _DRAWN = re.compile(r"([a-z])\1\1|([a-z])\2.*([a-z])\3")
 _DOUBLED = re.compile(r"([^\W\d_])\1+")
+_PLAIN = re.compile(r"([^\W\d_]+)[.,;:?!]*")
 _APART = re.compile(r"^[^\W_](?:[^\w]+|_+)(?:[^\W_](?:[^\w]+|_+)){1,}[^\W_]$")
 _EDGES = ".,;:?!\"')]}>%&#*"
 LONGEST_TOKEN = 32
@@ -158,28 +159,39 @@ def suspicious(token: str) -> bool:
     return bool(_ODD.search(token) or _DRAWN.search(token) or _APART.match(token))
 
 
-def restored_tokens(text: str | None, channel: Channel, known: dict[str, tuple[str, ...]]) -> list[tuple[str, ...]]:
-    """A text's tokens, each as the words it restores to."""
-    if not text:
-        return []
-    tokens = text.lower().split()
-    out = list(map(known.__getitem__, tokens))
-    single = [i for i, t in enumerate(tokens) if len(t) <= 2 and len(t.strip(_EDGES)) == 1 or t in LOOKALIKES]
+def is_single(token: str) -> bool:
+    """A letter by itself, or what may stand for one."""
+    return len(token) <= 2 and len(token.strip(_EDGES)) == 1 or token in LOOKALIKES
+
+
+def spaced_words(tokens: list[str], at: list[int], channel: Channel) -> list[str]:
+    """Words that runs of single letters restore to; `at` are the places of single letters, in order."""
+    out: list[str] = []
     run: list[int] = []
-    for i in [*single, -2]:
+    for i in [*at, -2]:
         if run and i != run[-1] + 1:
             if len(run) >= 3:
                 letters = [tokens[j].strip(_EDGES) or tokens[j] for j in run]
                 if len(set(letters)) > 2:
-                    out.append(tuple(_runs(letters, channel)))
+                    out += _runs(letters, channel)
             run = []
         run.append(i)
     return out
 
 
-def _runs(letters: list[str], channel: Channel) -> Iterator[str]:
+def _runs(letters: list[str], channel: Channel) -> list[str]:
+    out: list[str] = []
     for start in range(0, len(letters), 4096):
-        yield from re.findall(r"[^\W_]+", channel.decode(" ".join(letters[max(0, start - 32) : start + 4096])))
+        out += re.findall(r"[^\W_]+", channel.decode(" ".join(letters[max(0, start - 32) : start + 4096])))
+    return out
+
+
+def restored_words(text: str | None, known: Restorer) -> Counter:
+    """A text's words, counted, with those that its tokens and runs of letters restore to."""
+    tokens = text.lower().split() if text else []
+    out = Counter(w for words in map(known.__getitem__, tokens) for w in words)
+    out.update(spaced_words(tokens, [i for i, t in enumerate(tokens) if is_single(t)], known.channel))
+    return out
 
 
 class Restorer(dict):
@@ -190,6 +202,9 @@ class Restorer(dict):
         self.channel, self.limit = channel, limit
 
     def words(self, token: str) -> tuple[str, ...]:
+        """A plain word with marks after it takes the short way; it is drawn out only if letters double."""
+        if (m := _PLAIN.fullmatch(token)) and not _DOUBLED.search(token):
+            return (m[1],)
         core = token.strip(_EDGES)
         plain = tuple(re.findall(r"[^\W_]+", core))
         if len(core) <= LONGEST_TOKEN:  # one mark or one doubled letter needs no lattice: the shorter reading is offered too
@@ -222,7 +237,7 @@ def _word_counts(shared):
         for batch in texts:
             out = []
             for text in batch:
-                c = Counter(w for words in restored_tokens(text, channel, known) for w in words)
+                c = restored_words(text, known)
                 out.append((list(c.keys()), list(c.values())))
             yield pd.DataFrame(out, columns=["words", "counts"])
 
@@ -310,21 +325,33 @@ def train(rows: list[tuple[list[str], np.ndarray, int, float]], *, terms: int =
     return Lexicon({t: float(theta[i]) for t, i in number.items() if abs(theta[i]) > 1e-3}, float(theta[-2]), float(theta[-1]))
 
 
-class _Terms(dict):
-    """Of a token: how many words it restores to, and the lexicon's terms among them."""
+class _Marks(dict):
+    """Of a token, one number: the words it restores to, whether it is a single letter, and which terms it has.
+
+    Bits 0 to 6 count words, bit 7 marks single letters, and what is above is the place of the
+    token's terms in `lists`; place 0 is no terms, as almost all tokens have.
+    """
 
-    def __init__(self, restorer: Restorer, weights: dict[str, float], limit: int = 300_000):
+    def __init__(self, restorer: Restorer, weights: dict[str, float], limit: int = 400_000):
         super().__init__()
         self.restorer, self.weights, self.limit = restorer, weights, limit
+        self.starts = {t[:4] for t in weights}  # a word with any term begins like one
+        self.lists: list[tuple[str, ...]] = [()]
+        self.places: dict[tuple[str, ...], int] = {(): 0}
 
-    def of(self, words: tuple[str, ...]) -> tuple[int, tuple[str, ...]]:
-        return len(words), tuple(t for w in words for t in _beginnings(w) if t in self.weights)
+    def terms(self, words: list[str] | tuple[str, ...]) -> tuple[str, ...]:
+        return tuple(t for w in words if w[:4] in self.starts for t in _beginnings(w) if t in self.weights)
 
-    def __missing__(self, token: str) -> tuple[int, tuple[str, ...]]:
+    def __missing__(self, token: str) -> int:
         if len(self) >= self.limit:
             self.clear()
-        found = self[token] = self.of(self.restorer.words(token))
-        return found
+        words = self.restorer.words(token)
+        found = self.terms(words)
+        if found not in self.places:
+            self.places[found] = len(self.lists)
+            self.lists.append(found)
+        value = self[token] = min(len(words), 127) | is_single(token) << 7 | self.places[found] << 8
+        return value
 
 
 def _scorer(shared):
@@ -332,16 +359,21 @@ def _scorer(shared):
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         logp, weights, bias, length = shared.value
         channel = Channel(logp)
-        terms = _Terms(Restorer(channel), weights)
+        marks = _Marks(Restorer(channel), weights)
 
         def value(text: str | None) -> float:
-            n, seen = 0, Counter()
-            for item in restored_tokens(text, channel, terms):
-                if item and isinstance(item[0], str):  # a run of single letters
-                    item = terms.of(item)
-                if item:
-                    n += item[0]
-                    seen.update(item[1])
+            tokens = text.lower().split() if text else []
+            m = np.fromiter(map(marks.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+            n, seen = int((m & 127).sum()), Counter()
+            places = m >> 8
+            for place, times in zip(*np.unique(places[places > 0], return_counts=True), strict=True):
+                for t in marks.lists[place]:
+                    seen[t] += int(times)
+            at = np.flatnonzero(m & 128)
+            if len(at) >= 3:
+                words = spaced_words(tokens, at.tolist(), channel)
+                n += len(words)
+                seen.update(marks.terms(words))
             return bias + length * float(np.log1p(n)) + sum(weights[t] * float(np.log1p(k)) for t, k in seen.items())
 
         for batch in texts:
