@@ -95,18 +95,36 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int, float]], *, buckets: int
     return Model(vectors @ (out[1] - out[0]), float(bias[1] - bias[0]), buckets, shortest, longest)
 
 
+class _Grams(dict):
+    """Weights of character n-grams, of which there are few; starts anew when it has `limit` entries."""
+
+    def __init__(self, weight: np.ndarray, limit: int = 200_000):
+        super().__init__()
+        self.weight, self.limit = weight, limit
+
+    def __missing__(self, gram: str) -> float:
+        if len(self) >= self.limit:
+            self.clear()
+        w = self[gram] = float(self.weight[xxhash.xxh3_64_intdigest(gram) % len(self.weight)])
+        return w
+
+
 class _Worth(dict):
-    """Of a word: the sum of its features' weights, and as the imaginary part how many it has."""
+    """Of a word: the sum of its features' weights (see `features`), and as the imaginary part how many it has."""
 
     def __init__(self, weight: np.ndarray, shortest: int, longest: int, limit: int = 300_000):
         super().__init__()
-        self.weight, self.shortest, self.longest, self.limit = weight, shortest, longest, limit
+        self.weight, self.limit = weight, limit
+        self.sizes, self.grams = range(shortest, longest + 1), _Grams(weight)
 
     def __missing__(self, word: str) -> complex:
         if len(self) >= self.limit:
             self.clear()
-        ids = features(word, len(self.weight), self.shortest, self.longest)
-        value = self[word] = complex(float(self.weight[ids].sum()), len(ids))
+        marked = f"<{word}>"
+        size = len(marked)
+        grams = [marked[i : i + n] for n in self.sizes for i in range(size - n + 1)]
+        own = float(self.weight[xxhash.xxh3_64_intdigest(word) % len(self.weight)])
+        value = self[word] = complex(own + sum(map(self.grams.__getitem__, grams)), 1 + len(grams))
         return value
 
 
