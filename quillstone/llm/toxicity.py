@@ -332,7 +332,7 @@ class _Marks(dict):
     token's terms in `lists`; place 0 is no terms, as almost all tokens have.
     """
 
-    def __init__(self, restorer: Restorer, weights: dict[str, float], limit: int = 400_000):
+    def __init__(self, restorer: Restorer, weights: dict[str, float], limit: int = 250_000):
         super().__init__()
         self.restorer, self.weights, self.limit = restorer, weights, limit
         self.starts = {t[:4] for t in weights}  # a word with any term begins like one
