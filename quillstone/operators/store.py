@@ -141,3 +141,9 @@ def repo_summary(repos: DataFrame) -> DataFrame:
 
 def missing_required(required: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return required.select(key).distinct().join(found.select(key), key, "left_anti")
+
+
+def latest_numbered(paths: DataFrame, path_col: str, *by: str) -> DataFrame:
+    """Of each group, the path with the largest number at its end; paths without one do not count."""
+    number = F.try_element_at(F.regexp_extract_all(path_col, F.lit(r"-([0-9]{1,18})/?$"), F.lit(1)), F.lit(1)).cast("long")
+    return paths.withColumn("_n", number).where("_n is not null").groupBy(*by).agg(F.max_by(path_col, "_n").alias(path_col))

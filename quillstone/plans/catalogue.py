@@ -620,6 +620,13 @@ def required_repos(spark: SparkSession, sf: str) -> DataFrame:
     return store.missing_required(need, _table(spark, sf, "supplier").select(F.col("s_nationkey").alias("key")), "key")
 
 
+@query
+def latest_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each event type, the folder with the largest number."""
+    folder = F.concat(F.lit("run/"), F.when(F.col("event_id") % 10 == 0, "final").otherwise(F.concat(F.lit("checkpoint-"), F.col("event_id"))))
+    return store.latest_numbered(_table(spark, sf, "events").select("event_type", folder.alias("path")), "path", "event_type")
+
+
 # events and frames
 
 

@@ -76,3 +76,12 @@ def test_violations(spark):
     repos = spark.createDataFrame([("1", "u", None, "complete", None, None, None, None, now, now), ("2", "u", None, "odd", None, None, None, None, now, now)], schemas.REPOS)
     tasks = spark.createDataFrame([("t", "9", "s", 1, 2, "running", now, now)], schemas.TASKS)
     assert sorted(map(tuple, store.violations(repos, tasks).collect())) == [("repo_status", "2"), ("task_repo", "t"), ("unique_url", "1")]
+
+
+def test_rates(spark, tmp_path):
+    src = str(tmp_path / "r")
+    rows = [(f"2024-01-01 00:00:{i:02}", "a") for i in range(5)] + [("2024-01-01 00:00:30", "b"), ("2024-01-01 02:00:00", "b")]
+    spark.createDataFrame(rows, "ts string, who string").select(F.to_timestamp("ts").alias("ts"), "who").coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema("ts timestamp, who string").parquet(src)
+    out = jobs.run_available(jobs.rates(stream, "who", 3), "rates").collect()
+    assert [(r.who, r.n) for r in out] == [("a", 5)]
