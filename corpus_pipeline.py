@@ -30,8 +30,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    """One document of each group of near-duplicates, of similarity 0.8 or more over five words, stays: the one with the smallest id."""
+    gone = minhash.near_duplicates(docs, percent=80, bands=36, rows=6).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     out = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     return out.select(*docs.columns)
 

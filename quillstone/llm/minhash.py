@@ -13,7 +13,8 @@ around their best-linked member. The members of buckets that are still mixed the
 prefix filter on their rarest shingles, which loses no link between them, across components
 only. No bucket is capped or sampled.
 
-Miss rate at the default limit (similarity 0.85, 6 rows, 36 bands): (1 - 0.85^6)^36 < 4e-8.
+Miss rate at the default limit (similarity 0.85, 6 rows, 36 bands): (1 - 0.85^6)^36 < 4e-8; at
+0.8, the pipeline's limit: (1 - 0.8^6)^36 < 2e-5.
 """
 
 from __future__ import annotations

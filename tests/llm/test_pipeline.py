@@ -60,3 +60,15 @@ def test_stages_keep_the_columns(spark, small):
 def test_empty_documents(spark, tmp_path):
     tables(spark, str(tmp_path), [], spark.createDataFrame([], "doc_id long, quality int, toxic int"), [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_from_four_fifths(spark):
+    """Pairs with a similarity from 0.8 to below 0.85 are near-duplicates for the stage; a pair below 0.8 is not."""
+    rows = []
+    for i, last in enumerate([9, 10, 11, 12]):  # of 100 shingles; similarities 0.83, 0.82, 0.80 and 0.79
+        words = prose(i, 104).split()
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join([*words[:-last], *(f"n{k}" for k in range(last))]))]
+    kept = {i for i, _, _, k in groups(rows, percent=80) if k}
+    assert kept == {0, 10, 20, 30, 31} and all(k for *_, k in groups(rows))
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()} == kept
