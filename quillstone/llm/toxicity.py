@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -101,39 +102,50 @@ class Channel:
     SUBSTITUTE, KEEP_MARK, DROP_MARK, DROP_DOUBLE, DROP_REPEAT = -1.2, -2.0, -0.4, -2.0, -0.2
 
     def __init__(self, logp: np.ndarray):
-        self.logp = logp
+        self.logp = array("f", np.asarray(logp, dtype=np.float32).tobytes())  # yields plain floats
+        self.offers: dict[tuple[str, int, bool], list[tuple[str, float, int]]] = {}
 
-    def options(self, c: str, before: str) -> list[tuple[str, float]]:
+    def options(self, c: str, before: str, spelt: bool) -> list[tuple[str, float]]:
         found = [(c, self.KEEP_MARK if c in MARKS else 0.0)]
-        found += [(x, self.SUBSTITUTE - (1.0 if c == "*" else 0.0)) for x in LOOKALIKES.get(c, "")]
-        if c in MARKS:
+        looks = LOOKALIKES.get(c, "")
+        if spelt and looks and not c.isdigit():
+            found = []
+        found += [(x, self.SUBSTITUTE - (1.0 if c == "*" else 0.0)) for x in looks]
+        if c in MARKS and found[0][0] == c:
             found.append(("", self.DROP_MARK))
         if before.endswith(c) and c.isalpha():
             found.append(("", self.DROP_REPEAT if before.endswith(c + c) else self.DROP_DOUBLE))
         return found
 
-    def decode(self, observed: str) -> str:
+    def offered(self, c: str, before: str, spelt: bool) -> list[tuple[str, float, int]]:
+        """The options with their classes, looked up by the character and how often it stands before."""
+        key = (c, 2 if before == c + c else 1 if before.endswith(c) else 0, spelt)
+        if (found := self.offers.get(key)) is None:
+            if len(self.offers) > 10_000:
+                self.offers.clear()
+            found = self.offers[key] = [(out, cost, _class_of(out) if out else _EDGE) for out, cost in self.options(c, before, spelt)]
+        return found
+
+    def decode(self, observed: str, *, spelt: bool = False) -> str:
+        """The likeliest text, which ends a word; if `spelt`, every sign that looks like a letter is one."""
         logp, mask = self.logp, SYMBOLS ** (ORDER - 1)
         states: dict[tuple[int, str], tuple[float, tuple]] = {(0, ""): (0.0, ())}
         before = ""
-        for c in observed + " ":
+        for c in [*observed, ""]:
             after: dict[tuple[int, str], tuple[float, tuple]] = {}
-            offered = self.options(c, before)
-            for (context, last), (score, path) in states.items():
+            offered, looks = self.offered(c, before, spelt) if c else [(" ", 0.0, _EDGE)], LOOKALIKES.get(c, "")
+            for state, (score, path) in states.items():
+                context, last = state
                 offers = offered
-                if last and not before.endswith(last) and c in LOOKALIKES and last in LOOKALIKES[c]:
-                    offers = [*offered, ("", self.DROP_DOUBLE)]
-                for out, cost in offers:
-                    if out:
-                        k = _class_of(out)
-                        if k == _EDGE and context % SYMBOLS == _EDGE:
-                            key, value, way = (context, last), score + cost, path
-                        else:
-                            gram = context * SYMBOLS + k
-                            key, value, way = (gram % mask, out), score + cost + float(logp[gram]), (path, out)
+                if looks and last and last in looks and not before.endswith(last):
+                    offers = [*offered, ("", self.DROP_DOUBLE, _EDGE)]
+                for out, cost, k in offers:
+                    if not out or k == _EDGE and context % SYMBOLS == _EDGE:
+                        key, value, way = state, score + cost, path
                     else:
-                        key, value, way = (context, last), score + cost, path
-                    if key not in after or value > after[key][0]:
+                        gram = context * SYMBOLS + k
+                        key, value, way = (gram % mask, out), score + cost + logp[gram], (path, out)
+                    if (held := after.get(key)) is None or value > held[0]:
                         after[key] = (value, way)
             states, before = after, before[-1:] + c
         path, out = max(states.values(), key=lambda s: s[0])[1], []
@@ -143,20 +155,26 @@ class Channel:
         return "".join(reversed(out)).strip()
 
 
-_ODD = re.compile(r"[a-z][0-9@$!|+*(€£]+[a-z]|^[0-9@$|(€£][a-z]|[a-z][0-9]+$|[a-z][@$][0-9@$]*$|[a-z][0-9@$!|]{2}")
+_LETTER = re.compile(r"[^\W\d_]")
+_LOOKS = re.compile(f"[{re.escape(''.join(LOOKALIKES))}]")
+_SIGN = re.compile(f"[{re.escape(''.join(c for c in LOOKALIKES if not c.isdigit()))}]")
+_MARKED = re.compile(rf"[^\W\d_][{re.escape(''.join(MARKS))}]+[^\W\d_]")
 _DRAWN = re.compile(r"([a-z])\1\1|([a-z])\2.*([a-z])\3")
 _DOUBLED = re.compile(r"([^\W\d_])\1+")
-_PLAIN = re.compile(r"([^\W\d_]+)[.,;:?!]*")
+_PLAIN = re.compile(r"([^\W\d_]+)[.,;:?]*")
 _APART = re.compile(r"^[^\W_](?:[^\w]+|_+)(?:[^\W_](?:[^\w]+|_+)){1,}[^\W_]$")
 _EDGES = ".,;:?!\"')]}>%&#*"
 LONGEST_TOKEN = 32
 
 
 def suspicious(token: str) -> bool:
-    """Whether a lower-case token is worth a lattice."""
-    if not 3 <= len(token) <= LONGEST_TOKEN:
+    """Whether a lower-case token is worth a lattice: letters with what may stand for letters, marks
+    between them or letters drawn out; or, without a letter, more than one such sign. Bare numbers are not."""
+    if len(token) < 2:
         return False
-    return bool(_ODD.search(token) or _DRAWN.search(token) or _APART.match(token))
+    if _LETTER.search(token):
+        return bool(_LOOKS.search(token) or _MARKED.search(token) or _DRAWN.search(token) or _APART.match(token))
+    return bool(_SIGN.search(token)) and len(set(_LOOKS.findall(token))) > 1 or bool(_APART.match(token))
 
 
 def is_single(token: str) -> bool:
@@ -172,8 +190,8 @@ def spaced_words(tokens: list[str], at: list[int], channel: Channel) -> list[str
         if run and i != run[-1] + 1:
             if len(run) >= 3:
                 letters = [tokens[j].strip(_EDGES) or tokens[j] for j in run]
-                if len(set(letters)) > 2:
-                    out += _runs(letters, channel)
+                if any(x in LOOKALIKES or _LETTER.match(x) for x in letters):
+                    out += _runs([x for k, x in enumerate(letters) if k < 2 or letters[k - 2 : k] != [x, x]], channel)
             run = []
         run.append(i)
     return out
@@ -182,7 +200,9 @@ def spaced_words(tokens: list[str], at: list[int], channel: Channel) -> list[str
 def _runs(letters: list[str], channel: Channel) -> list[str]:
     out: list[str] = []
     for start in range(0, len(letters), 4096):
-        out += re.findall(r"[^\W_]+", channel.decode(" ".join(letters[max(0, start - 32) : start + 4096])))
+        run = " ".join(letters[max(0, start - 32) : start + 4096])
+        for spelt in (False, True) if _SIGN.search(run) else (False,):
+            out += [w for w in re.findall(r"[^\W_]+", channel.decode(run, spelt=spelt)) if not spelt or w not in out]
     return out
 
 
@@ -214,8 +234,10 @@ class Restorer(dict):
                 plain += (single,)
         for t in dict.fromkeys((core, token.rstrip(".,;:?\"')"))):
             if suspicious(t):
-                back = tuple(re.findall(r"[^\W_]+", self.channel.decode(t)))
-                plain += tuple(w for w in back if w not in plain)
+                back = re.findall(r"[^\W_]+", self.channel.decode(t))
+                if _SIGN.search(signs := t.rstrip(_EDGES)):
+                    back += re.findall(r"[^\W_]+", self.channel.decode(signs, spelt=True))
+                plain += tuple(w for w in dict.fromkeys(back) if w not in plain)
         return plain
 
     def __missing__(self, token: str) -> tuple[str, ...]:

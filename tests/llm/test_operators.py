@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,27 @@ def test_toxicity_of_obfuscated_words(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in rows.items())
 
 
+def channel(taught):
+    """A decoder under the 4-grams of `taught`, said often."""
+    (tally,) = toxicity._tally(iter([pd.DataFrame({"text": [f"{taught} " * 300]})]))
+    full = np.zeros(toxicity.SYMBOLS**toxicity.ORDER)
+    full[tally.gram] = tally.n
+    full = full.reshape(-1, toxicity.SYMBOLS) + 0.01
+    return toxicity.Channel(np.log(full / full.sum(axis=1, keepdims=True)).ravel())
+
+
+@pytest.mark.parametrize("token, word", [("57upid", "stupid"), ("$7upid", "stupid"), ("!diot", "idiot"), ("s#it", "shit"), ("idio+", "idiot"), ("4$$hole", "asshole"), ("@$$", "ass"), ("stup!d!", "stupid"), ("id-1ot", "idiot")])
+def test_what_the_channel_lists_is_decoded(token, word):
+    assert word in toxicity.Restorer(channel("you stupid idiot and shit of an ass or asshole"))[token]
+
+
+def test_short_runs_of_single_letters_are_decoded():
+    known = toxicity.Restorer(channel("you stupid idiot and shit of an ass or asshole"))
+    assert "ass" in toxicity.restored_words("you a s s of", known) and "ass" in toxicity.restored_words("you @ s s of", known)
+    assert not toxicity.spaced_words(list("---"), [0, 1, 2], known.channel)
+    assert not toxicity.suspicious("2024") and not toxicity.suspicious("***") and not toxicity.suspicious("plain")
+
+
 def test_channel_model_sums_to_one(spark):
     logp = toxicity.character_model(docs(spark, [prose(1, 400), None, "é ß 12"]))
     assert np.allclose(np.exp(logp.reshape(-1, toxicity.SYMBOLS)).sum(axis=1), 1, atol=1e-4)
