@@ -164,7 +164,11 @@ _DOUBLED = re.compile(r"([^\W\d_])\1+")
 _PLAIN = re.compile(r"([^\W\d_]+)[.,;:?]*")
 _APART = re.compile(r"^[^\W_](?:[^\w]+|_+)(?:[^\W_](?:[^\w]+|_+)){1,}[^\W_]$")
 _EDGES = ".,;:?!\"')]}>%&#*"
-LONGEST_TOKEN = 32
+_STRETCHED = re.compile(r"(.)\1{2,}", re.DOTALL)
+#: Marks that do not stand for letters part a token into pieces.
+_PARTS = re.compile(f"[{re.escape(''.join(MARKS - set(LOOKALIKES)))}]+")
+#: Longer texts are decoded in chunks that overlap; longer tokens are not looked up again.
+CHUNK, OVERLAP, LONGEST_KEPT = 4096, 64, 200
 
 
 def suspicious(token: str) -> bool:
@@ -199,13 +203,21 @@ def spaced_words(tokens: list[str], at: list[int], channel: Channel) -> list[str
 
 def _runs(letters: list[str], channel: Channel) -> list[str]:
     out: list[str] = []
-    for start in range(0, len(letters), 4096):
-        run = " ".join(letters[max(0, start - 32) : start + 4096])
+    for start in range(0, len(letters), CHUNK):
+        run = " ".join(letters[max(0, start - OVERLAP) : start + CHUNK])
         for spelt in (False, True) if _SIGN.search(run) else (False,):
             out += [w for w in re.findall(r"[^\W_]+", channel.decode(run, spelt=spelt)) if not spelt or w not in out]
     return out
 
 
+def readings(token: str, channel: Channel) -> Iterator[str]:
+    """The words of a token of any length, decoded, and those with every sign inside it as a letter."""
+    signs = token.rstrip(_EDGES)
+    for text, spelt in ((token, False), (signs, True)) if _SIGN.search(signs) else ((token, False),):
+        for start in range(0, len(text), CHUNK):
+            yield from re.findall(r"[^\W_]+", channel.decode(text[max(0, start - OVERLAP) : start + CHUNK], spelt=spelt))
+
+
 def restored_words(text: str | None, known: Restorer) -> Counter:
     """A text's words, counted, with those that its tokens and runs of letters restore to."""
     tokens = text.lower().split() if text else []
@@ -227,23 +239,28 @@ class Restorer(dict):
             return (m[1],)
         core = token.strip(_EDGES)
         plain = tuple(re.findall(r"[^\W_]+", core))
-        if len(core) <= LONGEST_TOKEN:  # one mark or one doubled letter needs no lattice: the shorter reading is offered too
-            if len(plain) > 1:
-                plain += ("".join(plain),)
-            if (single := _DOUBLED.sub(r"\1", plain[-1] if plain else "")) != (plain[-1] if plain else ""):
-                plain += (single,)
-        for t in dict.fromkeys((core, token.rstrip(".,;:?\"')"))):
+        # one mark or one doubled letter needs no lattice: the shorter reading is offered too
+        if len(plain) > 1:
+            plain += ("".join(plain),)
+        if (single := _DOUBLED.sub(r"\1", plain[-1] if plain else "")) != (plain[-1] if plain else ""):
+            plain += (single,)
+        whole = token.rstrip(".,;:?\"')")
+        parts = [x for x in _PARTS.split(core) if x]
+        back: dict[str, None] = {}
+        for t in dict.fromkeys((core, whole, *(parts if len(parts) > 1 else ()))):
             if suspicious(t):
-                back = re.findall(r"[^\W_]+", self.channel.decode(t))
-                if _SIGN.search(signs := t.rstrip(_EDGES)):
-                    back += re.findall(r"[^\W_]+", self.channel.decode(signs, spelt=True))
-                plain += tuple(w for w in dict.fromkeys(back) if w not in plain)
+                back.update(dict.fromkeys(readings(_STRETCHED.sub(r"\1\1", t), self.channel)))
+        if back:
+            had = set(plain)
+            plain += tuple(w for w in back if w not in had)
         return plain
 
     def __missing__(self, token: str) -> tuple[str, ...]:
-        if len(self) >= self.limit:
-            self.clear()
-        words = self[token] = self.words(token)
+        words = self.words(token)
+        if len(token) <= LONGEST_KEPT:
+            if len(self) >= self.limit:
+                self.clear()
+            self[token] = words
         return words
 
 
@@ -350,7 +367,7 @@ def train(rows: list[tuple[list[str], np.ndarray, int, float]], *, terms: int =
 class _Marks(dict):
     """Of a token, one number: the words it restores to, whether it is a single letter, and which terms it has.
 
-    Bits 0 to 6 count words, bit 7 marks single letters, and what is above is the place of the
+    Bits 0 to 23 count words, bit 24 marks single letters, and what is above is the place of the
     token's terms in `lists`; place 0 is no terms, as almost all tokens have.
     """
 
@@ -365,14 +382,16 @@ class _Marks(dict):
         return tuple(t for w in words if w[:4] in self.starts for t in _beginnings(w) if t in self.weights)
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
         words = self.restorer.words(token)
         found = self.terms(words)
         if found not in self.places:
             self.places[found] = len(self.lists)
             self.lists.append(found)
-        value = self[token] = min(len(words), 127) | is_single(token) << 7 | self.places[found] << 8
+        value = min(len(words), (1 << 24) - 1) | is_single(token) << 24 | self.places[found] << 25
+        if len(token) <= LONGEST_KEPT:
+            if len(self) >= self.limit:
+                self.clear()
+            self[token] = value
         return value
 
 
@@ -386,12 +405,12 @@ def _scorer(shared):
         def value(text: str | None) -> float:
             tokens = text.lower().split() if text else []
             m = np.fromiter(map(marks.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-            n, seen = int((m & 127).sum()), Counter()
-            places = m >> 8
+            n, seen = int((m & (1 << 24) - 1).sum()), Counter()
+            places = m >> 25
             for place, times in zip(*np.unique(places[places > 0], return_counts=True), strict=True):
                 for t in marks.lists[place]:
                     seen[t] += int(times)
-            at = np.flatnonzero(m & 128)
+            at = np.flatnonzero(m & 1 << 24)
             if len(at) >= 3:
                 words = spaced_words(tokens, at.tolist(), channel)
                 n += len(words)

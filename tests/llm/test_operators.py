@@ -75,6 +75,12 @@ def test_short_runs_of_single_letters_are_decoded():
     assert not toxicity.suspicious("2024") and not toxicity.suspicious("***") and not toxicity.suspicious("plain")
 
 
+@pytest.mark.parametrize("token, word", [("s" + "t" * 40 + "upid", "stupid"), ("5" + "t" * 20 + "u" * 20 + "p1d", "stupid"), ("you-are-such-an-1d10t-and-of-an-4$$hole", "idiot"), ("you-are-such-an-1d10t-and-of-an-4$$hole", "asshole"), ("you_" * 3_000 + "1d10t", "idiot"), ("x" + "0123456789" * 500 + "/57upid", "stupid"), ("y0u" * 2_000 + "1d10t", "idiot")])
+def test_long_tokens_are_decoded(token, word):
+    known = toxicity.Restorer(channel("you stupid idiot and shit of an ass or asshole"))
+    assert any(word in w for w in known[token])
+
+
 def test_channel_model_sums_to_one(spark):
     logp = toxicity.character_model(docs(spark, [prose(1, 400), None, "é ß 12"]))
     assert np.allclose(np.exp(logp.reshape(-1, toxicity.SYMBOLS)).sum(axis=1), 1, atol=1e-4)
