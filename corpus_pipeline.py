@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that occur across sites are cut; a text that was cut has its length set anew."""
-    out = lines.without_boilerplate(docs, lines_col="_n_lines", removed_col="_n_removed")
+    """Lines that occur across sites are cut from every document that has other lines; a text that was cut has its length set anew."""
+    out = lines.without_boilerplate(docs, largest_share=None, lines_col="_n_lines", removed_col="_n_removed")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

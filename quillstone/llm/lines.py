@@ -6,7 +6,8 @@ and merged by aggregation. Where a sketch's estimate is near the limit, the site
 exactly; elsewhere the estimate's error cannot change the answer.
 
 A document most of whose characters are such lines is a copy rather than a page with
-boilerplate around it; it is left whole, for a near-duplicate stage to decide on.
+boilerplate around it; it is left whole, for a near-duplicate stage to decide on. The limit is
+op5's, whose SQL has it; the pipeline leaves only documents without a line of their own whole.
 
 DataFrame functions only.
 """
@@ -54,14 +55,15 @@ def spread_lines(lines: DataFrame, *, min_sites: int) -> DataFrame:
     return found
 
 
-def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", *, min_sites: int = 6, largest_share: float = 0.5, lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
+def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", *, min_sites: int = 6, largest_share: float | None = 0.5, lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
     """`docs` without its boilerplate lines, with the numbers of lines before and of lines removed.
 
     Every row stays, with its other columns; a column that has the name of a new one is
     replaced. A null text stays null and has no lines; blank lines are never boilerplate.
     Rows with a null id or site are rewritten like others. Repeated rows stay repeated. Lines
     are compared without the white space at their ends. A document that consists of such lines
-    by more than `largest_share` of its characters, line feeds aside, is left whole.
+    by more than `largest_share` of its characters, line feeds aside, is left whole; if that is
+    None, only a document without any other line that is not blank is.
     """
     lines = staged(numbered_lines(docs, id_col, site_col, text_col), "lines")
     boilerplate = spread_lines(lines, min_sites=min_sites)
@@ -72,7 +74,11 @@ def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str =
     # hits grow with the documents, so they are never broadcast
     rows = docs.join(hit.hint("merge"), on, "left")
     whole = F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
-    cut = F.col("_at").isNotNull() & (F.col("_hit") <= whole * F.lit(float(largest_share)))
+    if largest_share is None:
+        within = F.size(F.filter(_pieces(F.col(text_col)), lambda x: F.trim(x) != "")) > F.size("_at")
+    else:
+        within = F.col("_hit") <= whole * F.lit(float(largest_share))
+    cut = F.col("_at").isNotNull() & within
     kept = F.array_join(F.filter(_pieces(F.col(text_col)), lambda x, i: ~F.array_contains("_at", i)), "\n")
     rows = rows.withColumn("_cut", cut).withColumn("_kept", F.when(F.col("_cut"), kept).otherwise(F.col(text_col)))
     rows = rows.withColumn(lines_col, F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(_pieces(F.col(text_col)))).cast("long")).withColumn(removed_col, F.when(F.col("_cut"), F.size("_at")).otherwise(F.lit(0)).cast("long"))

@@ -72,3 +72,13 @@ def test_near_duplicates_from_four_fifths(spark):
     assert kept == {0, 10, 20, 30, 31} and all(k for *_, k in groups(rows))
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()} == kept
+
+
+def test_boilerplate_longer_than_the_text_is_cut(spark):
+    """A shared passage is cut from pages that are shorter than it; pages that are nothing else stay whole."""
+    passage = prose(5, 60)
+    rows = [(i, f"{prose(100 + i, 5)}\n{passage}\n", f"s{i}") for i in range(6)] + [(10 + i, f"{passage}\n\n", f"t{i}") for i in range(2)]
+    df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_boilerplate(spark, df, "").collect()}
+    want = {i: t.replace(f"{passage}\n", "") if i < 10 else t for i, t, _ in rows}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
