@@ -5,10 +5,16 @@ dots inside numbers, one space between) and, if it is a known licence sentence,
 sentence's identifier. A sentence that speaks of a licence but is not known is UNKNOWN. The
 sequence of identifiers is then matched against ordered rules: a rule names the identifiers
 that must follow one another, and what it matches is taken away before the next rule looks.
+
+A line feed ends a sentence, but a known sentence is first laid on one line where it is wrapped,
+with or without comment marks. Lines between two sentence ends or blank lines that are not
+known by themselves also speak of a licence if they do when read as one.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +45,14 @@ SENTENCES = {
     "all rights reserved": "AllRights",
 }
 
+#: Real notices' sentences in full, and the known sentence that each stands for; * is any name.
+FULL = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "the software is provided as is without warranty of any kind express or implied",
+    "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "this software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed",
+}
+
 #: Fixed values, in order: a licence and the identifiers that must follow one another.
 RULES = [
     ("BSD-3-Clause", ["BsdConditions", "BsdSource", "BsdBinary", "BsdEndorse"]),
@@ -64,7 +78,23 @@ RULES = [
 CUE = "licen[cs]e|copyright|permi(tted|ssion)|warrant|redistribut|rights reserved|cc by"
 _SPEAKS = "licen[cs]ed? under|under the terms of .*licen[cs]e|released under .*licen[cs]e"
 _STATE = "struct<rest:string,got:array<string>>"
-_CUT = "[.!?;:]+[ \t\r]*\n|[.!?]+ |\n"
+#: Ends of sentences, and blank lines; a comment mark alone is a blank line too.
+_HARD = r"[.!?;:]+[ \t\r]*\n|[.!?]+ |\n[^\S\n]*(?:[#*/;%|-]+[^\S\n]*)?(?=\n)"
+_BEFORE, _AFTER = r"(?:(?<=[\n.!?;:)])|^)[^A-Za-z0-9\n.]{0,16}", r"(?=[^A-Za-z0-9\n.!?;:]{0,16}(?:[.!?;:\n]|$))"
+
+
+def _unwrapped(text: Column) -> Column:
+    """Known sentences that go over several lines, and real notices' full ones, as lines of their own."""
+
+    def words(sentence: str, gap: str) -> str:
+        return gap.join("[^.!?;]+?" if w == "*" else re.escape(w) for w in sentence.split())
+
+    for full, known in FULL.items():
+        text = F.regexp_replace(text, f"(?i){_BEFORE}{words(full, '[^A-Za-z0-9]+')}{_AFTER}", f"\n{known}\n")
+    for known in sorted(SENTENCES, key=len, reverse=True):
+        on_a_line = words(known, r"[^A-Za-z0-9\n]+")
+        text = F.regexp_replace(text, f"(?i){_BEFORE}(?!{on_a_line}(?![A-Za-z0-9])){words(known, '[^A-Za-z0-9]+')}{_AFTER}", f"\n{known}\n")
+    return text
 
 
 def _normal(sentence: Column) -> Column:
@@ -87,8 +117,14 @@ def recognise(docs: DataFrame, text_col: str = "text", *, identifiers: str = "id
     def identifier(s: Column) -> Column:
         return F.coalesce(F.try_element_at(known, s), F.when(s.rlike(_SPEAKS), F.lit("UNKNOWN")))
 
-    sentences = F.filter(F.transform(F.split(text, _CUT, -1), _normal), lambda s: s.rlike(CUE))
-    found = F.filter(F.transform(sentences, identifier), lambda x: x.isNotNull())
+    def identifiers_of(part: Column) -> Column:
+        lines = F.transform(F.split(part, "\n", -1), lambda x: _normal(x))
+        lines = F.transform(lines, lambda s: F.struct(s.alias("s"), F.when(s.rlike(CUE), identifier(s)).alias("i")))
+        by_line = F.filter(F.transform(lines, lambda x: x["i"]), lambda x: x.isNotNull())
+        other = F.array_join(F.transform(F.filter(lines, lambda x: x["i"].isNull()), lambda x: x["s"]), " ")
+        return F.concat(by_line, F.when(other.rlike(_SPEAKS), F.array(F.lit("UNKNOWN"))).otherwise(F.array().cast("array<string>")))
+
+    found = F.flatten(F.transform(F.split(F.when(cue, _unwrapped(text)).otherwise(""), _HARD, -1), identifiers_of))
     rows = docs.withColumn(identifiers, F.when(cue, found).otherwise(F.array().cast("array<string>")))
     rest = F.concat(F.lit(" "), F.array_join(F.transform(identifiers, lambda x: F.concat(x, F.lit(" "))), " "))
     start = F.struct(rest.alias("rest"), F.array().cast("array<string>").alias("got")).cast(_STATE)

@@ -201,6 +201,82 @@ def test_licences(spark, text, ids, found):
     assert (row.identifiers, row.licences, row.text) == (ids, found, text)
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of Some Institute nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may
+not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+You should have received a copy of the GNU General Public License
+along with this program."""
+
+
+@pytest.mark.parametrize("comment", ["", "# ", " * ", "// "])
+def test_wrapped_licences(spark, comment):
+    bsd = ["BsdConditions", "BsdSource", "BsdBinary", "BsdEndorse", "BsdDisclaimer"]
+    cases = [
+        (MIT, ["MitGrant", "MitNotice", "AsIs"], ["MIT"]),
+        (MIT.replace("\n", "\r\n"), ["MitGrant", "MitNotice", "AsIs"], ["MIT"]),
+        (BSD, bsd, ["BSD-3-Clause"]),
+        (BSD.replace("Some Institute", "the copyright holder"), bsd, ["BSD-3-Clause"]),
+        (APACHE, ["ApacheStatement", "ApacheCompliance", "ApacheCopy"], ["Apache-2.0"]),
+        (GPL, ["Gpl3OrLater"], ["GPL-3.0-or-later"]),
+        (GPL.replace("version 3", "version 2"), ["Gpl2OrLater"], ["GPL-2.0-or-later"]),
+        ("This work is licensed\nunder the Foo terms.\nReleased under the MIT License.", ["UNKNOWN", "MitStatement"], ["MIT", "Unknown"]),
+        ("A title\nReleased under the MIT License\nand more", ["MitStatement"], ["MIT"]),
+        ("It is said\nto be licensed\n\nunder the sea", [], []),
+    ]
+    texts = ["\n".join(f"{comment}{x}" for x in t.split("\n")) for t, _, _ in cases]
+    rows = sorted(licences.recognise(docs(spark, texts)).collect(), key=lambda r: r.doc_id)
+    assert [(r.identifiers, r.licences) for r in rows] == [(i, f) for _, i, f in cases]
+
+
 def test_licence_sentences_are_normalised(spark):
     df = spark.createDataFrame([(s,) for s in licences.SENTENCES], "s string")
     assert df.where(licences._normal(F.col("s")) != F.col("s")).count() == 0
