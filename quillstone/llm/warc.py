@@ -7,7 +7,8 @@ that occur more than once are written once; the others are revisit records.
 The reader takes plain and gzip files, whole or damaged. It checks each record (version line,
 headers, length, closing line feeds, block digest; of gzip members the stream and checksum).
 After a failed check it searches for the next version line, or the next gzip member that
-holds a record, goes on from there, and logs the bytes it passed over as a gap.
+holds a record, goes on from there, and logs the bytes it passed over as a gap. It does the
+same inside a gzip member, and inside what a broken member still inflates to.
 """
 
 from __future__ import annotations
@@ -92,38 +93,85 @@ def same_digest(written: str, data: bytes) -> bool:
     return written.upper() == base64.b32encode(found.digest()).decode()
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """A whole gzip member that begins at `at`, checked, and where it ends."""
-    stream = zlib.decompressobj(31)
-    try:
-        out = stream.decompress(memoryview(data)[at:])
-    except zlib.error:
-        return None
-    return (out, len(data) - len(stream.unused_data)) if stream.eof else None
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, bool]:
+    """What a gzip member that begins at `at` inflates to, where it ends, and whether it is whole and checked.
+
+    Of a broken stream, all that inflates before the fault is given, and `at` for its unknown end.
+    """
+    stream, view, out = zlib.decompressobj(31), memoryview(data)[at:], []
+    step, place, consumed = 1 << 16, 0, at
+    while place < len(view) and not stream.eof:
+        sound = stream.copy() if step > 1 else stream
+        try:
+            out.append(stream.decompress(view[place : place + step]))
+        except zlib.error:
+            if step == 1:
+                break
+            stream, step = sound, max(1, step // 64)  # nearer to the fault
+            continue
+        place += step
+    if stream.eof:
+        consumed += min(place, len(view)) - len(stream.unused_data)
+    return b"".join(out), consumed, stream.eof
+
+
+def _records(data: bytes) -> Iterator[tuple[int, int, Parsed | str]]:
+    """(position, length, record or reason of a gap) over inflated bytes, by their version lines alone."""
+    at, gap, why = 0, -1, ""
+    while at < len(data):
+        record = parse_record(data, at)
+        if isinstance(record, str):
+            if gap < 0:
+                gap, why = at, record
+            line = _START.search(data, at + 1)
+            at = line.start() if line else len(data)
+            continue
+        if gap >= 0:
+            yield gap, at - gap, why
+            gap = -1
+        yield at, record.end - at, record
+        at = record.end
+    if gap >= 0:
+        yield gap, len(data) - gap, why
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, Parsed | str]]:
-    """(position, length, record or reason of a gap) over a file, in order, without holes."""
+    """(position, length, record or reason of a gap) over a file, in order, without holes.
+
+    The records of a gzip member that is whole all have the member's place and length, and so has
+    each gap between them, whose reason tells its place in the inflated bytes. What a broken member
+    still gives comes with length 0, before the gap that the member's bytes are part of. A record
+    at the very end of what it gives is not taken, as neither a checksum nor a later byte vouches for it.
+    """
     at, size, gap, why = 0, len(data), -1, ""
+    given: list[Parsed] = []  # by the last broken member; its bytes may hold them unpacked, too
     while at < size:
-        found: list[Parsed] = []
+        found: list[Parsed | str] = []
         if data.startswith(_MEMBER, at):
-            member = _inflate(data, at)
-            reason, after = "broken gzip member", at
-            if member:
-                inner, after = member
-                place, reason = 0, "gzip member without a record"
-                while place < len(inner):
-                    record = parse_record(inner, place)
-                    if isinstance(record, str):
-                        reason, found = record, []
-                        break
-                    found.append(record)
-                    place = record.end
+            inner, after, whole = _inflate(data, at)
+            parts = list(_records(inner))
+            reason = "broken gzip member"
+            if not whole and parts and parts[-1][0] + parts[-1][1] == len(inner) and isinstance(parts[-1][2], Parsed):
+                parts[-1] = (*parts[-1][:2], "not vouched for")
+            if whole:
+                reason = next((r for *_, r in parts if isinstance(r, str)), "gzip member without a record")
+            found = [f"{r} (inflated bytes {p} to {p + n})" if isinstance(r, str) else r for p, n, r in parts]
+            if not any(isinstance(r, Parsed) for r in found):
+                found = []
+            elif not whole:
+                if gap >= 0:
+                    yield gap, at - gap, why
+                for record in found:
+                    yield at, 0, record
+                given = [r for r in found if isinstance(r, Parsed)]
+                gap, why, found = at, reason, []
         else:
             record = parse_record(data, at)
             reason, after = (record, at) if isinstance(record, str) else ("", record.end)
             found = [] if isinstance(record, str) else [record]
+            if gap >= 0 and found and any(r[:2] == record[:2] for r in given):
+                at = after
+                continue
         if found:
             if gap >= 0:
                 yield gap, at - gap, why

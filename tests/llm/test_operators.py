@@ -538,6 +538,26 @@ def test_salvage(pack, spot):
     assert list(warc.salvage(b"nothing here")) == [(0, 12, "no version line")]
 
 
+def test_salvage_inside_gzip_members():
+    parts = [record(i, random.Random(i).randbytes(40_000)) for i in range(6)]
+    hurt = [*parts[:2], parts[2][:30_000] + b"??" + parts[2][30_002:], *parts[3:]]
+    one = gz(b"".join(hurt))
+    whole = gz(parts[0]) + one + gz(parts[5])
+    found = list(warc.salvage(whole))
+    assert [i for i in ids(whole) if len(i) == 1] == list("0013455")
+    (gap,) = [f for f in found if isinstance(f[2], str)]
+    assert gap[:2] == (len(gz(parts[0])), len(one)) and f"{len(parts[0]) * 2} to {len(parts[0]) * 3}" in gap[2]
+    one = gz(b"".join(parts))
+    cut = one[: len(one) * 7 // 12]
+    for broken in (cut, cut + b"\xff" * 400, cut + gz(parts[5])):
+        got = list(warc.salvage(broken))
+        assert [i for i in ids(broken) if len(i) == 1] == list("0125" if broken.endswith(gz(parts[5])) else "012")
+        assert sum(n for _, n, _ in got) == len(broken) and [p for p, _, _ in got] == sorted(p for p, _, _ in got)
+    plain = zlib.compressobj(0, wbits=31)
+    stored = plain.compress(b"".join(p[:300] for p in [record(i) for i in range(5)])) + plain.flush()
+    assert [i for i in ids(stored[:-8] + b"????????") if len(i) == 1] == list("01234")
+
+
 def test_salvage_of_files(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record(1) + b"\xff" * 100 + record(2))
     (tmp_path / "b.warc.gz").write_bytes(gz(record(3)) + gz(record(4))[:-3])
