@@ -29,8 +29,9 @@ from .common import scratch_root, staged
 VERSION = b"WARC/1.1\r\n"
 _START = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
-#: Longest header block that a reader looks through.
-HEADER_LIMIT = 1 << 16
+_NEXT = re.compile(rb"\nWARC/1\.[01]\r\n")
+#: How far headers are looked for first; longer ones may go on to the next version line.
+HEADER_USUAL = 1 << 16
 
 RECORDS = T.StructType(
     [
@@ -59,7 +60,10 @@ def parse_record(data: bytes, at: int) -> Parsed | str:
     """The record that begins at `at`, or why there is none."""
     if not _START.match(data, at):
         return "no version line"
-    stop = data.find(b"\r\n\r\n", at, at + HEADER_LIMIT)
+    stop = data.find(b"\r\n\r\n", at, at + HEADER_USUAL)
+    if stop < 0:
+        following = _NEXT.search(data, at)
+        stop = data.find(b"\r\n\r\n", at, following.start() + 1 if following else len(data))
     if stop < 0:
         return "headers do not end"
     headers: dict[str, str] = {}

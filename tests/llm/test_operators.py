@@ -502,6 +502,13 @@ def test_archive_round_trip(spark):
     assert found == sorted(want, key=repr)
 
 
+def test_archive_of_pages_with_long_urls(spark):
+    rows = [(1, "http://a/" + "x" * 70_000, "one"), (2, "http://a/" + " " * 40_000, "two"), (3, "u", "three")]
+    got = warc.archived_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.target_uri) for r in got} == {(i, u.replace(" ", "%20")) for i, u, _ in rows}
+    assert ids(record(1).replace(b"\r\n\r\n", b"\r\n", 1) + record(2)) == ["bad header line", "2"]
+
+
 def record(n, body=b"hello"):
     block = b"HTTP/1.1 200 OK\r\n\r\n" + body
     head = f"WARC-Type: response\r\nWARC-Record-ID: <urn:page:{n}>\r\nWARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n"
