@@ -17,40 +17,66 @@ def tokens(text: str | Column) -> Column:
 def bucket(word: str | Column) -> Column:
     """The md5 of a word as a number, modulo 384.
 
-    384 is 2^7 * 3, so 2^32, 2^64 and 2^96 all leave 256: the four 32-bit parts of the digest
-    fold to one small sum, without arithmetic beyond a long.
+    384 is 2^7 * 3, so 2^48 and 2^96 both leave 256: the digest's 32, 48 and 48 bits fold to
+    one small sum, without arithmetic beyond a long.
     """
     digest = F.md5(F.encode(word, "UTF-8"))
-    part = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)]
-    return ((F.lit(256) * (part[0] + part[1] + part[2]) + part[3]) % DIMENSIONS).cast("int")
+    part = [F.conv(F.substring(digest, at, n), 16, 10).cast("long") for at, n in ((1, 8), (9, 12), (21, 12))]
+    return ((F.lit(256) * (part[0] + part[1]) + part[2]) % DIMENSIONS).cast("int")
 
 
-def token_counts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, bucket, n): how many of a row's tokens fall into each bucket.
+def _counted(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, buckets, counts): of each text with tokens, its buckets in order and how many tokens fall into each.
 
-    Repeated tokens are counted before they are hashed, so each distinct token costs one md5.
+    A text is counted inside its row: the sorted buckets' runs, told by where each begins.
     """
-    words = rows.select(F.col(id_col).alias("id"), F.explode(tokens(text_col)).alias("word"))
-    counted = words.groupBy("id", "word").agg(F.count("*").alias("n"))
-    return counted.groupBy("id", bucket("word").alias("bucket")).agg(F.sum("n").alias("n"))
+    own = rows.select(F.col(id_col).alias("id"), F.sort_array(F.transform(tokens(text_col), bucket)).alias("all")).where(F.size("all") > 0)
+    begins = F.filter(F.sequence(F.lit(1), F.size("all")), lambda i: (i == 1) | (F.element_at("all", i) != F.element_at("all", F.greatest(i - 1, F.lit(1)))))
+    own = own.select("id", "all", begins.alias("begins"))
+    ends = F.concat(F.slice("begins", 2, F.size("begins")), F.array(F.size("all") + 1))
+    return own.select("id", F.transform("begins", lambda i: F.element_at("all", i)).alias("buckets"), F.zip_with(ends, "begins", lambda a, b: (a - b).cast("long")).alias("counts"))
+
+
+def token_counts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, bucket, n): how many of a row's tokens fall into each bucket."""
+    return _counted(rows, id_col, text_col).select("id", F.explode(F.arrays_zip(F.col("buckets").alias("bucket"), F.col("counts").alias("n"))).alias("c")).select("id", "c.bucket", "c.n")
+
+
+def vectors(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, buckets, weights) with unit length, a row for each text that has tokens; made without a shuffle."""
+    own = _counted(rows, id_col, text_col)
+    length = F.sqrt(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n * n).cast("double"))
+    # repeated, as a lambda would work the length out anew for each entry
+    return own.select("id", "buckets", F.zip_with("counts", F.array_repeat(length, F.size("counts")), lambda n, x: n / x).alias("weights"))
+
+
+def entries(rows: DataFrame) -> DataFrame:
+    """(id, bucket, weight) of vectors as `vectors` gives them."""
+    return rows.select("id", F.explode(F.arrays_zip(F.col("buckets").alias("bucket"), F.col("weights").alias("weight"))).alias("e")).select("id", "e.bucket", "e.weight")
 
 
 def sparse_vectors(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, bucket, weight) with unit length for each id; a text without tokens has no rows."""
-    counts = token_counts(rows, id_col, text_col)
-    norms = counts.groupBy("id").agg(F.sqrt(F.sum((F.col("n") * F.col("n")).cast("double"))).alias("norm"))
-    return counts.join(norms, "id").select("id", "bucket", (F.col("n") / F.col("norm")).alias("weight"))
+    return entries(vectors(rows, id_col, text_col))
+
+
+def packed(vectors: DataFrame) -> DataFrame:
+    """Vectors as `vectors` gives them; those given by entry are gathered, a row for each id."""
+    if "buckets" in vectors.columns:
+        return vectors
+    rows = vectors.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("bucket", "weight"))).alias("e"))
+    return rows.select("id", F.col("e.bucket").alias("buckets"), F.col("e.weight").alias("weights"))
 
 
 def norms(vectors: DataFrame) -> DataFrame:
-    return vectors.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    return packed(vectors).select("id", F.sqrt(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w * w)).alias("norm"))
 
 
 def densify(vectors: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """(id, vector): arrays of doubles, zero where a sparse vector has no entry."""
-    packed = vectors.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    at = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return packed.select("id", at.alias("vector"))
+    m = F.array_repeat(F.map_from_arrays("buckets", "weights"), dimensions)  # once, not for each place
+    at = F.zip_with(F.sequence(F.lit(0), F.lit(dimensions - 1)), m, lambda i, x: F.coalesce(F.try_element_at(x, i), F.lit(0.0)))
+    return packed(vectors).select("id", at.alias("vector"))
 
 
 def dot(x: str | Column, y: str | Column) -> Column:

@@ -23,14 +23,14 @@ def symbol_hits(questions: DataFrame, chunks: DataFrame, k: int = SEEDS) -> Data
 
 def vector_hits(questions: DataFrame, vectors: DataFrame, k: int = SEEDS) -> DataFrame:
     """(question_id, id, sim) of the k most similar chunks with a common bucket."""
-    asked = embed.sparse_vectors(questions, "question_id", "question")
+    asked = embed.vectors(questions, "question_id", "question")
     return sparse_top_k(asked, vectors, k).select("question_id", "id", "sim")
 
 
 def seeds(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = SEEDS) -> DataFrame:
     """(question_id, id, sim, rank): a question's symbol hits, or its vector hits where it has none."""
     exact = symbol_hits(questions, chunks, k)
-    near = vector_hits(questions, vectors, k).join(exact.select("question_id").distinct(), "question_id", "left_anti")
+    near = vector_hits(questions.join(exact.select("question_id"), "question_id", "left_anti"), vectors, k)
     order = Window.partitionBy("question_id").orderBy(F.desc("sim"), "id")
     return exact.union(near).withColumn("rank", F.row_number().over(order))
 
@@ -70,7 +70,11 @@ def naive(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int =
 
 def graph_augmented(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, edges: DataFrame) -> DataFrame:
     """Seeds and their neighbours among `chunks`; a neighbour that is no function chunk drops out."""
-    found = seeds(questions, chunks, vectors)
+    return expanded(seeds(questions, chunks, vectors), chunks, edges)
+
+
+def expanded(found: DataFrame, chunks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Seeds that are known, with their neighbours among `chunks`."""
     near = graph.neighbours(found, edges).join(chunks.select("id"), "id", "left_semi").select("question_id", "id")
     return described(fuse(found, near), chunks)
 
