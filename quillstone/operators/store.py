@@ -1,13 +1,14 @@
 """Keyed chunk store and catalogue tables over Parquet.
 
-A store is a folder of chunks partitioned by repository and collection. Every change writes
-new files of the partitions it touches and Spark's committer swaps them in, so a failed write
-leaves the old rows.
+A store is a folder of chunks partitioned by repository and collection. A table of a store is a
+folder of numbered versions: a change is one write of the next version, which counts once
+Spark's committer has marked it as whole. A write that fails leaves the version before it, and
+readers of that one are not disturbed; the version before it is removed.
 """
 
 from __future__ import annotations
 
-import uuid
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,30 @@ COLLECTIONS = ("_functions", "_classes", "_files")
 BATCH = 100
 
 
+def _numbered(spark: SparkSession, path: str) -> dict[int, bool]:
+    """The versions at `path`, and whether each is whole."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [str(x.getPath().getName()) for x in fs.listStatus(p)] if fs.exists(p) else []
+    return {int(n[1:]): bool(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))) for n in names if re.fullmatch(r"v[0-9]{10}", n)}
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of a table's last whole version."""
+    whole = [n for n, ok in _numbered(spark, path).items() if ok]
+    return f"{path}/v{max(whole):010d}" if whole else None
+
+
+def replace(path: str, rows: DataFrame) -> None:
+    """Writes the next version of a table; `rows` may come from the last one."""
+    spark = rows.sparkSession
+    known = _numbered(spark, path)
+    rows.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{path}/v{max(known, default=0) + 1:010d}")
+    for n in sorted((n for n, ok in known.items() if ok))[:-1]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n:010d}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of `new`, and of `old` those that `new` does not replace."""
     return new.unionByName(old.join(new.select(*keys).distinct(), keys, "left_anti"))
@@ -44,35 +69,26 @@ class ChunkStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _swap(self, rows: DataFrame, *parts: str) -> None:
-        """Replaces one partition; the rows are staged first, as they may come from it."""
-        staging = f"{self.path}/_staging/{uuid.uuid4().hex}"
-        rows.write.parquet(staging)
-        here = "/".join([self.path, *parts])
-        self.spark.read.schema(rows.schema).parquet(staging).write.mode("overwrite").parquet(here)
-        self._remove(staging)
-
     def _remove(self, path: str) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
-    def _place(self, repo_id: str, suffix: str) -> tuple[str, str]:
-        return f"repo_id={repo_id}", f"collection={suffix}"
+    def _place(self, repo_id: str, suffix: str) -> str:
+        return f"{self.path}/repo_id={repo_id}/collection={suffix}"
 
     def collection(self, repo_id: str, suffix: str) -> DataFrame:
         """A collection's rows; one that does not exist is empty."""
-        path = "/".join([self.path, *self._place(repo_id, suffix)])
+        path = current(self.spark, self._place(repo_id, suffix))
         fields = [f for f in self.spark.createDataFrame([], schemas.CHUNKS).schema.fields if f.name not in ("repo_id", "collection")]
         schema = type(self.spark.createDataFrame([], schemas.CHUNKS).schema)(fields)
-        return self.spark.read.schema(schema).parquet(path) if self._exists(path) else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
 
     def upsert(self, repo_id: str, suffix: str, rows: DataFrame) -> None:
+        """Of rows that repeat an id, the one with the largest values counts."""
         old = self.collection(repo_id, suffix)
-        self._swap(upserted(old, rows.select(*old.columns).dropDuplicates(["id"]), ["id"]), *self._place(repo_id, suffix))
+        rest = [c for c in old.columns if c != "id"]
+        new = rows.select("id", F.struct(*rest).alias("r")).groupBy("id").agg(F.max("r").alias("r")).select("id", "r.*").select(*old.columns)
+        replace(self._place(repo_id, suffix), upserted(old, new, ["id"]))
 
     def get(self, repo_id: str, suffix: str, ids: DataFrame) -> DataFrame:
         return self.collection(repo_id, suffix).join(ids.select("id"), "id", "left_semi")

@@ -32,16 +32,14 @@ class Engine:
     # tables
 
     def _there(self, name: str) -> bool:
-        return self.chunks._exists(f"{self.path}/{name}")
+        return store.current(self.spark, f"{self.path}/{name}") is not None
 
     def _table(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if self._there(name) else self.spark.createDataFrame([], schema)
+        path = store.current(self.spark, f"{self.path}/{name}")
+        return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
 
     def _replace(self, name: str, rows: DataFrame) -> None:
-        staging = f"{self.path}/_staging/{uuid.uuid4().hex}"
-        rows.write.parquet(staging)
-        self.spark.read.schema(rows.schema).parquet(staging).write.mode("overwrite").parquet(f"{self.path}/{name}")
-        self.chunks._remove(staging)
+        store.replace(f"{self.path}/{name}", rows)
 
     def repos(self) -> DataFrame:
         return self._table("repos", schemas.REPOS)
@@ -72,7 +70,11 @@ class Engine:
     def _note(self, task: str, repo: str, stage: str, step: int, total: int, status: str = "running") -> None:
         now = datetime.now(UTC)
         row = self.spark.createDataFrame([(task, repo, stage, step, total, status, now, now)], schemas.TASKS)
-        row.coalesce(1).write.mode("append").parquet(f"{self.path}/task_events")
+        here = store.current(self.spark, f"{self.path}/task_events")
+        if here:
+            row.coalesce(1).write.mode("append").parquet(here)
+        else:
+            self._replace("task_events", row.coalesce(1))
 
     def _status(self, repo: str, **fields: str) -> None:
         names = list(fields)
@@ -108,7 +110,7 @@ class Engine:
             chunk = lambda u: u.withColumn("document", text.document()).select("id", "document", "name", "file", "type", "start_line", "end_line", "calls")
             parts = {"_functions": chunk(units.where("type = 'function'")), "_classes": chunk(units.where("type = 'class'")), "_files": chunk(parse.file_summaries(units))}
             self.chunks.replace_all(repo, parts)
-            vectors = embed.sparse_vectors(self.chunks.collection(repo, "_functions"), "id", "document")
+            vectors = embed.vectors(self.chunks.collection(repo, "_functions"), "id", "document")
             vectors.write.mode("overwrite").parquet(f"{self.path}/vectors/repo_id={repo}")
             n = units.agg(F.count_if(F.col("type") == "function").alias("f"), F.count_if(F.col("type") == "class").alias("c")).first()
             links = self.spark.read.parquet(f"{self.path}/edges/repo_id={repo}").count()

@@ -8,9 +8,11 @@ from functools import partial
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text
+from ..operators import curate
 from ..sources.scratch import scratch
 
 IDLE_MS = 600_000
@@ -50,6 +52,58 @@ def progress(events: DataFrame, timed: bool = True) -> DataFrame:
     return events.groupBy("task").applyInPandasWithState(partial(_changes, timed), EVENTS, "stage string, step int, closed boolean", "append", timeout)
 
 
+def _order(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Events that may not follow the one before them in their answer stream, over all batches."""
+    before = state.get[0] if state.exists else ""
+    out = []
+    for row in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: r.seq):
+        if row.event not in text.FOLLOWERS.get(before, ()):
+            out.append((key[0], row.seq, row.event, before or None))
+        before = row.event
+    state.update((before,))
+    if out:
+        yield pd.DataFrame(out, columns=["stream", "seq", "event", "before"])
+
+
+def order_faults(events: DataFrame) -> DataFrame:
+    """`text.order_faults` of a stream of events (stream, seq, event): the last event of each answer stream is state."""
+    return events.groupBy("stream").applyInPandasWithState(_order, "stream string, seq long, event string, before string", "before string", "append", GroupStateTimeout.NoTimeout)
+
+
+def scan_until(judged: DataFrame, name: str, *, accept: int = curate.ACCEPT, scan: int = curate.SCAN, order: str = "pos", reason: str = "reject_reason") -> DataFrame:
+    """The rows that a scan of a stream sees before it has `accept` accepted rows or `scan` rows, then it stops.
+
+    A batch is cut by `curate.first_accepted` with what is left to accept and to scan. What was
+    seen so far is counted from what was written, a folder a batch, so a batch that is run again
+    replaces itself and the counters need no other state. `seen` and `accepted` count on.
+    """
+    spark = judged.sparkSession
+    path = scratch(spark, name)
+    schema = T.StructType([*judged.schema.fields, T.StructField("seen", T.LongType()), T.StructField("accepted", T.LongType())])
+    sofar = lambda: spark.read.schema(schema).parquet(path)
+    over: list[bool] = []
+
+    def each(batch: DataFrame, number: int) -> None:
+        done = sofar().where(F.col("batch") < number) if over_any() else None
+        seen, taken = (done.agg(F.coalesce(F.max("seen"), F.lit(0)), F.coalesce(F.max("accepted"), F.lit(0))).first()) if done is not None else (0, 0)
+        if taken < accept and seen < scan:
+            cut = curate.first_accepted(batch, accept - taken, scan - seen, order, reason)
+            cut = cut.withColumn("seen", F.col("seen") + seen).withColumn("accepted", F.col("accepted") + taken)
+            cut.select(*schema.names).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        else:
+            over.append(True)
+
+    def over_any() -> bool:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+    query = judged.writeStream.foreachBatch(each).option("checkpointLocation", scratch(spark, f"{name}-progress")).trigger(availableNow=True).start()
+    while not query.awaitTermination(1) and not over:
+        pass
+    query.stop()
+    return sofar().drop("batch") if over_any() else spark.createDataFrame([], schema)
+
+
 def with_symbols(questions: DataFrame, names: DataFrame) -> DataFrame:
     """A stream of questions (question_id, question) joined to a static table of names (name, id)."""
     asked = questions.select("question_id", F.explode(text.symbols("question")).alias("name"))
@@ -62,12 +116,14 @@ def rates(requests: DataFrame, key: str, limit: int, window: str = "1 minute", l
     return counted.where(F.col("n") > limit).select(F.col("window.start").alias("start"), key, "n")
 
 
-def run_available(stream: DataFrame, name: str, timeout: int = 120) -> DataFrame:
-    """Runs a stream over what is there now, into a table, and returns the table."""
+def run_available(stream: DataFrame, name: str, timeout: int | None = None) -> DataFrame:
+    """Runs a stream over what is there now, however long that takes if there is no `timeout`, into a table, and returns the table."""
     spark = stream.sparkSession
     path = scratch(spark, name)
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", scratch(spark, f"{name}-progress")).trigger(availableNow=True).start(path)
-    if not query.awaitTermination(timeout):
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(name)
     return spark.read.schema(stream.schema).parquet(path)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone import schemas
+from quillstone.functions import text
 from quillstone.operators import store
 from quillstone.plans.engine import Busy, Engine, Known
 from quillstone.sources import files
@@ -85,3 +86,39 @@ def test_rates(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, who string").parquet(src)
     out = jobs.run_available(jobs.rates(stream, "who", 3), "rates").collect()
     assert [(r.who, r.n) for r in out] == [("a", 5)]
+
+
+CHUNK = "id string, document string, name string, file string, type string, start_line int, end_line int, calls array<string>"
+
+
+def test_failed_write_leaves_the_old_rows(spark, tmp_path):
+    s = store.ChunkStore(spark, str(tmp_path / "c"))
+    rows = lambda text: spark.createDataFrame([(str(i), text, "n", "f", "function", 1, 2, []) for i in range(4)], CHUNK)
+    s.upsert("r", "_functions", rows("old"))
+    with pytest.raises(Exception, match="broken"):
+        s.upsert("r", "_functions", rows("new").withColumn("document", F.when(F.col("id") == "3", F.raise_error(F.lit("broken")).cast("string")).otherwise(F.col("document"))))
+    assert {r.document for r in s.collection("r", "_functions").collect()} == {"old"}
+    reader = s.collection("r", "_functions")
+    s.upsert("r", "_functions", rows("new"))
+    assert {r.document for r in reader.collect()} == {"old"} and {r.document for r in s.collection("r", "_functions").collect()} == {"new"}
+    twice = rows("a").union(rows("b"))
+    s.upsert("r", "_functions", twice)
+    assert {r.document for r in s.collection("r", "_functions").collect()} == {"b"} and s.count("r", "_functions") == 4
+
+
+def test_scan_of_a_stream_stops_early(spark, tmp_path):
+    """Batches of one file each: the scan goes on over batches and ends when it has enough."""
+    for i in range(6):
+        spark.createDataFrame([(10 * i + k, None if k % 2 else "bad") for k in range(10)], "pos long, reject_reason string").coalesce(1).write.parquet(str(tmp_path / f"in/p{i}"))
+    stream = spark.readStream.schema("pos long, reject_reason string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    rows = jobs.scan_until(stream, "scan-test", accept=12, scan=1_000).collect()
+    assert max(r.accepted for r in rows) == 12 and len(rows) == max(r.seen for r in rows) == 24
+    rows = jobs.scan_until(stream, "scan-test", accept=1_000, scan=33).collect()
+    assert len(rows) == 33
+
+
+def test_order_of_answer_streams(spark):
+    events = [("a", 1, "retrieval_done"), ("a", 2, "token"), ("a", 3, "token"), ("a", 4, "done"), ("b", 1, "token"), ("b", 2, "done"), ("c", 1, "error"), ("c", 2, "token"), ("d", 1, "retrieval_done"), ("d", 2, "retrieval_done"), ("d", 3, "error")]
+    df = spark.createDataFrame(events, "stream string, seq long, event string")
+    got = {(r.stream, r.seq, r.before) for r in text.order_faults(df).collect()}
+    assert got == {("b", 1, None), ("c", 2, "error"), ("d", 2, "retrieval_done")}
