@@ -99,6 +99,17 @@ def code_bleu(ngram: Column, weighted: Column | None = None, syntax: Column | No
     return total
 
 
+def generation_failures(rows: DataFrame, answer: str = "answer") -> DataFrame:
+    """One row: samples, and those for which a model gave no answer."""
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col(answer).isNull()).alias("errors"))
+
+
+def stream_totals(events: DataFrame, by: str = "stream", ts: str = "ts", event: str = "event") -> DataFrame:
+    """Of each answer stream: how many tokens it gave and how many milliseconds it took from its first event to its last."""
+    took = F.floor((F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))) / 1000)
+    return events.groupBy(by).agg(F.count_if(F.col(event) == "token").alias("total_tokens"), took.alias("total_latency_ms"))
+
+
 def pass_at_1(rows: DataFrame, passed: str = "passed") -> DataFrame:
     return rows.agg(F.count("*").alias("n"), percent(passed, 2).alias("pass_at_1"))
 

@@ -61,6 +61,7 @@ def context_prompts(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     line = F.concat(tag, F.lit(" "), F.col("name"), F.lit("  ("), F.col("file"), F.lit("  L"), F.col("lines")[0], F.lit("–"), F.col("lines")[1], F.lit(")\n"), F.col("taken"))
     # at most a few chunks a question: the budget bounds the list
     context = kept.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("context"))
+    #: Fixed value: the prompt's beginning.
     head = "You are a code analysis assistant. Use the retrieved context below to answer the question. Reference function names and file paths where relevant.\n\n=== Retrieved context ===\n"
     whole = F.concat(F.lit(head), F.coalesce("context", F.lit("")), F.lit("\n\n=== Question ===\n"), F.col("question"))
     return questions.join(context, "question_id", "left").select("question_id", whole.alias("prompt"))
@@ -120,6 +121,25 @@ def frames(rows: DataFrame, text_col: str) -> DataFrame:
     return out.where((F.col("event") != "") & F.try_parse_json("data").isNotNull()).drop("_frame")
 
 
+#: What may follow each event of an answer stream; the first follows nothing.
+FOLLOWERS = {"": ("retrieval_done", "error"), "retrieval_done": ("token", "done", "error"), "token": ("token", "done", "error"), "done": (), "error": ()}
+
+
+def may_follow(before: Column, event: Column) -> Column:
+    """Whether an answer stream may have `event` after `before` (null at its start): retrieval_done, token*, then done or error."""
+    ok = F.lit(False)
+    for first, then in FOLLOWERS.items():
+        ok = ok | ((F.coalesce(before, F.lit("")) == first) & event.isin(*then)) if then else ok
+    return ok
+
+
+def order_faults(events: DataFrame, by: str = "stream", seq: str = "seq", event: str = "event") -> DataFrame:
+    """The events of answer streams that may not stand where they do, with the event before them."""
+    w = Window.partitionBy(by).orderBy(seq)
+    rows = events.withColumn("before", F.lag(event).over(w))
+    return rows.where(~may_follow(F.col("before"), F.col(event)))
+
+
 def clean_url(url: str | Column, host: str = "github.com") -> Column:
     """An owner/repository URL of `host` over http or https, less slashes at its end; null for any other."""
     pattern = rf"^https?://{host.replace('.', r'[.]')}/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+/?$"
@@ -159,12 +179,12 @@ def training_sample(message: str | Column, old: str | Column, new: str | Column,
 
 def reference_code(completion: str | Column) -> Column:
     """The code that a completion is scored against: without fences, trimmed."""
-    return F.trim(F.replace(_c(completion), F.lit("```"), F.lit("")))
+    return stripped(F.replace(_c(completion), F.lit("```"), F.lit("")))
 
 
 def predicted_code(answer: str | Column) -> Column:
     """What a model wrote before its first fence."""
-    return F.trim(F.split(answer, "```", 2)[0])
+    return stripped(F.split(answer, "```", 2)[0])
 
 
 def fenced_blocks(text: str | Column) -> Column:

@@ -52,7 +52,10 @@ def mentions(text: str | Column, words: tuple[str, ...] = BUG_WORDS) -> Column:
 
 
 def reject_reason(*, lang: str = "lang", message: str = "message", old: str = "old_contents", new: str = "new_contents", language: str = "python", words: tuple[str, ...] = BUG_WORDS, min_words: int = MIN_WORDS, max_chars: int = MAX_CHARS, diff: bool = True, syntax: bool = False) -> Column:
-    """The first filter that a row fails, or null."""
+    """The first filter that a row fails, or null.
+
+    The last two run in Python on every row, so rows that fail before them are handed over empty.
+    """
     short = lambda c: F.length(F.coalesce(c, F.lit(""))) < max_chars
     reason = (
         F.when(F.lower(F.coalesce(lang, F.lit(""))) != language, "language")
@@ -61,10 +64,12 @@ def reject_reason(*, lang: str = "lang", message: str = "message", old: str = "o
         .when(F.col(old).eqNullSafe(F.col(new)), "actual_change")
         .when(~mentions(message, words), "bugfix_signal")
     )
+    left = lambda c: F.when(cheap.isNull(), F.col(c))
+    cheap = reason
     if diff:
-        reason = reason.when(diff_changed_lines(old, new) > MAX_DIFF_LINES, "diff_size")
+        reason = reason.when(diff_changed_lines(left(old), left(new)) > MAX_DIFF_LINES, "diff_size")
     if syntax:
-        reason = reason.when(~(python_parses(old) & python_parses(new)), "syntax_valid")
+        reason = reason.when(~(python_parses(left(old)) & python_parses(left(new))), "syntax_valid")
     return reason
 
 
@@ -91,15 +96,19 @@ def rejections(scanned: DataFrame, reason: str = "reject_reason") -> DataFrame:
     return scanned.groupBy(F.coalesce(reason, F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def split_places(spark: SparkSession, sizes: dict[str, int] = SPLITS, seed: int = SEED) -> DataFrame:
-    """(place, split): a seeded permutation of all places, cut into the splits."""
+def split_rows(sizes: dict[str, int] = SPLITS, seed: int = SEED) -> list[tuple[int, str, int]]:
+    """(place, split, slot): a seeded permutation of all places, cut into the splits."""
     places = list(range(sum(sizes.values())))
     random.Random(seed).shuffle(places)
     rows, at = [], 0
     for name, n in sizes.items():
         rows += [(p, name, i) for i, p in enumerate(places[at : at + n])]
         at += n
-    return spark.createDataFrame(rows, "place long, split string, slot int")
+    return rows
+
+
+def split_places(spark: SparkSession, sizes: dict[str, int] = SPLITS, seed: int = SEED) -> DataFrame:
+    return spark.createDataFrame(split_rows(sizes, seed), "place long, split string, slot int")
 
 
 def split(accepted: DataFrame, sizes: dict[str, int] = SPLITS, seed: int = SEED, place: str = "accepted") -> DataFrame:

@@ -62,7 +62,7 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _doc_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return embed.sparse_vectors(_table(spark, sf, "documents"), "doc_id", "text")
+    return embed.vectors(_table(spark, sf, "documents"), "doc_id", "text")
 
 
 def _seeds(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,9 +70,7 @@ def _seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _graph_hits(spark: SparkSession, sf: str) -> DataFrame:
-    units, seed = _units(spark, sf), _seeds(spark, sf)
-    near = graph.neighbours(seed, kept(_edges(spark, sf), "edges"))
-    return retrieve.described(retrieve.fuse(seed, near), units)
+    return retrieve.expanded(_seeds(spark, sf), _units(spark, sf).where("type = 'function'"), kept(_edges(spark, sf), "edges"))
 
 
 # embedding
@@ -85,7 +83,7 @@ def hash_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def hash_embed_sparse(spark: SparkSession, sf: str) -> DataFrame:
-    return _doc_vectors(spark, sf).withColumn("weight", F.round("weight", 9))
+    return embed.entries(_doc_vectors(spark, sf)).withColumn("weight", F.round("weight", 9))
 
 
 @query
@@ -125,7 +123,7 @@ def vector_similarity_clamped(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def vector_topk_hash(spark: SparkSession, sf: str) -> DataFrame:
-    asked = embed.sparse_vectors(_questions(spark, sf), "question_id", "question")
+    asked = embed.vectors(_questions(spark, sf), "question_id", "question")
     return topk.sparse_top_k(asked, _doc_vectors(spark, sf), 5).withColumn("sim", F.round("sim", 4))
 
 
@@ -162,7 +160,7 @@ def seeds_exact_over_vector(spark: SparkSession, sf: str) -> DataFrame:
     pages, hosts = _table(spark, sf, "pages"), _hosts(spark, sf)
     question = F.when(F.col("page_id") % 200 == 0, F.col("url")).otherwise(F.regexp_replace("url", "[._]", " "))
     asked = pages.where("page_id % 100 = 0").select(F.col("page_id").alias("question_id"), question.alias("question"))
-    found = retrieve.seeds(asked, hosts, embed.sparse_vectors(hosts, "id", "document"))
+    found = retrieve.seeds(asked, hosts, embed.vectors(hosts, "id", "document"))
     return found.withColumn("sim", F.round("sim", 4))
 
 
@@ -279,12 +277,17 @@ def edge_sample_sha256(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _edge_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """For each sampled edge, whether its target's name is among its source's vector and graph hits."""
-    sample = kept(metrics.stable_sample(_repo_edges(spark, sf), "repo", "src", "dst", 5), "sample")
+    """For each sampled edge, whether its target's name is among the vector and graph hits of a question that names its source."""
+    sample = kept(metrics.stable_sample(_repo_edges(spark, sf), "repo", "src", "dst"), "sample")
     units, edge = _units(spark, sf), kept(_edges(spark, sf), "edges")
-    seed = sample.select(F.col("src").alias("question_id"), F.col("src").alias("id"), F.lit(1.0).alias("sim"), F.lit(1).alias("rank")).distinct()
-    hits = retrieve.fuse(seed, graph.neighbours(seed, edge)).join(units.select("id", "name"), "id").select(F.col("question_id").alias("src"), F.col("name").alias("target"), F.lit(1).alias("graph"), (F.col("type") == "seed").cast("int").alias("naive")).groupBy("src", "target").agg(F.max("graph").alias("graph"), F.max("naive").alias("naive"))
-    return sample.join(hits, ["src", "target"], "left").select("repo", "src", "dst", F.coalesce("naive", F.lit(0)).alias("naive_hit_at_8"), F.coalesce("graph", F.lit(0)).alias("graph_hit_at_8"))
+    # edges of one source ask the same, so a question is asked once
+    asked = sample.select(F.col("source").alias("question_id"), F.concat(F.lit("Which function is directly called by `"), "source", F.lit("`?")).alias("question")).distinct()
+    found = kept(retrieve.seeds(asked, units, _doc_vectors(spark, sf)), "seeds")
+    near = graph.neighbours(found, edge).join(units.select("id"), "id", "left_semi").select("question_id", "id")
+    hits = retrieve.fuse(found, near).select("question_id", "id", F.lit("graph").alias("mode")).union(found.select("question_id", "id", F.lit("naive")))
+    named = hits.join(units.select("id", F.col("name").alias("target")), "id").groupBy(F.col("question_id").alias("source"), "target")
+    named = named.agg(*[F.max((F.col("mode") == m).cast("int")).alias(m) for m in ("naive", "graph")])
+    return sample.join(named, ["source", "target"], "left").select("repo", "src", "dst", *[F.coalesce(m, F.lit(0)).alias(f"{m}_hit_at_8") for m in ("naive", "graph")])
 
 
 def _recall(rows: DataFrame, *by: str) -> DataFrame:
@@ -358,10 +361,64 @@ def bleu_by_turn(spark: SparkSession, sf: str) -> DataFrame:
     c = _table(spark, sf, "conversations").where("conv_id is not null and turn is not null")
     user = c.where("role = 'user'").select("conv_id", F.col("turn").alias("t"), F.col("text").alias("reference"))
     said = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("t"), F.col("text").alias("candidate"))
-    rows = user.join(said, ["conv_id", "t"]).withColumn("id", F.col("conv_id") * 1000 + F.col("t"))
+    rows = user.join(said, ["conv_id", "t"]).withColumn("id", F.concat_ws("-", "conv_id", "t"))
     return metrics.bleu(rows).withColumn("bleu", F.round("bleu", 6))
 
 
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's turn and the assistant's next one, or null where there is none."""
+    c = _table(spark, sf, "conversations").where("conv_id is not null and turn is not null")
+    said = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("asked")).join(said, ["conv_id", "turn"], "left")
+
+
+@query
+def generation_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions that no answer follows count as failed generations."""
+    return metrics.generation_failures(_turns(spark, sf))
+
+
+@query
+def scored_code(spark: SparkSession, sf: str) -> DataFrame:
+    """What is scored of a completion that ends in a fence, and of an answer that goes on behind one."""
+    fenced = lambda c, after: F.concat(F.lit("\n\t"), F.coalesce(c, F.lit("")), F.lit(f" \n```{after}"))
+    return _turns(spark, sf).select("conv_id", "turn", text.reference_code(fenced("asked", "\n")).alias("reference"), text.predicted_code(fenced("answer", "\nmore")).alias("predicted"))
+
+
+@query
+def task_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    language = F.coalesce("lang", F.lit("text"))
+    code = F.coalesce("text", F.lit(""))
+    made = F.array(text.review_prompt(language, code), text.debug_prompt(language, code, F.lit("E")), text.tests_prompt(language, code, F.lit("pytest")))
+    return _table(spark, sf, "documents").select("doc_id", F.posexplode(made).alias("place", "prompt"))
+
+
+@query
+def completion_messages(spark: SparkSession, sf: str) -> DataFrame:
+    said = _table(spark, sf, "benchmark").select("item_id", F.posexplode(text.completion_messages("text")).alias("place", "m"))
+    return said.select("item_id", "place", "m.role", "m.content")
+
+
+@query
+def result_flatten(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers of a nation as one answer of a vector store: parallel arrays, some shorter than the ids."""
+    meta = F.struct(F.col("c_name").alias("name"), F.lit(None).cast("string").alias("file"), F.lit(1).alias("start_line"), F.col("c_nationkey").cast("int").alias("end_line"))
+    rows = _table(spark, sf, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", meta.alias("meta"), "c_mktsegment"))).alias("r"))
+    one = lambda c: F.array(F.transform("r", lambda x: x[c]))
+    answer = rows.select(F.array(F.transform("r", lambda x: x["c_custkey"].cast("string"))).alias("ids"), one("c_mktsegment").alias("documents"), one("meta").alias("metadatas"), F.array(F.slice(F.transform("r", lambda x: F.pmod(x["c_custkey"], F.lit(3)) / 2.0), 1, 5)).alias("distances"))
+    return retrieve.flatten_result(answer).select("id", "name", "file", F.element_at("lines", 2).alias("end_line"), "sim", "content")
+
+
+@query
+def split_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as JSON lines, a folder a split, and read again."""
+    path = scratch(spark, "splits")
+    slot = F.pmod("doc_id", F.lit(8))
+    files.write_splits(_table(spark, sf, "documents").select("doc_id", "text", F.when(slot < 6, "train").when(slot < 7, "validation").otherwise("test").alias("split")), path)
+    back = spark.read.schema("doc_id long, text string, split string").json(path)
+    return back.groupBy("split").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"), F.sum(F.length("text")).alias("chars"))
+
+
 @query
 def codebleu_combine(spark: SparkSession, sf: str) -> DataFrame:
     """Parts that are missing count as the n-gram part."""
@@ -378,7 +435,10 @@ DOC_WORDS = ("the", "des", "der", "los")
 
 def _commits(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as commits: the text's first line is the message, its rest the change, its text before that the old file."""
-    docs = _table(spark, sf, "documents")
+    return _as_commits(_table(spark, sf, "documents"))
+
+
+def _as_commits(docs: DataFrame) -> DataFrame:
     line = F.substring_index("text", "\n", 1)
     return docs.select("doc_id", "lang", line.alias("message"), F.col("text").alias("old_contents"), F.when(F.col("doc_id") % 7 == 0, F.col("text")).otherwise(F.substring(F.col("text"), F.length(line) + 2, F.length("text"))).alias("new_contents"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("url"))
 
@@ -451,7 +511,7 @@ def file_summary_first30(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def document_render(spark: SparkSession, sf: str) -> DataFrame:
-    units = _units(spark, sf).withColumns({"docstring": F.when(F.col("id") % 2 == 0, F.concat(F.lit("about "), F.col("name"))).otherwise(""), "source": F.col("document"), "calls": F.slice("calls", 1, 5)})
+    units = _units(spark, sf).withColumns({"docstring": F.when(F.col("id") % 2 == 0, F.concat(F.lit("about "), F.col("name"))).otherwise(""), "source": F.col("document")})
     return units.select("id", text.document().alias("document"))
 
 
@@ -472,11 +532,12 @@ def batch_plan(spark: SparkSession, sf: str) -> DataFrame:
 def batch_progress(spark: SparkSession, sf: str) -> DataFrame:
     """Percent done after each batch, batches in order of their groups."""
     groups = store.batch_plan(_table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n")), "source", "n")
-    each = groups.select("source", F.explode(F.sequence(F.lit(1).cast("long"), "batches")).alias("batch"))
-    done = groups.select(F.col("source").alias("s"), F.col("batches").alias("b"))
-    before = groups.join(done, F.col("s") < F.col("source"), "left").groupBy("source").agg(F.coalesce(F.sum("b"), F.lit(0)).alias("before"))
+    # a row for each group, in one task: a running sum of two small columns
+    so_far = Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
     total = groups.agg(F.sum("batches").alias("total"))
-    return each.join(before, "source").join(total).select("source", "batch", F.floor(100.0 * (F.col("before") + F.col("batch")) / F.col("total")).alias("percent"))
+    each = groups.withColumn("before", F.coalesce(F.sum("batches").over(so_far), F.lit(0)))
+    each = each.select("source", "before", F.explode(F.sequence(F.lit(1).cast("long"), "batches")).alias("batch"))
+    return each.join(F.broadcast(total)).select("source", "batch", F.floor(100.0 * (F.col("before") + F.col("batch")) / F.col("total")).alias("percent"))
 
 
 # structured model output
@@ -645,6 +706,22 @@ def rate_limit_violations(spark: SparkSession, sf: str) -> DataFrame:
     return n.where("n > 3").select(F.col("window.start").alias("start"), "user_id", "event_type", "n")
 
 
+def _answer_events(events: DataFrame) -> DataFrame:
+    """A user's events as one answer stream; most break its order somewhere."""
+    event = F.when(F.col("event_type") == "signup", "retrieval_done").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "error").otherwise("token")
+    return events.select(F.col("user_id").cast("string").alias("stream"), F.col("event_id").alias("seq"), event.alias("event"), "ts")
+
+
+@query
+def answer_stream_order(spark: SparkSession, sf: str) -> DataFrame:
+    return text.order_faults(_answer_events(_table(spark, sf, "events"))).select("stream", "seq", "event", "before")
+
+
+@query
+def answer_stream_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.stream_totals(_answer_events(_table(spark, sf, "events")))
+
+
 @query
 def sse_frames_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Events as frames: each text holds a whole frame and a partial one."""
@@ -835,3 +912,18 @@ def stream_symbol_enrich(spark: SparkSession, sf: str) -> DataFrame:
     asked = pages.select(F.col("page_id").alias("question_id"), F.col("url").alias("question"))
     names = _hosts(spark, sf).groupBy("name").agg(F.min("id").alias("id"))
     return jobs.run_available(jobs.with_symbols(asked, names), "stream-symbols")
+
+
+@query
+def stream_answer_order(spark: SparkSession, sf: str) -> DataFrame:
+    """`answer_stream_order` by a stateful stream."""
+    return jobs.run_available(jobs.order_faults(_answer_events(_stream(spark, sf, "events")).select("stream", "seq", "event")), "stream-order")
+
+
+@query
+def stream_scan_early_stop(spark: SparkSession, sf: str) -> DataFrame:
+    """`curate_accept_cut` by a stream that stops when it has enough."""
+    reason = curate.reject_reason(language="en", words=DOC_WORDS, min_words=5, diff=False)
+    judged = _as_commits(_stream(spark, sf, "documents")).withColumn("reject_reason", reason)
+    seen = jobs.scan_until(judged, "stream-scan", accept=100, order="doc_id")
+    return seen.where("reject_reason is null").select("doc_id", "seen", "accepted")

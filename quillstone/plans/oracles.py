@@ -47,16 +47,24 @@ CTES = {
         WHERE accepted - (reason IS NULL)::INTEGER < 100""",
     "repo_edges": "SELECT s.file AS repo, e.src, e.dst, s.name AS source, t.name AS target FROM edges e JOIN units s ON s.id = e.src JOIN units t ON t.id = e.dst WHERE s.name <> '' AND t.name <> ''",
     "sampled": """SELECT *, row_number() OVER (PARTITION BY repo ORDER BY sha256(repo || ':' || src || ':' || dst), src, dst) AS place FROM repo_edges""",
-    "ex": "SELECT DISTINCT src AS question_id, src AS id FROM sampled WHERE place <= 5",
+    "asks": """SELECT DISTINCT source AS id, 'Which function is directly called by `' || source || '`?' AS text FROM sampled WHERE place <= 40""",
+    "ex_exact": """SELECT a.id AS question_id, u.id, 1.0::DOUBLE AS sim FROM asks a JOIN units u ON u.name = a.id WHERE regexp_full_match(a.id, '[A-Za-z_][A-Za-z0-9_.]*')
+        QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY u.id) <= 5""",
+    "ex_counts": f"""SELECT id, {_BUCKET}::INTEGER AS bucket, count(*) AS n FROM (
+        SELECT id, unnest(regexp_extract_all(lower(text), '[a-z_0-9]+')) AS word FROM asks WHERE id NOT IN (SELECT question_id FROM ex_exact)) GROUP BY 1, 2""",
+    "ex_vec": "SELECT id, bucket, n / sqrt(sum((n * n)::DOUBLE) OVER (PARTITION BY id)) AS weight FROM ex_counts",
+    "ex_near_vec": """SELECT question_id, id, sim FROM (SELECT q.id AS question_id, v.id, round(sum(q.weight * v.weight), 9) AS sim FROM ex_vec q JOIN vec v USING (bucket) GROUP BY 1, 2)
+        QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY sim DESC, id) <= 5""",
+    "ex": "SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sim DESC, id) AS own FROM (SELECT * FROM ex_exact UNION ALL SELECT * FROM ex_near_vec)",
     "ex_near": """SELECT * FROM (
-        SELECT question_id, dst AS id FROM (SELECT x.question_id, e.dst, e.seq FROM ex x JOIN edges e ON e.src = x.id) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY seq, dst) <= 50
-        UNION SELECT question_id, src FROM (SELECT x.question_id, e.src, e.seq FROM ex x JOIN edges e ON e.dst = x.id) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY seq, src) <= 50)
-        WHERE question_id <> id""",
-    "ex_hits": """SELECT question_id, id, kind FROM (SELECT question_id, id, 0 AS kind FROM ex UNION ALL SELECT question_id, id, 1 FROM ex_near)
-        QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY kind, id) <= 8""",
-    "ex_rows": """SELECT s.repo, s.src, s.dst, coalesce(max((h.kind = 0)::INTEGER), 0) AS naive, coalesce(max((h.kind IS NOT NULL)::INTEGER), 0) AS graph
-        FROM sampled s LEFT JOIN (SELECT h.question_id, h.kind, u.name FROM ex_hits h JOIN units u USING (id)) h ON h.question_id = s.src AND h.name = s.target
-        WHERE s.place <= 5 GROUP BY 1, 2, 3""",
+        SELECT question_id, dst AS id FROM (SELECT x.question_id, x.id AS seed, e.dst, e.seq FROM ex x JOIN edges e ON e.src = x.id) QUALIFY row_number() OVER (PARTITION BY question_id, seed ORDER BY seq, dst) <= 50
+        UNION SELECT question_id, src FROM (SELECT x.question_id, x.id AS seed, e.src, e.seq FROM ex x JOIN edges e ON e.dst = x.id) QUALIFY row_number() OVER (PARTITION BY question_id, seed ORDER BY seq, src) <= 50) n
+        WHERE NOT EXISTS (SELECT 1 FROM ex x WHERE x.question_id = n.question_id AND x.id = n.id)""",
+    "ex_hits": """SELECT question_id, id, 'graph' AS kind FROM (SELECT question_id, id, 0.6::DOUBLE * sim + 0.4::DOUBLE AS score, 0 AS after, own FROM ex UNION ALL SELECT question_id, id, 0.2::DOUBLE, 1, 0 FROM ex_near)
+        QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, after, own, id) <= 8 UNION ALL SELECT question_id, id, 'naive' FROM ex""",
+    "ex_rows": """SELECT s.repo, s.src, s.dst, coalesce(max((h.kind = 'naive')::INTEGER), 0) AS naive, coalesce(max((h.kind = 'graph')::INTEGER), 0) AS graph
+        FROM sampled s LEFT JOIN (SELECT h.question_id, h.kind, u.name FROM ex_hits h JOIN units u USING (id)) h ON h.question_id = s.source AND h.name = s.target
+        WHERE s.place <= 40 GROUP BY 1, 2, 3""",
     "prose": """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Sure:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' || chr(10) || 'Done.'
         WHEN 1 THEN 'Here it is ' || props || ' as asked' ELSE 'No answer ' || substr(props, 1, 5) END AS raw, props FROM events""",
     "turns": """SELECT u.conv_id, u.turn AS t, u.text AS asked, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
@@ -66,6 +74,11 @@ CTES = {
         CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 97)::INTEGER ELSE 0 END AS functions, o_orderdate AS created_at FROM orders""",
     "chunks": """SELECT c_custkey, c_custkey::VARCHAR AS id, c_name || CASE WHEN c_custkey % 2 = 0 THEN ' v2' ELSE '' END AS document, c_mktsegment AS name, c_nationkey::VARCHAR AS file
         FROM customer WHERE c_custkey % 10 <> 0 OR c_custkey % 2 = 0""",
+    "answers": """SELECT user_id::VARCHAR AS stream, event_id AS seq, CASE event_type WHEN 'signup' THEN 'retrieval_done' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'token' END AS event, ts FROM events""",
+    "asked": """SELECT u.conv_id, u.turn, u.text AS asked, a.text AS answer FROM (SELECT * FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL) u
+        LEFT JOIN (SELECT * FROM conversations WHERE role = 'assistant') a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1""",
+    "symbols": r"""SELECT id AS question_id, unnest(list_sort(list_distinct(list_filter(
+        regexp_extract_all(url, '[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*'), lambda t: contains(t, '_') OR contains(t, '.'))))[1:8]) AS name FROM hosts""",
     "groups": "SELECT source, count(*) AS n, ceil(count(*) / 100.0)::BIGINT AS batches FROM documents GROUP BY source",
 }
 
@@ -87,7 +100,7 @@ def _interval(hits: str, n: str) -> str:
 
 
 _GRAPH = "units counts vec qcounts qvec hits edges succ pred near fused retrieved"
-_EX = "units edges repo_edges sampled ex ex_near ex_hits ex_rows"
+_EX = "units counts vec edges repo_edges sampled asks ex_exact ex_counts ex_vec ex_near_vec ex ex_near ex_hits ex_rows"
 _BUDGET = """, c AS (SELECT *, least({each}, length(content)) AS c FROM retrieved),
     p AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM c)"""
 _TASK, _CODE, _FIXED, _END = (
@@ -105,6 +118,30 @@ def _ranks(p50: str, p95: str) -> str:
         SELECT event_type, max(value) FILTER (place = {p50}) AS p50, max(value) FILTER (place = {p95}) AS p95 FROM r GROUP BY event_type"""
 
 
+_ORDER = """SELECT stream, seq, event, before FROM (SELECT *, lag(event) OVER (PARTITION BY stream ORDER BY seq) AS before FROM answers)
+    WHERE NOT CASE WHEN before IS NULL THEN event IN ('retrieval_done', 'error') WHEN before IN ('retrieval_done', 'token') THEN event IN ('token', 'done', 'error') ELSE false END"""
+
+
+def _bleu() -> str:
+    """Clipped n-gram precisions of up to four words, add-one above one word, and the brevity penalty."""
+    grams = "list_transform(range(1, len({0}) - {1} + 2), lambda i: array_to_string({0}[i:i + {1} - 1], ' '))"
+    logs = []
+    for n in range(1, 5):
+        hit = f"coalesce((SELECT sum(least(c, coalesce(lim, 0))) FROM (SELECT g, count(*) AS c FROM (SELECT unnest({grams.format('c', n)}) AS g) GROUP BY g) LEFT JOIN (SELECT g, count(*) AS lim FROM (SELECT unnest({grams.format('r', n)}) AS g) GROUP BY g) USING (g)), 0)"
+        up = "0.0" if n == 1 else "1.0"
+        logs.append(f"CASE WHEN len(c) - {n - 1} + {up} > 0 AND {hit} + {up} > 0 THEN ln(({hit} + {up})::DOUBLE / (greatest(len(c) - {n - 1}, 0) + {up})) END / 4")
+    return f"""WITH w AS (SELECT u.conv_id || '-' || u.turn AS id, list_filter(regexp_split_to_array(coalesce(a.text, ''), '\\s+'), lambda t: t <> '') AS c, list_filter(regexp_split_to_array(coalesce(u.text, ''), '\\s+'), lambda t: t <> '') AS r
+            FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')
+        SELECT id, round(coalesce((CASE WHEN len(c) >= len(r) THEN 1.0 ELSE exp(1 - len(r)::DOUBLE / nullif(len(c), 0)) END) * exp({" + ".join(logs)}), 0.0), 6) AS bleu FROM w"""
+
+
+def _places() -> str:
+    """The seeded permutation, as the splits have it."""
+    from ..operators.curate import split_rows
+
+    return ", ".join(f"({place}, '{name}', {slot})" for place, name, slot in split_rows({"train": 75, "validation": 12, "test": 13}))
+
+
 SQL: dict[str, str] = {
     "hash_buckets": _with("counts", "SELECT id, bucket, n FROM counts"),
     "hash_embed_sparse": _with("counts vec", "SELECT id, bucket, round(weight, 9) AS weight FROM vec"),
@@ -204,7 +241,7 @@ SQL: dict[str, str] = {
     "file_summary_first30": _with("units", "SELECT 'r::FILE::' || file AS id, file, 'file' AS type, 'File: ' || file || chr(10) || 'Contains: ' || array_to_string(list(name ORDER BY id)[1:30], ', ') AS source FROM units WHERE name IS NOT NULL GROUP BY file"),
     "document_render": _with(
         "units",
-        """, d AS (SELECT *, (SELECT list(w ORDER BY p) FROM (SELECT w, min(p) AS p FROM (SELECT unnest(words) AS w, unnest(range(len(words))) AS p) GROUP BY w))[1:5] AS calls FROM units)
+        """, d AS (SELECT *, (SELECT list(w ORDER BY p) FROM (SELECT w, min(p) AS p FROM (SELECT unnest(words) AS w, unnest(range(len(words))) AS p) GROUP BY w)) AS calls FROM units)
         SELECT id, concat_ws(chr(10), 'File: ' || file, 'Type: function', 'Name: ' || name, CASE WHEN id % 2 = 0 AND name IS NOT NULL THEN 'Docstring: about ' || name END,
             CASE WHEN len(calls) > 0 THEN 'Calls: ' || array_to_string(calls, ', ') END, document) AS document FROM d""",
     ).replace("\n,", ","),
@@ -254,4 +291,32 @@ SQL: dict[str, str] = {
         (SELECT {_PERCENT.format("quality", 2)} AS base_score FROM labels WHERE doc_id % 2 = 0), (SELECT {_PERCENT.format("quality", 2)} AS tuned_score FROM labels WHERE doc_id % 2 = 1)""",
     "stream_progress": """SELECT user_id::VARCHAR AS task, event_id AS seq, 'progress' AS event, event_type AS stage, 0 AS current_step, 'running' AS status FROM events
         QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id)""",
+    "answer_stream_order": _with("answers", _ORDER),
+    "stream_answer_order": _with("answers", _ORDER),
+    "answer_stream_totals": _with("answers", "SELECT stream, count(*) FILTER (event = 'token') AS total_tokens, ((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000)::BIGINT AS total_latency_ms FROM answers GROUP BY 1"),
+    "generation_failures": _with("asked", "SELECT count(*) AS n, count(*) FILTER (answer IS NULL) AS errors FROM asked"),
+    "scored_code": _with("asked", f"SELECT conv_id, turn, {_STRIP.format("replace(asked, '```', '')")} AS reference, {_STRIP.format("split_part(answer, '```', 1)")} AS predicted FROM asked"),
+    "task_prompts": r"""WITH d AS (SELECT doc_id, coalesce(lang, 'text') AS l, coalesce(text, '') AS t FROM documents)
+        SELECT doc_id, 0 AS place, 'Perform a code review of the following ' || l || e' code.\n\nAnswer with one JSON object: overall_score (0-100), issues (at most 10, worst first; each with severity critical|high|medium|low|info, line or null, description, suggestion), strengths (at most 5), summary.\nReturn only the JSON object.\n\nCode to review:\n```' || l || e'\n' || t || e'\n```' AS prompt FROM d
+        UNION ALL SELECT doc_id, 1, 'Debug the following ' || l || e' code and the error it gives.\n\nAnswer with one JSON object: probable_cause, root_location, execution_path (list), confidence high|medium|low.\nReturn only the JSON object.\n\nCode:\n```' || l || e'\n' || t || e'\n```\n\nError:\nE' FROM d
+        UNION ALL SELECT doc_id, 2, 'Write pytest tests for the following ' || l || e' code.\n\nAnswer with one JSON object: test_code, test_count, cases (each with type and name).\nReturn only the JSON object.\n\nCode:\n```' || l || e'\n' || t || e'\n```' FROM d""",
+    "completion_messages": "SELECT item_id, 0 AS place, 'system' AS role, 'Complete the function. Return only code.' AS content FROM benchmark UNION ALL SELECT item_id, 1, 'user', text FROM benchmark",
+    "result_flatten": """SELECT c_custkey::VARCHAR AS id, c_name AS name, '' AS file, c_nationkey::INTEGER AS end_line, greatest(0.0::DOUBLE, 1.0::DOUBLE - CASE WHEN n <= 5 THEN (c_custkey % 3) / 2.0::DOUBLE ELSE 0 END) AS sim, c_mktsegment AS content
+        FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer)""",
+    "split_files": """SELECT CASE WHEN doc_id % 8 < 6 THEN 'train' WHEN doc_id % 8 < 7 THEN 'validation' ELSE 'test' END AS split, count(*) AS n, sum(doc_id)::BIGINT AS ids, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1""",
+    "stream_scan_early_stop": _with("commits judged scanned", "SELECT doc_id, seen, accepted FROM scanned WHERE reason IS NULL"),
+    "stream_symbol_enrich": _with("hosts symbols", "SELECT s.question_id, s.name, h.id FROM symbols s JOIN (SELECT name, min(id) AS id FROM hosts GROUP BY name) h USING (name)"),
+    "curate_split_permutation": _with("commits judged scanned", "SELECT doc_id, split, slot FROM scanned JOIN (VALUES {0}) AS p(place, split, slot) ON p.place = accepted - 1 WHERE reason IS NULL").replace("{0}", _places()),
+    "bleu_by_turn": _bleu(),
+    "seeds_exact_over_vector": _with(
+        "hosts symbols",
+        f""", q AS (SELECT id, CASE WHEN id % 200 = 0 THEN url ELSE regexp_replace(url, '[._]', ' ', 'g') END AS text FROM hosts WHERE id % 100 = 0),
+        x AS (SELECT question_id, id FROM (SELECT DISTINCT s.question_id, h.id FROM symbols s JOIN hosts h USING (name) WHERE s.question_id % 200 = 0) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY id) <= 5),
+        t AS (SELECT 'd' AS kind, id, url AS text FROM hosts UNION ALL SELECT 'q', id, text FROM q WHERE id NOT IN (SELECT question_id FROM x)),
+        n AS (SELECT kind, id, {_BUCKET}::INTEGER AS bucket, count(*) AS n FROM (SELECT kind, id, unnest(regexp_extract_all(lower(text), '[a-z_0-9]+')) AS word FROM t) GROUP BY 1, 2, 3),
+        v AS (SELECT kind, id, bucket, n / sqrt(sum((n * n)::DOUBLE) OVER (PARTITION BY kind, id)) AS weight FROM n),
+        s AS (SELECT q.id AS question_id, d.id, round(sum(q.weight * d.weight), 9) AS sim FROM v q JOIN v d USING (bucket) WHERE q.kind = 'q' AND d.kind = 'd' GROUP BY 1, 2
+            QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY round(sum(q.weight * d.weight), 9) DESC, d.id) <= 5)
+        SELECT question_id, id, round(sim, 4) AS sim, row_number() OVER (PARTITION BY question_id ORDER BY s.sim DESC, id)::INTEGER AS rank FROM (SELECT question_id, id, 1.0::DOUBLE AS sim FROM x UNION ALL SELECT * FROM s) s""",
+    ).replace("\n,", ","),
 }

@@ -141,7 +141,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def count_lines(spark: SparkSession, path: str) -> DataFrame:
     """One row: lines that are not blank."""
-    return spark.read.text(path).where(F.trim("value") != "").agg(F.count("*").alias("n"))
+    return spark.read.text(path).where(F.rlike("value", F.lit(r"\S"))).agg(F.count("*").alias("n"))
 
 
 def read_result(spark: SparkSession, path: str, schema: str, *, strict: bool = False) -> DataFrame:

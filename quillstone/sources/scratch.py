@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"quillstone-{spark.sparkContext.applicationId}")
+    """A new path in the folder of spark.checkpoint.dir; a local one where that is unset and the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+    root = root or os.path.join(tempfile.gettempdir(), f"quillstone-{spark.sparkContext.applicationId}")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

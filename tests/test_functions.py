@@ -176,3 +176,17 @@ def test_scan_and_split(spark):
     expected = list(range(2_000))
     random.Random(42).shuffle(expected)
     assert [r.place for r in sorted((r for r in places if r.split == "train"), key=lambda r: r.slot)] == expected[:1_500]
+
+
+def test_scored_code_is_stripped_of_all_white_space(spark):
+    row = spark.createDataFrame([("```\n x = 1\n```\n", "\tx = 1\n ```\nmore")], "a string, b string").select(text.reference_code("a").alias("a"), text.predicted_code("b").alias("b")).first()
+    assert tuple(row) == ("x = 1", "x = 1")
+
+
+def test_late_filters_see_only_what_is_left(spark):
+    from quillstone.operators import curate
+
+    long = "\n".join(str(i) for i in range(500))
+    rows = [("python", "fix the bug in the long loop of all", "a", "b"), ("go", "fix the bug in the long loop of all", long, ""), ("python", "fix the bug in the long loop of all", long[:3000], "")]
+    df = spark.createDataFrame(rows, "lang string, message string, old_contents string, new_contents string")
+    assert [r.reason for r in df.select(curate.reject_reason().alias("reason")).collect()] == [None, "language", "diff_size"]
