@@ -5,16 +5,16 @@ smallest value, and an empty bin borrows from the first full bin in a random ord
 fixed for that bin (optimal densification). `rows` bins together make the key of a band, and
 documents that share a key share a bucket.
 
-Documents with equal sets are one class from the start, so a group of copies costs one member.
-In a bucket only the pairs of a centre with the others are candidates (a star). Pairs are
-confirmed on the full sets. A star can miss a link between two members that are both far from
-its centre; so buckets whose members are still in different components get a second star
-around their best-linked member. The members of buckets that are still mixed then meet by a
-prefix filter on their rarest shingles, which loses no link between them, across components
-only. No bucket is capped or sampled.
-
-Miss rate at the default limit (similarity 0.85, 6 rows, 36 bands): (1 - 0.85^6)^36 < 4e-8; at
-0.8, the pipeline's limit: (1 - 0.8^6)^36 < 2e-5.
+Documents with equal sets are one class from the start, so a group of copies costs one node.
+Buckets give star-shaped candidates: each node is paired with one hub at most, the most central
+member of its buckets, so a round has no more pairs than nodes. Pairs are confirmed on the full
+sets and contracted to components; nodes whose buckets are still mixed take part in another
+star, with another hub. A star can miss a link between two nodes that are both far from their
+hubs; so what is still mixed then meets by a prefix filter on rarest shingles, which loses no
+link between those nodes. No bucket is capped or sampled.
+
+Miss rate of the bands, were their bins independent: (1 - 0.85^6)^36 < 4e-8 at the default limit,
+(1 - 0.8^6)^36 < 2e-5 at the pipeline's. Measured recall is in the README.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +35,10 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 _HALF = np.uint64(32)
 
 
+#: Longer words are not looked up again, so that a look-up table's bytes are bounded too.
+LONGEST_KEPT = 200
+
+
 class WordCodes(dict):
     """64-bit codes of words; starts anew when it has `limit` entries."""
 
@@ -44,9 +47,11 @@ class WordCodes(dict):
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        code = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = code
         return code
 
 
@@ -70,6 +75,10 @@ def shingle_set(text: str | None, codes: WordCodes, size: int) -> np.ndarray:
     return np.unique(_fold([c[i : n - width + 1 + i] for i in range(width)], width))
 
 
+def fingerprint(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _probe_order(bins: int) -> np.ndarray:
     """For each bin the order in which it looks for a full bin to borrow from."""
     rng = np.random.Generator(np.random.PCG64(20170601))
@@ -104,7 +113,7 @@ def _sketch(bands: int, rows: int, size: int):
             for text in batch:
                 s = shingle_set(text, codes, size)
                 if len(s):
-                    out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band_keys(s, bands, rows, probes)))
+                    out.append((len(s), fingerprint(s), band_keys(s, bands, rows, probes)))
                 else:
                     out.append((0, None, None))
             yield pd.DataFrame(out, columns=["n_shingles", "fp", "keys"])
@@ -112,89 +121,127 @@ def _sketch(bands: int, rows: int, size: int):
     return sketch
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Parities of how many shingles fall on each of 2^11, 2^14 or 2^17 bits, by the set's size.
+
+    The bits in which two sets' parities differ are no more than the shingles in which they do.
+    """
+    bits = 1 << (11 if len(shingles) < 1 << 11 else 14 if len(shingles) < 1 << 14 else 17)
+    odd = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _sets(size: int):
+    @F.pandas_udf("fp binary, shingles array<long>, bits array<long>")
+    def sets(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codes = WordCodes()
+        for batch in texts:
+            found = [shingle_set(text, codes, size) for text in batch]
+            yield pd.DataFrame({"fp": [fingerprint(s) for s in found], "shingles": [s.view(np.int64) for s in found], "bits": [parities(s) for s in found]})
+
+    return sets.asNondeterministic()  # else Spark runs it on all texts, to filter by fp before the join
+
+
+def _can_reach(percent: int, bits: tuple[str, str], sizes: tuple[str, str]):
+    """False for pairs that sizes or parities keep under the limit; parities of unequal length say nothing."""
+    x, y = sizes
+    differ = F.aggregate(F.zip_with(*bits, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    alike = (100 + percent) * differ <= (100 - percent) * (F.col(x) + F.col(y))
+    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & F.when(F.size(bits[0]) == F.size(bits[1]), alike).otherwise(True)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets have 100 * intersection >= percent * union.
+
+    What sizes and parities rule out is gone before full sets travel.
+    """
+    brief = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+    full = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
+    left = pairs.join(brief("a"), "a").join(brief("b"), "b").where(_can_reach(percent, ("bitsa", "bitsb"), ("na", "nb"))).select("a", "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return left.join(full("a"), "a").join(full("b"), "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, last, left = WordCodes(), None, None
-        for batch in batches:
-            keep = []
-            for ta, tb in zip(batch.column("ta"), batch.column("tb"), strict=True):  # one text at a time
-                ta, tb = ta.as_py(), tb.as_py()
-                if ta != last or left is None:
-                    last, left = ta, shingle_set(ta, codes, size)
-                right = shingle_set(tb, codes, size)
-                small, large = sorted((len(left), len(right)))
-                ok = 100 * small >= percent * large > 0
-                if ok:
-                    both = len(np.intersect1d(left, right, assume_unique=True))
-                    ok = 100 * both >= percent * (small + large - both)
-                keep.append(ok)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long")
+def _star_pairs(placed: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """At most one pair (a, b) a node: b is the most central hub of its buckets that is in another component.
+
+    A bucket's hub is its most central member: the one that meets most others over all its
+    buckets, as the middle of a group of near copies does. Ties go to the smaller node.
+    """
+    best = F.max(F.struct("weight", F.bitwise_not("node").alias("no"), "component"))
+    hubs = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), best.alias("hub")).where("low <> high").select("key", "hub")
+    met = placed.join(hubs, "key").where(F.col("component") != F.col("hub.component"))
+    met = met.select(F.col("node").alias("a"), F.bitwise_not("hub.no").alias("b"), F.col("hub.weight").alias("weight"))
+    if tried is not None:
+        met = met.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
+    return met.groupBy("a").agg(F.max_by("b", F.struct("weight", F.bitwise_not("b"))).alias("b"))
 
 
 #: Hashed counters that put shingles in order of rarity; any order is right, a finer one meets fewer pairs.
 RARITY = 1 << 18
+#: A shingle in the prefixes of more nodes carries their parities.
+COMMON = 32
 
 
-def _tally(size: int):
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, held, n, total = WordCodes(), [], 0, np.zeros(RARITY, dtype=np.int64)
-        for batch in batches:
-            for text in batch.text:
-                held.append((shingle_set(text, codes, size) % np.uint64(RARITY)).astype(np.int64))
-                n += len(held[-1])
-                if n > 1_000_000:
-                    total += np.bincount(np.concatenate(held), minlength=RARITY)
-                    held, n = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=RARITY)
-        slots = np.flatnonzero(total)
-        yield pd.DataFrame({"slot": slots, "n": total[slots]})
-
-    return tally
-
-
-def _prefix(shared, size: int, percent: int):
-    @F.pandas_udf("n int, prefix array<long>")
-    def prefix(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codes, rarity = WordCodes(), shared.value
-        for batch in texts:
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) % np.uint64(RARITY)).astype(np.int64)
+
+
+def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(RARITY, dtype=np.int64)
+    for batch in batches:
+        for shingles in batch.shingles:
+            np.add.at(total, _slots(np.asarray(shingles, dtype=np.int64)), 1)
+    slots = np.flatnonzero(total)
+    yield pd.DataFrame({"slot": slots, "n": total[slots]})
+
+
+def _prefix(shared, percent: int):
+    """The first n - ceil(percent * n / 100) + 1 shingles of a set, rarest first."""
+
+    @F.pandas_udf("array<long>")
+    def prefix(sets: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        rarity = shared.value
+        for batch in sets:
             out = []
-            for text in batch:
-                s = shingle_set(text, codes, size)
-                n = len(s)
-                order = np.lexsort((s, rarity[(s % np.uint64(RARITY)).astype(np.int64)]))
-                out.append((n, s[order[: n - -(-percent * n // 100) + 1]].view(np.int64)))
-            yield pd.DataFrame(out, columns=["n", "prefix"])
+            for shingles in batch:
+                s = np.asarray(shingles, dtype=np.int64)
+                out.append(s[np.lexsort((s, rarity[_slots(s)]))[: len(s) - -(-percent * len(s) // 100) + 1]])
+            yield pd.Series(out)
 
     return prefix
 
 
-def _prefix_pairs(texts: DataFrame, placed: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents in different components that can still reach the limit.
+def _prefix_pairs(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that can still reach the limit; loses none.
 
-    Two sets that reach it share one of their rarest shingles: of n shingles, the first
-    n - ceil(percent * n / 100) + 1 by one order for all. Sizes and the places of the shared
-    shingle bound what the rest can still add.
+    Shingles are put in one order of rarity for all. Two sets that reach the limit share one of
+    the first n - ceil(2 * percent * n / (100 + percent)) + 1 shingles of the smaller and the first
+    n - ceil(percent * n / 100) + 1 of the larger. What a group of near copies shares is common,
+    so it mostly stands behind the smaller's short prefix unless they nearly reach the limit.
+    Sizes and the places of the shared shingle bound what the rest can still add; on shingles
+    that many nodes share, so do the parities of the whole sets. All of this is decided where
+    the two meet, so that families just under the limit give hardly any pairs.
     """
-    spark = texts.sparkSession
-    slots = texts.select("text").mapInPandas(_tally(size), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    slots = sets.select("shingles").mapInPandas(_tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     rarity = np.zeros(RARITY, dtype=np.int64)  # of one size whatever the corpus
-    rarity[slots.slot] = slots.n
-    shared = spark.sparkContext.broadcast(rarity.astype(np.int32) if len(slots) == 0 or slots.n.max() < 1 << 31 else rarity)
-    prefixes = texts.withColumn("p", _prefix(shared, size, percent)("text")).select("id", "p.n", F.posexplode("p.prefix").alias("place", "shingle"))
-    tokens = staged(prefixes.join(placed, "id"), "tokens")
-    mixed = staged(tokens.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle"), "mixed")
-    tokens = tokens.join(mixed, "shingle")
-    x, y = (tokens.select("shingle", *(F.col(c).alias(c + end) for c in ("id", "n", "place", "component"))) for end in ("x", "y"))
-    room = 1 + F.least(F.col("nx") - F.col("placex"), F.col("ny") - F.col("placey")) - 1
-    can = (F.col("componentx") < F.col("componenty")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & ((100 + percent) * room >= percent * (F.col("nx") + F.col("ny")))
-    return x.join(y, "shingle").where(can).select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b"))
+    rarity[slots.slot.to_numpy(dtype=np.int64)] = slots.n
+    shared = sets.sparkSession.sparkContext.broadcast(rarity)
+    tokens = sets.select("node", "n", "shingles").join(placed, "node").select("node", "component", "n", F.posexplode(_prefix(shared, percent)("shingles")).alias("place", "shingle"))
+    tokens = staged(tokens, "tokens")
+    common = tokens.groupBy("shingle").agg(F.count("*").alias("nodes"), F.min("component").alias("low"), F.max("component").alias("high"))
+    common = staged(common.where("low <> high").select("shingle", "nodes"), "mixed")
+    tokens = staged(tokens.join(common, "shingle"), "tokens")
+    cold = tokens.where(F.col("nodes") <= COMMON).withColumn("bits", F.lit(None).cast("array<long>"))
+    hot = tokens.where(F.col("nodes") > COMMON).join(sets.select("node", "bits"), "node")
+    met = staged(cold.unionByName(hot).drop("nodes"), "tokens")
+    discard(tokens)
+    short = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
+    x, y = (df.select("shingle", *(F.col(c).alias(c + end) for c in ("node", "component", "n", "place", "bits"))) for df, end in ((met.where(F.col("place") < short), "x"), (met, "y")))
+    room = F.least(F.col("nx") - F.col("placex"), F.col("ny") - F.col("placey"))
+    can = (F.struct("nx", "nodex") < F.struct("ny", "nodey")) & (F.col("componentx") != F.col("componenty")) & ((100 + percent) * room >= percent * (F.col("nx") + F.col("ny")))
+    can = can & _can_reach(percent, ("bitsx", "bitsy"), ("nx", "ny"))
+    return x.join(y, "shingle").where(can).select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,7 +265,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, percent: int = 85, bands: int = 36, rows: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, percent: int = 85, bands: int = 36, rows: int = 6, stars: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Words are runs without ASCII white space, A-Z lower-cased. A text of fewer than `size`
@@ -228,54 +275,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows stay repeated; other columns are not read. An empty table gives an empty result.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = staged(own.withColumn("s", _sketch(bands, rows, size)("text")).select("id", "s.n_shingles", "s.fp", "s.keys"), "sketches")
-    classes = staged(sketches.where("fp is not null").groupBy("fp").agg(F.min("id").alias("rep")), "classes")
-
-    heads = classes.where("rep is not null").select("fp", F.col("rep").alias("id"))
-    banded = sketches.select("fp", "id", "keys").join(heads, ["fp", "id"]).select("id", F.explode("keys").alias("key"))
-    # min(id ^ key) ^ key: another member is the centre in each bucket
-    buckets = staged(banded.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(F.col("key"))).bitwiseXOR(F.col("key")).alias("centre"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = staged(banded.join(buckets, "key").select("key", "id", "centre", "n"), "members")
+    sketches = own.withColumn("s", _sketch(bands, rows, size)("text")).select(F.monotonically_increasing_id().alias("row"), "id", "s.n_shingles", "s.fp", "s.keys")
+    sketches = staged(sketches, "sketches")
+    # a class of equal sets is a node; its number is the row of its smallest id
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row"))).alias("first")
+    classes = staged(sketches.where("fp is not null").groupBy("fp").agg(first).select("fp", F.col("first.id").alias("rep"), F.col("first.row").alias("node")), "classes")
+
+    heads = sketches.join(classes.where("node is not null").select(F.col("node").alias("row")), "row", "left_semi")
+    banded = heads.select(F.col("row").alias("node"), "id", F.explode("keys").alias("key"))
+    buckets = staged(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = staged(banded.join(buckets, "key").select("key", "node", "id", "n"), "members")
     discard(buckets)
-    texts = staged(own.join(members.select("id").distinct(), "id", "left_semi"), "texts")
-
-    def ordered(x: str, y: str) -> list:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    weights = members.groupBy("node", "id").agg(F.sum("n").alias("weight"))
+    weights = staged(weights, "weights")
+    chosen = own.join(weights.select("id").distinct(), "id", "left_semi").distinct().withColumn("s", _sets(size)("text"))
+    nodes = classes.join(weights.select("node"), "node", "left_semi")
+    sets = staged(chosen.select("s.fp", "s.shingles", "s.bits").join(nodes, "fp").dropDuplicates(["node"]).select("node", F.size("shingles").cast("long").alias("n"), "shingles", "bits"), "sets")
 
-    tried = staged(members.where("id <> centre").select(*ordered("id", "centre")).distinct(), "pairs")
-    links = staged(_confirmed(tried, texts, size, percent), "links")
-    apart = members.where("n > 2").select("key", "id")
+    several = sketches.where("fp is not null and id is not null").groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
     # an id with several sets joins the classes of those sets
-    several = sketches.where("fp is not null").groupBy("id").agg(F.min(F.xxhash64("fp")).alias("low"), F.max(F.xxhash64("fp")).alias("high")).where("id is not null and low <> high")
-    joined = sketches.join(several, "id", "left_semi").join(classes, "fp").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-    joined = staged(joined.where("a <> b").select("a", "b"), "links")
-    links = links.union(joined)
-    label = components(links)
-    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
-    placed = apart.join(label, "id", "left").join(degree, "id", "left")
-    placed = staged(placed.select("key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("id", "degree").alias("hub"), F.max_by("component", "degree").alias("hub_component"))
-    mixed = staged(mixed.where("low <> high").drop("low", "high"), "mixed")
-    new = placed.join(mixed, "key").where("component <> hub_component").select(*ordered("id", "hub")).distinct()
-    new = staged(new.join(tried, ["a", "b"], "left_anti"), "pairs")
-    tried, links = tried.union(new), links.union(staged(_confirmed(new, texts, size, percent), "links"))
-    # what is still in several components
-    label = components(links)
-    placed = staged(placed.join(mixed, "key", "left_semi").select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
-    mixed = staged(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "mixed")
-    placed = staged(placed.join(mixed, "key", "left_semi").select("id", "component").distinct(), "placed")
-    left = staged(texts.join(placed, "id", "left_semi"), "texts")
-    new = staged(_prefix_pairs(left, placed, size, percent).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(staged(_confirmed(new, left, size, percent), "links"))
+    joined = staged(sketches.join(several, "id", "left_semi").join(classes, "fp").select("id", "node").distinct(), "joined")
+    links = joined.join(joined.groupBy("id").agg(F.min("node").alias("b")), "id").where("node <> b").select(F.col("node").alias("a"), "b")
+
+    members = members.drop("id", "n").join(weights.select("node", "weight"), "node")
+    placed, tried = staged(members.withColumn("component", F.col("node")), "placed"), None
+    for _ in range(stars):
+        pairs = staged(_star_pairs(placed, tried), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        links = links.union(staged(_confirmed(pairs, sets, percent), "links"))
+        label = components(links)
+        now = placed.drop("component").join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+        before, placed = placed, staged(now.join(mixed, "key", "left_semi"), "placed")
+        discard(before)
+    # what is still in several components meets by rarest shingles
+    left = staged(placed.select("node", "component").distinct(), "left")
+    new = staged(_prefix_pairs(sets, left, percent), "pairs")
+    links = links.union(staged(_confirmed(new, sets, percent), "links"))
     label = staged(components(links), "components")
-    where = staged(classes.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component")), "where")
+
+    where = classes.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    where = staged(where.select("fp", "rep", "component"), "where")
+    smallest = where.where("component is not null").groupBy("component").agg(F.min("rep").alias("smallest"))
+    where = staged(where.join(smallest, "component", "left").select("fp", "smallest"), "where")
+    discard(placed, sets, left, weights, new)
     return (
         sketches.select("id", "n_shingles", "fp")
         .join(where, "fp", "left")
         .select(
             F.col("id").alias("doc_id"),
             "n_shingles",
-            F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"),
+            F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("smallest")).alias("component_id"),
         )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
