@@ -5,15 +5,18 @@ level that minimises the sum of squared counts of partly filled windows (Csirik
 Sum-of-Squares rule). The state is a level array: how many open windows have each fill, and
 which. Each partition packs by itself, in one pass, with memory for its open windows only.
 
-When its input ends, a partition still has a few open windows, far fewer than items. Their
-pieces are laid end to end and cut anew into full windows; the last stretch is cut into runs
-whose lengths are powers of two, which need no padding.
+Where items do not fit together (all longer than half a window, say), windows stay open. So the
+ids in open windows are bounded: beyond `held` of them, the open windows' pieces are laid end
+to end and cut anew into full windows, and the stretch that is left goes on as an open window.
+The same is done when the input ends; then the last stretch is cut into runs whose lengths are
+powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -45,9 +48,12 @@ class Encoder(dict):
     Words between single spaces are looked up, with the space before them, in a bounded
     table: a byte-level vocabulary never joins ids over a boundary before a space that has
     no white space beside it. A text for which that does not hold (white space at the edge
-    of a word, or a special token's string) is encoded as a whole.
+    of a word, or a special token's string) is encoded as a whole. The short way's pattern goes
+    back over white space step by step, so a text with a long run of it takes the slow way.
     """
 
+    LONG_SPACE, LONGEST_KEPT = re.compile(r"\s{256}"), 64
+
     def __init__(self, path: str, limit: int = 250_000):
         super().__init__()
         from tokenizers import Tokenizer
@@ -77,13 +83,16 @@ class Encoder(dict):
         except ImportError:
             return None
         ranks = {bytes(symbols[c] for c in t): i for t, i in vocab.items() if t not in self.special}
-        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda text: self._slow(text) if self.LONG_SPACE.search(text) else quick(text)
 
     def __missing__(self, word: str) -> bytes | None:
-        if len(self) >= self.limit:
-            self.clear()
         edge = not word or word[0].isspace() or word[-1].isspace()
-        ids = self[word] = None if edge else np.array(self.piece(" " + word), dtype="<u4").tobytes()
+        ids = None if edge else np.array(self.piece(" " + word), dtype="<u4").tobytes()
+        if len(word) <= self.LONGEST_KEPT:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -111,11 +120,23 @@ class Levels:
         self.cost = np.ones(capacity + 1, dtype=np.int64)  # what entering it adds
         self.cost[capacity] = 0
         self.open: list[list] = [[] for _ in range(capacity + 1)]
+        self.held = 0  # ids in open windows
 
     def _shift(self, level: int, by: int) -> None:
         n = self.count[level] = self.count[level] + by
         self.gain[level] = 2 * n - 1 if n else -(1 << 40)
         self.cost[level] = 2 * n + 1
+        self.held += by * level
+
+    def put(self, fill: int, window: list) -> None:
+        self.open[fill].append(window)
+        self._shift(fill, 1)
+
+    def drain(self) -> list[tuple]:
+        """The pieces of all open windows, which are closed."""
+        pieces = [piece for level in self.open for window in level for piece in window]
+        self.__init__(self.capacity)
+        return pieces
 
     def place(self, size: int, piece: tuple) -> list | None:
         """The window, if it is now full."""
@@ -128,12 +149,11 @@ class Levels:
         window.append(piece)
         if level + size == self.capacity:
             return window
-        self.open[level + size].append(window)
-        self._shift(level + size, 1)
+        self.put(level + size, window)
         return None
 
 
-def _pack(capacity: int, path: str, end_id: int):
+def _pack(capacity: int, path: str, end_id: int, held: int):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, levels = None, Levels(capacity)
         sequence = TaskContext.get().partitionId() << 33
@@ -155,6 +175,24 @@ def _pack(capacity: int, path: str, end_id: int):
             rows.clear()
             return out
 
+        def laid(pieces: list[tuple], last: bool) -> None:
+            """Pieces end to end in full windows; what is left stays open, or is cut into powers of two at the last."""
+            left = sum(len(p[2]) // 4 for p in pieces)
+            room, window = 0, []
+            for doc, start, ids, total in pieces:
+                while ids:
+                    if not room:
+                        room = capacity if left >= capacity else 1 << (left.bit_length() - 1) if last else left
+                    n = min(room, len(ids) // 4)
+                    window.append((doc, start, ids[: 4 * n], total))
+                    start, ids, room, left = start + n, ids[4 * n :], room - n, left - n
+                    if not room:
+                        if last or sum(len(p[2]) // 4 for p in window) == capacity:
+                            close(window)
+                        else:
+                            levels.put(sum(len(p[2]) // 4 for p in window), window)
+                        window = []
+
         for batch in batches:
             encoder = encoder or Encoder(path)
             for doc, text in zip(batch.doc_id, batch.text, strict=True):
@@ -168,38 +206,28 @@ def _pack(capacity: int, path: str, end_id: int):
                     window = levels.place(total - full, (doc, full, ids[4 * full :], total))
                     if window:
                         close(window)
+                    elif levels.held > held:
+                        laid(levels.drain(), last=False)
                 if len(rows) >= 20_000:
                     yield frame()
-        # the windows still open, laid end to end and cut anew
-        rest = [piece for level in levels.open for window in level for piece in window]
-        left = sum(len(p[2]) // 4 for p in rest)
-        room, window = 0, []
-        for doc, start, ids, total in rest:
-            while ids:
-                if not room:
-                    room = capacity if left >= capacity else 1 << (left.bit_length() - 1)
-                n = min(room, len(ids) // 4)
-                window.append((doc, start, ids[: 4 * n], total))
-                start, ids, room, left = start + n, ids[4 * n :], room - n, left - n
-                if not room:
-                    close(window)
-                    window = []
+        laid(levels.drain(), last=True)
         if rows:
             yield frame()
 
     return pack
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 1024, path: str | None = None, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 1024, path: str | None = None, end_id: int = 0, held: int = 2_000_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone. Ids may be null or repeat: each row is a
     document of its own. Long texts are cut into full sequences as they come; other columns
-    are not read. An empty table gives no pieces. Sequence ids are unique over the table:
+    are not read. An empty table gives no pieces. At most `held` ids, and one text's, are kept
+    in a task's memory. Sequence ids are unique over the table:
     the partition's number times 2^33, plus a count.
     """
     path = path or tokenizer_path()
     if not os.path.exists(path):
         raise FileNotFoundError(path)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInPandas(_pack(capacity, path, end_id), PIECES)
+    return own.mapInPandas(_pack(capacity, path, end_id, held), PIECES)
