@@ -8,8 +8,9 @@ windows on that shingle only; the shingle's place in the window gives the one po
 the window could begin, the document's length bounds it, and the words there are then compared.
 
 The benchmark's side travels to the documents' tasks, in parts of at most `max_windows`
-windows, so what a task holds is bounded whatever the benchmark's size: a larger benchmark
-takes further passes, whose spans are merged for each document.
+windows; an item with more is split over parts. A larger benchmark takes a further pass for each
+further part: what the pass finds is written, by the texts' digests, before the next part is
+read, so tasks and driver hold one part at a time. The passes' spans are merged for each text.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: A word is a run of digits, letters and whatever lies beyond ASCII; in UTF-8 all of that is bytes from 128 on.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SHINGLE = 3
@@ -62,7 +65,7 @@ class Index:
     base: int
     shingles: dict[int, np.ndarray]  # by shingle width: sorted keys
     numbers: dict[int, np.ndarray]  # their numbers, over all widths
-    windows: dict[int, list[tuple[int, np.ndarray, tuple[int, ...]]]]  # by prefix shingle: offset, words, items
+    windows: dict[int, dict[tuple[int, int], dict[bytes, tuple[int, ...]]]]  # by prefix shingle, its offset and the window's length: items by the window's words
 
     def codes(self, words: list[bytes]) -> np.ndarray:
         known = self._known
@@ -90,24 +93,45 @@ class Index:
         spans, items, n = [], set(), len(codes)
         for positions, numbers in self.found(codes):
             for p, s in zip(positions.tolist(), numbers.tolist(), strict=True):
-                for offset, words, owners in self.windows.get(s, ()):
+                for (offset, length), held in self.windows.get(s, {}).items():
                     begin = p - offset
-                    if begin >= 0 and begin + len(words) <= n and np.array_equal(codes[begin : begin + len(words)], words):
-                        spans.append((begin, begin + len(words)))
+                    if begin >= 0 and begin + length <= n and (owners := held.get(codes[begin : begin + length].tobytes())) is not None:
+                        spans.append((begin, begin + length))
                         items.update(owners)
         return spans, items
 
 
-def _windows(items: list[tuple[int, str | None]], window: int) -> dict[tuple[bytes, ...], set[int]]:
+def _segments(rows: Iterator, window: int, max_windows: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(item, words): items, those of more than `max_windows` windows in pieces that share no window."""
+    for r in rows:
+        words = words_of(r.text)
+        for at in range(0, max(1, len(words) - window + 1) if words else 0, max_windows):
+            yield r.id, words[at : at + max_windows + window - 1]
+
+
+def _parts(rows: Iterator, window: int, max_windows: int, max_chars: int) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """Segments by parts that keep both bounds, but for a single segment."""
+    part, windows, chars = [], 0, 0
+    for item, words in _segments(rows, window, max_windows):
+        n, c = max(1, len(words) - window + 1), sum(map(len, words))
+        if part and (windows + n > max_windows or chars + c > max_chars):
+            yield part
+            part, windows, chars = [], 0, 0
+        part.append((item, words))
+        windows, chars = windows + n, chars + c
+    if part:
+        yield part
+
+
+def _windows(items: list[tuple[int, list[bytes]]], window: int) -> dict[tuple[bytes, ...], set[int]]:
     out: dict[tuple[bytes, ...], set[int]] = defaultdict(set)
-    for item, text in items:
-        words = words_of(text)
+    for item, words in items:
         for i in range(max(1, len(words) - window + 1) if words else 0):
             out[tuple(words[i : i + window])].add(item)
     return out
 
 
-def _index(items: list[tuple[int, str | None]], window: int) -> tuple[Index, dict]:
+def _index(items: list[tuple[int, list[bytes]]], window: int) -> tuple[Index, dict]:
     """An index of all shingles of the windows, to be counted; see `_prefixed`."""
     windows = _windows(items, window)
     vocabulary = {w: i for i, w in enumerate(sorted({w for key in windows for w in key}))}
@@ -129,17 +153,17 @@ def _index(items: list[tuple[int, str | None]], window: int) -> tuple[Index, dic
 
 def _prefixed(index: Index, coded: dict, frequency: dict[int, int]) -> Index:
     """Keeps of each window its rarest shingle, ties to the first, and drops the other shingles."""
-    windows: dict[int, list] = defaultdict(list)
+    windows: dict[int, dict] = {}
     for c, owners in coded.items():
         words = np.array(c, dtype=np.int64)
         width = min(SHINGLE, len(c))
         own = index.numbers[width][np.searchsorted(index.shingles[width], _keys(words, width, index.base))]
         offset = min(range(len(own)), key=lambda i: (frequency.get(int(own[i]), 0), i))
         if frequency.get(int(own[offset]), 0):  # else no document holds it
-            windows[int(own[offset])].append((offset, words, owners))
+            windows.setdefault(int(own[offset]), {}).setdefault((offset, len(c)), {})[words.tobytes()] = owners
     wanted = {w: np.isin(n, list(windows)) for w, n in index.numbers.items()}
     shingles = {w: index.shingles[w][m] for w, m in wanted.items() if m.any()}
-    return Index(index.vocabulary, index.base, shingles, {w: index.numbers[w][m] for w, m in wanted.items() if m.any()}, dict(windows))
+    return Index(index.vocabulary, index.base, shingles, {w: index.numbers[w][m] for w, m in wanted.items() if m.any()}, windows)
 
 
 def _counts(shared):
@@ -186,15 +210,39 @@ def _search(shared):
     return search
 
 
-def _join_passes(passes: pd.Series) -> pd.DataFrame:
+HITS = "digest string, spans array<struct<begin:int,end:int>>, item_ids array<long>"
+
+
+def _hits(shared):
+    """What a pass finds, for texts in which it finds something."""
+
+    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = Index(*shared.value).ready()
+        for batch in batches:
+            out = []
+            for digest, text in zip(batch.digest, batch.text, strict=True):
+                spans, items = index.spans(index.codes(words_of(text)))
+                if spans:
+                    out.append((digest, [{"begin": a, "end": b} for a, b in _merged(spans)], sorted(items)))
+            yield pd.DataFrame(out, columns=["digest", "spans", "item_ids"])
+
+    return hits
+
+
+def _join_passes(last: pd.DataFrame, spans: pd.Series, item_ids: pd.Series) -> pd.DataFrame:
     out = []
-    for row in passes:
-        spans = [(s["begin"], s["end"]) for p in row for s in p["spans"]]
-        items = {int(i) for p in row for i in p["item_ids"]}
-        out.append((row[0]["n_words"], [{"begin": a, "end": b} for a, b in _merged(spans)], sorted(items)))
+    for n, *own, more_spans, more_ids in zip(last.n_words, last.spans, last.item_ids, spans, item_ids, strict=True):
+        found = [(s["begin"], s["end"]) for part in (own[0], more_spans) if part is not None for s in part]
+        ids = {int(i) for part in (own[1], more_ids) if part is not None for i in part}
+        out.append((n, [{"begin": a, "end": b} for a, b in _merged(found)], sorted(ids)))
     return pd.DataFrame(out, columns=["n_words", "spans", "item_ids"])
 
 
+def _flat(hits: DataFrame) -> DataFrame:
+    """One row for each text: equal texts and several passes come together."""
+    return hits.groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("_spans"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("_ids"))
+
+
 def item_digest(item_ids: pd.Series) -> pd.Series:
     return item_ids.map(lambda ids: hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest())
 
@@ -203,29 +251,37 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", *,
     """`docs` with a struct column `result`: n_words, spans (merged, in words), item_ids.
 
     Every row of `docs` is kept as it is, with all its columns, repeated rows and nulls too; a
-    null text has no words. Items with null ids or without words never occur. Items that
-    repeat an id count as one. An empty benchmark or an empty table finds nothing.
+    null text has no words; a column that has the name `result` is replaced. Items with null
+    ids or without words never occur. Items that repeat an id count as one. An empty benchmark
+    or an empty table finds nothing.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).where("id is not null and text is not null")
-    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    # a text of c characters has at most (c + 1) / 2 windows
-    parts = max(1, -(-int(size["chars"] + size["n"]) // min(2 * max_windows, max_chars)))
-    columns = []
-    for part in range(parts):
-        rows = [(r.id, r.text) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).toLocalIterator()]
-        index, coded = _index(rows, window)
-        if not coded:
-            continue
+    texts = docs.select(F.col(text_col).alias("text"))
+    digest = F.sha1(F.encode(F.col(text_col), "UTF-8"))
+    found, last = [], Index({}, 1, {}, {}, {}).parts()
+    for part in _parts(items.toLocalIterator(), window, max_windows, max_chars):
+        if last[0]:  # the part before was not the last
+            shared = spark.sparkContext.broadcast(last)
+            found.append(staged(docs.select(digest.alias("digest"), F.col(text_col).alias("text")).mapInPandas(_hits(shared), HITS), "hits"))
+            shared.destroy()
+        index, coded = _index(part, window)
         shared = spark.sparkContext.broadcast(index.parts())
-        seen = docs.select(F.col(text_col).alias("text")).mapInPandas(_counts(shared), "shingle long, docs long").groupBy("shingle").agg(F.sum("docs").alias("docs"))
+        seen = texts.mapInPandas(_counts(shared), "shingle long, docs long").groupBy("shingle").agg(F.sum("docs").alias("docs"))
         frequency = {r.shingle: r.docs for r in seen.toLocalIterator()}  # at most the part's shingles
-        columns.append(_search(spark.sparkContext.broadcast(_prefixed(index, coded, frequency).parts()))(F.col(text_col)))
-    if not columns:
-        columns = [_search(spark.sparkContext.broadcast(Index({}, 1, {}, {}, {}).parts()))(F.col(text_col))]
-    if len(columns) == 1:
-        return docs.withColumn(result, columns[0])
-    return docs.withColumn(result, F.pandas_udf(_join_passes, FOUND)(F.array(*columns)))
+        shared.destroy()
+        last = _prefixed(index, coded, frequency).parts()
+    search = _search(spark.sparkContext.broadcast(last))(F.col(text_col))
+    if not found:
+        return docs.withColumn(result, search)
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.union(more)
+    # named so that no column of docs is touched
+    own = [c for c in docs.columns if c != result]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), digest.alias("digest"), search.alias("last"))
+    rows = rows.join(staged(_flat(hits), "hits"), "digest", "left")
+    return rows.select("row.*", F.pandas_udf(_join_passes, FOUND)("last", "_spans", "_ids").alias(result))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
