@@ -42,6 +42,13 @@ SENTENCES = {
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BsdEndorse",
     "this software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed": "BsdDisclaimer",
     "this source code form is subject to the terms of the mozilla public license v 2.0": "Mpl2Statement",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "this is free and unencumbered software released into the public domain": "UnlicenseGrant",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "Cc0Dedication",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version": "Lgpl21OrLater",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Lgpl3OrLater",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Agpl3OrLater",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0": "Epl2Statement",
     "all rights reserved": "AllRights",
 }
 
@@ -50,6 +57,7 @@ FULL = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "the software is provided as is without warranty of any kind express or implied",
     "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at *": "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0",
     "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "this software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed",
 }
 
@@ -70,12 +78,21 @@ RULES = [
     ("CC-BY-SA-4.0", ["CcBySa4Statement"]),
     ("CC-BY-4.0", ["CcBy4Statement"]),
     ("MPL-2.0", ["Mpl2Statement"]),
+    ("ISC", ["IscGrant"]),
+    ("Unlicense", ["UnlicenseGrant"]),
+    ("CC0-1.0", ["Cc0Dedication"]),
+    ("LGPL-2.1-or-later", ["Lgpl21OrLater"]),
+    ("LGPL-3.0-or-later", ["Lgpl3OrLater"]),
+    ("AGPL-3.0-or-later", ["Agpl3OrLater"]),
+    ("EPL-2.0", ["Epl2Statement"]),
     ("Proprietary", ["AllRights"]),
     ("Unknown", ["UNKNOWN"]),
 ]
 
 #: A sentence is looked at only if it holds one of these; every known sentence does.
-CUE = "licen[cs]e|copyright|permi(tted|ssion)|warrant|redistribut|rights reserved|cc by"
+CUE = "licen[cs]e|copyright|permi(tted|ssion)|warrant|redistribut|public domain|rights reserved|cc by"
+#: The same in a text as it is, where any signs may stand between two words.
+LOOSE_CUE = re.sub(" ", "[^a-z0-9]+", CUE)
 _SPEAKS = "licen[cs]ed? under|under the terms of .*licen[cs]e|released under .*licen[cs]e"
 _STATE = "struct<rest:string,got:array<string>>"
 #: Ends of sentences, and blank lines; a comment mark alone is a blank line too.
@@ -92,7 +109,7 @@ def _unwrapped(text: Column) -> Column:
     for full, known in FULL.items():
         text = F.regexp_replace(text, f"(?i){_BEFORE}{words(full, '[^A-Za-z0-9]+')}{_AFTER}", f"\n{known}\n")
     for known in sorted(SENTENCES, key=len, reverse=True):
-        on_a_line = words(known, r"[^A-Za-z0-9\n]+")
+        on_a_line = words(known, r"(?:[^A-Za-z0-9\n.!?]|[.!?](?! ))+")  # and without what ends a sentence
         text = F.regexp_replace(text, f"(?i){_BEFORE}(?!{on_a_line}(?![A-Za-z0-9])){words(known, '[^A-Za-z0-9]+')}{_AFTER}", f"\n{known}\n")
     return text
 
@@ -111,7 +128,7 @@ def recognise(docs: DataFrame, text_col: str = "text", *, identifiers: str = "id
     sentence by sentence, without leaving its row, so no size or repetition moves data.
     """
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "!!", "")
-    cue = F.lower(text).rlike(CUE.replace("cc by", "cc[^a-z0-9]+by").replace("rights reserved", "rights[^a-z0-9]+reserved"))
+    cue = F.lower(text).rlike(LOOSE_CUE)
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
 
     def identifier(s: Column) -> Column:
