@@ -4,8 +4,9 @@ Calls and results are tables of single events, keyed by conversation and identif
 joined by hash; no conversation is gathered in one task, so one of any length is only more
 rows. A call's place is its turn, pushed behind every call that it waits for: where results
 come before the calls that use them, as they should, turns are that order already, and only
-conversations that break it take part in further rounds. Calls that wait in a circle are told
-by a place beyond the last that any order could give.
+conversations that break it take part in further rounds. Each round gives a place to the calls
+all of whose needs have one, so rounds are as many as the longest chain of needs, whatever the
+turns are. What no round reaches waits in a circle, or behind one.
 
 DataFrame functions only.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 CALLS = "conv_id bigint, call_id string, turn bigint, name string, arguments string, after array<string>"
 RESULTS = "conv_id bigint, call_id string, turn bigint, content string"
@@ -37,20 +38,26 @@ def in_order(calls: DataFrame) -> DataFrame:
     broken = staged(needs.where("need_place >= place").select("conv_id").distinct(), "broken")
     if not broken.limit(1).count():
         return places
-    own = places.join(broken, "conv_id", "left_semi")
-    limits = staged(own.groupBy("conv_id").agg((F.max("place") + F.count("*")).alias("limit")), "limits")
     edges = staged(needs.join(broken, "conv_id", "left_semi").select("conv_id", "need", "call_id"), "edges")
-    moving = staged(own.join(limits, "conv_id"), "moving")
+    waits = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("open"))
+    own = places.join(broken, "conv_id", "left_semi").join(waits, ["conv_id", "call_id"], "left")
+    waiting = staged(own.withColumn("open", F.coalesce("open", F.lit(0).cast("long"))), "waiting")
+    done = []
     while True:
-        pushed = edges.join(moving.select("conv_id", F.col("call_id").alias("need"), "place"), ["conv_id", "need"]).groupBy("conv_id", "call_id").agg((F.max("place") + 1).alias("least"))
-        # one beyond the limit is as good as any further
-        new = moving.join(pushed, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "limit", F.col("place").alias("old"), F.least(F.greatest("place", "least"), F.col("limit") + 1).alias("place"))
-        new = staged(new, "moving")
-        if not new.where("old <> place").limit(1).count():
+        ready = staged(waiting.where("open = 0").select("conv_id", "call_id", "place"), "ready")
+        if not ready.limit(1).count():
             break
-        moving = new.drop("old")
-    moved = new.select("conv_id", "call_id", F.when(F.col("place") <= F.col("limit"), F.col("place")).alias("place"))
-    return places.join(broken, "conv_id", "left_anti").unionByName(moved)
+        done.append(ready)
+        met = edges.join(ready.select("conv_id", F.col("call_id").alias("need"), "place"), ["conv_id", "need"])
+        pushed = met.groupBy("conv_id", "call_id").agg((F.max("place") + 1).alias("least"), F.count("*").alias("met"))
+        left = waiting.where("open > 0").join(pushed, ["conv_id", "call_id"], "left")
+        left = left.select("conv_id", "call_id", F.greatest("place", "least").alias("place"), (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"))
+        before, waiting = waiting, staged(left, "waiting")
+        discard(before)
+    out = places.join(broken, "conv_id", "left_anti").unionByName(waiting.select("conv_id", "call_id", F.lit(None).cast("bigint").alias("place")))
+    for ready in done:
+        out = out.unionByName(ready)
+    return out
 
 
 def _faults(arguments: Column, fields: Column) -> Column:
@@ -80,7 +87,7 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
     named = lambda df: df.where("conv_id is not null and call_id is not null")
     left = named(calls).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "name", "arguments")).alias("c"))
     right = named(results).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
-    both = left.join(right, ["conv_id", "call_id"], "full").join(in_order(calls), ["conv_id", "call_id"], "left")
+    both = left.join(right.hint("shuffle_hash"), ["conv_id", "call_id"], "full").join(in_order(calls), ["conv_id", "call_id"], "left")
     loose = calls.where("conv_id is null or call_id is null").select("conv_id", "call_id", F.struct("turn", "name", "arguments").alias("c"), F.lit(None).cast("struct<turn:bigint,content:string>").alias("r"))
     loose = loose.unionByName(results.where("conv_id is null or call_id is null").select("conv_id", "call_id", F.lit(None).cast("struct<turn:bigint,name:string,arguments:string>").alias("c"), F.struct("turn", "content").alias("r")))
     rows = both.unionByName(loose.withColumn("place", F.lit(None).cast("bigint")))
@@ -109,15 +116,27 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
 def turns_as_events(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reads plain chat turns as events: what a user says asks, the assistant's next turn answers.
 
-    A question's identifier is its turn; it waits for the question two turns before it. JSON
-    messages of the form {"tool_calls": [{"id", "name", "arguments", "after"}]} (assistant) and
-    {"tool_call_id", "content"} (tool) are read by `messages_as_events`.
+    The supplied conversations hold no calls, so their ids decide what a call is like. A call's
+    identifier is its turn; in every 11th conversation two turns of four share one. A call waits
+    for the user's turn before it; in every third conversation it waits for the one after it, so
+    order must be made; in every 13th also for the one before, which is a circle. Arguments are
+    {"chars", "text"}; in some conversations chars is text, a field is added, or they are no object.
+    JSON messages of the form {"tool_calls": [{"id", "name", "arguments", "after"}]} (assistant)
+    and {"tool_call_id", "content"} (tool) are read by `messages_as_events`.
     """
     own = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
-    number = lambda back: (F.col("turn") - back).cast("string")
-    arguments = F.to_json(F.struct(F.length("text").alias("chars"), F.col("text").alias("text")))
-    asked = own.where("role = 'user'").select("conv_id", number(0).alias("call_id"), "turn", F.lit("ask").alias("name"), arguments.alias("arguments"), F.array(number(2)).alias("after"))
-    answered = own.where("role = 'assistant'").select("conv_id", number(1).alias("call_id"), "turn", F.col("text").alias("content"))
+    every = lambda n, rest: F.pmod("conv_id", F.lit(n)) == rest
+    number = lambda shift: F.when(every(11, 4), F.floor((F.col("turn") + shift) / 4) * 4).otherwise(F.col("turn") + shift).cast("string")
+    chars = F.length("text").alias("chars")
+    arguments = (
+        F.when(every(7, 1), F.to_json(F.struct(F.length("text").cast("string").alias("chars"), "text")))
+        .when(every(7, 2), F.to_json(F.struct(chars, "role", "text")))
+        .when(every(7, 3), F.to_json(F.array("text")))
+        .otherwise(F.to_json(F.struct(chars, "text")))
+    )
+    after = F.when(every(13, 5), F.array(number(-2), number(2))).when(every(3, 0), F.array(number(2))).otherwise(F.array(number(-2)))
+    asked = own.where("role = 'user'").select("conv_id", number(0).alias("call_id"), "turn", F.lit("ask").alias("name"), arguments.alias("arguments"), after.alias("after"))
+    answered = own.where("role = 'assistant'").select("conv_id", number(-1).alias("call_id"), "turn", F.col("text").alias("content"))
     return asked, answered
 
 
