@@ -15,31 +15,42 @@ from quillstone.llm import decontaminate, lines, minhash, packing, toxicity
 from quillstone.llm.common import staged, table
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A name like `name` that no column of `docs` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores under 0.5."""
+    score = _free(docs, "score")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, result="_toxic").where("_toxic < 0.5").select(*docs.columns)
+    return toxicity.scored(docs, model, result=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that occur across sites are cut from every document that has other lines; a text that was cut has its length set anew."""
-    out = lines.without_boilerplate(docs, largest_share=None, lines_col="_n_lines", removed_col="_n_removed")
+    removed = _free(docs, "removed")
+    out = lines.without_boilerplate(docs, lines_col=_free(docs, "lines"), removed_col=removed)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, of similarity 0.8 or more over five words, stays: the one with the smallest id."""
-    gone = minhash.near_duplicates(docs, percent=80, bands=36, rows=6).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return out.select(*docs.columns)
+    gone = _free(docs, "gone")
+    ids = minhash.near_duplicates(docs, percent=80, bands=36, rows=6).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(ids, F.col("doc_id") == F.col(gone), "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("_found.spans") == 0).select(*docs.columns)
+    result = _free(docs, "found")
+    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"), result=result)
+    return found.where(F.size(F.col(result)["spans"]) == 0).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

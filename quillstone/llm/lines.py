@@ -3,11 +3,10 @@
 A line is boilerplate if it occurs at `min_sites` sites or more. A line that occurs fewer times
 than that cannot; the others get a HyperLogLog sketch of their sites, made where the rows are
 and merged by aggregation. Where a sketch's estimate is near the limit, the sites are counted
-exactly; elsewhere the estimate's error cannot change the answer.
+exactly; elsewhere the estimate would have to be off by six times its usual error to matter.
 
-A document most of whose characters are such lines is a copy rather than a page with
-boilerplate around it; it is left whole, for a near-duplicate stage to decide on. The limit is
-op5's, whose SQL has it; the pipeline leaves only documents without a line of their own whole.
+A document without any line of its own is a copy rather than a page with boilerplate around it;
+it is left whole, for a near-duplicate stage to decide on.
 
 DataFrame functions only.
 """
@@ -23,21 +22,29 @@ from .common import discard, staged
 LG_REGISTERS, NEAR = 12, 0.1
 
 
+#: ASCII white space, which is taken off a line's ends.
+SPACE = " \t\r\x0b\x0c"
+
+
+def _bare(line: str | Column) -> Column:
+    return F.btrim(line, F.lit(SPACE))
+
+
 def _pieces(text: str | Column) -> Column:
     return F.split(text, "\n", -1)
 
 
 def _key(line: Column) -> list[Column]:
     """128 bits of a line without the white space around it."""
-    trimmed = F.trim(line)
+    trimmed = _bare(line)
     return [F.xxhash64(trimmed).alias("k1"), F.xxhash64(F.lit(1), trimmed).alias("k2")]
 
 
 def numbered_lines(docs: DataFrame, id_col: str, site_col: str, text_col: str) -> DataFrame:
-    """(id, seal, site, at, k1, k2, chars) of lines that are not blank; id and seal name a document."""
+    """(id, seal, site, at, k1, k2) of lines that are not blank; id and seal name a document."""
     own = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("seal"), F.col(site_col).cast("string").alias("site"), F.col(text_col).alias("text"))
-    rows = own.select("id", "seal", "site", F.posexplode(_pieces("text")).alias("at", "line")).where(F.trim("line") != "")
-    return rows.select("id", "seal", "site", "at", *_key(F.col("line")), F.length("line").alias("chars"))
+    rows = own.select("id", "seal", "site", F.posexplode(_pieces("text")).alias("at", "line")).where(_bare("line") != "")
+    return rows.select("id", "seal", "site", "at", *_key(F.col("line")))
 
 
 def spread_lines(lines: DataFrame, *, min_sites: int) -> DataFrame:
@@ -55,31 +62,30 @@ def spread_lines(lines: DataFrame, *, min_sites: int) -> DataFrame:
     return found
 
 
-def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", *, min_sites: int = 6, largest_share: float | None = 0.5, lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
+def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", *, min_sites: int = 6, lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
     """`docs` without its boilerplate lines, with the numbers of lines before and of lines removed.
 
-    Every row stays, with its other columns; a column that has the name of a new one is
-    replaced. A null text stays null and has no lines; blank lines are never boilerplate.
-    Rows with a null id or site are rewritten like others. Repeated rows stay repeated. Lines
-    are compared without the white space at their ends. A document that consists of such lines
-    by more than `largest_share` of its characters, line feeds aside, is left whole; if that is
-    None, only a document without any other line that is not blank is.
+    Every row stays, with its other columns, whatever their names; only a column that has the
+    name of a new one is replaced. A null text stays null and has no lines; blank lines are
+    never boilerplate. Rows with a null id or site are rewritten like others. Repeated rows stay
+    repeated. Lines are compared without the white space at their ends. A document that has no
+    other line that is not blank is left whole. An empty table gives an empty result.
     """
     lines = staged(numbered_lines(docs, id_col, site_col, text_col), "lines")
     boilerplate = spread_lines(lines, min_sites=min_sites)
-    # a document's repeated rows have the same lines: positions once, characters once
-    hit = lines.join(boilerplate.hint("merge"), ["k1", "k2"]).groupBy("id", "seal", "at").agg(F.max("chars").alias("chars"))
-    hit = staged(hit.groupBy("id", "seal").agg(F.collect_list("at").alias("_at"), F.sum("chars").alias("_hit")).withColumnsRenamed({"id": "_id", "seal": "_seal"}), "hits")
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_seal"))
+    # a document's repeated rows have the same lines: positions once
+    hit = lines.join(boilerplate.hint("merge"), ["k1", "k2"]).select("id", "seal", "at").distinct()
+    hit = staged(hit.groupBy("id", "seal").agg(F.collect_list("at").alias("at")), "hits")
+    # other columns travel in one, so that their names meet nothing here
+    other = [c for c in docs.columns if c not in (text_col, lines_col, removed_col)]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in other)).alias("other"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("seal"))
     # hits grow with the documents, so they are never broadcast
-    rows = docs.join(hit.hint("merge"), on, "left")
-    whole = F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
-    if largest_share is None:
-        within = F.size(F.filter(_pieces(F.col(text_col)), lambda x: F.trim(x) != "")) > F.size("_at")
-    else:
-        within = F.col("_hit") <= whole * F.lit(float(largest_share))
-    cut = F.col("_at").isNotNull() & within
-    kept = F.array_join(F.filter(_pieces(F.col(text_col)), lambda x, i: ~F.array_contains("_at", i)), "\n")
-    rows = rows.withColumn("_cut", cut).withColumn("_kept", F.when(F.col("_cut"), kept).otherwise(F.col(text_col)))
-    rows = rows.withColumn(lines_col, F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(_pieces(F.col(text_col)))).cast("long")).withColumn(removed_col, F.when(F.col("_cut"), F.size("_at")).otherwise(F.lit(0)).cast("long"))
-    return rows.withColumn(text_col, F.col("_kept")).drop("_id", "_seal", "_at", "_hit", "_cut", "_kept")
+    on = rows["id"].eqNullSafe(hit["id"]) & (rows["seal"] == hit["seal"])
+    rows = rows.join(hit.hint("merge"), on, "left").select("other", "text", "at")
+    own = F.size(F.filter(_pieces("text"), lambda x: _bare(x) != ""))
+    rows = rows.withColumn("cut", F.col("at").isNotNull() & (own > F.size("at")))
+    kept = F.array_join(F.filter(_pieces("text"), lambda x, i: ~F.array_contains("at", i)), "\n")
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(_pieces("text"))).cast("long")
+    made = {text_col: F.when(F.col("cut"), kept).otherwise(F.col("text")), lines_col: n_lines, removed_col: F.when(F.col("cut"), F.size("at")).otherwise(F.lit(0)).cast("long")}
+    order = [c for c in docs.columns if c not in (lines_col, removed_col)] + [lines_col, removed_col]
+    return rows.select(*(made[c].alias(c) if c in made else F.col("other").getField(c).alias(c) for c in order))
