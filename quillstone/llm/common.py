@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_root(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, local mode) a folder of this application is used.
+    Where that is unset, a local master gets a folder of this application, and a cluster an error,
+    as its executors do not see the driver's folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
     return os.path.join(tempfile.gettempdir(), f"quillstone-{spark.sparkContext.applicationId}")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licences import CUE, RULES, SENTENCES
+from .licences import CUE, LOOSE_CUE, RULES, SENTENCES
 
 
 def _quoted(text: str) -> str:
@@ -35,22 +35,18 @@ WARC = """
 """
 
 
-def lines_cte(docs: str, min_sites: int = 6, share: float = 0.5) -> str:
+_BARE = "trim({}, ' ' || chr(9) || chr(13) || chr(11) || chr(12))"
+
+
+def lines_cte(docs: str, min_sites: int = 6) -> str:
     """CTEs up to `cleaned` (doc_id, text, n_lines, n_removed, and what else `docs` has)."""
     return f"""
     numbered AS (SELECT *, row_number() OVER () AS rn, string_split(text, chr(10)) AS parts FROM {docs}),
-    opened AS (SELECT rn, source, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM numbered),
-    spread AS (
-        SELECT trim(line, ' ') AS line FROM opened WHERE trim(line, ' ') <> '' GROUP BY 1
-        HAVING count(DISTINCT source) >= {min_sites}
-    ),
-    hit AS (
-        SELECT rn, list(pos) AS pos, sum(length(o.line)) AS chars FROM opened o JOIN spread s ON trim(o.line, ' ') = s.line GROUP BY rn
-    ),
-    judged AS (
-        SELECT n.*, h.pos AS hits, h.chars IS NOT NULL AND h.chars <= length(replace(text, chr(10), '')) * {share}::DOUBLE AS cut
-        FROM numbered n LEFT JOIN hit h USING (rn)
-    ),
+    opened AS (SELECT rn, source, {_BARE.format("line")} AS line, pos FROM (SELECT rn, source, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM numbered)),
+    spread AS (SELECT line FROM opened WHERE line <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {min_sites}),
+    own AS (SELECT rn, count(*) AS n FROM opened WHERE line <> '' GROUP BY rn),
+    hit AS (SELECT rn, list(pos) AS pos FROM opened JOIN spread USING (line) GROUP BY rn),
+    judged AS (SELECT n.*, h.pos AS hits, h.pos IS NOT NULL AND len(h.pos) < o.n AS cut FROM numbered n LEFT JOIN hit h USING (rn) LEFT JOIN own o USING (rn)),
     cleaned AS (
         SELECT * EXCLUDE (text, parts, hits, cut, rn), coalesce(len(parts), 0)::BIGINT AS n_lines,
                CASE WHEN cut THEN len(hits) ELSE 0 END::BIGINT AS n_removed,
@@ -65,7 +61,7 @@ LINES = "WITH" + lines_cte("documents") + " SELECT doc_id, n_lines, n_removed, t
 def licences_sql() -> str:
     known = "CASE s " + " ".join(f"WHEN {_quoted(k)} THEN {_quoted(v)}" for k, v in SENTENCES.items()) + " END"
     speaks = "regexp_matches(s, 'licen[cs]ed? under|under the terms of .*licen[cs]e|released under .*licen[cs]e')"
-    cue = CUE.replace("cc by", "cc[^a-z0-9]+by").replace("rights reserved", "rights[^a-z0-9]+reserved")
+    cue = LOOSE_CUE
     normal = r"trim(regexp_replace(regexp_replace(lower(x), '[^a-z0-9.]+', ' ', 'g'), '\.+( |$)', ' ', 'g'), ' ')"
     sql = rf"""
     WITH t AS (SELECT doc_id, row_number() OVER () AS rn, replace(coalesce(text, ''), '!!', '') AS t FROM documents),
@@ -81,26 +77,44 @@ def licences_sql() -> str:
     return sql + f"\n    SELECT doc_id, array_to_string(ids, ',') AS identifiers, array_to_string(list_sort(list_distinct(got)), ',') AS licences FROM r{len(RULES)}"
 
 
-TOOLCALLS = """
-    WITH c AS (
-        SELECT conv_id, turn::VARCHAR AS call_id, min({'turn': turn, 'text': text}) AS c
-        FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2
+_ID = "(CASE WHEN conv_id % 11 = 4 THEN floor({0} / 4.0)::BIGINT * 4 ELSE {0} END)::VARCHAR"
+
+# places by all chains of needs: a chain as long as a conversation has calls goes in a circle
+TOOLCALLS = f"""
+    WITH RECURSIVE asked AS (
+        SELECT conv_id, {_ID.format("turn")} AS call_id, turn,
+               CASE WHEN conv_id % 13 = 5 THEN [{_ID.format("(turn - 2)")}, {_ID.format("(turn + 2)")}] WHEN conv_id % 3 = 0 THEN [{_ID.format("(turn + 2)")}] ELSE [{_ID.format("(turn - 2)")}] END AS needs,
+               CASE WHEN conv_id % 7 = 3 THEN '[' || coalesce(to_json(text), 'null') || ']' ELSE '{{' || concat_ws(',',
+                   CASE WHEN conv_id % 7 = 1 THEN '"chars":"' || length(text) || '"' ELSE '"chars":' || length(text) END,
+                   CASE WHEN conv_id % 7 = 2 THEN '"role":"user"' END, '"text":' || to_json(text)) || '}}' END AS arguments,
+               concat_ws(',', CASE WHEN conv_id % 7 = 3 THEN 'not_object' WHEN text IS NULL THEN 'missing:chars,missing:text' WHEN conv_id % 7 = 1 THEN 'type:chars' END,
+                   CASE WHEN conv_id % 7 = 2 THEN 'unknown:role' END) AS faults
+        FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL
+    ),
+    c AS (SELECT conv_id, call_id, min({{'turn': turn, 'arguments': arguments, 'faults': faults}}) AS c FROM asked GROUP BY 1, 2),
+    size AS (SELECT conv_id, count(*) AS n FROM c GROUP BY 1),
+    edge AS (SELECT DISTINCT a.conv_id, a.call_id, a.need FROM (SELECT conv_id, call_id, unnest(needs) AS need FROM asked) a JOIN c ON c.conv_id = a.conv_id AND c.call_id = a.need),
+    chain AS (
+        SELECT conv_id, call_id, call_id AS far, 0 AS steps FROM c
+        UNION SELECT h.conv_id, h.call_id, e.need, h.steps + 1 FROM chain h JOIN edge e ON e.conv_id = h.conv_id AND e.call_id = h.far JOIN size s ON s.conv_id = h.conv_id WHERE h.steps < s.n
+    ),
+    placed AS (
+        SELECT h.conv_id, h.call_id, CASE WHEN max(h.steps) < max(s.n) THEN max(f.c.turn + h.steps) END AS place
+        FROM chain h JOIN c f ON f.conv_id = h.conv_id AND f.call_id = h.far JOIN size s ON s.conv_id = h.conv_id GROUP BY 1, 2
     ),
     r AS (
-        SELECT conv_id, (turn - 1)::VARCHAR AS call_id, min({'turn': turn, 'text': text}) AS r
+        SELECT conv_id, {_ID.format("(turn - 1)")} AS call_id, min({{'turn': turn, 'text': text}}) AS r
         FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2
     ),
     b AS (
-        SELECT conv_id, call_id, c.turn AS call_turn, r.turn AS result_turn, c.turn AS place, c.text AS q, r.text AS a,
-               CASE WHEN c IS NULL THEN 'orphan' WHEN r IS NULL THEN 'unanswered' ELSE 'linked' END AS status
+        SELECT conv_id, call_id, c.turn AS call_turn, r.turn AS result_turn, c.arguments AS arguments, c.faults AS faults, r.text AS a,
+               CASE WHEN c IS NULL THEN 'orphan' WHEN r IS NULL THEN 'unanswered' WHEN r.turn <= c.turn THEN 'early' ELSE 'linked' END AS status
         FROM c FULL JOIN r USING (conv_id, call_id)
     )
-    SELECT conv_id, call_id, call_turn, result_turn, place, status,
-           CASE WHEN status <> 'orphan' AND q IS NULL THEN 'missing:chars,missing:text' ELSE '' END AS faults,
-           '{' || concat_ws(',',
-               CASE WHEN status <> 'orphan' THEN '"arguments":' || CASE WHEN q IS NULL THEN '{}' ELSE '{"chars":' || length(q) || ',"text":' || to_json(q) || '}' END END,
-               '"call_id":' || to_json(call_id), CASE WHEN a IS NOT NULL THEN '"content":' || to_json(a) END,
+    SELECT conv_id, call_id, call_turn, result_turn, place, status, coalesce(faults, '') AS faults,
+           '{{' || concat_ws(',',
+               '"arguments":' || arguments, '"call_id":' || to_json(call_id), CASE WHEN a IS NOT NULL THEN '"content":' || to_json(a) END,
                '"conv_id":' || conv_id, CASE WHEN status <> 'orphan' THEN '"name":"ask"' END,
-               '"place":' || place, '"status":"' || status || '"') || '}' AS record
-    FROM b
+               '"place":' || place, '"status":"' || status || '"') || '}}' AS record
+    FROM b LEFT JOIN placed USING (conv_id, call_id)
 """

@@ -81,6 +81,68 @@ def test_long_tokens_are_decoded(token, word):
     assert any(word in w for w in known[token])
 
 
+def likeliest(channel, observed):
+    """The best text over all ways through the lattice, one by one."""
+    best = (-np.inf, "")
+
+    def walk(at, before, context, last, score, out):
+        nonlocal best
+        if at > len(observed):
+            best = max(best, (score, out.strip()))
+            return
+        c = observed[at] if at < len(observed) else ""
+        ways = list(channel.options(c, before, False)) if c else [(" ", 0.0)]
+        looks = toxicity.LOOKALIKES.get(c, "")
+        if looks and last and last in looks and not before.endswith(last):
+            ways.append(("", channel.DROP_DOUBLE))
+        for letter, cost in ways:
+            k = toxicity._class_of(letter) if letter else toxicity._EDGE
+            if not letter or k == toxicity._EDGE and context % toxicity.SYMBOLS == toxicity._EDGE:
+                walk(at + 1, before[-1:] + c, context, last, score + cost, out)
+            else:
+                gram = context * toxicity.SYMBOLS + k
+                walk(at + 1, before[-1:] + c, gram % toxicity.SYMBOLS**3, letter, score + cost + channel.logp[gram], out + letter)
+
+    walk(0, "", 0, "", 0.0, "")
+    return best[1]
+
+
+@pytest.mark.parametrize("token", ["1d10t", "s t u p", "$7up1d", "iid1oot", "a$$-0f", "fu.c*k", "m0rrr0n", "@ss", "b0 t"])
+def test_decoding_is_the_best_of_all_ways(token):
+    taught = channel("you stupid idiot and shit of an ass or a moron fuck bot")
+    assert taught.decode(token) == likeliest(taught, token)
+
+
+def test_toxicity_scores_are_the_lexicon_s(spark):
+    plain, labels = labelled(spark, lambda i: "zorgon")
+    logp, lexicon = model = toxicity.fit(plain, labels)
+    texts = [prose(5, 40), "z0rg0n z.o.r.g.o.n z o r g o n", "same same same", "", None, "x" * 300 + " " + "é" * 20, "a,b,c," * 100]
+    got = {r.doc_id: r._score for r in toxicity.scored(docs(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        words = toxicity.restored_words(t, toxicity.Restorer(toxicity.Channel(logp)))
+        terms = {}
+        for w, n in words.items():
+            for x in toxicity._beginnings(w):
+                if x in lexicon.weights:
+                    terms[x] = terms.get(x, 0) + n
+        z = lexicon.bias + lexicon.length * np.log1p(sum(words.values())) + sum(lexicon.weights[x] * np.log1p(n) for x, n in terms.items())
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_quality_scores_are_averages_of_vectors(spark):
+    plain, labels = labelled(spark, lambda i: "zorgon")
+    model = quality.fit(plain, labels, buckets=1 << 12)
+    texts = [prose(5, 40), "one one two", "", None, "word" * 5_000, " \n"]
+    df = docs(spark, texts).withColumn("n", F.lit(1))
+    got = {r.doc_id: (r._score, r.n) for r in quality.scored(df, model).collect()}
+    for i, t in enumerate(texts):
+        words = (t or "").split()
+        ids = [f for w in words for f in quality.features(w, model.buckets, model.shortest, model.longest)]
+        ids += quality.features(quality.REPEAT, model.buckets, 99, 98) * sum(a == b for a, b in zip(words, words[1:], strict=False))
+        z = model.bias + (np.mean(model.weight[ids]) if ids else 0.0)
+        assert got[i][0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6) and got[i][1] == 1
+
+
 def test_channel_model_sums_to_one(spark):
     logp = toxicity.character_model(docs(spark, [prose(1, 400), None, "é ß 12"]))
     assert np.allclose(np.exp(logp.reshape(-1, toxicity.SYMBOLS)).sum(axis=1), 1, atol=1e-4)
@@ -144,6 +206,36 @@ def test_decontamination(spark, max_windows):
     assert sorted(map(tuple, rows)) == sorted((i, *c) for i, c in zip(ids, contamination(texts, items), strict=True))
 
 
+def test_decontamination_in_many_parts(spark):
+    """Every pass has its own Python stage and one index; a very long item is split, and no window of it is lost."""
+    item = [f"w{i}" for i in range(2_000)]
+    b = spark.createDataFrame([(1, " ".join(item)), (2, "w5 w6 w7"), (3, prose(1, 30))], "item_id long, text string")
+    texts = [" ".join(["x", *item[k : k + 10], "y"]) for k in (0, 395, 400, 799, 1_000, 1_990)] + [" ".join(item[390:415]), " ".join(item[7:16]), prose(1, 30), "w5 w6 w7", None]
+    df = docs(spark, texts).withColumnRenamed("lang", "digest").withColumn("row", F.lit(7)).withColumn("_spans", F.lit(8))
+    out = decontaminate.find_items(df, b, max_windows=400)
+    assert out.columns == [*df.columns, "_found"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 2 * 2  # the last pass and the merge, as first and as adaptive plan
+    got = {r.doc_id: (r._found.n_words, sum(s.end - s.begin for s in r._found.spans), sorted(r._found.item_ids), r.row, r._spans) for r in out.collect()}
+    items = [(1, " ".join(item)), (2, "w5 w6 w7"), (3, prose(1, 30))]
+    for i, c in enumerate(contamination(texts, items)):
+        assert got[i][:2] == c[:2] and len(got[i][2]) == c[2] and got[i][3:] == (7, 8)
+
+
+def test_decontamination_with_an_item_of_many_words(spark):
+    words = [f"{i:x}" for i in range(2_100_000)]
+    item = spark.createDataFrame([(1, " ".join(words))], "id long, text string").first()
+    at = 0
+    for part in decontaminate._parts(iter([item]), 10, 200_000, 50_000_000):
+        ((i, own),) = part
+        assert i == 1 and own == [w.encode() for w in words[at : at + len(own)]] and len(set(own)) ** decontaminate.SHINGLE < 1 << 63
+        at += len(own) - 9
+    assert at + 9 == len(words)
+    b = spark.createDataFrame([(1, " ".join(words[:9_000]))], "item_id long, text string")
+    df = docs(spark, [" ".join(words[3_990:4_002]), "none of it"])
+    assert sorted((r.doc_id, r.n_hit) for r in decontaminate.report(df, b, max_windows=4_000).collect()) == [(0, 12), (1, 0)]
+
+
 def test_decontamination_of_empty_tables(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in decontaminate.report(docs(spark, ["a b"]), b).collect()] == [False]
@@ -156,7 +248,7 @@ def test_decontamination_of_empty_tables(spark):
 def test_top_k(spark):
     r = random.Random(3)
     rows = [(i, [r.uniform(-1, 1) for _ in range(8)], i % 3) for i in range(120)]
-    rows += [(200 + i, rows[7][1], 0) for i in range(30)] + [(300, None, 0), (301, [1.0, None], 0), (302, [float("nan")] * 8, 0), (303, [float("inf")] * 8, 0), (304, [], 0), (305, [0.5, 0.5], 0), (306, [1e30] * 8, 0), (None, [0.1] * 8, 0), (50, rows[7][1], 1)]
+    rows += [(200 + i, rows[7][1], 0) for i in range(30)] + [(300, None, 0), (301, [1.0, None], 0), (302, [float("nan")] * 8, 0), (303, [float("inf")] * 8, 0), (304, [], 0), (305, [0.5, 0.5], 0), (None, [0.1] * 8, 0), (50, rows[7][1], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
     asked = df.where("vec_id % 50 = 0")
     got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in topk.top_k(df, asked, block=8, group=32, batch=3).collect())
@@ -168,6 +260,33 @@ def test_top_k(spark):
     assert got == want
 
 
+def test_top_k_skips_blocks_of_the_whole_table(spark):
+    """Of clustered vectors, the floor of the first pass leaves most blocks of all groups unscored."""
+    r = random.Random(1)
+    rows = []
+    for i in range(4_000):
+        v = [0.0] * 16
+        v[i % 16] = 1 + r.random() / 8
+        rows.append((i, v))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 500 = 0")
+    n = topk.pruning(df, asked, block=16, group=256).first()
+    assert 0 < n.scored < 0.25 * n.blocks
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in topk.top_k(df, asked, block=16, group=256).collect()}
+    q = {i: np.floor(256 * np.array(v)) for i, v in rows}
+    for i in range(0, 4_000, 500):
+        best = sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:5]
+        assert [got[i, n + 1] for n in range(5)] == [(j, -s) for s, j in best]
+
+
+def test_top_k_of_huge_vectors(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 2.0]), (3, [1.0, 1.0]), (4, [1e12, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(x.vec_id, x.score) for x in topk.top_k(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    high, low = (1 << 63) - 1, -(1 << 63)
+    assert got == [(1, high), (3, high), (4, high), (2, low)]
+
+
 def test_top_k_beyond_doubles():
     q, rows = np.array([[1 << 27, 3]], dtype=np.int64), np.array([[1 << 27, k] for k in range(40)], dtype=np.int64)
     found = topk.best_in_group(np.array([99]), q, np.arange(40), rows, 3, 4)
@@ -257,6 +376,30 @@ You should have received a copy of the GNU General Public License
 along with this program."""
 
 
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software."""
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+CC0 = """To the extent possible under law, the author(s) have dedicated all
+copyright and related and neighboring rights to this software to the
+public domain worldwide."""
+
+
 @pytest.mark.parametrize("comment", ["", "# ", " * ", "// "])
 def test_wrapped_licences(spark, comment):
     bsd = ["BsdConditions", "BsdSource", "BsdBinary", "BsdEndorse", "BsdDisclaimer"]
@@ -268,6 +411,14 @@ def test_wrapped_licences(spark, comment):
         (APACHE, ["ApacheStatement", "ApacheCompliance", "ApacheCopy"], ["Apache-2.0"]),
         (GPL, ["Gpl3OrLater"], ["GPL-3.0-or-later"]),
         (GPL.replace("version 3", "version 2"), ["Gpl2OrLater"], ["GPL-2.0-or-later"]),
+        (GPL.replace("General", "Affero General"), ["Agpl3OrLater"], ["AGPL-3.0-or-later"]),
+        (LGPL, ["Lgpl21OrLater"], ["LGPL-2.1-or-later"]),
+        (ISC, ["IscGrant"], ["ISC"]),
+        (UNLICENSE, ["UnlicenseGrant"], ["Unlicense"]),
+        (EPL, ["Epl2Statement"], ["EPL-2.0"]),
+        (MPL, ["Mpl2Statement"], ["MPL-2.0"]),
+        (CC0, ["Cc0Dedication"], ["CC0-1.0"]),
+        *((re.sub(r"(?<!\n)\n(?!\n)", " ", x), i, f) for x, i, f in ((MIT, ["MitGrant", "MitNotice", "AsIs"], ["MIT"]), (LGPL, ["Lgpl21OrLater"], ["LGPL-2.1-or-later"]), (CC0, ["Cc0Dedication"], ["CC0-1.0"]), (MPL, ["Mpl2Statement"], ["MPL-2.0"]))),
         ("This work is licensed\nunder the Foo terms.\nReleased under the MIT License.", ["UNKNOWN", "MitStatement"], ["MIT", "Unknown"]),
         ("A title\nReleased under the MIT License\nand more", ["MitStatement"], ["MIT"]),
         ("It is said\nto be licensed\n\nunder the sea", [], []),
@@ -286,12 +437,13 @@ def test_licence_sentences_are_normalised(spark):
 # 5
 
 
-def cleaned(rows, min_sites, share=0.5):
+def cleaned(rows, min_sites):
+    bare = lambda line: line.strip(" \t\r\x0b\x0c")
     sites = {}
     for _, t, s in rows:
         for line in (t or "").split("\n"):
-            if line.strip(" ") and s is not None:
-                sites.setdefault(line.strip(" "), set()).add(s)
+            if bare(line) and s is not None:
+                sites.setdefault(bare(line), set()).add(s)
     bad = {k for k, v in sites.items() if len(v) >= min_sites}
     out = []
     for i, t, _ in rows:
@@ -299,9 +451,9 @@ def cleaned(rows, min_sites, share=0.5):
             out.append((i, 0, 0, None))
             continue
         ls = t.split("\n")
-        hit = [line for line in ls if line.strip(" ") in bad]
-        cut = hit and sum(map(len, hit)) <= share * len(t.replace("\n", ""))
-        out.append((i, len(ls), len(hit) if cut else 0, "\n".join(x for x in ls if x.strip(" ") not in bad) if cut else t))
+        hit = [line for line in ls if bare(line) in bad]
+        cut = any(bare(line) and bare(line) not in bad for line in ls)
+        out.append((i, len(ls), len(hit) if cut else 0, "\n".join(x for x in ls if bare(x) not in bad) if cut else t))
     return out
 
 
@@ -310,8 +462,11 @@ def test_lines(spark, min_sites):
     rows = [(i, f"{prose(i, 8)}\nAccept all cookies\n\n{prose(i + 500, 9)}", f"site{i % 60}") for i in range(120)]
     rows += [(200 + i, "one copied text\nof two lines", f"site{i}") for i in range(45)]
     rows += [(300, None, "a"), (301, "", "a"), (302, " Accept all cookies \n" + prose(1, 20), None), (None, "Accept all cookies\n" + prose(2, 20), "b"), (5, rows[5][1], "site5"), (303, "Accept all cookies", "z")]
-    rows += [(400 + i, f"near {prose(700 + i, 12)}\nseen at six", f"n{i}") for i in range(6)]
-    df = spark.createDataFrame([(i, t, "en", s, 0, "own") for i, t, s in rows], DOCS + ", n_removed string")
+    rows += [(400 + i, f"near {prose(700 + i, 12)}\nseen at six" + "\t\r" * (i % 2), f"n{i}") for i in range(6)]
+    rows += [(500, "Accept all cookies\r\n\tAccept all cookies\r\nx", "q"), (501, " \n\t\n", "q")]
+    clashing = ", n_removed string, id int, seal int, at int, cut int, other int, `_id` int"
+    df = spark.createDataFrame([(i, t, "en", s, 0, "own", 1, 2, 3, 4, 5, 6) for i, t, s in rows], DOCS + clashing)
+    assert lines.without_boilerplate(df).select("id", "seal", "at", "cut", "other", "_id").distinct().collect() == [(1, 2, 3, 4, 5, 6)]
     got = lines.without_boilerplate(df, min_sites=min_sites).select("doc_id", "n_lines", "n_removed", "text").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, cleaned(rows, min_sites)))
 
@@ -355,6 +510,42 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def sequences(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in out.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 1024 and at & (at - 1) == 0 or at == 1024
+    return {k: sum(n for _, n in own) for k, own in out.items()}
+
+
+def test_packing_of_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    t, texts = Tokenizer.from_file(packing.tokenizer_path()), [" " * 2_000_000, "\n" * 300_000 + "a", "a" + "\t " * 1_000 + "b c"]
+    encoder = packing.Encoder(packing.tokenizer_path())
+    for x in texts:
+        assert np.frombuffer(encoder.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    rows = packing.pack(docs(spark, texts)).collect()
+    assert sum(r.length for r in rows) == sum(len(t.encode(x, add_special_tokens=False).ids) + 1 for x in texts)
+    sequences(rows)
+
+
+def test_packing_of_items_that_do_not_fit_together(spark):
+    """Items of 600 to 999 ids never share a window whole; open windows stay bounded and nothing is padded."""
+    r = random.Random(2)
+    texts = [" ".join(["word"] * r.randint(600, 998)) for _ in range(400)]
+    rows = packing.pack(docs(spark, texts).coalesce(1), held=20_000).collect()
+    full = sequences(rows)
+    total = sum(r.length for r in rows)
+    assert total == sum(len(x.split()) + 1 for x in texts) and sum(full.values()) == total
+    assert sum(n < 1024 for n in full.values()) <= 10
+
+
 def test_levels_follow_the_rule():
     r, levels, counts = random.Random(9), packing.Levels(20), [0] * 21
     for _ in range(500):
@@ -407,6 +598,17 @@ def test_tool_calls(spark):
     assert got[1, "a"].record == '{"arguments":{"x":{"a":[1,2],"b":1},"y":2},"call_id":"a","content":"3","conv_id":1,"name":"add","place":0,"status":"linked"}'
 
 
+def test_circles_end_whatever_the_turns_are(spark, monkeypatch):
+    """Rounds are bounded by the longest chain of needs, not by turns."""
+    rounds, staged = [], toolcalls.staged
+    monkeypatch.setattr(toolcalls, "staged", lambda df, name: rounds.append(name) or staged(df, name))
+    big = 10**9
+    calls = [(1, "a", 1, "t", "{}", ["b"]), (1, "b", big, "t", "{}", ["a"]), (1, "c", 5, "t", "{}", ["d"]), (1, "d", big + 7, "t", "{}", []), (1, "e", 2, "t", "{}", ["b", "c"]), (1, "f", 3, "t", "{}", ["f"])]
+    got = {r.call_id: r.place for r in toolcalls.in_order(spark.createDataFrame(calls, toolcalls.CALLS)).collect()}
+    assert got == {"a": None, "b": None, "c": big + 8, "d": big + 7, "e": None, "f": None}
+    assert rounds.count("ready") == 3
+
+
 def test_tool_calls_in_messages(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", '{"tool_calls":[{"id":"k","name":"add","arguments":{"x":1}}]}'), (1, 2, "tool", '{"tool_call_id":"k","content":"ok"}'), (1, 3, "assistant", "done"), (1, 4, "tool", "{}"), (1, 5, None, None)]
     calls, results = toolcalls.messages_as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
@@ -471,6 +673,32 @@ def test_near_duplicates_through_a_hub(spark):
     assert sorted(map(tuple, minhash.near_duplicates(df).collect())) == want
 
 
+@pytest.mark.parametrize("scattered", [False, True])
+def test_near_duplicates_of_template_families(spark, monkeypatch, scattered):
+    """Families whose members are mostly just under the limit of one another: few pairs are met, no link is lost."""
+    r, met, confirmed = random.Random(6), [], minhash._confirmed
+
+    def counted(pairs, sets, percent):
+        met.append(pairs.count())
+        return confirmed(pairs, sets, percent)
+
+    monkeypatch.setattr(minhash, "_confirmed", counted)
+    words, rows = prose(31, 150).split(), []
+    for i in range(150):
+        w = words.copy()
+        for k in r.sample(range(30), 2) if scattered else ():
+            w[5 * k] = f"s{r.random()}"
+        if not scattered:
+            w[40:48] = [f"f{r.random()}" for _ in range(8)]
+        rows.append((i, " ".join(w)))
+    rows.append((900, rows[3][1] + " end"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = groups(rows)
+    assert sorted(map(tuple, minhash.near_duplicates(df).collect())) == want
+    assert len({c for _, _, c, _ in want}) == (150 if not scattered else len({c for _, _, c, _ in want}))
+    assert sum(met) < 5 * len(rows)
+
+
 def test_near_duplicates_with_odd_ids(spark):
     t = [prose(i, 20) for i in range(3)]
     df = spark.createDataFrame([(None, t[0]), (None, t[0]), (4, t[1]), (4, t[2]), (9, t[2]), (None, t[1]), (-5, t[1])], "doc_id long, text string")
