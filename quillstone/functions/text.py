@@ -41,6 +41,11 @@ def document(file: str = "file", type_: str = "type", name: str = "name", docstr
     )
 
 
+def metadata() -> Column:
+    """What a store keeps of a unit beside its document; calls as a JSON list."""
+    return F.struct("name", "file", "type", "start_line", "end_line", F.to_json("calls").alias("calls"))
+
+
 def within_budget(chunks: DataFrame, by: str = "question_id", rank: str = "rank", content: str = "content", *, each: int = CHUNK_CHARS, total: int = CONTEXT_CHARS) -> DataFrame:
     """Chunks with `taken`: what is left of each after cutting to `each` and then to what remains of `total`.
 
@@ -78,9 +83,11 @@ def json_object(raw: str | Column) -> Column:
 def parse_review(raw: str | Column) -> Column:
     """A review struct; a raw answer that does not parse becomes the summary, cut to 1000 characters."""
     r = F.from_json(json_object(raw), schemas.REVIEW)
+    # a score in quotes or with decimals counts, cut to a whole number
+    score = F.get_json_object(json_object(raw), "$.overall_score").try_cast("double").cast("int")
     return F.when(
         json_object(raw).isNotNull(),
-        F.struct(F.coalesce(r["overall_score"], F.lit(50)).alias("overall_score"), F.coalesce(r["issues"], F.from_json(F.lit("[]"), "array<struct<severity:string,line:int,description:string,suggestion:string>>")).alias("issues"), F.coalesce(r["strengths"], F.array().cast("array<string>")).alias("strengths"), F.coalesce(r["summary"], F.lit("")).alias("summary")),
+        F.struct(F.coalesce(score, F.lit(50)).alias("overall_score"), F.coalesce(r["issues"], F.from_json(F.lit("[]"), "array<struct<severity:string,line:int,description:string,suggestion:string>>")).alias("issues"), F.coalesce(r["strengths"], F.array().cast("array<string>")).alias("strengths"), F.coalesce(r["summary"], F.lit("")).alias("summary")),
     ).otherwise(
         F.struct(F.lit(50).alias("overall_score"), F.from_json(F.lit("[]"), "array<struct<severity:string,line:int,description:string,suggestion:string>>").alias("issues"), F.array().cast("array<string>").alias("strengths"), F.substring(raw, 1, 1000).alias("summary"))
     )

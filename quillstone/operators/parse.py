@@ -426,6 +426,18 @@ def parse_source(path: str, content: bytes) -> tuple[list[Unit], list[str]]:
     return [], []
 
 
+def unit_table():
+    """A table function of a path and a file's bytes: name, type, start_line, end_line, docstring, calls of its units."""
+
+    @F.udtf(returnType="name string, type string, start_line int, end_line int, docstring string, calls array<string>")
+    class Units:
+        def eval(self, path: str, content: bytes):
+            for u in parse_source(path, content or b"")[0] if path else []:
+                yield u.name, u.type, u.start_line, u.end_line, u.docstring, u.calls
+
+    return Units
+
+
 def parse_units(files: DataFrame, repo_id: str | Column) -> DataFrame:
     """schemas.UNITS from files (rel_path, content); a file that cannot be read gives no row."""
     columns = [c.split()[0] for c in schemas.UNITS.replace(", ", ",").split(",")]

@@ -515,6 +515,19 @@ def document_render(spark: SparkSession, sf: str) -> DataFrame:
     return units.select("id", text.document().alias("document"))
 
 
+@query
+def unit_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    return _units(spark, sf).select("id", text.metadata().alias("m")).select("id", "m.*")
+
+
+@query
+def review_scores_as_written(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores as numbers, in quotes, with decimals, or as words."""
+    score = F.element_at(F.array(F.lit("85"), F.lit('"85"'), F.lit("85.5"), F.lit('"high"')), (F.col("event_id") % 4 + 1).cast("int"))
+    raw = F.concat(F.lit('{"overall_score": '), score, F.lit(', "summary": "s"}'))
+    return _table(spark, sf, "events").select("event_id", text.parse_review(raw)["overall_score"].alias("score"))
+
+
 @query
 def unit_stats(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("doc_id") % 5 == 0, "class").otherwise("function")

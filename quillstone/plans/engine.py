@@ -12,6 +12,7 @@ from .. import schemas
 from ..functions import embed, text
 from ..operators import graph, parse, retrieve, store
 from ..sources import files
+from ..streaming import jobs
 
 
 class Busy(RuntimeError):
@@ -55,12 +56,25 @@ class Engine:
         percent = text.progress_percent(F.col("stage"), F.col("current_step"), F.col("total_steps"))
         return self.tasks().where(F.col("id") == task_id).withColumn("percent", percent)
 
-    def list_repos(self) -> DataFrame:
-        return store.repo_summary(self.repos())
+    def list_repos(self, status: str | None = None) -> DataFrame:
+        """Summaries, newest first; of one status only, if it is given."""
+        repos = self.repos()
+        return store.repo_summary(repos if status is None else repos.where(F.col("status") == status))
+
+    def progress_stream(self, task_id: str | None = None, *, timed: bool = True) -> DataFrame:
+        """A stream of the changes of tasks (see `jobs.progress`), of one task only, if it is given."""
+        here = store.current(self.spark, f"{self.path}/task_events")
+        if here is None:
+            raise KeyError("no task yet")
+        events = self.spark.readStream.schema(schemas.TASKS).parquet(here)
+        events = events if task_id is None else events.where(F.col("id") == task_id)
+        return jobs.progress(events.select(F.col("id").alias("task"), F.unix_micros("updated_at").alias("seq"), "stage", "current_step", "status"), timed)
 
     def health(self) -> dict[str, str]:
+        """ok, if Spark answers and the store's folder can be listed; else degraded."""
         try:
             ok = self.spark.sql("SELECT 1 AS one").first().one == 1
+            store.current(self.spark, f"{self.path}/repos")
         except Exception:
             ok = False
         return {"status": "ok" if ok else "degraded"}
@@ -161,8 +175,9 @@ class Engine:
         return text.context_prompts(retrieved, questions)
 
     def register_sql(self) -> None:
-        """SQL names of the engine's own functions."""
+        """SQL names of the engine's own functions, and parse_units(path, content), a table function."""
         from ..operators.curate import diff_changed_lines, python_parses
 
         self.spark.udf.register("diff_changed_lines", diff_changed_lines)
         self.spark.udf.register("python_parses", python_parses)
+        self.spark.udtf.register("parse_units", parse.unit_table())

@@ -245,6 +245,9 @@ SQL: dict[str, str] = {
         SELECT id, concat_ws(chr(10), 'File: ' || file, 'Type: function', 'Name: ' || name, CASE WHEN id % 2 = 0 AND name IS NOT NULL THEN 'Docstring: about ' || name END,
             CASE WHEN len(calls) > 0 THEN 'Calls: ' || array_to_string(calls, ', ') END, document) AS document FROM d""",
     ).replace("\n,", ","),
+    "unit_metadata": _with("units", """SELECT u.id, name, file, 'function' AS type, start_line, end_line, CASE WHEN words IS NULL THEN NULL ELSE coalesce(c.calls, '[]') END AS calls FROM units u LEFT JOIN (
+        SELECT id, '[' || string_agg('"' || w || '"', ',' ORDER BY p) || ']' AS calls FROM (SELECT id, w, min(p) AS p FROM (SELECT id, unnest(words) AS w, unnest(range(len(words))) AS p FROM units) GROUP BY id, w) GROUP BY id) c ON c.id = u.id"""),
+    "review_scores_as_written": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN 85 ELSE 50 END::INTEGER AS score FROM events",
     "unit_stats": "SELECT source, count(*) FILTER (doc_id % 5 <> 0) AS functions, count(*) FILTER (doc_id % 5 = 0) AS classes FROM documents GROUP BY 1",
     "batch_plan": _with("groups", "SELECT source, n, batches FROM groups"),
     "batch_progress": _with(

@@ -122,3 +122,28 @@ def test_order_of_answer_streams(spark):
     df = spark.createDataFrame(events, "stream string, seq long, event string")
     got = {(r.stream, r.seq, r.before) for r in text.order_faults(df).collect()}
     assert got == {("b", 1, None), ("c", 2, "error"), ("d", 2, "retrieval_done")}
+
+
+def test_progress_stream_health_and_table_function(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "data"))
+    e._note("t", "r", "parsing", 1, 3)
+    e._note("t", "r", "parsing", 1, 3)
+    e._note("t", "r", "complete", 3, 3, "complete")
+    rows = jobs.run_available(e.progress_stream("t", timed=False), "progress-test")
+    assert sorted(r.event for r in rows.collect()) == ["complete", "progress"]
+    assert e.health() == {"status": "ok"} and e.list_repos("complete").count() == 0
+    e.register_sql()
+    rows = spark.sql("SELECT * FROM parse_units('a.py', encode('def f(x):\\n    return g(x)\\n', 'UTF-8'))").collect()
+    assert [(r.name, r.type, r.calls) for r in rows] == [("f", "function", ["g"])]
+
+
+def test_manifest_and_seeded_order(spark):
+    from quillstone.operators import curate
+
+    out = spark.createDataFrame([("/a/train.jsonl", bytearray(b"x")), ("/a/test.jsonl", bytearray(b"y"))], "path string, content binary")
+    counts = spark.createDataFrame([("train", 3), ("test", 1)], "split string, n long")
+    row = curate.manifest(out, counts).first()
+    assert row.rows == {"train": 3, "test": 1} and row.sha256["train.jsonl"] == "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"
+    keys = spark.range(50)
+    a, b = ([r.id for r in curate.shuffled(keys, "id", seed).orderBy("pos").collect()] for seed in (42, 43))
+    assert sorted(a) == list(range(50)) and a != sorted(a) and a != b and a == [r.id for r in curate.shuffled(keys, "id").orderBy("pos").collect()]
