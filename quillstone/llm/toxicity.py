@@ -218,11 +218,35 @@ def readings(token: str, channel: Channel) -> Iterator[str]:
             yield from re.findall(r"[^\W_]+", channel.decode(text[max(0, start - OVERLAP) : start + CHUNK], spelt=spelt))
 
 
+_PIECE = re.compile(r"[a-z0-9@$!|]{1,4}")
+#: Log probability a character under which a short token is unusual as a word.
+UNUSUAL = -3.2
+
+
+def piece(token: str, channel: Channel) -> int:
+    """1 for a short token that may be a part of a word, 2 if it is also unusual as a word by itself, else 0."""
+    if len(token) > 4 or not _PIECE.fullmatch(token) or not _LETTER.search(token):
+        return 0
+    context, score = 0, 0.0
+    for c in f"{token} ":
+        gram = context * SYMBOLS + _class_of(c)
+        score, context = score + channel.logp[gram], gram % SYMBOLS ** (ORDER - 1)
+    return 2 if score < UNUSUAL * (len(token) + 1) else 1
+
+
+def joined(a: str, b: str, channel: Channel) -> str:
+    """The word that two tokens restore to if the likeliest way drops the space between them, else nothing."""
+    text = channel.decode(f"{a} {b}")
+    return text if text.isalpha() else ""
+
+
 def restored_words(text: str | None, known: Restorer) -> Counter:
-    """A text's words, counted, with those that its tokens and runs of letters restore to."""
+    """A text's words, counted, with those that its tokens, its runs of letters and neighbouring pieces restore to."""
     tokens = text.lower().split() if text else []
     out = Counter(w for words in map(known.__getitem__, tokens) for w in words)
     out.update(spaced_words(tokens, [i for i, t in enumerate(tokens) if is_single(t)], known.channel))
+    pieces = [piece(t, known.channel) for t in tokens]
+    out.update(w for i in range(len(tokens) - 1) if pieces[i] and pieces[i + 1] and (pieces[i] | pieces[i + 1]) & 2 and (w := joined(tokens[i], tokens[i + 1], known.channel)))
     return out
 
 
@@ -367,8 +391,9 @@ def train(rows: list[tuple[list[str], np.ndarray, int, float]], *, terms: int =
 class _Marks(dict):
     """Of a token, one number: the words it restores to, whether it is a single letter, and which terms it has.
 
-    Bits 0 to 23 count words, bit 24 marks single letters, and what is above is the place of the
-    token's terms in `lists`; place 0 is no terms, as almost all tokens have.
+    Bits 0 to 23 count words, bit 24 marks single letters, bits 25 and 26 are what `piece` gives,
+    and what is above is the place of the token's terms in `lists`; place 0 is no terms, as almost
+    all tokens have. `pairs` holds what neighbouring pieces restore to.
     """
 
     def __init__(self, restorer: Restorer, weights: dict[str, float], limit: int = 250_000):
@@ -377,6 +402,20 @@ class _Marks(dict):
         self.starts = {t[:4] for t in weights}  # a word with any term begins like one
         self.lists: list[tuple[str, ...]] = [()]
         self.places: dict[tuple[str, ...], int] = {(): 0}
+        self.pairs: dict[tuple[str, str], str] = {}
+
+    def pair(self, a: str, b: str) -> str:
+        if (word := self.pairs.get((a, b))) is None:
+            if len(self.pairs) >= self.limit:
+                self.pairs.clear()
+            word = self.pairs[a, b] = joined(a, b, self.restorer.channel)
+        return word
+
+    def renew(self) -> None:
+        """Starts anew between texts, so that what a text's numbers point to stays while it is scored."""
+        if len(self) >= self.limit:
+            self.clear()
+            self.lists, self.places = [()], {(): 0}
 
     def terms(self, words: list[str] | tuple[str, ...]) -> tuple[str, ...]:
         return tuple(t for w in words if w[:4] in self.starts for t in _beginnings(w) if t in self.weights)
@@ -387,10 +426,8 @@ class _Marks(dict):
         if found not in self.places:
             self.places[found] = len(self.lists)
             self.lists.append(found)
-        value = min(len(words), (1 << 24) - 1) | is_single(token) << 24 | self.places[found] << 25
+        value = min(len(words), (1 << 24) - 1) | is_single(token) << 24 | piece(token, self.restorer.channel) << 25 | self.places[found] << 27
         if len(token) <= LONGEST_KEPT:
-            if len(self) >= self.limit:
-                self.clear()
             self[token] = value
         return value
 
@@ -403,10 +440,11 @@ def _scorer(shared):
         marks = _Marks(Restorer(channel), weights)
 
         def value(text: str | None) -> float:
+            marks.renew()
             tokens = text.lower().split() if text else []
             m = np.fromiter(map(marks.__getitem__, tokens), dtype=np.int64, count=len(tokens))
             n, seen = int((m & (1 << 24) - 1).sum()), Counter()
-            places = m >> 25
+            places = m >> 27
             for place, times in zip(*np.unique(places[places > 0], return_counts=True), strict=True):
                 for t in marks.lists[place]:
                     seen[t] += int(times)
@@ -415,6 +453,11 @@ def _scorer(shared):
                 words = spaced_words(tokens, at.tolist(), channel)
                 n += len(words)
                 seen.update(marks.terms(words))
+            pieces = m >> 25 & 3
+            for i in np.flatnonzero((pieces[:-1] > 0) & (pieces[1:] > 0) & ((pieces[:-1] | pieces[1:]) > 1)).tolist():
+                if word := marks.pair(tokens[i], tokens[i + 1]):
+                    n += 1
+                    seen.update(marks.terms([word]))
             return bias + length * float(np.log1p(n)) + sum(weights[t] * float(np.log1p(k)) for t, k in seen.items())
 
         for batch in texts:

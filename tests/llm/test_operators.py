@@ -143,6 +143,12 @@ def test_quality_scores_are_averages_of_vectors(spark):
         assert got[i][0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6) and got[i][1] == 1
 
 
+def test_words_cut_by_a_space_are_joined():
+    known = toxicity.Restorer(channel("you stupid idiot and shit of an ass or asshole"))
+    found = toxicity.restored_words("you stu pid id1 ot and of", known)
+    assert found["stupid"] == 1 and found["idiot"] == 1 and found["you"] == 1 and "youstu" not in found and "andof" not in found
+
+
 def test_channel_model_sums_to_one(spark):
     logp = toxicity.character_model(docs(spark, [prose(1, 400), None, "é ß 12"]))
     assert np.allclose(np.exp(logp.reshape(-1, toxicity.SYMBOLS)).sum(axis=1), 1, atol=1e-4)
