@@ -288,7 +288,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(buckets)
     weights = members.groupBy("node", "id").agg(F.sum("n").alias("weight"))
     weights = staged(weights, "weights")
-    chosen = own.join(weights.select("id").distinct(), "id", "left_semi").distinct().withColumn("s", _sets(size)("text"))
+    # how many ids there are grows with the documents, so they are never broadcast
+    chosen = own.join(weights.select("id").distinct().hint("merge"), "id", "left_semi").distinct().withColumn("s", _sets(size)("text"))
     nodes = classes.join(weights.select("node"), "node", "left_semi")
     sets = staged(chosen.select("s.fp", "s.shingles", "s.bits").join(nodes, "fp").dropDuplicates(["node"]).select("node", F.size("shingles").cast("long").alias("n"), "shingles", "bits"), "sets")
 
@@ -297,8 +298,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = staged(sketches.join(several, "id", "left_semi").join(classes, "fp").select("id", "node").distinct(), "joined")
     links = joined.join(joined.groupBy("id").agg(F.min("node").alias("b")), "id").where("node <> b").select(F.col("node").alias("a"), "b")
 
-    members = members.drop("id", "n").join(weights.select("node", "weight"), "node")
-    placed, tried = staged(members.withColumn("component", F.col("node")), "placed"), None
+    placed = members.drop("id", "n").join(weights.select("node", "weight"), "node").withColumn("component", F.col("node"))
+    placed, tried = staged(placed, "placed"), None
+    discard(members)
     for _ in range(stars):
         pairs = staged(_star_pairs(placed, tried), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
@@ -318,7 +320,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     where = staged(where.select("fp", "rep", "component"), "where")
     smallest = where.where("component is not null").groupBy("component").agg(F.min("rep").alias("smallest"))
     where = staged(where.join(smallest, "component", "left").select("fp", "smallest"), "where")
-    discard(placed, sets, left, weights, new)
+    discard(placed, sets, left, weights, new, classes, label)
     return (
         sketches.select("id", "n_shingles", "fp")
         .join(where, "fp", "left")
