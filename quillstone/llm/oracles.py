@@ -83,7 +83,7 @@ _ID = "(CASE WHEN conv_id % 11 = 4 THEN floor({0} / 4.0)::BIGINT * 4 ELSE {0} EN
 TOOLCALLS = f"""
     WITH RECURSIVE asked AS (
         SELECT conv_id, {_ID.format("turn")} AS call_id, turn,
-               CASE WHEN conv_id % 13 = 5 THEN [{_ID.format("(turn - 2)")}, {_ID.format("(turn + 2)")}] WHEN conv_id % 3 = 0 THEN [{_ID.format("(turn + 2)")}] ELSE [{_ID.format("(turn - 2)")}] END AS needs,
+               CASE WHEN conv_id % 13 = 5 THEN [{_ID.format("(turn - 2)")}, {_ID.format("(turn + 2)")}] WHEN conv_id % 3 = 0 THEN CASE WHEN (turn // 2) % 4 <> 3 THEN [{_ID.format("(turn + 2)")}] END ELSE [{_ID.format("(turn - 2)")}] END AS needs,
                CASE WHEN conv_id % 7 = 3 THEN '[' || coalesce(to_json(text), 'null') || ']' ELSE '{{' || concat_ws(',',
                    CASE WHEN conv_id % 7 = 1 THEN '"chars":"' || length(text) || '"' ELSE '"chars":' || length(text) END,
                    CASE WHEN conv_id % 7 = 2 THEN '"role":"user"' END, '"text":' || to_json(text)) || '}}' END AS arguments,

@@ -118,8 +118,8 @@ def turns_as_events(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The supplied conversations hold no calls, so their ids decide what a call is like. A call's
     identifier is its turn; in every 11th conversation two turns of four share one. A call waits
-    for the user's turn before it; in every third conversation it waits for the one after it, so
-    order must be made; in every 13th also for the one before, which is a circle. Arguments are
+    for the user's turn before it; in every third conversation three of four wait for the one after
+    them, so order must be made; in every 13th all wait for both, which is a circle. Arguments are
     {"chars", "text"}; in some conversations chars is text, a field is added, or they are no object.
     JSON messages of the form {"tool_calls": [{"id", "name", "arguments", "after"}]} (assistant)
     and {"tool_call_id", "content"} (tool) are read by `messages_as_events`.
@@ -134,7 +134,7 @@ def turns_as_events(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(every(7, 3), F.to_json(F.array("text")))
         .otherwise(F.to_json(F.struct(chars, "text")))
     )
-    after = F.when(every(13, 5), F.array(number(-2), number(2))).when(every(3, 0), F.array(number(2))).otherwise(F.array(number(-2)))
+    after = F.when(every(13, 5), F.array(number(-2), number(2))).when(every(3, 0), F.when(F.pmod(F.floor(F.col("turn") / 2), F.lit(4)) != 3, F.array(number(2)))).otherwise(F.array(number(-2)))
     asked = own.where("role = 'user'").select("conv_id", number(0).alias("call_id"), "turn", F.lit("ask").alias("name"), arguments.alias("arguments"), after.alias("after"))
     answered = own.where("role = 'assistant'").select("conv_id", number(-1).alias("call_id"), "turn", F.col("text").alias("content"))
     return asked, answered
