@@ -29,7 +29,7 @@ BATCH_BYTES = 16 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not the plan before it, and
@@ -38,7 +38,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    spark.conf.set(_BATCH, str(batch_bytes))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:

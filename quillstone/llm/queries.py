@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, lines, minhash, oracles, packing, quality, toolcalls, topk, toxicity, warc
+from . import alignment, decontaminate, licences, lines, minhash, oracles, packing, quality, toolcalls, topk, toxicity, warc
 from .common import table
 
 
@@ -55,6 +55,10 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_minhash_near_dedup,
         op9_subword_quality,
         op10_warc_salvage,
+        op13_cross_tokenizer_alignment,
     )
 }
 
