@@ -118,3 +118,26 @@ TOOLCALLS = f"""
                '"place":' || place, '"status":"' || status || '"') || '}}' AS record
     FROM b LEFT JOIN placed USING (conv_id, call_id)
 """
+
+
+# HUGEINT keeps products of counts and billions whole
+DIVERGENCE = r"""
+    WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS rn, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT lang, source, rn, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT rn) >= 10),
+    size AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY 1),
+    own AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w JOIN kept k USING (lang, term) GROUP BY 1, 2, 3),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    room AS (SELECT lang, source, coalesce(any_value(size.v), 0) AS v, coalesce(sum(own.n), 0)::HUGEINT AS n FROM g LEFT JOIN own USING (lang, source) LEFT JOIN size USING (lang) GROUP BY 1, 2),
+    p AS (
+        SELECT r.lang, r.source, k.term, coalesce(o.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(o.n, 0) + 2) // (r.n + 2 * r.v) AS p,
+               1 + 1000000000::HUGEINT * (k.n + 2) // (s.n + 2 * s.v) AS q
+        FROM room r JOIN kept k USING (lang) JOIN size s USING (lang) LEFT JOIN own o ON o.lang = r.lang AND o.source = r.source AND o.term = k.term
+    ),
+    sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    said AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+    both_parts AS (FROM pairs UNION ALL FROM said),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts)
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
