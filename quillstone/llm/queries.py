@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, divergence, licences, lines, minhash, oracles, packing, quality, toolcalls, topk, toxicity, warc
+from . import alignment, decontaminate, divergence, langid, licences, lines, minhash, oracles, packing, quality, toolcalls, topk, toxicity, warc
 from .common import table
 
 
@@ -55,6 +55,10 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_minhash_near_dedup,
         op9_subword_quality,
         op10_warc_salvage,
+        op11_compression_language,
         op12_source_divergence,
         op13_cross_tokenizer_alignment,
     )

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def remainder(id_col: str | Column) -> Column:
-    """crc32 of the id's text, modulo 5; null for a null id."""
+def remainder(id_col: str | Column, by: int = 5) -> Column:
+    """crc32 of the id's text, modulo `by`; null for a null id."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.pmod(F.crc32(F.encode(c.cast("string"), "UTF-8")), F.lit(5))
+    return F.pmod(F.crc32(F.encode(c.cast("string"), "UTF-8")), F.lit(by))
 
 
 def is_held_out(id_col: str | Column) -> Column:
