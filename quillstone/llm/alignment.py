@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ from .packing import Encoder, _bytes_of_symbols, tokenizer_path
 #: Bytes whose ends are counted into bins at a time.
 WINDOW = 1 << 20
 #: Bytes of text in an Arrow batch: a batch's tokens, ends and links are in memory together.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 2 << 20
 
 
 def byte_level_bytes(path: str) -> list[bytes]:
@@ -49,52 +51,88 @@ def piece_bytes(pieces) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if pieces.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, pieces.id_to_piece(i)) for i in range(pieces.get_piece_size()))]
 
 
-class Both(dict):
-    """The ids of both tokenizers for a word with a space before it, as little-endian uint32 bytes.
+class Both:
+    """The ids of both tokenizers for whole texts, as little-endian uint32 bytes.
 
-    A's words never join ids over a boundary before a single space between other signs (see
-    `Encoder`). Nor do B's, if no piece of its vocabulary has a space after another sign; else
-    texts are encoded whole. None where a token's bytes do not give back the word.
+    Texts are cut before single spaces that have other signs on both sides. A's ids never join
+    over such a place (see `Encoder`), nor do B's, if no piece of its vocabulary has a space
+    after another sign; else texts are encoded whole. The words between are encoded once a batch
+    and kept in bounded tables. A word or text whose tokens' bytes do not give it back has none.
     """
 
-    LONGEST_KEPT = 64
+    IRREGULAR, PLACE = re.compile(r"^\s|\s$|\s | \s"), re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, a_path: str, b_path: str, limit: int = 250_000):
-        super().__init__()
+    def __init__(self, a_path: str, b_path: str, limit: int = 200_000, signs: int = 8_000_000):
         import sentencepiece
 
-        self.limit = limit
         encoder = Encoder(a_path)
         encoder.whole.encode_special_tokens = True
-        self.a = encoder.piece
+        self.piece = encoder.piece
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a_bytes, self.b_bytes = byte_level_bytes(a_path), piece_bytes(self.pieces)
+        self.a_len, self.b_len = (np.fromiter(map(len, x), dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
         self.by_word = not any(b" " in p.lstrip(b" ") for p in self.b_bytes)
+        self.limit, self.signs, self.held = limit, signs, 0
+        self.a: dict[str, bytes] = {}
+        self.b: dict[str, bytes] = {}
 
     def read(self, text: str) -> tuple[bytes, bytes] | None:
-        a, b = self.a(f" {text}"), self.pieces.encode(text)
+        a, b = self.piece(f" {text}"), self.pieces.encode(text)
         want = f" {text}".encode()
         if b"".join(map(self.a_bytes.__getitem__, a)) != want or b"".join(map(self.b_bytes.__getitem__, b)) != want:
             return None
         return np.array(a, dtype="<u4").tobytes(), np.array(b, dtype="<u4").tobytes()
 
-    def __missing__(self, word: str) -> tuple[bytes, bytes] | None:
-        found = None if not word or word[0].isspace() or word[-1].isspace() else self.read(word)
-        if len(word) <= self.LONGEST_KEPT:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = found
-        return found
-
-    def encode(self, text: str | None) -> tuple[bytes, bytes]:
+    def _keep(self, word: str, ids: tuple[bytes, bytes] | None) -> None:
+        if ids:
+            self.a[word], self.b[word] = ids
+            self.held += len(word)
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words together: A's as one text, cut where words end."""
+        whole = [w for w in words if w and not (w[0].isspace() or w[-1].isspace())]
+        joined = f" {' '.join(whole)}"
+        sizes = np.fromiter((len(w.encode()) + 1 for w in whole), dtype=np.int64, count=len(whole))
+        a, b = self.piece(joined) if whole else [], self.pieces.encode(whole)
+        flat = list(chain.from_iterable(b))
+        ends = [np.cumsum(n[x]) for n, x in ((self.a_len, np.array(a, dtype=np.int64)), (self.b_len, np.array(flat, dtype=np.int64)))]
+        stops = [np.searchsorted(e, np.cumsum(sizes)) + 1 for e in ends]
+        raw = joined.encode() if whole else b""
+        if all(b"".join(map(known.__getitem__, x)) == raw for known, x in ((self.a_bytes, a), (self.b_bytes, flat))) and np.array_equal(stops[1], np.cumsum(np.fromiter(map(len, b), dtype=np.int64, count=len(b)))):
+            a_ids, b_ids = (np.array(x, dtype="<u4").tobytes() for x in (a, flat))
+            a_stops, b_stops = ((4 * x).tolist() for x in stops)
+            self.a.update(zip(whole, map(a_ids.__getitem__, map(slice, [0, *a_stops], a_stops)), strict=True))
+            self.b.update(zip(whole, map(b_ids.__getitem__, map(slice, [0, *b_stops], b_stops)), strict=True))
+            self.held += len(raw)
+        else:
+            for word in whole:
+                self._keep(word, self.read(word))
+        if len(whole) < len(words):
+            for word in set(words).difference(whole):
+                self._keep(word, self.read(word))
+
+    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
         """Empty for a text that has no tokens or that one of the two does not give back."""
-        if not text:
-            return b"", b""
-        if self.by_word:
-            words = list(map(self.__getitem__, text.split(" ")))
-            if None not in words:
-                return b"".join([w[0] for w in words]), b"".join([w[1] for w in words])
-        return self.read(text) or (b"", b"")
+        if not self.by_word:
+            found = [t and self.read(t) or (b"", b"") for t in texts]
+            return [x for x, _ in found], [x for _, x in found]
+        if len(self.a) > self.limit or self.held > self.signs:
+            self.a.clear()
+            self.b.clear()
+            self.held = 0
+        words = [(self.PLACE.split(t) if self.IRREGULAR.search(t) else t.split(" ")) if t else [] for t in texts]
+        new = list(set(chain.from_iterable(words)).difference(self.a))
+        for low in range(0, len(new), 4096):
+            self.learn(new[low : low + 4096])
+        a, b = [], []
+        for own in words:
+            try:
+                ids = b"".join(map(self.a.__getitem__, own)), b"".join(map(self.b.__getitem__, own))
+            except KeyError:  # a word that is not given back
+                ids = b"", b""
+            a.append(ids[0])
+            b.append(ids[1])
+        return a, b
 
 
 def aligned(a: np.ndarray, b: np.ndarray, a_len: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -158,11 +196,11 @@ def _align(a_path: str, b_path: str, with_groups: bool):
         for batch in batches:
             if both is None:
                 both = Both(a_path, b_path)
-                a_len, b_len = (np.fromiter(map(len, x), dtype=np.int64) for x in (both.a_bytes, both.b_bytes))
+                a_len, b_len = both.a_len, both.b_len
                 texts, kind = _Texts(max(len(a_len), len(b_len))), _kind(len(a_len), len(b_len))
-            ids = list(map(both.encode, batch.text))
-            a, b = (np.frombuffer(b"".join([x[k] for x in ids]), dtype="<u4").astype(np.int64) for k in (0, 1))
-            n_a, n_b = (np.array([len(x[k]) // 4 for x in ids], dtype=np.int64) for k in (0, 1))
+            ids = both.encode(batch.text.tolist())
+            a, b = (np.frombuffer(b"".join(x), dtype="<u4").astype(np.int64) for x in ids)
+            n_a, n_b = (np.array([len(x) // 4 for x in side], dtype=np.int64) for side in ids)
             del ids
             at, in_a, in_b, cut = aligned(a, b, a_len, b_len)
             # prefix sums at the documents' ends; a document's last byte ends a token of each
@@ -272,7 +310,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, a_
     A text that is null or empty, or that one tokenizer's bytes do not give back with a space
     before it, has no tokens: zeros and an empty digest. Ids may be null or repeat, as each row
     is a document of its own; repeated texts count as often as they occur. Other columns are not
-    read. An empty table gives no rows. A task holds one Arrow batch of about 3 MB of text, or a
+    read. An empty table gives no rows. A task holds one Arrow batch of about 2 MB of text, or a
     longer text of its own, and `common_pairs` pairs with their counts.
     """
     a_path, b_path = a_path or tokenizer_path(), b_path or tokenizer_path("piece_bpe_32k.model")
@@ -284,7 +322,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, a_
     links = staged(own.mapInPandas(_align(a_path, b_path, False), ROWS), "alignment", batch_bytes=BATCH_BYTES)
     pairs = pair_counts(links, a_size, b_size)
     *table, least = common(pairs, common_pairs)
-    found = staged(links.mapInPandas(_look_up(spark.sparkContext.broadcast(tuple(table)), _kind(a_size, b_size)), LOOKED_UP), "alignment-sums", batch_bytes=8 * BATCH_BYTES)
+    found = staged(links.mapInPandas(_look_up(spark.sparkContext.broadcast(tuple(table)), _kind(a_size, b_size)), LOOKED_UP), "alignment-sums", batch_bytes=4 * BATCH_BYTES)
     rare = pairs.where(F.floor(F.log2("n")) < least)
     rest = (
         found.where(F.size("rest") > 0)
