@@ -21,8 +21,9 @@ def symbols(text: str | Column) -> Column:
     """Names that a question mentions: dotted or underscored identifiers, and what stands in backticks.
 
     Sorted, each once, the first eight. Identifiers are ASCII and end where ASCII word characters do.
+    The repeated group is possessive: else the pattern recurses for each part of a dotted name.
     """
-    plain = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)"), F.lit(1))
+    plain = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*+(?:\.[A-Za-z_][A-Za-z0-9_]*+)*+)"), F.lit(1))
     named = F.filter(plain, lambda t: F.contains(t, F.lit("_")) | F.contains(t, F.lit(".")))
     quoted = F.regexp_extract_all(text, F.lit("`([A-Za-z_][A-Za-z0-9_.]*)`"), F.lit(1))
     return F.slice(F.array_sort(F.array_union(named, quoted)), 1, MAX_SYMBOLS)
@@ -73,10 +74,18 @@ def context_prompts(chunks: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def json_object(raw: str | Column) -> Column:
-    """The JSON object in a model's answer: in a fence, else from the first brace to the last; null if there is none or it is malformed."""
-    fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    braces = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
-    text = F.when(fenced != "", fenced).when(braces != "", braces)
+    """The JSON object in a model's answer: in a fence, else from the first brace to the last; null if there is none or it is malformed.
+
+    A fence is looked for in two steps, and braces by their places, so that a text of many
+    openings without an end is read once, not once for each.
+    """
+    raw = _c(raw)
+    opened = F.regexp_extract(raw, r"(?s)```(?:json)?\s*+(\{.*+)", 1)
+    fenced = F.regexp_extract(opened, r"(?s)^(\{.*?\})\s*+```", 1)
+    first = F.instr(raw, "{")
+    last = F.length(raw) - F.instr(F.reverse(raw), "}") + 1
+    braces = F.when((first > 0) & (last > first) & F.contains(raw, F.lit("}")), F.substring(raw, first, last - first + 1))
+    text = F.when(fenced != "", fenced).otherwise(braces)
     return F.when(F.try_parse_json(text).isNotNull(), text)
 
 
@@ -172,7 +181,7 @@ SAMPLE_PARTS = (
 
 def stripped(text: str | Column) -> Column:
     """A text without the white space at its ends; empty for null."""
-    return F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"^\s+|\s+$", "")
+    return F.btrim(F.coalesce(_c(text), F.lit("")), F.lit(" \t\n\x0b\f\r"))
 
 
 def training_sample(message: str | Column, old: str | Column, new: str | Column, url: str | Column) -> Column:

@@ -80,16 +80,22 @@ def expanded(found: DataFrame, chunks: DataFrame, edges: DataFrame) -> DataFrame
 
 
 def flatten_result(result: DataFrame) -> DataFrame:
-    """Parallel arrays of one vector-store answer as rows; what is missing gets a default."""
+    """Parallel arrays of one vector-store answer as rows, as many as the shortest list has.
+
+    Distances that are not there at all count as 0; documents or metadata that are not there
+    count as empty lists. What is missing inside a row gets a default.
+    """
     first = lambda c: F.coalesce(F.try_element_at(c, F.lit(1)), F.array())
-    zipped = result.select(F.posexplode(first("ids")).alias("place", "id"), "documents", "metadatas", "distances")
-    at = lambda c: F.try_element_at(F.try_element_at(c, F.lit(1)), F.col("place") + 1)
-    meta = at("metadatas")
-    return zipped.select(
+    ids = first("ids")
+    distances = F.when(F.col("distances").isNull(), F.array_repeat(F.lit(0.0), F.size(ids))).otherwise(first("distances"))
+    shortest = F.least(*map(F.size, (ids, first("documents"), first("metadatas"), distances)))
+    zipped = result.select(F.slice(F.arrays_zip(ids.alias("id"), first("documents").alias("document"), first("metadatas").alias("meta"), distances.alias("distance")), F.lit(1), shortest).alias("z"))
+    rows = zipped.select(F.inline("z"))
+    return rows.select(
         "id",
-        F.coalesce(meta["name"], F.lit("")).alias("name"),
-        F.coalesce(meta["file"], F.lit("")).alias("file"),
-        F.array(F.coalesce(meta["start_line"], F.lit(0)), F.coalesce(meta["end_line"], F.lit(0))).alias("lines"),
-        embed.similarity(F.coalesce(at("distances"), F.lit(0.0))).alias("sim"),
-        F.coalesce(at("documents"), F.lit("")).alias("content"),
+        F.coalesce("meta.name", F.lit("")).alias("name"),
+        F.coalesce("meta.file", F.lit("")).alias("file"),
+        F.array(F.coalesce("meta.start_line", F.lit(0)), F.coalesce("meta.end_line", F.lit(0))).alias("lines"),
+        embed.similarity("distance").alias("sim"),
+        F.coalesce("document", F.lit("")).alias("content"),
     )

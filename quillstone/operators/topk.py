@@ -81,17 +81,68 @@ def sparse_top_k(questions: DataFrame, documents: DataFrame, k: int, *, tiles: i
     return ranked(met, k, "question_id", F.desc("sim"), F.asc("id"))
 
 
-def dense_top_k(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, k: int, *, where: Column | None = None, tiles: int = 16) -> DataFrame:
+def _unit(vectors: pd.Series) -> np.ndarray:
+    """Rows of unit length; a vector that is null, not finite or zero becomes zeros, and is like nothing."""
+    width = max((len(v) for v in vectors if v is not None), default=0)
+    flat = np.array([np.zeros(width) if v is None else v for v in vectors], dtype=np.float64).reshape(len(vectors), width)
+    length = np.sqrt((flat * flat).sum(axis=1))
+    good = np.isfinite(length) & (length > 0)
+    return np.where(good[:, None], flat, 0.0) / np.where(good, length, 1.0)[:, None]
+
+
+def _products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products; a side without a single vector has no width, and its products are 0."""
+    return left @ right.T if left.shape[1] and right.shape[1] else np.zeros((len(left), len(right)))
+
+
+def packed_dense(rows: DataFrame, size: int, name: str, *keys: str) -> DataFrame:
+    """Vectors (id, v) of a partition, `size` at a time, as few wide rows: `keys`, {name}_ids and {name}_flat.
+
+    Rows of a pack have the same keys, so a partition should hold those together.
+    """
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, group in batch.groupby(list(keys), sort=False) if keys else [((), batch)]:
+                for at in range(0, len(group), size):
+                    part = group.iloc[at : at + size]
+                    own = {k: [x] for k, x in zip(keys, key, strict=True)}
+                    yield pd.DataFrame(own | {f"{name}_ids": [part["id"].to_list()], f"{name}_flat": [_unit(part["v"]).tobytes()]})
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*keys, "id", "v").mapInPandas(pack, "".join(f"{k} {kinds[k]}, " for k in keys) + f"{name}_ids array<{kinds['id']}>, {name}_flat binary")
+
+
+def meet_dense(pairs: DataFrame, k: int, query_type: str, id_type: str) -> DataFrame:
+    """(query_id, id, sim) of pairs of packs (q_, d_): each query's k best rows of a block but itself, by similarity, then id."""
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                asked, ids = np.asarray(r.q_ids), np.asarray(r.d_ids)
+                order = np.argsort(ids, kind="stable")
+                ids = ids[order]
+                left, right = (np.frombuffer(x).reshape(n, -1) for x, n in ((r.q_flat, len(asked)), (r.d_flat, len(ids))))
+                sims = np.maximum(np.round(_products(left, right[order]), PLACES), 0.0)
+                sims[asked[:, None] == ids[None, :]] = -1.0
+                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                top = np.take_along_axis(sims, best, axis=1)
+                q, at = np.nonzero(top >= 0)
+                yield pd.DataFrame({"query_id": asked[q], "id": ids[best[q, at]], "sim": top[q, at]})
+
+    return pairs.select("q_ids", "q_flat", "d_ids", "d_flat").mapInPandas(meet, f"query_id {query_type}, id {id_type}, sim double")
+
+
+def dense_top_k(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, k: int, *, where: Column | None = None, tiles: int | None = None) -> DataFrame:
     """(query_id, id, sim, rank): cosine similarity of each query with every other row, not below 0.
 
-    Norms are computed once a row. Rows are dealt to `tiles`; each query goes to every tile,
-    so the work is an equi-join whose tasks do not depend on any key of the data.
+    Rows travel once, packed in blocks that are dealt to tiles; each batch of queries goes to
+    every tile and meets a block in one product of matrices. k rows a query leave a meeting.
     """
     rows = rows if where is None else rows.where(where)
-    unit = lambda df: df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), embed.norm(vector_col).alias("norm"))
-    right = unit(rows).withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)))
-    left = unit(queries).select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("norm").alias("qnorm"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("tile"))
-    product = F.when((F.col("norm") > 0) & (F.col("qnorm") > 0), embed.dot("v", "qv") / (F.col("norm") * F.col("qnorm"))).otherwise(F.lit(0.0))
-    pairs = left.join(right, "tile").where("id <> query_id")
-    hits = pairs.select("query_id", "id", F.round(embed.similarity(F.lit(1.0) - product), PLACES).alias("sim"))
-    return ranked(hits, k, "query_id", F.desc("sim"), F.asc("id"))
+    tiles = tiles or max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = lambda df: df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    blocks = packed_dense(own(rows), BLOCK, "d").withColumn("tile", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(tiles)).cast("int"))
+    asked = packed_dense(own(queries), BATCH, "q").withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    met = meet_dense(asked.join(blocks, "tile"), k, dict(queries.dtypes)[id_col], dict(rows.dtypes)[id_col])
+    return ranked(met, k, "query_id", F.desc("sim"), F.asc("id"))

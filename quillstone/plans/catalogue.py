@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import embed, metrics, text
-from ..operators import curate, graph, parse, retrieve, store, topk
+from ..operators import curate, graph, parse, retrieve, store, topk, vector_index
 from ..sources import files
 from ..sources.scratch import kept, scratch
 from ..streaming import jobs
@@ -115,6 +115,27 @@ def vector_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return _near(spark, sf, 5, F.col("label") < 3).withColumn("sim", F.round("sim", 4))
 
 
+def _vector_index(spark: SparkSession, sf: str) -> tuple[vector_index.VectorIndex, DataFrame, DataFrame]:
+    """An index of all embeddings, the embeddings, and every hundredth as queries."""
+    rows = _table(spark, sf, "embeddings")
+    return vector_index.build(rows, scratch(spark, "vector-index"), "vec_id", "embedding", k=5), rows, rows.where("vec_id % 100 = 0")
+
+
+@query
+def vector_index_all_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """`vector_topk_dense` through an index all of whose lists are probed."""
+    index, _, asked = _vector_index(spark, sf)
+    return index.search(asked, "vec_id", "embedding", 5, probe=index.settings.lists).withColumn("sim", F.round("sim", 4))
+
+
+@query
+def vector_index_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each query: its exact nearest rows, how many of them the index found, and how many rows each way scores."""
+    index, rows, asked = _vector_index(spark, sf)
+    found = vector_index.recall(index.search(asked, "vec_id", "embedding", 5), topk.dense_top_k(asked, rows, "vec_id", "embedding", 5))
+    return found.join(index.scored(asked, "vec_id", "embedding"), "query_id").join(rows.agg(F.count("*").alias("rows")))
+
+
 @query
 def vector_similarity_clamped(spark: SparkSession, sf: str) -> DataFrame:
     """Of cosine distances 0 to 2, as events' values give them."""
@@ -401,11 +422,11 @@ def completion_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def result_flatten(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers of a nation as one answer of a vector store: parallel arrays, some shorter than the ids."""
+    """Customers of a nation as one answer of a vector store: parallel arrays, distances shorter than the ids or not there."""
     meta = F.struct(F.col("c_name").alias("name"), F.lit(None).cast("string").alias("file"), F.lit(1).alias("start_line"), F.col("c_nationkey").cast("int").alias("end_line"))
     rows = _table(spark, sf, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", meta.alias("meta"), "c_mktsegment"))).alias("r"))
     one = lambda c: F.array(F.transform("r", lambda x: x[c]))
-    answer = rows.select(F.array(F.transform("r", lambda x: x["c_custkey"].cast("string"))).alias("ids"), one("c_mktsegment").alias("documents"), one("meta").alias("metadatas"), F.array(F.slice(F.transform("r", lambda x: F.pmod(x["c_custkey"], F.lit(3)) / 2.0), 1, 5)).alias("distances"))
+    answer = rows.select(F.array(F.transform("r", lambda x: x["c_custkey"].cast("string"))).alias("ids"), one("c_mktsegment").alias("documents"), one("meta").alias("metadatas"), F.when(F.col("c_nationkey") % 5 != 0, F.array(F.slice(F.transform("r", lambda x: F.pmod(x["c_custkey"], F.lit(3)) / 2.0), 1, 5))).alias("distances"))
     return retrieve.flatten_result(answer).select("id", "name", "file", F.element_at("lines", 2).alias("end_line"), "sim", "content")
 
 

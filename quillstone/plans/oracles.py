@@ -152,6 +152,7 @@ SQL: dict[str, str] = {
         FROM (SELECT id, map_from_entries(list((bucket, round(weight, 9)))) AS m FROM vec GROUP BY id)""",
     ),
     "vector_topk_dense": _with("emb sims", "SELECT query_id, id, round(sim, 4) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY sims.sim DESC, id)::INTEGER AS rank FROM sims QUALIFY rank <= 5"),
+    "vector_index_all_lists": _with("emb sims", "SELECT query_id, id, round(sim, 4) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY sims.sim DESC, id)::INTEGER AS rank FROM sims QUALIFY rank <= 5"),
     "vector_topk_filtered": _with("emb sims", "SELECT query_id, id, round(sim, 4) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY sims.sim DESC, id)::INTEGER AS rank FROM sims WHERE label < 3 QUALIFY rank <= 5"),
     "vector_similarity_clamped": "SELECT event_id, round(greatest(0.0::DOUBLE, 1.0::DOUBLE - abs(value) / 50.0::DOUBLE), 6) AS sim FROM events",
     "vector_topk_hash": _with("counts vec qcounts qvec hits", "SELECT question_id, id, round(sim, 4) AS sim, rank FROM hits"),
@@ -304,8 +305,8 @@ SQL: dict[str, str] = {
         UNION ALL SELECT doc_id, 1, 'Debug the following ' || l || e' code and the error it gives.\n\nAnswer with one JSON object: probable_cause, root_location, execution_path (list), confidence high|medium|low.\nReturn only the JSON object.\n\nCode:\n```' || l || e'\n' || t || e'\n```\n\nError:\nE' FROM d
         UNION ALL SELECT doc_id, 2, 'Write pytest tests for the following ' || l || e' code.\n\nAnswer with one JSON object: test_code, test_count, cases (each with type and name).\nReturn only the JSON object.\n\nCode:\n```' || l || e'\n' || t || e'\n```' FROM d""",
     "completion_messages": "SELECT item_id, 0 AS place, 'system' AS role, 'Complete the function. Return only code.' AS content FROM benchmark UNION ALL SELECT item_id, 1, 'user', text FROM benchmark",
-    "result_flatten": """SELECT c_custkey::VARCHAR AS id, c_name AS name, '' AS file, c_nationkey::INTEGER AS end_line, greatest(0.0::DOUBLE, 1.0::DOUBLE - CASE WHEN n <= 5 THEN (c_custkey % 3) / 2.0::DOUBLE ELSE 0 END) AS sim, c_mktsegment AS content
-        FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer)""",
+    "result_flatten": """SELECT c_custkey::VARCHAR AS id, c_name AS name, '' AS file, c_nationkey::INTEGER AS end_line, CASE WHEN c_nationkey % 5 = 0 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - (c_custkey % 3) / 2.0::DOUBLE) END AS sim, c_mktsegment AS content
+        FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) WHERE c_nationkey % 5 = 0 OR n <= 5""",
     "split_files": """SELECT CASE WHEN doc_id % 8 < 6 THEN 'train' WHEN doc_id % 8 < 7 THEN 'validation' ELSE 'test' END AS split, count(*) AS n, sum(doc_id)::BIGINT AS ids, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1""",
     "stream_scan_early_stop": _with("commits judged scanned", "SELECT doc_id, seen, accepted FROM scanned WHERE reason IS NULL"),
     "stream_symbol_enrich": _with("hosts symbols", "SELECT s.question_id, s.name, h.id FROM symbols s JOIN (SELECT name, min(id) AS id FROM hosts GROUP BY name) h USING (name)"),

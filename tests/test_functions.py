@@ -51,6 +51,30 @@ def test_symbols(spark, q, want):
     assert one(spark, text.symbols(F.lit(q)))[0] == want
 
 
+LONG = {"spaces": " " * 1_000_000, "signs": "*=" * 500_000, "dotted": "ab.c_d." * 200_000, "braces": "{" * 300_000, "fences": "```" * 200_000, "backticks": "`a" * 300_000}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_very_long_texts(spark, kind):
+    """No pattern recurses or goes back and forth over a text of a million signs."""
+    df = spark.createDataFrame([(f"x{LONG[kind]} fix it y",)], "t string")
+    columns = [text.symbols("t"), text.stripped("t"), text.json_object("t"), F.size(text.fenced_blocks("t")), text.predicted_code("t"), text.clean_url("t"), text.host_of("t"), curate.word_count("t"), curate.mentions("t"), F.size(embed.tokens("t"))]
+    row = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    assert row.c8 is True and row.c1.endswith("y")
+    if kind == "dotted":
+        assert len(row.c0) == 1 and len(row.c0[0]) == 1 + 1_400_000 - 1
+
+
+def test_flattened_answers(spark):
+    """As many rows as the shortest list has; only distances may be left out."""
+    meta = "struct<name:string,file:string,start_line:int,end_line:int>"
+    schema = f"ids array<array<string>>, documents array<array<string>>, metadatas array<array<{meta}>>, distances array<array<double>>"
+    m = ("n", None, 1, 2)
+    rows = [([["a", "b", "c"]], [["x", None, "z"]], [[m, m, m]], [[0.25]]), ([["d", "e"]], [["x", "y"]], [[m, m]], None), ([["f"]], None, [[m]], [[0.0]]), ([["g"]], [["x"]], [[]], [[0.0]]), ([[]], [[]], [[]], [[]]), (None, None, None, None)]
+    got = retrieve.flatten_result(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.id, r.sim, r.content, r.file, r.lines) for r in got) == [("a", 0.75, "x", "", [1, 2]), ("d", 1.0, "x", "", [1, 2]), ("e", 1.0, "y", "", [1, 2])]
+
+
 def chunks(spark, rows):
     return spark.createDataFrame(rows, "id string, name string, file string, start_line int, end_line int, document string")
 
