@@ -7,14 +7,20 @@ import difflib
 import random
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import kept
+
 #: Fixed values.
 BUG_WORDS = ("fix", "bug", "error", "exception", "null", "none", "crash", "fail", "incorrect", "wrong", "issue", "patch", "resolve", "broken", "invalid", "missing", "handle")
 MIN_WORDS, MAX_CHARS, MAX_DIFF_LINES = 8, 3_500, 100
+BUFFER = 10_000
 ACCEPT, SCAN, SEED, SPLITS = 2_000, 750_000, 42, {"train": 1_500, "validation": 250, "test": 250}
 
 
@@ -79,16 +85,67 @@ def shuffled(rows: DataFrame, key: str | Column, seed: int = SEED) -> DataFrame:
     return rows.withColumn("pos", F.xxhash64(F.lit(seed), key))
 
 
-def first_accepted(judged: DataFrame, accept: int = ACCEPT, scan: int = SCAN, order: str = "pos", reason: str = "reject_reason") -> DataFrame:
+def buffered(rows: DataFrame, *, seed: int = SEED, size: int = BUFFER, order: str = "pos") -> DataFrame:
+    """`rows` as a shuffle with a bounded buffer emits them, with `order`, a number of the place.
+
+    Each partition, and each batch of a stream, is read once: the buffer fills with `size` rows,
+    then each row that comes takes the slot of one drawn by a seeded generator, which is emitted;
+    what is left is emitted in drawn order. A row comes out at most `size` places before its own, and
+    nothing else is held but the Arrow batch at hand. The same partitions give the same order
+    again, so a task that is run anew emits what it did. `order` holds the partition's number
+    times 2^33, plus a count.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        draw, held, n = np.random.Generator(np.random.PCG64([seed, part])), None, 0
+
+        def out(table: pa.Table, places: list[int]) -> Iterator[pa.RecordBatch]:
+            nonlocal n
+            pos = pa.array(np.arange(n, n + len(places), dtype=np.int64) + (part << 33))
+            n += len(places)
+            yield from table.take(pa.array(places, pa.int64())).append_column(order, pos).combine_chunks().to_batches()
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            slots, come = list(range(table.num_rows - batch.num_rows)), []
+            drawn = iter((draw.random(max(0, table.num_rows - size)) * size).astype(np.int64).tolist())  # one number a row, however rows are batched
+            for i in range(len(slots), table.num_rows):
+                if len(slots) < size:
+                    slots.append(i)
+                else:
+                    j = next(drawn)
+                    come.append(slots[j])
+                    slots[j] = i
+            yield from out(table, come)
+            held = table.take(pa.array(slots, pa.int64())).combine_chunks()
+        if held is not None:
+            yield from out(held, draw.permutation(held.num_rows).tolist())
+
+    return rows.mapInArrow(emit, T.StructType([*rows.schema.fields, T.StructField(order, T.LongType())]))
+
+
+class TooFew(ValueError):
+    """A scan ended before it had enough accepted rows."""
+
+
+def first_accepted(judged: DataFrame, accept: int = ACCEPT, scan: int = SCAN, order: str = "pos", reason: str = "reject_reason", *, strict: bool = False) -> DataFrame:
     """The rows that a scan in `order` sees before it has `accept` accepted rows or `scan` rows, with `seen` and `accepted` so far.
 
-    `order` holds a number for each row. Only that number and a flag are put in order, of at
-    most `scan` rows, to find where the scan ends; whole rows are then cut by the number.
+    `order` holds a number for each row. Rows are judged once, as a written table; only number
+    and flag of at most `scan` rows are put in order to find where the scan ends, and whole rows
+    are then cut by the number. With `strict`, fewer than `accept` accepted rows are an error.
     """
+    judged = kept(judged, "judged")
     ok = F.col(reason).isNull().cast("long")
     head = judged.select(order, ok.alias("ok")).orderBy(order).limit(scan)
     w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     placed = head.withColumn("seen", F.row_number().over(w).cast("long")).withColumn("accepted", F.sum("ok").over(w))
+    if strict:
+        told = head.agg(F.coalesce(F.sum("ok"), F.lit(0)).alias("ok"), F.count("*").alias("n")).first()
+        if told.ok < accept:
+            raise TooFew(f"{told.ok} of {told.n} scanned rows were accepted, {accept} are needed")
     return judged.join(placed.where(F.col("accepted") - F.col("ok") < accept).drop("ok"), order)
 
 

@@ -483,6 +483,15 @@ def curate_accept_cut(spark: SparkSession, sf: str) -> DataFrame:
     return _scan(spark, sf).where("reject_reason is null").select("doc_id", "seen", "accepted")
 
 
+@query
+def curate_buffered_shuffle(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document out of a shuffle with a buffer of 100 rows: in its own partition, and no more than the buffer early."""
+    rows = _table(spark, sf, "documents").select("doc_id", F.monotonically_increasing_id().alias("place"))
+    part = lambda c: F.shiftright(c, 33)
+    out = curate.buffered(rows, size=100)
+    return out.select("doc_id", (part("pos") == part("place")).alias("own_part"), (F.col("pos") >= F.col("place") - 100).alias("in_bounds"))
+
+
 @query
 def curate_scan_progress(spark: SparkSession, sf: str) -> DataFrame:
     return curate.rejections(_scan(spark, sf))
@@ -961,3 +970,12 @@ def stream_scan_early_stop(spark: SparkSession, sf: str) -> DataFrame:
     judged = _as_commits(_stream(spark, sf, "documents")).withColumn("reject_reason", reason)
     seen = jobs.scan_until(judged, "stream-scan", accept=100, order="doc_id")
     return seen.where("reject_reason is null").select("doc_id", "seen", "accepted")
+
+
+@query
+def stream_buffered_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The scan of a stream in the order of a shuffle with a bounded buffer: how many rows it saw, took and turned down."""
+    reason = curate.reject_reason(language="en", words=DOC_WORDS, min_words=5)
+    judged = curate.buffered(_as_commits(_stream(spark, sf, "documents"))).withColumn("reject_reason", reason)
+    seen = jobs.scan_until(judged, "stream-buffered", accept=100)
+    return seen.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"), F.max("accepted").alias("accepted"), F.max("seen").alias("seen"))

@@ -229,6 +229,7 @@ SQL: dict[str, str] = {
     "codebleu_combine": """SELECT event_id, v * 0.25::DOUBLE + (CASE WHEN event_id % 3 = 0 THEN v / 2 ELSE v END) * 0.25::DOUBLE + v * 0.25::DOUBLE + v * 0.25::DOUBLE AS score
         FROM (SELECT event_id, value / 100.0::DOUBLE AS v FROM events)""",
     "curate_reject_reasons": _with("commits judged", "SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM judged GROUP BY 1"),
+    "curate_buffered_shuffle": "SELECT doc_id, true AS own_part, true AS in_bounds FROM documents",
     "curate_accept_cut": _with("commits judged scanned", "SELECT doc_id, seen, accepted FROM scanned WHERE reason IS NULL"),
     "curate_scan_progress": _with("commits judged scanned", "SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM scanned GROUP BY 1"),
     "curate_hash_split": """SELECT doc_id, CASE WHEN s < 6 THEN 'train' WHEN s < 7 THEN 'validation' ELSE 'test' END AS split
