@@ -25,6 +25,8 @@ SENTENCES = {
     "you may not use this file except in compliance with the license": "ApacheCompliance",
     "you may obtain a copy of the license at http www.apache.org licenses license 2.0": "ApacheCopy",
     "released under the mit license": "MitStatement",
+    "licensed under the mit license": "MitStatement",
+    "this project is licensed under the mit license": "MitStatement",
     "this software is released under the mit license": "MitStatement",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction": "MitGrant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MitNotice",
@@ -49,6 +51,20 @@ SENTENCES = {
     "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Lgpl3OrLater",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Agpl3OrLater",
     "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0": "Epl2Statement",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "Gpl2Header",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "Gpl3Header",
+    "spdx license identifier mit": "SpdxMit",
+    "spdx license identifier apache 2.0": "SpdxApache2",
+    "spdx license identifier bsd 2 clause": "SpdxBsd2",
+    "spdx license identifier bsd 3 clause": "SpdxBsd3",
+    "spdx license identifier isc": "SpdxIsc",
+    "spdx license identifier mpl 2.0": "SpdxMpl2",
+    "spdx license identifier gpl 2.0 only": "SpdxGpl2",
+    "spdx license identifier gpl 2.0": "SpdxGpl2",
+    "spdx license identifier gpl 2.0 or later": "SpdxGpl2Later",
+    "spdx license identifier gpl 3.0 only": "SpdxGpl3",
+    "spdx license identifier gpl 3.0": "SpdxGpl3",
+    "spdx license identifier gpl 3.0 or later": "SpdxGpl3Later",
     "all rights reserved": "AllRights",
 }
 
@@ -85,6 +101,18 @@ RULES = [
     ("LGPL-3.0-or-later", ["Lgpl3OrLater"]),
     ("AGPL-3.0-or-later", ["Agpl3OrLater"]),
     ("EPL-2.0", ["Epl2Statement"]),
+    ("GPL-2.0-only", ["Gpl2Header"]),
+    ("GPL-3.0-only", ["Gpl3Header"]),
+    ("MIT", ["SpdxMit"]),
+    ("Apache-2.0", ["SpdxApache2"]),
+    ("BSD-2-Clause", ["SpdxBsd2"]),
+    ("BSD-3-Clause", ["SpdxBsd3"]),
+    ("ISC", ["SpdxIsc"]),
+    ("MPL-2.0", ["SpdxMpl2"]),
+    ("GPL-2.0-only", ["SpdxGpl2"]),
+    ("GPL-2.0-or-later", ["SpdxGpl2Later"]),
+    ("GPL-3.0-only", ["SpdxGpl3"]),
+    ("GPL-3.0-or-later", ["SpdxGpl3Later"]),
     ("Proprietary", ["AllRights"]),
     ("Unknown", ["UNKNOWN"]),
 ]
@@ -93,30 +121,46 @@ RULES = [
 CUE = "licen[cs]e|copyright|permi(tted|ssion)|warrant|redistribut|public domain|rights reserved|cc by"
 #: The same in a text as it is, where any signs may stand between two words.
 LOOSE_CUE = re.sub(" ", "[^a-z0-9]+", CUE)
-_SPEAKS = "licen[cs]ed? under|under the terms of .*licen[cs]e|released under .*licen[cs]e"
 _STATE = "struct<rest:string,got:array<string>>"
 #: Ends of sentences, and blank lines; a comment mark alone is a blank line too.
-_HARD = r"[.!?;:]+[ \t\r]*\n|[.!?]+ |\n[^\S\n]*(?:[#*/;%|-]+[^\S\n]*)?(?=\n)"
+_HARD = r"(?<![.!?;:])[.!?;:]++[ \t\r]*+\n|(?<![.!?])[.!?]++ |\n[^\S\n]*+(?:[#*/;%|-]++[^\S\n]*+)?(?=\n)"
+_SIGN = r"[^A-Za-z0-9\n.!?;:)]"
 _BEFORE, _AFTER = r"(?:(?<=[\n.!?;:)])|^)[^A-Za-z0-9\n.]{0,16}", r"(?=[^A-Za-z0-9\n.!?;:]{0,16}(?:[.!?;:\n]|$))"
 
 
 def _unwrapped(text: Column) -> Column:
-    """Known sentences that go over several lines, and real notices' full ones, as lines of their own."""
+    """Known sentences that go over several lines, and real notices' full ones, as lines of their own.
+
+    Gaps between words are possessive: a repeated group would recurse once a sign, and a class
+    would be tried again for each.
+    """
+
+    # What stands before and behind a sentence is looked at for 16 signs; longer runs are cut to
+    # that. A run of over 48 signs with stops in it ends a sentence, four lines without a word a passage.
+    text = F.regexp_replace(text, f"({_SIGN}{{16}}){_SIGN}++", "$1")
+    text = F.regexp_replace(text, r"([^A-Za-z0-9\n]{48})[^A-Za-z0-9\n]++", "$1. ")
+    text = F.regexp_replace(text, r"(?:\n[^A-Za-z0-9\n]*+){4}(?:\n[^A-Za-z0-9\n]*+)*+", "\n\n\n")
 
     def words(sentence: str, gap: str) -> str:
         return gap.join("[^.!?;]+?" if w == "*" else re.escape(w) for w in sentence.split())
 
     for full, known in FULL.items():
-        text = F.regexp_replace(text, f"(?i){_BEFORE}{words(full, '[^A-Za-z0-9]+')}{_AFTER}", f"\n{known}\n")
+        text = F.regexp_replace(text, f"(?i){_BEFORE}{words(full, '[^A-Za-z0-9]++')}{_AFTER}", f"\n{known}\n")
     for known in sorted(SENTENCES, key=len, reverse=True):
-        on_a_line = words(known, r"(?:[^A-Za-z0-9\n.!?]|[.!?](?! ))+")  # and without what ends a sentence
-        text = F.regexp_replace(text, f"(?i){_BEFORE}(?!{on_a_line}(?![A-Za-z0-9])){words(known, '[^A-Za-z0-9]+')}{_AFTER}", f"\n{known}\n")
+        on_a_line = words(known, r"(?:[^A-Za-z0-9\n.!?]|[.!?](?! ))++")  # and without what ends a sentence
+        text = F.regexp_replace(text, f"(?i){_BEFORE}(?!{on_a_line}(?![A-Za-z0-9])){words(known, '[^A-Za-z0-9]++')}{_AFTER}", f"\n{known}\n")
     return text
 
 
 def _normal(sentence: Column) -> Column:
     words = F.regexp_replace(F.lower(sentence), "[^a-z0-9.]+", " ")
-    return F.trim(F.regexp_replace(words, r"\.+( |$)", " "))
+    return F.trim(F.regexp_replace(words, r"(?<!\.)\.++( |$)", " "))
+
+
+def _speaks(sentence: Column) -> Column:
+    """Whether a normalised sentence speaks of a licence; what must follow is looked for behind the first place only."""
+    after = lambda start: F.regexp_extract(sentence, f"{start}(.*)", 1).rlike("licen[cs]e")
+    return sentence.rlike("licen[cs]ed? under") | after("under the terms of ") | after("released under ")
 
 
 def recognise(docs: DataFrame, text_col: str = "text", *, identifiers: str = "identifiers", licences: str = "licences") -> DataFrame:
@@ -132,14 +176,14 @@ def recognise(docs: DataFrame, text_col: str = "text", *, identifiers: str = "id
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
 
     def identifier(s: Column) -> Column:
-        return F.coalesce(F.try_element_at(known, s), F.when(s.rlike(_SPEAKS), F.lit("UNKNOWN")))
+        return F.coalesce(F.try_element_at(known, s), F.when(_speaks(s), F.lit("UNKNOWN")))
 
     def identifiers_of(part: Column) -> Column:
         lines = F.transform(F.split(part, "\n", -1), lambda x: _normal(x))
         lines = F.transform(lines, lambda s: F.struct(s.alias("s"), F.when(s.rlike(CUE), identifier(s)).alias("i")))
         by_line = F.filter(F.transform(lines, lambda x: x["i"]), lambda x: x.isNotNull())
         other = F.array_join(F.transform(F.filter(lines, lambda x: x["i"].isNull()), lambda x: x["s"]), " ")
-        return F.concat(by_line, F.when(other.rlike(_SPEAKS), F.array(F.lit("UNKNOWN"))).otherwise(F.array().cast("array<string>")))
+        return F.concat(by_line, F.when(_speaks(other), F.array(F.lit("UNKNOWN"))).otherwise(F.array().cast("array<string>")))
 
     found = F.flatten(F.transform(F.split(F.when(cue, _unwrapped(text)).otherwise(""), _HARD, -1), identifiers_of))
     rows = docs.withColumn(identifiers, F.when(cue, found).otherwise(F.array().cast("array<string>")))
