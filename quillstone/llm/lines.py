@@ -34,6 +34,12 @@ def _pieces(text: str | Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _marks(at: str) -> Column:
+    """Sorted places as an array that has "1" at them and "0" before: what looks each place up would be quadratic."""
+    gaps = F.zip_with(at, F.concat(F.array(F.lit(-1)), at), lambda x, before: F.concat(F.repeat(F.lit("0"), x - before - 1), F.lit("1")))
+    return F.split(F.array_join(gaps, ""), "", -1)
+
+
 def _key(line: Column) -> list[Column]:
     """128 bits of a line without the white space around it."""
     trimmed = _bare(line)
@@ -75,7 +81,7 @@ def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str =
     boilerplate = spread_lines(lines, min_sites=min_sites)
     # a document's repeated rows have the same lines: positions once
     hit = lines.join(boilerplate.hint("merge"), ["k1", "k2"]).select("id", "seal", "at").distinct()
-    hit = staged(hit.groupBy("id", "seal").agg(F.collect_list("at").alias("at")), "hits")
+    hit = staged(hit.groupBy("id", "seal").agg(F.array_sort(F.collect_list("at")).alias("at")), "hits")
     # other columns travel in one, so that their names meet nothing here
     other = [c for c in docs.columns if c not in (text_col, lines_col, removed_col)]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in other)).alias("other"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("seal"))
@@ -84,7 +90,7 @@ def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str =
     rows = rows.join(hit.hint("merge"), on, "left").select("other", "text", "at")
     own = F.size(F.filter(_pieces("text"), lambda x: _bare(x) != ""))
     rows = rows.withColumn("cut", F.col("at").isNotNull() & (own > F.size("at")))
-    kept = F.array_join(F.filter(_pieces("text"), lambda x, i: ~F.array_contains("at", i)), "\n")
+    kept = F.array_join(F.zip_with(_pieces("text"), _marks("at"), lambda x, m: F.when(F.coalesce(m, F.lit("")) != "1", x)), "\n")
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(_pieces("text"))).cast("long")
     made = {text_col: F.when(F.col("cut"), kept).otherwise(F.col("text")), lines_col: n_lines, removed_col: F.when(F.col("cut"), F.size("at")).otherwise(F.lit(0)).cast("long")}
     order = [c for c in docs.columns if c not in (lines_col, removed_col)] + [lines_col, removed_col]
