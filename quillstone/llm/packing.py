@@ -5,11 +5,12 @@ level that minimises the sum of squared counts of partly filled windows (Csirik
 Sum-of-Squares rule). The state is a level array: how many open windows have each fill, and
 which. Each partition packs by itself, in one pass, with memory for its open windows only.
 
+Windows that the rule leaves open when the input ends keep their items: the fullest are topped
+up with what the least filled ones hold, cut to fit, so that only the latter are taken apart.
+What is left in the end is cut into runs whose lengths are powers of two, which need no padding.
 Where items do not fit together (all longer than half a window, say), windows stay open. So the
-ids in open windows are bounded: beyond `held` of them, the open windows' pieces are laid end
-to end and cut anew into full windows, and the stretch that is left goes on as an open window.
-The same is done when the input ends; then the last stretch is cut into runs whose lengths are
-powers of two, which need no padding.
+ids in open windows are bounded: beyond `held` of them the same is done, and what is left goes
+on as an open window.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import json
 import os
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, way string"
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -132,11 +134,11 @@ class Levels:
         self.open[fill].append(window)
         self._shift(fill, 1)
 
-    def drain(self) -> list[tuple]:
-        """The pieces of all open windows, which are closed."""
-        pieces = [piece for level in self.open for window in level for piece in window]
+    def drain(self) -> list[list[tuple]]:
+        """All open windows, which are taken out."""
+        windows = [window for level in self.open for window in level]
         self.__init__(self.capacity)
-        return pieces
+        return windows
 
     def place(self, size: int, piece: tuple) -> list | None:
         """The window, if it is now full."""
@@ -153,6 +155,10 @@ class Levels:
         return None
 
 
+def _fill(window: list[tuple]) -> int:
+    return sum(len(piece[2]) // 4 for piece in window)
+
+
 def _pack(capacity: int, path: str, end_id: int, held: int):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, levels = None, Levels(capacity)
@@ -163,9 +169,9 @@ def _pack(capacity: int, path: str, end_id: int, held: int):
         def close(window: list[tuple]) -> None:
             nonlocal sequence
             offset = 0
-            for doc, start, ids, total in window:
+            for doc, start, ids, total, way in window:
                 n = len(ids) // 4
-                rows.append((doc, start, n, zlib.crc32(ids), total, sequence, offset))
+                rows.append((doc, start, n, zlib.crc32(ids), total, sequence, offset, way))
                 offset += n
             sequence += 1
 
@@ -175,22 +181,37 @@ def _pack(capacity: int, path: str, end_id: int, held: int):
             rows.clear()
             return out
 
-        def laid(pieces: list[tuple], last: bool) -> None:
-            """Pieces end to end in full windows; what is left stays open, or is cut into powers of two at the last."""
-            left = sum(len(p[2]) // 4 for p in pieces)
-            room, window = 0, []
-            for doc, start, ids, total in pieces:
+        def topped_up(windows: list[list[tuple]]) -> list[tuple]:
+            """Closes the fullest windows with what the least filled hold; the pieces that are left over."""
+            left = deque(sorted(windows, key=_fill, reverse=True))
+            spare: list[tuple] = []
+            while left:
+                window = left.popleft()
+                gap = capacity - _fill(window)
+                while gap and (spare or left):
+                    spare = spare or left.pop()[::-1]
+                    doc, start, ids, total, _ = spare.pop()
+                    n = min(gap, len(ids) // 4)
+                    window.append((doc, start, ids[: 4 * n], total, "cut"))
+                    if 4 * n < len(ids):
+                        spare.append((doc, start + n, ids[4 * n :], total, "cut"))
+                    gap -= n
+                if gap:
+                    return window
+                close(window)
+            return spare[::-1]
+
+        def ended(pieces: list[tuple]) -> None:
+            """The last pieces, end to end, in runs of lengths that are powers of two."""
+            left, room, window = _fill(pieces), 0, []
+            for doc, start, ids, total, _ in pieces:
                 while ids:
-                    if not room:
-                        room = capacity if left >= capacity else 1 << (left.bit_length() - 1) if last else left
+                    room = room or (capacity if left >= capacity else 1 << (left.bit_length() - 1))
                     n = min(room, len(ids) // 4)
-                    window.append((doc, start, ids[: 4 * n], total))
+                    window.append((doc, start, ids[: 4 * n], total, "cut"))
                     start, ids, room, left = start + n, ids[4 * n :], room - n, left - n
                     if not room:
-                        if last or sum(len(p[2]) // 4 for p in window) == capacity:
-                            close(window)
-                        else:
-                            levels.put(sum(len(p[2]) // 4 for p in window), window)
+                        close(window)
                         window = []
 
         for batch in batches:
@@ -201,16 +222,18 @@ def _pack(capacity: int, path: str, end_id: int, held: int):
                 doc = None if pd.isna(doc) else doc
                 full = total - total % capacity
                 for start in range(0, full, capacity):
-                    close([(doc, start, ids[4 * start : 4 * (start + capacity)], total)])
+                    close([(doc, start, ids[4 * start : 4 * (start + capacity)], total, "full")])
                 if full < total:
-                    window = levels.place(total - full, (doc, full, ids[4 * full :], total))
+                    window = levels.place(total - full, (doc, full, ids[4 * full :], total, "rule"))
                     if window:
                         close(window)
                     elif levels.held > held:
-                        laid(levels.drain(), last=False)
+                        left = topped_up(levels.drain())
+                        if left:
+                            levels.put(_fill(left), left)
                 if len(rows) >= 20_000:
                     yield frame()
-        laid(levels.drain(), last=True)
+        ended(topped_up(levels.drain()))
         if rows:
             yield frame()
 
@@ -218,7 +241,10 @@ def _pack(capacity: int, path: str, end_id: int, held: int):
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 1024, path: str | None = None, end_id: int = 0, held: int = 2_000_000) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, way.
+
+    `way` is how a piece came to its place: a `full` window of one document, the `rule`, or `cut`
+    to top up a window or to end the input.
 
     A null or empty text is the end id alone. Ids may be null or repeat: each row is a
     document of its own. Long texts are cut into full sequences as they come; other columns
