@@ -4,19 +4,22 @@ Calls and results are tables of single events, keyed by conversation and identif
 joined by hash; no conversation is gathered in one task, so one of any length is only more
 rows. A call's place is its turn, pushed behind every call that it waits for: where results
 come before the calls that use them, as they should, turns are that order already, and only
-conversations that break it take part in further rounds. Each round gives a place to the calls
-all of whose needs have one, so rounds are as many as the longest chain of needs, whatever the
-turns are. What no round reaches waits in a circle, or behind one.
+conversations that break it take part in further rounds. Chains of calls that wait for one
+call each are walked by pointer jumping, in as many rounds as their length has bits; calls that
+wait for several are then placed in rounds, each once all its needs are. What no round reaches
+waits in a circle, or behind one.
 
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, staged
+from .common import discard, scratch_root, staged
 
 CALLS = "conv_id bigint, call_id string, turn bigint, name string, arguments string, after array<string>"
 RESULTS = "conv_id bigint, call_id string, turn bigint, content string"
@@ -38,26 +41,67 @@ def in_order(calls: DataFrame) -> DataFrame:
     broken = staged(needs.where("need_place >= place").select("conv_id").distinct(), "broken")
     if not broken.limit(1).count():
         return places
-    edges = staged(needs.join(broken, "conv_id", "left_semi").select("conv_id", "need", "call_id"), "edges")
-    waits = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("open"))
-    own = places.join(broken, "conv_id", "left_semi").join(waits, ["conv_id", "call_id"], "left")
-    waiting = staged(own.withColumn("open", F.coalesce("open", F.lit(0).cast("long"))), "waiting")
-    done = []
+    edges = needs.join(broken, "conv_id", "left_semi").select("conv_id", "need", "call_id")
+    own = places.join(broken, "conv_id", "left_semi")
+    several = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("open"), F.min("need").alias("to"))
+    one_need = staged(own.join(several.where("open = 1"), ["conv_id", "call_id"]).select("conv_id", "call_id", "to", F.col("place").alias("least"), F.lit(1).cast("bigint").alias("steps")), "chains")
+    chains = _jumped(one_need, own)
+    knots = staged(_peeled(chains, edges, own.join(several.select("conv_id", "call_id", "open"), ["conv_id", "call_id"], "left").where("open is null or open > 1")), "knots")
+    far = knots.select("conv_id", F.col("call_id").alias("to"), F.col("place").alias("to_place"))
+    # a call that ends in a circle points to no knot
+    ends = chains.join(far, ["conv_id", "to"], "left").select("conv_id", "call_id", F.when(F.col("to_place").isNotNull(), F.greatest("least", F.col("steps") + F.col("to_place"))).alias("place"))
+    return places.join(broken, "conv_id", "left_anti").unionByName(knots).unionByName(ends)
+
+
+def _jumped(chains: DataFrame, own: DataFrame) -> DataFrame:
+    """Calls with one need each, as (conv_id, call_id, to, least, steps): place = max(least, steps + place of `to`).
+
+    `to` starts as the need and moves on while it has one need too; every round doubles how far
+    it is, so a chain is walked in as many rounds as its length has bits. What goes in a circle
+    never comes to a call without or with several needs, and stops after those rounds.
+    """
+    longest = own.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    for _ in range(int(longest).bit_length()):
+        on = chains.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("least").alias("next_least"), F.col("steps").alias("next_steps"))
+        joined = chains.join(on, ["conv_id", "to"], "left")
+        moved = joined.select("conv_id", "call_id", F.coalesce("next", "to").alias("to"), F.greatest("least", F.col("steps") + F.col("next_least")).alias("least"), (F.col("steps") + F.coalesce("next_steps", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved"))
+        before, chains = chains, staged(moved, "chains")
+        discard(before)
+        if not chains.where("moved").limit(1).count():
+            break
+    return chains
+
+
+def _peeled(chains: DataFrame, edges: DataFrame, knots: DataFrame) -> DataFrame:
+    """(conv_id, call_id, place) of the calls without or with several needs.
+
+    Their needs are first followed to the knots at the ends of chains; each round then gives a
+    place to those all of whose needs have one. Rounds are as many as knots in a row wait for
+    each other; what no round reaches has a null.
+    """
+    spark = knots.sparkSession
+    direct = edges.join(knots.where("open is not null").select("conv_id", "call_id"), ["conv_id", "call_id"])
+    over = chains.select("conv_id", F.col("call_id").alias("need"), "to", "least", "steps")
+    links = direct.join(over, ["conv_id", "need"], "left").select("conv_id", "call_id", F.coalesce("to", "need").alias("to"), F.col("least"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+    links = staged(links, "links")
+    waiting = staged(knots.select("conv_id", "call_id", "place", F.coalesce("open", F.lit(0).cast("bigint")).alias("open")), "waiting")
+    path = f"{scratch_root(spark)}/placed-{uuid.uuid4().hex}"
+    number = 0
     while True:
-        ready = staged(waiting.where("open = 0").select("conv_id", "call_id", "place"), "ready")
+        ready = waiting.where("open = 0").select("conv_id", "call_id", "place")
+        ready.write.parquet(f"{path}/round={number}")
+        ready = spark.read.schema(ready.schema).parquet(f"{path}/round={number}")
         if not ready.limit(1).count():
             break
-        done.append(ready)
-        met = edges.join(ready.select("conv_id", F.col("call_id").alias("need"), "place"), ["conv_id", "need"])
-        pushed = met.groupBy("conv_id", "call_id").agg((F.max("place") + 1).alias("least"), F.count("*").alias("met"))
+        met = links.join(ready.select("conv_id", F.col("call_id").alias("to"), F.col("place").alias("to_place")), ["conv_id", "to"])
+        pushed = met.groupBy("conv_id", "call_id").agg(F.max(F.greatest(F.coalesce(F.col("least") + 1, F.lit(0).cast("bigint")), F.col("steps") + F.col("to_place"))).alias("floor"), F.count("*").alias("met"))
         left = waiting.where("open > 0").join(pushed, ["conv_id", "call_id"], "left")
-        left = left.select("conv_id", "call_id", F.greatest("place", "least").alias("place"), (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"))
+        left = left.select("conv_id", "call_id", F.greatest("place", "floor").alias("place"), (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"))
         before, waiting = waiting, staged(left, "waiting")
         discard(before)
-    out = places.join(broken, "conv_id", "left_anti").unionByName(waiting.select("conv_id", "call_id", F.lit(None).cast("bigint").alias("place")))
-    for ready in done:
-        out = out.unionByName(ready)
-    return out
+        number += 1
+    placed = spark.read.schema(ready.schema).option("recursiveFileLookup", "true").parquet(path)
+    return placed.unionByName(waiting.select("conv_id", "call_id", F.lit(None).cast("bigint").alias("place")))
 
 
 def _faults(arguments: Column, fields: Column) -> Column:
@@ -118,8 +162,8 @@ def turns_as_events(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The supplied conversations hold no calls, so their ids decide what a call is like. A call's
     identifier is its turn; in every 11th conversation two turns of four share one. A call waits
-    for the user's turn before it; in every third conversation three of four wait for the one after
-    them, so order must be made; in every 13th all wait for both, which is a circle. Arguments are
+    for the user's turn before it; in every third conversation it waits for the one after it, so
+    order must be made; in every 13th also for the one before, which is a circle. Arguments are
     {"chars", "text"}; in some conversations chars is text, a field is added, or they are no object.
     JSON messages of the form {"tool_calls": [{"id", "name", "arguments", "after"}]} (assistant)
     and {"tool_call_id", "content"} (tool) are read by `messages_as_events`.
@@ -134,7 +178,7 @@ def turns_as_events(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(every(7, 3), F.to_json(F.array("text")))
         .otherwise(F.to_json(F.struct(chars, "text")))
     )
-    after = F.when(every(13, 5), F.array(number(-2), number(2))).when(every(3, 0), F.when(F.pmod(F.floor(F.col("turn") / 2), F.lit(4)) != 3, F.array(number(2)))).otherwise(F.array(number(-2)))
+    after = F.when(every(13, 5), F.array(number(-2), number(2))).when(every(3, 0), F.array(number(2))).otherwise(F.array(number(-2)))
     asked = own.where("role = 'user'").select("conv_id", number(0).alias("call_id"), "turn", F.lit("ask").alias("name"), arguments.alias("arguments"), after.alias("after"))
     answered = own.where("role = 'assistant'").select("conv_id", number(-1).alias("call_id"), "turn", F.col("text").alias("content"))
     return asked, answered
