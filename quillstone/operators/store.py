@@ -1,17 +1,20 @@
 """Keyed chunk store and catalogue tables over Parquet.
 
-A store is a folder of chunks partitioned by repository and collection. A table of a store is a
-folder of numbered versions: a change is one write of the next version, which counts once
-Spark's committer has marked it as whole. A write that fails leaves the version before it, and
-readers of that one are not disturbed; the version before it is removed.
+A store is a folder of chunks by repository and collection, in hash buckets of their ids. A
+catalogue table is a folder of numbered versions: a change is one write of the next version,
+which counts once Spark's committer has marked it as whole. A write that fails leaves the
+version before it, and readers of that one are not disturbed; the version before it is removed.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 
@@ -63,35 +66,113 @@ def patched(old: DataFrame, patch: DataFrame, keys: list[str], fields: list[str]
     return rows.select(*out)
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed first."""
+
+
 class ChunkStore:
-    """get or create, upsert, get by ids or metadata, count, delete."""
+    """get or create, upsert, get by ids or metadata, count, delete.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    Rows lie in hash buckets of their ids. A write of a collection is a folder of the buckets
+    that it touches; a repository's pointer, one small file, names the folder of every bucket of
+    all its collections. A new pointer is renamed into place once all that it names is written,
+    so readers, who look at the last pointer first, see all of a change or nothing. Files of the
+    pointer before stay for those who read by it.
+    """
 
-    def _remove(self, path: str) -> bool:
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        self.spark, self.path, self.buckets = spark, path, buckets
+        fields = [f for f in spark.createDataFrame([], schemas.CHUNKS).schema.fields if f.name not in ("repo_id", "collection")]
+        self.schema = T.StructType(fields)
+
+    def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _remove(self, path: str) -> bool:
+        fs, p = self._fs(path)
+        return fs.delete(p, True)
+
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return sorted(str(x.getPath().getName()) for x in fs.listStatus(p)) if fs.exists(p) else []
 
-    def _place(self, repo_id: str, suffix: str) -> str:
-        return f"{self.path}/repo_id={repo_id}/collection={suffix}"
+    def _pointers(self, repo_id: str) -> list[int]:
+        return [int(n[1:]) for n in self._names(f"{self.path}/repo_id={repo_id}/pointers") if re.fullmatch(r"p[0-9]{10}", n)]
+
+    def _pointer(self, repo_id: str, number: int) -> dict[str, dict[str, str]]:
+        """By collection, the folder of each bucket that has rows."""
+        fs, p = self._fs(f"{self.path}/repo_id={repo_id}/pointers/p{number:010d}")
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _last(self, repo_id: str) -> tuple[int, dict[str, dict[str, str]]]:
+        known = self._pointers(repo_id)
+        return (known[-1], self._pointer(repo_id, known[-1])) if known else (0, {})
+
+    def _commit(self, repo_id: str, before: int, told: dict[str, dict[str, str]]) -> None:
+        """Renames the next pointer into place, then removes what only pointers before the last one name."""
+        here = f"{self.path}/repo_id={repo_id}/pointers"
+        fs, draft = self._fs(f"{here}/draft-{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps(told, sort_keys=True).encode()))
+        out.close()
+        _, place = self._fs(f"{here}/p{before + 1:010d}")
+        if fs.exists(place) or not fs.rename(draft, place):
+            fs.delete(draft, False)
+            raise Conflict(repo_id)
+        places = lambda pointer: {(c, b, w) for c, own in pointer.items() for b, w in own.items()}
+        keep = places(told) | (places(self._pointer(repo_id, before)) if before else set())
+        for number in [n for n in self._pointers(repo_id) if n < before]:
+            for c, b, w in places(self._pointer(repo_id, number)) - keep:
+                self._remove(f"{self.path}/repo_id={repo_id}/collection={c}/{w}/bucket={b}")
+            self._remove(f"{here}/p{number:010d}")
+
+    def _bucket(self, id_col: str = "id") -> Column:
+        return F.pmod(F.xxhash64(id_col), F.lit(self.buckets)).cast("int")
+
+    def _read(self, repo_id: str, suffix: str, own: dict[str, str]) -> DataFrame:
+        paths = [f"{self.path}/repo_id={repo_id}/collection={suffix}/{w}/bucket={b}" for b, w in sorted(own.items())]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def _written(self, repo_id: str, suffix: str, own: dict[str, str], rows: DataFrame) -> dict[str, str]:
+        """Writes `rows`, and what their buckets held besides; the folders of all buckets after that."""
+        rest = [c for c in self.schema.names if c != "id"]
+        new = rows.select("id", F.struct(*rest).alias("r")).groupBy("id").agg(F.max("r").alias("r")).select("id", "r.*").select(*self.schema.names)
+        write = f"w{uuid.uuid4().hex}"
+        here = f"{self.path}/repo_id={repo_id}/collection={suffix}/{write}"
+        put = lambda df: df.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(here)
+        try:
+            put(new)
+            touched = {n.removeprefix("bucket=") for n in self._names(here) if n.startswith("bucket=")}
+            old = {b: w for b, w in own.items() if b in touched}
+            if old:
+                put(self._read(repo_id, suffix, old).join(self._read(repo_id, suffix, dict.fromkeys(touched, write)).select("id"), "id", "left_anti"))
+        except Exception:
+            self._remove(here)
+            raise
+        return own | dict.fromkeys(touched, write)
 
     def collection(self, repo_id: str, suffix: str) -> DataFrame:
         """A collection's rows; one that does not exist is empty."""
-        path = current(self.spark, self._place(repo_id, suffix))
-        fields = [f for f in self.spark.createDataFrame([], schemas.CHUNKS).schema.fields if f.name not in ("repo_id", "collection")]
-        schema = type(self.spark.createDataFrame([], schemas.CHUNKS).schema)(fields)
-        return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
+        return self._read(repo_id, suffix, self._last(repo_id)[1].get(suffix, {}))
+
+    def collections(self, repo_id: str) -> dict[str, DataFrame]:
+        """All collections as one pointer names them."""
+        return {c: self._read(repo_id, c, own) for c, own in self._last(repo_id)[1].items()}
 
     def upsert(self, repo_id: str, suffix: str, rows: DataFrame) -> None:
-        """Of rows that repeat an id, the one with the largest values counts."""
-        old = self.collection(repo_id, suffix)
-        rest = [c for c in old.columns if c != "id"]
-        new = rows.select("id", F.struct(*rest).alias("r")).groupBy("id").agg(F.max("r").alias("r")).select("id", "r.*").select(*old.columns)
-        replace(self._place(repo_id, suffix), upserted(old, new, ["id"]))
+        """Of rows that repeat an id, the one with the largest values counts. Only buckets of the rows' ids are read and written."""
+        self.replace_all(repo_id, {suffix: rows})
 
     def get(self, repo_id: str, suffix: str, ids: DataFrame) -> DataFrame:
-        return self.collection(repo_id, suffix).join(ids.select("id"), "id", "left_semi")
+        """Rows of the given ids; other buckets than theirs are not read."""
+        own = self._last(repo_id)[1].get(suffix, {})
+        asked = {str(r.b) for r in ids.select(self._bucket().alias("b")).distinct().collect()}  # at most a number for each bucket
+        return self._read(repo_id, suffix, {b: w for b, w in own.items() if b in asked}).join(ids.select("id"), "id", "left_semi")
 
     def where(self, repo_id: str, suffix: str, condition: Column) -> DataFrame:
         """Rows by metadata; the predicate reaches the scan."""
@@ -101,15 +182,24 @@ class ChunkStore:
         return self.collection(repo_id, suffix).count()
 
     def delete(self, repo_id: str) -> None:
+        self._remove(f"{self.path}/repo_id={repo_id}/pointers")  # readers find nothing from here on
         self._remove(f"{self.path}/repo_id={repo_id}")
 
     def replace_all(self, repo_id: str, parts: dict[str, DataFrame]) -> None:
-        """Stores all collections or none: after a failure what was written is taken away again."""
+        """Upserts several collections in one commit: readers see all of them before it or all after it, and a failure changes nothing."""
+        number, told = self._last(repo_id)
+        told = dict(told)
+        done: list[str] = []
         try:
             for suffix, rows in parts.items():
-                self.upsert(repo_id, suffix, rows)
+                told[suffix] = self._written(repo_id, suffix, told.get(suffix, {}), rows)
+                done.append(suffix)
+            self._commit(repo_id, number, told)
         except Exception:
-            self.delete(repo_id)
+            before = self._last(repo_id)[1]
+            for suffix in done:
+                for w in set(told[suffix].values()) - set(before.get(suffix, {}).values()):
+                    self._remove(f"{self.path}/repo_id={repo_id}/collection={suffix}/{w}")
             raise
 
 

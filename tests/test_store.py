@@ -147,3 +147,62 @@ def test_manifest_and_seeded_order(spark):
     keys = spark.range(50)
     a, b = ([r.id for r in curate.shuffled(keys, "id", seed).orderBy("pos").collect()] for seed in (42, 43))
     assert sorted(a) == list(range(50)) and a != sorted(a) and a != b and a == [r.id for r in curate.shuffled(keys, "id").orderBy("pos").collect()]
+
+
+def chunk_rows(spark, ids, text):
+    return spark.createDataFrame([(str(i), text, "n", "f", "function", 1, 2, []) for i in ids], CHUNK)
+
+
+def buckets_of(df):
+    return {f.split("bucket=")[1].split("/")[0] for f in df.inputFiles()}
+
+
+def test_buckets_read_and_written(spark, tmp_path):
+    """A get reads its ids' buckets only; an upsert writes its ids' buckets only, and leaves the others' files as they are."""
+    s = store.ChunkStore(spark, str(tmp_path / "c"), buckets=8)
+    s.upsert("r", "_functions", chunk_rows(spark, range(200), "old"))
+    before = {f for f in s.collection("r", "_functions").inputFiles()}
+    ids = spark.createDataFrame([("17",)], "id string")
+    (bucket,) = buckets_of(s.get("r", "_functions", ids))
+    assert [r.id for r in s.get("r", "_functions", ids).collect()] == ["17"] and buckets_of(s.collection("r", "_functions")) == {str(b) for b in range(8)}
+    s.upsert("r", "_functions", chunk_rows(spark, [17], "new"))
+    after = {f for f in s.collection("r", "_functions").inputFiles()}
+    assert {f.split("bucket=")[1].split("/")[0] for f in after - before} == {bucket} == {f.split("bucket=")[1].split("/")[0] for f in before - after}
+    texts = {r.id: r.document for r in s.collection("r", "_functions").collect()}
+    assert len(texts) == 200 and texts["17"] == "new" and list(texts.values()).count("old") == 199
+    for i in range(3):
+        s.upsert("r", "_functions", chunk_rows(spark, [17], f"v{i}"))
+    assert len(s._pointers("r")) == 2 and s.count("r", "_functions") == 200
+
+
+def test_three_collections_in_one_commit(spark, tmp_path, monkeypatch):
+    """A reader between the writes and a failure after the second one both see the old three."""
+    s = store.ChunkStore(spark, str(tmp_path / "c"), buckets=4)
+    three = lambda text: {c: chunk_rows(spark, range(10), text) for c in store.COLLECTIONS}
+    seen = lambda: {c: {r.document for r in df.collect()} for c, df in s.collections("r").items()}
+    s.replace_all("r", three("old"))
+    old, between, write = {c: {"old"} for c in store.COLLECTIONS}, [], s._written
+
+    def watched(*args):
+        out = write(*args)
+        between.append(seen())
+        return out
+
+    monkeypatch.setattr(s, "_written", watched)
+    s.replace_all("r", three("new"))
+    assert between == [old] * 3 and seen() == {c: {"new"} for c in store.COLLECTIONS}
+    broken = three("third")
+    broken["_files"] = broken["_files"].withColumn("document", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        s.replace_all("r", broken)
+    assert seen() == {c: {"new"} for c in store.COLLECTIONS}
+    files = [p for p in (tmp_path / "c").rglob("*.parquet") if "third" in str(p)]
+    assert not files and len(list((tmp_path / "c/repo_id=r/collection=_functions").iterdir())) == 2
+
+
+def test_two_writers(spark, tmp_path):
+    s = store.ChunkStore(spark, str(tmp_path / "c"))
+    s.upsert("r", "_functions", chunk_rows(spark, [1], "a"))
+    with pytest.raises(store.Conflict):
+        s._commit("r", 0, {})
+    assert s.count("r", "_functions") == 1
