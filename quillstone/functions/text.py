@@ -137,6 +137,12 @@ def frames(rows: DataFrame, text_col: str) -> DataFrame:
     return out.where((F.col("event") != "") & F.try_parse_json("data").isNotNull()).drop("_frame")
 
 
+def assembled(chunks: DataFrame, by: str = "stream", seq: str = "seq", chunk: str = "chunk") -> DataFrame:
+    """(by, text): each stream's chunks, cut anywhere, as one text in order of `seq`; an answer's length bounds it."""
+    parts = chunks.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(seq, chunk))).alias("_parts"))
+    return parts.select(by, F.array_join(F.transform("_parts", lambda x: x[chunk]), "").alias("text"))
+
+
 #: What may follow each event of an answer stream; the first follows nothing.
 FOLLOWERS = {"": ("retrieval_done", "error"), "retrieval_done": ("token", "done", "error"), "token": ("token", "done", "error"), "done": (), "error": ()}
 

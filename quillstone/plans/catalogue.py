@@ -773,6 +773,23 @@ def sse_frames_parse(spark: SparkSession, sf: str) -> DataFrame:
     return text.frames(_table(spark, sf, "events").select("event_id", frame.alias("frame")), "frame").select("event_id", "place", "event", "data")
 
 
+def _chunked(events: DataFrame) -> DataFrame:
+    """A user's events as one text of frames, each frame cut in two somewhere, some without JSON."""
+    data = F.when(F.col("event_id") % 5 == 0, F.lit("not json")).otherwise(F.col("props"))
+    frame = text.event_frame(F.col("event_type"), data)
+    at = F.col("event_id") % F.length("frame")
+    cut = F.array(F.expr("substring(frame, 1, cast(at as int))"), F.expr("substring(frame, cast(at as int) + 1)"))
+    rows = events.select(F.col("user_id").cast("string").alias("stream"), "event_id", frame.alias("frame")).withColumn("at", at)
+    return rows.select("stream", "event_id", F.posexplode(cut).alias("half", "chunk")).select("stream", (F.col("event_id") * 2 + F.col("half")).alias("seq"), "chunk")
+
+
+@query
+def sse_frames_assembled(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of each user's text, put together from chunks."""
+    whole = text.assembled(_chunked(_table(spark, sf, "events")))
+    return text.frames(whole, "text").select("stream", "place", "event", "data")
+
+
 @query
 def url_validate(spark: SparkSession, sf: str) -> DataFrame:
     """Pages' paths as repository URLs, some with a slash, some on another host."""
@@ -979,3 +996,9 @@ def stream_buffered_scan(spark: SparkSession, sf: str) -> DataFrame:
     judged = curate.buffered(_as_commits(_stream(spark, sf, "documents"))).withColumn("reject_reason", reason)
     seen = jobs.scan_until(judged, "stream-buffered", accept=100)
     return seen.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"), F.max("accepted").alias("accepted"), F.max("seen").alias("seen"))
+
+
+@query
+def stream_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """`sse_frames_assembled` by a stateful stream that keeps partial frames."""
+    return jobs.run_available(jobs.frames(_chunked(_stream(spark, sf, "events"))), "stream-frames")

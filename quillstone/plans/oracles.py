@@ -282,6 +282,10 @@ SQL: dict[str, str] = {
     "progress_change_events": "SELECT user_id, event_id, event_type FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)",
     "rate_limit_violations": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3 HAVING count(*) > 3",
     "sse_frames_parse": "SELECT event_id, 0 AS place, event_type AS event, props AS data FROM events WHERE event_id % 5 <> 0",
+    "sse_frames_assembled": """SELECT user_id::VARCHAR AS stream, place::INTEGER AS place, event_type AS event, props AS data
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events) WHERE event_id % 5 <> 0""",
+    "stream_frames": """SELECT user_id::VARCHAR AS stream, place::INTEGER AS place, event_type AS event, props AS data
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events) WHERE event_id % 5 <> 0""",
     "url_validate": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://github.com/o/r' || page_id END AS url FROM pages",
     "input_length_guard": "SELECT length(text) > 10000 AS too_long, count(*) AS n FROM documents GROUP BY 1",
     "fenced_code_blocks": "SELECT event_id, 0 AS place, 'py' AS language, event_type || chr(10) AS code FROM events UNION ALL SELECT event_id, 1, '', 'x' || chr(10) FROM events",

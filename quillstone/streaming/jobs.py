@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
-from functools import partial
+from heapq import merge
+from itertools import batched
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..functions import text
 from ..operators import curate
@@ -19,55 +24,178 @@ IDLE_MS = 600_000
 EVENTS = "task string, seq long, event string, stage string, current_step int, status string"
 
 
-def _changes(timed: bool, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Events whose (stage, step) differs from the last one sent; a terminal status closes a task."""
-    columns = [c.split()[0] for c in EVENTS.split(", ")]
-    if state.hasTimedOut:
-        state.remove()
-        return
-    stage, step, closed = state.get if state.exists else (None, -1, False)
-    out = []
-    for row in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: r.seq):
+#: Rows of a key that are sorted in memory, and sorted runs of them that are merged at a time.
+CHUNK, RUNS = 50_000, 24
+
+
+class InOrder(StatefulProcessor):
+    """Sees the rows of a key in order of `seq`, batch by batch, and keeps what `step` needs from one to the next.
+
+    Rows of a batch come in any order. Up to `CHUNK` of them are sorted in memory; beyond that,
+    sorted runs go to list state, which is not in memory, and are merged from there. `timed`
+    processors forget a key `idle` milliseconds after its last row, by a timer.
+    """
+
+    rows, state, out = "", "", ""  # DDL of the rows' columns behind the key, of what is kept, and of what comes out
+
+    def __init__(self, timed: bool = False, idle: int = IDLE_MS):
+        self.timed, self.idle = timed, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", self.state, ttlDurationMs=2 * self.idle if self.timed else None)
+        self.runs = [handle.getListState(f"run{i}", self.rows) for i in range(RUNS + 1)]
+
+    def step(self, kept: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        """What to keep after a row, and the rows that it gives, without the key."""
+        raise NotImplementedError
+
+    def _sorted(self, frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        names = [c.split()[0] for c in self.rows.split(", ")]
+        held: list[tuple] = []
+        free, used = list(self.runs), []
+
+        def spill() -> None:
+            held.sort(key=itemgetter(0))
+            if len(free) == 1:  # all runs to one
+                run = free.pop()
+                for part in batched(self._merged(used), CHUNK):
+                    run.appendList(list(part))
+                for other in used:
+                    other.clear()
+                free.extend(used)
+                used[:] = [run]
+            run = free.pop()
+            run.put(held)
+            used.append(run)
+            held.clear()
+
+        for frame in frames:
+            for row in frame[names].astype(object).where(frame[names].notna(), None).itertuples(index=False, name=None):
+                held.append(row)
+                if len(held) >= CHUNK:
+                    spill()
+        if not used:
+            held.sort(key=itemgetter(0))
+            yield from held
+            return
+        if held:
+            spill()
+        yield from self._merged(used)
+        for run in used:
+            run.clear()
+
+    @staticmethod
+    def _merged(runs: list) -> Iterator[tuple]:
+        return merge(*(map(tuple, run.get()) for run in runs), key=itemgetter(0))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        kept = self.kept.get() if self.kept.exists() else None
+        columns, out = [c.split()[0] for c in self.out.split(", ")], []
+        for row in self._sorted(rows):
+            kept, given = self.step(kept, row)
+            out += [(key[0], *x) for x in given]
+            if len(out) >= CHUNK:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        if kept is not None:
+            self.kept.update(tuple(kept))
+        if self.timed:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def _run(rows: DataFrame, by: str, processor: InOrder) -> DataFrame:
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the state API needs it
+    return rows.groupBy(by).transformWithStateInPandas(processor, processor.out, "append", "ProcessingTime" if processor.timed else "None")
+
+
+class Changes(InOrder):
+    """Events whose (stage, step) differs from the last one seen; a terminal status closes a task."""
+
+    rows = "seq long, stage string, current_step int, status string"
+    state = "stage string, step int, closed boolean"
+    out = EVENTS
+
+    def step(self, kept, row):
+        stage, step, closed = kept or (None, -1, False)
         if closed:
-            continue
-        closed = row.status in ("complete", "failed")
-        if closed or (row.stage, row.current_step) != (stage, step):
-            event = {"complete": "complete", "failed": "error"}.get(row.status, "progress")
-            out.append((key[0], row.seq, event, row.stage, row.current_step, row.status))
-        stage, step = row.stage, int(row.current_step)
-    state.update((stage, step, closed))
-    if timed:
-        state.setTimeoutDuration(IDLE_MS)
-    if out:
-        yield pd.DataFrame(out, columns=columns)
-
-
-def progress(events: DataFrame, timed: bool = True) -> DataFrame:
+            return kept, []
+        seq, new_stage, new_step, status = row
+        closed = status in ("complete", "failed")
+        sent = closed or (new_stage, new_step) != (stage, step)
+        event = {"complete": "complete", "failed": "error"}.get(status, "progress")
+        return (new_stage, None if new_step is None else int(new_step), closed), [(seq, event, new_stage, new_step, status)] if sent else []
+
+
+def progress(events: DataFrame, timed: bool = True, idle: int = IDLE_MS) -> DataFrame:
     """Changes of each task from a stream (task, seq, stage, current_step, status).
 
     Tasks idle for ten minutes are forgotten, unless not `timed`: a stream over what is there
     now must end, and one that waits for the clock does not.
     """
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if timed else GroupStateTimeout.NoTimeout
-    return events.groupBy("task").applyInPandasWithState(partial(_changes, timed), EVENTS, "stage string, step int, closed boolean", "append", timeout)
+    return _run(events, "task", Changes(timed, idle))
 
 
-def _order(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+class Order(InOrder):
     """Events that may not follow the one before them in their answer stream, over all batches."""
-    before = state.get[0] if state.exists else ""
-    out = []
-    for row in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: r.seq):
-        if row.event not in text.FOLLOWERS.get(before, ()):
-            out.append((key[0], row.seq, row.event, before or None))
-        before = row.event
-    state.update((before,))
-    if out:
-        yield pd.DataFrame(out, columns=["stream", "seq", "event", "before"])
+
+    rows = "seq long, event string"
+    state = "before string"
+    out = "stream string, seq long, event string, before string"
+
+    def step(self, kept, row):
+        before = kept[0] if kept else None
+        seq, event = row
+        return (event,), [] if event in text.FOLLOWERS.get(before or "", ()) else [(seq, event, before)]
 
 
 def order_faults(events: DataFrame) -> DataFrame:
     """`text.order_faults` of a stream of events (stream, seq, event): the last event of each answer stream is state."""
-    return events.groupBy("stream").applyInPandasWithState(_order, "stream string, seq long, event string, before string", "before string", "append", GroupStateTimeout.NoTimeout)
+    return _run(events, "stream", Order())
+
+
+class Frames(InOrder):
+    """Whole frames of chunks that may be cut anywhere; what follows the last blank line is kept for the next chunk."""
+
+    rows = "seq long, chunk string"
+    state = "tail string, place int"
+    out = "stream string, place int, event string, data string"
+
+    def step(self, kept, row):
+        tail, place = kept or ("", 0)
+        *whole, tail = (tail + (row[1] or "")).split("\n\n")
+        given = []
+        for frame in whole:
+            event, data = (re.search(f"(?m)^{name}: ?(.*)$", frame) for name in ("event", "data"))
+            if event and data and event[1] and _is_json(data[1]):
+                given.append((place, event[1], data[1]))
+            place += 1
+        return (tail, place), given
+
+
+def _is_json(raw: str) -> bool:
+    try:
+        json.loads(raw, parse_constant=float.fromhex)  # NaN and Infinity are no JSON, nor hexadecimal
+    except ValueError:
+        return False
+    return True
+
+
+def frames(chunks: DataFrame) -> DataFrame:
+    """(stream, place, event, data) of server-sent events from a stream of chunks (stream, seq, chunk): `text.frames` of each stream's whole text."""
+    return _run(chunks, "stream", Frames())
 
 
 def scan_until(judged: DataFrame, name: str, *, accept: int = curate.ACCEPT, scan: int = curate.SCAN, order: str = "pos", reason: str = "reject_reason") -> DataFrame:
