@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import keyword
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z = 1.96
+#: Words that weigh 1 where others weigh PLAIN; the longest n-gram; what a length without a match counts.
+KEYWORDS, PLAIN, LONGEST, NONE = tuple(keyword.kwlist), 0.2, 4, 0.1
 
 
 def percent(hit: str | Column, places: int = 1) -> Column:
@@ -90,6 +98,51 @@ def bleu(rows: DataFrame, id_col: str = "id", candidate: str = "candidate", refe
     return rows.select("id", F.coalesce(brevity * F.exp(logs), F.lit(0.0)).alias("bleu"))
 
 
+_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+_COUNTED = "matches array<long>, candidates array<long>, references array<long>, weighted double, weights double, nc long, nr long"
+
+
+def _counted(pairs: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Of each pair of texts: clipped n-gram matches and n-grams of either, by length; matched and all weights of the reference's words."""
+    for candidates, references, keywords in pairs:
+        out = []
+        for candidate, reference, known in zip(candidates, references, keywords, strict=True):
+            c, r = (_WORD.findall(x or "") for x in (candidate, reference))
+            own = [Counter(zip(*(w[i:] for i in range(n)), strict=False)) for w in (c, r) for n in range(1, LONGEST + 1)]
+            own_c, own_r = own[:LONGEST], own[LONGEST:]
+            known = set(() if known is None else known)
+            weight = lambda counts: sum(n * (1.0 if w[0] in known else PLAIN) for w, n in counts.items())  # noqa: E731, B023
+            out.append(([(x & y).total() for x, y in zip(own_c, own_r, strict=True)], [x.total() for x in own_c], [y.total() for y in own_r], weight(own_c[0] & own_r[0]), weight(own_r[0]), len(c), len(r)))
+        yield pd.DataFrame(out, columns=["matches", "candidates", "references", "weighted", "weights", "nc", "nr"])
+
+
+def corpus_bleu(rows: DataFrame, candidate: str = "candidate", reference: str = "reference", keywords: tuple[str, ...] = KEYWORDS) -> DataFrame:
+    """One row: rows, `bleu` and `weighted` of a whole corpus.
+
+    `bleu`: clipped n-gram matches of all rows over all n-grams of candidates, the geometric
+    mean of four lengths, times one brevity penalty by total lengths. `weighted` measures
+    recall: the same matches over the n-grams of references, single words by weight, 1 for a
+    keyword and 0.2 for another. A length without a match counts 0.1 of one; without a single
+    word in common both are 0. N-grams are counted inside rows and only sums are shuffled.
+    """
+    told = rows.select(F.pandas_udf(_counted, _COUNTED)(candidate, reference, F.array(*map(F.lit, keywords))).alias("x"))
+    at = lambda c, i: F.sum(F.col("x")[c][i])
+    sums = told.agg(
+        F.count("*").alias("n"), F.sum("x.nc").alias("nc"), F.sum("x.nr").alias("nr"), F.sum("x.weighted").alias("hit_weight"), F.sum("x.weights").alias("all_weight"),
+        *[at(c, i).alias(f"{c}{i}") for c in ("matches", "candidates", "references") for i in range(LONGEST)],
+    )
+
+    def score(hits: list[Column], totals: list[Column]) -> Column:
+        logs = [F.ln(F.when(h > 0, h.cast("double")).otherwise(NONE) / F.greatest(F.coalesce(t, F.lit(0)), F.lit(1)).cast("double")) / LONGEST for h, t in zip(hits, totals, strict=True)]
+        brevity = F.when(F.col("nc") > F.col("nr"), 1.0).when(F.col("nc") > 0, F.exp(1 - F.col("nr") / F.col("nc"))).otherwise(0.0)
+        mean = F.exp(sum(logs[1:], logs[0]))
+        return F.when(F.coalesce(F.col("matches0"), F.lit(0)) > 0, brevity * mean).otherwise(0.0)
+
+    hits = [F.col(f"matches{i}") for i in range(LONGEST)]
+    weighted = score([F.col("hit_weight"), *hits[1:]], [F.col("all_weight"), *(F.col(f"references{i}") for i in range(1, LONGEST))])
+    return sums.select("n", score(hits, [F.col(f"candidates{i}") for i in range(LONGEST)]).alias("bleu"), weighted.alias("weighted"))
+
+
 def code_bleu(ngram: Column, weighted: Column | None = None, syntax: Column | None = None, dataflow: Column | None = None) -> Column:
     """A quarter of each part; parts that are missing count as the n-gram part."""
     parts = [ngram, *(ngram if x is None else F.coalesce(x, ngram) for x in (weighted, syntax, dataflow))]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ast
 import difflib
+import hashlib
+import json
 import random
 from collections.abc import Iterator
 
@@ -178,3 +180,44 @@ def manifest(files: DataFrame, counts: DataFrame) -> DataFrame:
     """One row: SHA-256 of each output file (path, content) and the row counts by split."""
     hashes = files.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.element_at(F.split("path", "/"), -1), F.sha2("content", 256))))).alias("sha256"))
     return hashes.join(counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("split", "n")))).alias("rows")))
+
+
+def digests(rows: DataFrame, by: str, index: str, line: str, *, block: int = 1_000) -> DataFrame:
+    """(by, n, sha256): one digest of each group's lines in order of `index`, which counts from 0 without gaps.
+
+    Digests of lines are joined block by block, by index, and digested again, at least twice
+    and until one is left. No task holds more than a block, and how rows are dealt to
+    partitions or files changes nothing.
+    """
+    level = rows.select(by, F.col(index).cast("long").alias("i"), F.sha2(F.encode(F.coalesce(line, F.lit("")), "UTF-8"), 256).alias("d"), F.lit(1).cast("long").alias("n"))
+    last = rows.agg(F.coalesce(F.max(F.col(index).cast("long")), F.lit(0)).alias("i")).first().i
+    rounds = 0
+    while rounds < 2 or last > 0:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "d"))), lambda x: x["d"]), "")
+        level = level.groupBy(by, F.floor(F.col("i") / block).alias("at")).agg(F.sha2(F.encode(joined, "UTF-8"), 256).alias("d"), F.sum("n").alias("n")).select(by, F.col("at").alias("i"), "d", "n")
+        last, rounds = last // block, rounds + 1
+    return level.select(by, "n", F.col("d").alias("sha256"))
+
+
+def dataset_manifest(samples: DataFrame, *, dataset: str, configuration: str, scanned: int, seed: int = SEED, provenance: dict[str, str] | None = None, filters: dict[str, object] | None = None, scan: int = SCAN, buffer: int = BUFFER) -> DataFrame:
+    """One row, `manifest`: JSON about a written dataset from its samples (split, slot, place, line).
+
+    Each split's lines are counted and digested in order of their slots; so are the places that
+    the splits took of the accepted rows. The rest says where the rows came from and what they
+    passed. Keys are sorted and nothing depends on partitions, so equal data gives equal JSON.
+    """
+    spark = samples.sparkSession
+    own = digests(samples, "split", "slot", "line").orderBy("split").collect()  # a row a split
+    places = digests(samples.withColumn("line", F.col("place").cast("string")), "split", "slot", "line").orderBy("split").collect()
+    whole = "".join(f"{r.split}:{r.sha256};" for r in places)
+    told = {
+        "provenance": {"engine": "quillstone", "spark": spark.version} | (provenance or {}),
+        "dataset": dataset,
+        "configuration": configuration,
+        "random_seed": seed,
+        "filters": {"max_file_chars": MAX_CHARS, "max_diff_lines": MAX_DIFF_LINES, "min_message_words": MIN_WORDS, "bugfix_keyword_filter": True, "syntax_valid_python": False} | (filters or {}),
+        "source_access": {"mode": "streaming", "source_rows_scanned": scanned, "source_scan_limit": scan, "accepted_samples": sum(r.n for r in own), "shuffle_seed": seed, "shuffle_buffer_size": buffer},
+        "splits": {r.split: {"path": f"{r.split}.jsonl", "samples": r.n, "sha256": r.sha256} for r in own},
+        "split_indices_sha256": hashlib.sha256(whole.encode()).hexdigest(),
+    }
+    return spark.createDataFrame([(json.dumps(told, sort_keys=True),)], "manifest string")

@@ -30,20 +30,32 @@ def degrees(edge: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
+def adjacency(edge: DataFrame, cap: int = DEGREE_CAP) -> DataFrame:
+    """(seed, ids): the first `cap` successors, and in a row of their own predecessors, of each node.
+
+    In order of the edge's seq, then of the other end. The cut is made before rows are
+    shuffled, so that a hub sends `cap` rows a task and not its edges; made once, it serves any seeds.
+    """
+    ends = [edge.select(F.col(own).alias("seed"), F.lit(own).alias("side"), F.col(other).alias("id"), "seq") for own, other in (("src", "dst"), ("dst", "src"))]
+    order = Window.partitionBy("seed", "side").orderBy("seq", "id")
+    near = ends[0].union(ends[1]).withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap)
+    return near.groupBy("seed", "side").agg(F.collect_list("id").alias("ids")).select("seed", "ids")
+
+
 def neighbours(seeds: DataFrame, edge: DataFrame, cap: int | None = DEGREE_CAP) -> DataFrame:
     """(question_id, id): one hop from seeds (question_id, id) along edges and against them, less the seeds.
 
     At most `cap` successors and `cap` predecessors of each seed, in order of the edge's seq,
-    then of the other end.
+    then of the other end; `edge` may be an `adjacency`, which has made that cut.
     """
-    found = []
-    for own, other in (("src", "dst"), ("dst", "src")):
-        hop = seeds.select("question_id", F.col("id").alias("seed")).distinct().join(edge.select(F.col(own).alias("seed"), F.col(other).alias("id"), "seq"), "seed")
-        if cap is not None:
-            near = Window.partitionBy("question_id", "seed").orderBy("seq", "id")
-            hop = hop.withColumn("n", F.row_number().over(near)).where(F.col("n") <= cap)
-        found.append(hop.select("question_id", "id"))
-    return found[0].union(found[1]).distinct().join(seeds.select("question_id", "id"), ["question_id", "id"], "left_anti")
+    asked = seeds.select("question_id", F.col("id").alias("seed")).distinct()
+    if cap is not None:
+        near = edge if "ids" in edge.columns else adjacency(edge, cap)
+        found = asked.join(near, "seed").select("question_id", F.explode("ids").alias("id"))
+    else:
+        hop = lambda own, other: asked.join(edge.select(F.col(own).alias("seed"), F.col(other).alias("id")), "seed").select("question_id", "id")
+        found = hop("src", "dst").union(hop("dst", "src"))
+    return found.distinct().join(seeds.select("question_id", "id"), ["question_id", "id"], "left_anti")
 
 
 def to_node_link(node: DataFrame, edge: DataFrame) -> DataFrame:

@@ -14,10 +14,21 @@ SEEDS, FINAL = 5, 8
 W_VECTOR, W_GRAPH, G_SEED, G_NEIGHBOUR = 0.6, 0.4, 1.0, 0.5
 
 
+def name_index(chunks: DataFrame, k: int = SEEDS) -> DataFrame:
+    """(name, ids): the first k chunks of each name, by id; a name that many chunks have sends k rows a task."""
+    first = chunks.where("name is not null").select("name", "id").withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("id"))).where(F.col("n") <= k)
+    return first.groupBy("name").agg(F.collect_list("id").alias("ids"))
+
+
 def symbol_hits(questions: DataFrame, chunks: DataFrame, k: int = SEEDS) -> DataFrame:
-    """(question_id, id, sim): chunks named in a question; similarity 1, by id, at most k."""
+    """(question_id, id, sim): chunks named in a question; similarity 1, by id, at most k.
+
+    A question meets the first k chunks of a name, not all of them; `chunks` may be a
+    `name_index`, which has made that cut.
+    """
     asked = questions.select("question_id", F.explode(text.symbols("question")).alias("name"))
-    hits = asked.join(chunks.select("id", "name"), "name").select("question_id", "id").distinct()
+    index = chunks if "ids" in chunks.columns else name_index(chunks, k)
+    hits = asked.join(index, "name").select("question_id", F.explode("ids").alias("id")).distinct()
     return ranked(hits.withColumn("sim", F.lit(1.0)), k, "question_id", F.asc("id")).select("question_id", "id", "sim")
 
 

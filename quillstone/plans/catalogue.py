@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import embed, metrics, text
-from ..operators import curate, graph, parse, retrieve, store, topk, vector_index
+from ..operators import admission, curate, graph, parse, retrieve, store, topk, vector_index
 from ..sources import files
 from ..sources.scratch import kept, scratch
 from ..streaming import jobs
@@ -386,6 +386,18 @@ def bleu_by_turn(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.bleu(rows).withColumn("bleu", F.round("bleu", 6))
 
 
+#: Words that weigh more in the corpus' weighted score.
+HEAVY_WORDS = ("the", "that", "you", "and", "of")
+
+
+@query
+def bleu_of_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """All assistant turns against the user turns before them, as one corpus."""
+    rows = _turns(spark, sf).where("answer is not null")
+    scores = metrics.corpus_bleu(rows, "answer", "asked", HEAVY_WORDS)
+    return scores.select("n", F.round("bleu", 9).alias("bleu"), F.round("weighted", 9).alias("weighted"), F.round(metrics.code_bleu(F.col("bleu"), F.col("weighted")), 9).alias("combined"))
+
+
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
     """A user's turn and the assistant's next one, or null where there is none."""
     c = _table(spark, sf, "conversations").where("conv_id is not null and turn is not null")
@@ -749,6 +761,24 @@ def rate_limit_violations(spark: SparkSession, sf: str) -> DataFrame:
     return n.where("n > 3").select(F.col("window.start").alias("start"), "user_id", "event_type", "n")
 
 
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as requests of two clients, their month run through in two minutes, so that limits bind."""
+    kind = F.col("event_type")
+    route = F.when(F.col("event_id") % 50 == 0, "health").when(kind.isin("signup", "purchase"), "ingest").when(kind.isin("click", "view"), "query").otherwise("code")
+    fast = F.timestamp_micros(F.expr("unix_micros(cast(ts as timestamp)) div 20000"))
+    return _table(spark, sf, "events").select("event_id", (F.col("user_id") % 2).alias("client"), route.alias("route"), fast.alias("ts"))
+
+
+@query
+def request_admission(spark: SparkSession, sf: str) -> DataFrame:
+    return admission.decided(_requests(spark, sf), seq="event_id").select("event_id", "client", "route", "place", "served", "retry_after")
+
+
+@query
+def request_refusals(spark: SparkSession, sf: str) -> DataFrame:
+    return admission.refusals(admission.decided(_requests(spark, sf), seq="event_id"))
+
+
 def _answer_events(events: DataFrame) -> DataFrame:
     """A user's events as one answer stream; most break its order somewhere."""
     event = F.when(F.col("event_type") == "signup", "retrieval_done").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "error").otherwise("token")
@@ -826,6 +856,18 @@ def sha256_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("sha256"))
 
 
+@query
+def dataset_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents split by a digest of their ids: what the manifest says of each split."""
+    docs = _table(spark, sf, "documents")
+    rows = docs.join(curate_hash_split(spark, sf), "doc_id")
+    # places are numbered in the splits of a report, by ids that are integers: a running number of two small columns
+    rows = rows.withColumn("slot", F.row_number().over(Window.partitionBy("split").orderBy("doc_id")) - 1).select("split", "slot", F.col("doc_id").alias("place"), F.col("text").alias("line"))
+    told = curate.dataset_manifest(kept(rows, "samples"), dataset="documents", configuration="all", scanned=docs.count())
+    parsed = told.select(F.from_json("manifest", "splits map<string, struct<samples: long, sha256: string>>, source_access struct<source_rows_scanned: long>").alias("m"))
+    return parsed.select(F.explode("m.splits").alias("split", "s"), F.col("m.source_access.source_rows_scanned").alias("scanned")).select("split", "s.samples", "s.sha256", "scanned")
+
+
 @query
 def jsonl_count(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "jsonl")

@@ -135,6 +135,30 @@ def _bleu() -> str:
         SELECT id, round(coalesce((CASE WHEN len(c) >= len(r) THEN 1.0 ELSE exp(1 - len(r)::DOUBLE / nullif(len(c), 0)) END) * exp({" + ".join(logs)}), 0.0), 6) AS bleu FROM w"""
 
 
+_ADMISSION = """WITH r AS (SELECT event_id, user_id % 2 AS client, CASE WHEN event_id % 50 = 0 THEN 'health' WHEN event_type IN ('signup', 'purchase') THEN 'ingest' WHEN event_type IN ('click', 'view') THEN 'query' ELSE 'code' END AS route, epoch_us(ts) // 20000 AS us FROM events),
+    l AS (SELECT *, CASE route WHEN 'ingest' THEN 100 WHEN 'query' THEN 30 WHEN 'code' THEN 20 END AS lim, CASE route WHEN 'ingest' THEN 3600 WHEN 'query' THEN 60 WHEN 'code' THEN 60 END AS secs FROM r),
+    s AS (SELECT *, us // (secs::BIGINT * 1000000) * secs AS started FROM l),
+    d AS (SELECT *, row_number() OVER (PARTITION BY client, route, started ORDER BY us, event_id) AS place FROM s) """
+
+
+def _corpus_bleu() -> str:
+    grams = "SELECT rn, n, unnest(list_transform(range(1, len({0}) - n + 2), lambda i: array_to_string({0}[i:i + n - 1], ' '))) AS g FROM w CROSS JOIN (VALUES (1), (2), (3), (4)) AS t(n)"
+    weight = "CASE WHEN g IN ('the', 'that', 'you', 'and', 'of') THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END"
+    log = "ln((CASE WHEN {0} > 0 THEN {0} ELSE 0.1 END)::DOUBLE / greatest({1}, 1)::DOUBLE) / 4"
+    plain = " + ".join(log.format(f"coalesce(max(hit) FILTER (n = {n}), 0)", f"coalesce(max(own) FILTER (n = {n}), 0)") for n in range(1, 5))
+    recall = " + ".join([log.format("coalesce(max(whit) FILTER (n = 1), 0)", "coalesce(max(wref) FILTER (n = 1), 0)"), *(log.format(f"coalesce(max(hit) FILTER (n = {n}), 0)", f"coalesce(max(ref) FILTER (n = {n}), 0)") for n in range(2, 5))])
+    brevity = "(SELECT CASE WHEN sum(len(c)) > sum(len(r)) THEN 1.0 ELSE exp(1 - sum(len(r))::DOUBLE / sum(len(c))) END FROM w)"
+    return f"""WITH w AS (SELECT row_number() OVER () AS rn, list_filter(regexp_split_to_array(coalesce(a.text, ''), '\\s+'), lambda t: t <> '') AS c, list_filter(regexp_split_to_array(coalesce(u.text, ''), '\\s+'), lambda t: t <> '') AS r
+            FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant' AND a.text IS NOT NULL),
+        cg AS (SELECT rn, n, g, count(*) AS k FROM ({grams.format("c")}) GROUP BY 1, 2, 3),
+        rg AS (SELECT rn, n, g, count(*) AS k FROM ({grams.format("r")}) GROUP BY 1, 2, 3),
+        hits AS (SELECT cg.n, sum(least(cg.k, rg.k)) AS hit, sum(least(cg.k, rg.k) * {weight.replace(" g ", " cg.g ")}) AS whit FROM cg JOIN rg ON cg.rn = rg.rn AND cg.n = rg.n AND cg.g = rg.g GROUP BY cg.n),
+        owns AS (SELECT n, sum(k) AS own FROM cg GROUP BY n),
+        refs AS (SELECT n, sum(k) AS ref, sum(k * {weight}) AS wref FROM rg GROUP BY n),
+        x AS (SELECT exp({plain}) * {brevity} AS bleu, exp({recall}) * {brevity} AS weighted FROM (VALUES (1), (2), (3), (4)) AS t(n) LEFT JOIN hits USING (n) LEFT JOIN owns USING (n) LEFT JOIN refs USING (n))
+        SELECT (SELECT count(*) FROM w) AS n, round(bleu, 9) AS bleu, round(weighted, 9) AS weighted, round(0.75::DOUBLE * bleu + 0.25::DOUBLE * weighted, 9) AS combined FROM x"""
+
+
 def _places() -> str:
     """The seeded permutation, as the splits have it."""
     from ..operators.curate import split_rows
@@ -286,6 +310,15 @@ SQL: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events) WHERE event_id % 5 <> 0""",
     "stream_frames": """SELECT user_id::VARCHAR AS stream, place::INTEGER AS place, event_type AS event, props AS data
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events) WHERE event_id % 5 <> 0""",
+    "request_admission": _ADMISSION + "SELECT event_id, client, route, CASE WHEN secs IS NOT NULL THEN place END::INTEGER AS place, secs IS NULL OR place <= lim AS served, CASE WHEN place > lim THEN ceil((started + secs) - us / 1000000.0)::BIGINT END AS retry_after FROM d",
+    "request_refusals": _ADMISSION + "SELECT client, route, count(*) AS requests, count(*) FILTER (place > lim) AS refused FROM d GROUP BY 1, 2",
+    "bleu_of_corpus": _corpus_bleu(),
+    "dataset_manifest": """WITH s AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN h < 6 THEN 'train' WHEN h < 7 THEN 'validation' ELSE 'test' END AS split
+            FROM (SELECT *, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 8 AS h FROM documents)),
+        a AS (SELECT split, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS i, sha256(t) AS d FROM s),
+        b AS (SELECT split, i // 1000 AS i, sha256(string_agg(d, '' ORDER BY i)) AS d, count(*) AS n FROM a GROUP BY split, i // 1000),
+        c AS (SELECT split, sha256(string_agg(d, '' ORDER BY i)) AS sha256, sum(n)::BIGINT AS samples FROM b GROUP BY split)
+        SELECT split, samples, sha256, (SELECT count(*) FROM documents) AS scanned FROM c""",
     "url_validate": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://github.com/o/r' || page_id END AS url FROM pages",
     "input_length_guard": "SELECT length(text) > 10000 AS too_long, count(*) AS n FROM documents GROUP BY 1",
     "fenced_code_blocks": "SELECT event_id, 0 AS place, 'py' AS language, event_type || chr(10) AS code FROM events UNION ALL SELECT event_id, 1, '', 'x' || chr(10) FROM events",
