@@ -39,7 +39,7 @@ def vector_hits(questions: DataFrame, vectors: DataFrame, k: int = SEEDS) -> Dat
 
 
 def seeds(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = SEEDS) -> DataFrame:
-    """(question_id, id, sim, rank): a question's symbol hits, or its vector hits where it has none."""
+    """(question_id, id, sim, rank): a question's symbol hits, or its vector hits where it has none; `chunks` may be a `name_index`."""
     exact = symbol_hits(questions, chunks, k)
     near = vector_hits(questions.join(exact.select("question_id"), "question_id", "left_anti"), vectors, k)
     order = Window.partitionBy("question_id").orderBy(F.desc("sim"), "id")
@@ -74,14 +74,17 @@ def public_view(rows: DataFrame) -> DataFrame:
     return rows.drop("content", "id")
 
 
-def naive(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = SEEDS) -> DataFrame:
-    """Seeds as they are; the score is the similarity."""
-    return described(seeds(questions, chunks, vectors, k).select("question_id", "rank", "id", F.lit("seed").alias("type"), F.col("sim").alias("score")), chunks)
+def naive(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = SEEDS, names: DataFrame | None = None) -> DataFrame:
+    """Seeds as they are; the score is the similarity. `names` is a stored `name_index` of the chunks."""
+    return described(seeds(questions, chunks if names is None else names, vectors, k).select("question_id", "rank", "id", F.lit("seed").alias("type"), F.col("sim").alias("score")), chunks)
 
 
-def graph_augmented(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, edges: DataFrame) -> DataFrame:
-    """Seeds and their neighbours among `chunks`; a neighbour that is no function chunk drops out."""
-    return expanded(seeds(questions, chunks, vectors), chunks, edges)
+def graph_augmented(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Seeds and their neighbours among `chunks`; a neighbour that is no function chunk drops out.
+
+    `edges` may be a stored `graph.adjacency`, and `names` a stored `name_index` of the chunks.
+    """
+    return expanded(seeds(questions, chunks if names is None else names, vectors), chunks, edges)
 
 
 def expanded(found: DataFrame, chunks: DataFrame, edges: DataFrame) -> DataFrame:

@@ -126,6 +126,9 @@ class Engine:
             self.chunks.replace_all(repo, parts)
             vectors = embed.vectors(self.chunks.collection(repo, "_functions"), "id", "document")
             vectors.write.mode("overwrite").parquet(f"{self.path}/vectors/repo_id={repo}")
+            # cut once, for every question that is asked later
+            graph.adjacency(self.spark.read.parquet(f"{self.path}/edges/repo_id={repo}")).write.mode("overwrite").parquet(f"{self.path}/adjacency/repo_id={repo}")
+            retrieve.name_index(self.chunks.collection(repo, "_functions")).write.mode("overwrite").parquet(f"{self.path}/names/repo_id={repo}")
             n = units.agg(F.count_if(F.col("type") == "function").alias("f"), F.count_if(F.col("type") == "class").alias("c")).first()
             links = self.spark.read.parquet(f"{self.path}/edges/repo_id={repo}").count()
             stats = f'{{"files":{len(found)},"functions":{n.f},"classes":{n.c},"edges":{links}}}'
@@ -145,7 +148,7 @@ class Engine:
         if row.status in schemas.IN_PROGRESS and not force:
             raise Busy(repo_id)
         self.chunks.delete(repo_id)
-        for name in ("units", "edges", "vectors"):
+        for name in ("units", "edges", "vectors", "adjacency", "names"):
             self.chunks._remove(f"{self.path}/{name}/repo_id={repo_id}")
         gone = self.spark.createDataFrame([(repo_id,)], "id string")
         repos, events, messages = store.cascade_delete(gone, self.repos(), self.task_events(), self._table("messages", schemas.MESSAGES))
@@ -165,11 +168,10 @@ class Engine:
         if row.status != "complete":
             raise Busy(repo_id)
         chunks = self.chunks.collection(repo_id, "_functions")
-        vectors = self.spark.read.parquet(f"{self.path}/vectors/repo_id={repo_id}")
+        vectors, near, names = (self.spark.read.parquet(f"{self.path}/{name}/repo_id={repo_id}") for name in ("vectors", "adjacency", "names"))
         if mode == "naive":
-            return retrieve.naive(questions, chunks, vectors)
-        edges = self.spark.read.parquet(f"{self.path}/edges/repo_id={repo_id}")
-        return retrieve.graph_augmented(questions, chunks, vectors, edges)
+            return retrieve.naive(questions, chunks, vectors, names=names)
+        return retrieve.graph_augmented(questions, chunks, vectors, near, names)
 
     def build_prompts(self, retrieved: DataFrame, questions: DataFrame) -> DataFrame:
         return text.context_prompts(retrieved, questions)

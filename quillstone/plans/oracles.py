@@ -302,9 +302,9 @@ SQL: dict[str, str] = {
     "catalogue_violations": """SELECT 'repo_status' AS rule, count(*) AS n FROM orders WHERE o_orderkey % 50 = 0
         UNION ALL SELECT 'task_repo', count(*) FROM lineitem WHERE l_linenumber = 7 OR l_orderkey NOT IN (SELECT o_orderkey FROM orders) HAVING count(*) > 0""",
     "latest_checkpoint": "SELECT event_type, 'run/checkpoint-' || max(event_id) FILTER (event_id % 10 <> 0) AS path FROM events GROUP BY 1",
-    "required_repos": "SELECT n_nationkey AS key FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)",
+    "required_repos": "SELECT n_nationkey AS key FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 5 = 0)",
     "progress_change_events": "SELECT user_id, event_id, event_type FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)",
-    "rate_limit_violations": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3 HAVING count(*) > 3",
+    "rate_limit_violations": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, user_id % 2 AS client, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3 HAVING count(*) > 3",
     "sse_frames_parse": "SELECT event_id, 0 AS place, event_type AS event, props AS data FROM events WHERE event_id % 5 <> 0",
     "sse_frames_assembled": """SELECT user_id::VARCHAR AS stream, place::INTEGER AS place, event_type AS event, props AS data
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events) WHERE event_id % 5 <> 0""",
