@@ -605,14 +605,14 @@ def test_tool_calls(spark):
 
 
 def test_circles_end_whatever_the_turns_are(spark, monkeypatch):
-    """Rounds are bounded by the longest chain of needs, not by turns."""
+    """Rounds are bounded by the bits of a chain's length and by calls that wait for several in a row, not by turns."""
     rounds, staged = [], toolcalls.staged
     monkeypatch.setattr(toolcalls, "staged", lambda df, name: rounds.append(name) or staged(df, name))
     big = 10**9
     calls = [(1, "a", 1, "t", "{}", ["b"]), (1, "b", big, "t", "{}", ["a"]), (1, "c", 5, "t", "{}", ["d"]), (1, "d", big + 7, "t", "{}", []), (1, "e", 2, "t", "{}", ["b", "c"]), (1, "f", 3, "t", "{}", ["f"])]
     got = {r.call_id: r.place for r in toolcalls.in_order(spark.createDataFrame(calls, toolcalls.CALLS)).collect()}
     assert got == {"a": None, "b": None, "c": big + 8, "d": big + 7, "e": None, "f": None}
-    assert rounds.count("ready") == 3
+    assert rounds.count("waiting") <= 3 and rounds.count("chains") <= 1 + (6).bit_length()
 
 
 def test_tool_calls_in_messages(spark):
