@@ -44,6 +44,13 @@ def test_flagship(spark):
     assert all((r["type"] == "seed") == (r["score"] >= 0.4) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["seeds_exact_over_vector", "bleu_by_turn", "curate_diff_size", "curate_syntax_valid", "stream_symbol_enrich"])
+@pytest.mark.parametrize("name", ["seeds_exact_over_vector", "bleu_by_turn", "curate_diff_size", "curate_syntax_valid", "stream_symbol_enrich", "stream_buffered_scan"])
 def test_has_rows(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
+
+
+def test_index_finds_what_is_near(spark, small):
+    """Nearly all of the exact nearest rows, with fewer rows scored than there are."""
+    rows = QUERIES["vector_index_recall"](spark, small).collect()
+    assert sum(r.hit for r in rows) >= 0.95 * sum(r.wanted for r in rows) > 0
+    assert sum(r.scored for r in rows) < sum(r.rows for r in rows)
