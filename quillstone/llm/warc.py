@@ -262,14 +262,33 @@ def with_revisits(pages: DataFrame, id_col: str, payload: str, *, least_bytes: i
     return joined.withColumn("_first", F.when(~F.col(id_col).eqNullSafe(F.col("_holder")), F.col("_holder"))).drop("_d", "_b", "_holder")
 
 
-def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000, records_per_file: int = 2000) -> None:
+#: What a record's own lines may take beside its payload and three times its url.
+HEAD_BYTES = 2048
+#: A reader's task holds a whole file, so files are bounded by bytes; a longer record has a file of its own.
+FILE_BYTES = 64 << 20
+
+
+def size_classes(records: int, file_bytes: int) -> list[tuple[int, int | None]]:
+    """(records a file, bytes of a record up to which that many fit in `file_bytes`), least records last, without a bound."""
+    fit = [records]
+    while fit[-1] > 1:
+        fit.append(max(1, fit[-1] // 16))
+    return [(n, file_bytes // n if n > 1 else None) for n in fit]
+
+
+def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000, records_per_file: int = 2000, file_bytes: int = FILE_BYTES) -> None:
     """A record per row; equal payloads of `least_bytes` or more are written once.
 
+    No file is longer than `file_bytes` unless a single record is: records are written by classes
+    of size, each with as many to a file as fit whatever their order. Classes that no payload can
+    fall in are not written, so pages of usual size take one pass.
+
     A null html is an empty payload. A null url is written as the record's own id. Of equal
     payloads, the row with the largest id is the response; rows with a null id are responses
     unless another row with their payload has an id. Other columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"), _utf8(F.coalesce(html_col, F.lit(""))).alias("_payload"))
+    longest = rows.agg(F.max(F.octet_length("_payload") + F.coalesce(F.octet_length("_url"), F.lit(0)) * 3)).first()[0]  # one number
     rows = with_revisits(rows, "_id", "_payload", least_bytes=least_bytes)
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
     again = F.col("_first").isNotNull()
@@ -292,7 +311,14 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     )
     # the text writer puts a line feed after each row: the record's own last byte
     record = F.concat(_utf8(head), F.col("_block"), _utf8(F.lit("\r\n\r")))
-    rows.select(record.cast("string").alias("value")).write.option("maxRecordsPerFile", records_per_file).text(path)
+    records = rows.select(record.cast("string").alias("value"))
+    size, above, most = F.octet_length("value") + 1, -1, (longest or 0) + HEAD_BYTES
+    for number, (fit, below) in enumerate(size_classes(records_per_file, file_bytes)):
+        if number and most <= above:
+            break
+        part = records.where(size > above) if below is None else records.where((size > above) & (size <= below))
+        part.write.option("maxRecordsPerFile", fit).text(f"{path}/records-{number}")
+        above = below
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
@@ -307,4 +333,4 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     return read_archives(spark, path).where("kind <> 'gap'").select(whole("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), whole("refers_to").alias("refers_to"), "target_uri", "file", "position")
 
 
-__all__ = ["archived_pages", "parse_record", "read_archives", "salvage", "write_archives"]
+__all__ = ["archived_pages", "parse_record", "read_archives", "salvage", "size_classes", "write_archives"]

@@ -807,3 +807,25 @@ def test_salvage_of_files(spark, tmp_path):
     assert sorted(r.record_id for r in rows if r.kind != "gap") == ["<urn:page:1>", "<urn:page:2>", "<urn:page:3>"]
     gaps = {r.file.rsplit("/", 1)[1]: (r.position, r.length, r.reason) for r in rows if r.kind == "gap"}
     assert gaps == {"a.warc": (len(record(1)), 100, "no version line"), "b.warc.gz": (len(gz(record(3))), len(gz(record(4))) - 3, "broken gzip member")}
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    """Files stay under the bound whatever the pages' sizes and order; a longer page has its own file."""
+    assert warc.size_classes(2000, 64 << 20)[0] == (2000, (64 << 20) // 2000) and warc.size_classes(1, 10) == [(1, None)]
+    sizes = [0, 10, 900, 30_000, 5_000, 300_000, 20, 250_000, 40_000, 8_000] * 4
+    rows = [(i, f"http://a/{i}", "é" * (n // 2) + str(i)) for i, n in enumerate(sizes)] + [(900, None, None), (901, "u" * 9_000, "x" * 300_000), (902, "v", "x" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    warc.write_archives(pages, str(tmp_path / "small"), records_per_file=40, file_bytes=100_000)
+    files = [f for f in (tmp_path / "small").rglob("*.txt") if f.stat().st_size]
+    over = [f for f in files if f.stat().st_size > 100_000]
+    assert all(f.read_bytes().count(b"WARC-Record-ID:") == 1 for f in over) and len(over) == 9
+    got = {r.record_id: r for r in warc.read_archives(spark, str(tmp_path / "small")).collect()}
+    assert len(got) == len(rows)
+    for i, _, html in rows:
+        r = got[f"<urn:page:{i}>"]
+        assert r.kind == ("revisit" if i == 901 else "response") and r.payload_bytes == len((html or "").encode())
+    # of usual pages, all are of the first class: one write
+    warc.write_archives(pages.where("page_id < 3"), str(tmp_path / "usual"))
+    assert [p.name for p in (tmp_path / "usual").iterdir()] == ["records-0"]
+    warc.write_archives(pages.where("page_id < 0"), str(tmp_path / "none"))
+    assert [f for f in (tmp_path / "none").rglob("*.txt") if f.stat().st_size] == []
