@@ -34,6 +34,8 @@ LOOKALIKES = {
 }
 MARKS = set(" .-_*~'`/\\,:;|+^=")
 
+#: Slots of the hashed counters by which terms are first weeded.
+SLOTS = 1 << 20
 SYMBOLS = 32
 ORDER = 4
 _EDGE, _OTHER, _DIGIT = 0, 27, 28
@@ -240,6 +242,80 @@ def joined(a: str, b: str, channel: Channel) -> str:
     return text if text.isalpha() else ""
 
 
+#: Words longer than this are not looked for across spaces.
+LONGEST_WORD = 40
+#: Least weight, with its beginnings, of a word of the lexicon that is looked for across spaces.
+KNOWN = 0.25
+_FOLD = str.maketrans({c: letters[0] for c, letters in LOOKALIKES.items()})
+
+
+def folded(token: str) -> str:
+    """A token's likeliest letters, each once in a row: what tells which pieces may make a known word."""
+    return _DOUBLED.sub(r"\1", token.strip(_EDGES).translate(_FOLD))
+
+
+class Pieces:
+    """Known words that spaces cut into any number of pieces of any length.
+
+    Neighbouring tokens are walked as long as their folded letters begin a known word. Where they make
+    one, the tokens with their spaces are a lattice, and the word counts if the likeliest way through it
+    is that word, without a space. One piece at least must not be a usual word by itself.
+    """
+
+    def __init__(self, words: Iterator[str] | list[str], usual: np.ndarray, channel: Channel):
+        self.whole = {folded(w) for w in words if len(w) <= LONGEST_WORD and w.isalpha()}
+        self.starts = {w[:n] for w in self.whole for n in range(1, len(w))}
+        self.usual, self.channel, self.known = usual, channel, {}
+
+    def is_usual(self, token: str) -> bool:
+        return bool(self.usual[_slot(token.strip(_EDGES))])
+
+    def begins(self, token: str) -> bool:
+        return len(token) <= LONGEST_KEPT and folded(token) in self.starts
+
+    def ends(self, tokens: list[str], i: int) -> Iterator[int]:
+        """The last places of tokens that, from place i on, make a known word; every step adds letters."""
+        letters = folded(tokens[i])
+        for j in range(i + 1, len(tokens)):
+            more = folded(tokens[j]) if len(tokens[j]) <= LONGEST_KEPT else ""
+            more = more[1:] if more[:1] == letters[-1:] else more
+            if not more:
+                return
+            letters += more
+            if letters in self.whole:
+                yield j
+            if letters not in self.starts:
+                return
+
+    def restored(self, pieces: list[str]) -> str:
+        """The word that the pieces are, or nothing."""
+        text = " ".join(pieces).strip(_EDGES)
+        if (word := self.known.get(text)) is None:
+            word = self.channel.decode(text) if not all(map(self.is_usual, pieces)) else ""
+            word = word if word.isalpha() and folded(word) in self.whole else ""
+            if len(text) <= LONGEST_KEPT:
+                if len(self.known) >= 100_000:
+                    self.known.clear()
+                self.known[text] = word
+        return word
+
+    def words(self, tokens: list[str], at: list[int]) -> list[str]:
+        """Restored words from the places `at`, where tokens begin one; runs of single letters are left out."""
+        out, done = [], -1
+        for i in at:
+            if i <= done:
+                continue
+            for j in self.ends(tokens, i):
+                if not all(map(is_single, tokens[i : j + 1])) and (word := self.restored(tokens[i : j + 1])):
+                    out.append(word)
+                    done = j
+        return out
+
+
+def _slot(term: str) -> int:
+    return zlib.crc32(term.encode("utf-8", "replace")) % SLOTS
+
+
 def restored_words(text: str | None, known: Restorer) -> Counter:
     """A text's words, counted, with those that its tokens, its runs of letters and neighbouring pieces restore to."""
     tokens = text.lower().split() if text else []
@@ -312,10 +388,11 @@ class Lexicon:
     weights: dict[str, float]  # of words and of beginnings (with ~)
     bias: float
     length: float  # of log(1 + words)
+    usual: np.ndarray | None = None  # bits of hashed words that several labelled texts have
 
-
-#: Slots of the hashed counters by which terms are first weeded.
-SLOTS = 1 << 20
+    def words(self) -> list[str]:
+        """Words that weigh for label 1 by themselves and their beginnings."""
+        return [w for w in self.weights if not w.endswith("~") and sum(self.weights.get(t, 0.0) for t in _beginnings(w)) >= KNOWN]
 
 
 def _contrast(one: np.ndarray, zero: np.ndarray, total: list[float]) -> np.ndarray:
@@ -324,6 +401,10 @@ def _contrast(one: np.ndarray, zero: np.ndarray, total: list[float]) -> np.ndarr
     return np.abs(a - b) * np.abs(np.log(a / b))
 
 
+#: Labelled texts that a usual word is in.
+USUAL = 3
+
+
 def train(rows: list[tuple[list[str], np.ndarray, int, float]], *, terms: int = 4000, penalty: float = 0.3, steps: int = 400) -> Lexicon:
     """rows: a document's distinct restored words, their counts, the label and the row's weight.
 
@@ -341,7 +422,7 @@ def train(rows: list[tuple[list[str], np.ndarray, int, float]], *, terms: int =
         if (s := slots.get(word)) is None:
             if len(slots) > 200_000:
                 slots.clear()
-            s = slots[word] = np.array([zlib.crc32(t.encode("utf-8", "replace")) % SLOTS for t in _beginnings(word)], dtype=np.int64)
+            s = slots[word] = np.array([_slot(t) for t in _beginnings(word)], dtype=np.int64)
         return s
 
     seen, often = np.zeros((2, SLOTS)), np.zeros(SLOTS)
@@ -385,20 +466,21 @@ def train(rows: list[tuple[list[str], np.ndarray, int, float]], *, terms: int =
         grad = np.r_[np.bincount(col, weights=val * g[at], minlength=len(chosen)) + penalty * theta[:-2] / len(docs), g.sum(), (g * size).sum()]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    return Lexicon({t: float(theta[i]) for t, i in number.items() if abs(theta[i]) > 1e-3}, float(theta[-2]), float(theta[-1]))
+    weights = {t: float(theta[i]) for t, i in number.items() if abs(theta[i]) > 1e-3}
+    return Lexicon(weights, float(theta[-2]), float(theta[-1]), np.packbits(often >= USUAL))
 
 
 class _Marks(dict):
     """Of a token, one number: the words it restores to, whether it is a single letter, and which terms it has.
 
     Bits 0 to 23 count words, bit 24 marks single letters, bits 25 and 26 are what `piece` gives,
-    and what is above is the place of the token's terms in `lists`; place 0 is no terms, as almost
+    bit 27 marks what begins a known word across spaces, and what is above is the place of the token's terms in `lists`; place 0 is no terms, as almost
     all tokens have. `pairs` holds what neighbouring pieces restore to.
     """
 
-    def __init__(self, restorer: Restorer, weights: dict[str, float], limit: int = 250_000):
+    def __init__(self, restorer: Restorer, weights: dict[str, float], across: Pieces, limit: int = 250_000):
         super().__init__()
-        self.restorer, self.weights, self.limit = restorer, weights, limit
+        self.restorer, self.weights, self.across, self.limit = restorer, weights, across, limit
         self.starts = {t[:4] for t in weights}  # a word with any term begins like one
         self.lists: list[tuple[str, ...]] = [()]
         self.places: dict[tuple[str, ...], int] = {(): 0}
@@ -426,7 +508,7 @@ class _Marks(dict):
         if found not in self.places:
             self.places[found] = len(self.lists)
             self.lists.append(found)
-        value = min(len(words), (1 << 24) - 1) | is_single(token) << 24 | piece(token, self.restorer.channel) << 25 | self.places[found] << 27
+        value = min(len(words), (1 << 24) - 1) | is_single(token) << 24 | piece(token, self.restorer.channel) << 25 | self.across.begins(token) << 27 | self.places[found] << 28
         if len(token) <= LONGEST_KEPT:
             self[token] = value
         return value
@@ -435,16 +517,17 @@ class _Marks(dict):
 def _scorer(shared):
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        logp, weights, bias, length = shared.value
+        logp, weights, bias, length, known, usual = shared.value
         channel = Channel(logp)
-        marks = _Marks(Restorer(channel), weights)
+        across = Pieces(known, np.unpackbits(usual), channel)
+        marks = _Marks(Restorer(channel), weights, across)
 
         def value(text: str | None) -> float:
             marks.renew()
             tokens = text.lower().split() if text else []
             m = np.fromiter(map(marks.__getitem__, tokens), dtype=np.int64, count=len(tokens))
             n, seen = int((m & (1 << 24) - 1).sum()), Counter()
-            places = m >> 27
+            places = m >> 28
             for place, times in zip(*np.unique(places[places > 0], return_counts=True), strict=True):
                 for t in marks.lists[place]:
                     seen[t] += int(times)
@@ -458,6 +541,9 @@ def _scorer(shared):
                 if word := marks.pair(tokens[i], tokens[i + 1]):
                     n += 1
                     seen.update(marks.terms([word]))
+            if words := across.words(tokens, np.flatnonzero(m & 1 << 27).tolist()):
+                n += len(words)
+                seen.update(marks.terms(words))
             return bias + length * float(np.log1p(n)) + sum(weights[t] * float(np.log1p(k)) for t, k in seen.items())
 
         for batch in texts:
@@ -482,7 +568,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", *, max_row
 def scored(docs: DataFrame, model: tuple[np.ndarray, Lexicon], text_col: str = "text", result: str = "_score") -> DataFrame:
     """`docs` with each whole text's probability of label 1; null and empty texts get the bias alone."""
     logp, lexicon = model
-    shared = docs.sparkSession.sparkContext.broadcast((logp, lexicon.weights, lexicon.bias, lexicon.length))
+    usual = np.zeros(SLOTS // 8, dtype=np.uint8) if lexicon.usual is None else lexicon.usual
+    shared = docs.sparkSession.sparkContext.broadcast((logp, lexicon.weights, lexicon.bias, lexicon.length, lexicon.words(), usual))
     return docs.withColumn(result, _scorer(shared)(F.col(text_col)))
 
 

@@ -113,13 +113,59 @@ def test_decoding_is_the_best_of_all_ways(token):
     assert taught.decode(token) == likeliest(taught, token)
 
 
+def pieces(words, usual=""):
+    bits = np.zeros(toxicity.SLOTS, dtype=bool)
+    bits[[toxicity._slot(w) for w in usual.split()]] = True
+    return toxicity.Pieces(words.split(), bits, channel("you worthless pathetic stupid garbage idiot and an ass " * 3 + "the of and"))
+
+
+@pytest.mark.parametrize("text, words", [("you worthle ss man", "worthless"), ("so pathe tic.", "pathetic"), ("a stu pi d one", "stupid"), ("ga rb age", "garbage"), ("wor th less", "worthless"), ("w orthless", "worthless"), ("1d iot, stu pid!", "idiot stupid"), ("pathe tiiiic", "pathetic"), ("pathe", ""), ("stupid", ""), ("s t u p i d", ""), ("", "")])
+def test_known_words_are_found_across_spaces(text, words):
+    """Any number of pieces of any length; runs of single letters are decoded elsewhere."""
+    known, tokens = pieces("worthless pathetic stupid garbage idiot"), text.split()
+    found = known.words(tokens, [i for i, t in enumerate(tokens) if known.begins(t)])
+    assert [toxicity.folded(w) for w in found] == [toxicity.folded(w) for w in words.split()]
+
+
+def test_usual_words_are_not_pieces_by_themselves():
+    known = pieces("idiot", usual="id iot")
+    assert known.restored(["id", "iot"]) == "" and known.restored(["idi", "ot"]) == "idiot"
+
+
+def test_pieces_are_all_windows_of_tokens():
+    """The walk against every window, and over long runs that begin a word without end."""
+    draw = random.Random(5)
+    known = pieces("abcab abca bcabcc cabc")
+    for _ in range(300):
+        tokens = ["".join(draw.choice("abc") for _ in range(draw.randint(1, 3))) for _ in range(12)]
+        letters = [toxicity.folded(t) for t in tokens]
+        for i in range(12):
+            if letters[i] not in known.starts:
+                continue
+            want, whole = [], letters[i]
+            for j in range(i + 1, 12):
+                more = letters[j][1:] if letters[j][0] == whole[-1] else letters[j]
+                if not more:
+                    break
+                whole += more
+                if whole in known.whole:
+                    want.append(j)
+            assert list(known.ends(tokens, i)) == want
+    long = ["a", "b"] * 50_000 + ["a"] * 100_000
+    assert known.words(long, [i for i, t in enumerate(long) if known.begins(t)]) == []
+
+
 def test_toxicity_scores_are_the_lexicon_s(spark):
     plain, labels = labelled(spark, lambda i: "zorgon")
     logp, lexicon = model = toxicity.fit(plain, labels)
-    texts = [prose(5, 40), "z0rg0n z.o.r.g.o.n z o r g o n", "same same same", "", None, "x" * 300 + " " + "é" * 20, "a,b,c," * 100]
+    texts = [prose(5, 40), "z0rg0n z.o.r.g.o.n z o r g o n", "same same same", "", None, "x" * 300 + " " + "é" * 20, "a,b,c," * 100, "zorg on x zo rgo n"]
+    across = toxicity.Pieces(lexicon.words(), np.unpackbits(lexicon.usual), toxicity.Channel(logp))
+    assert across.words(texts[-1].split(), [0, 3]) == ["zorgon", "zorgon"]
     got = {r.doc_id: r._score for r in toxicity.scored(docs(spark, texts), model).collect()}
     for i, t in enumerate(texts):
         words = toxicity.restored_words(t, toxicity.Restorer(toxicity.Channel(logp)))
+        if i == len(texts) - 1:
+            words.update(["zorgon", "zorgon"])
         terms = {}
         for w, n in words.items():
             for x in toxicity._beginnings(w):
