@@ -251,7 +251,8 @@ _FOLD = str.maketrans({c: letters[0] for c, letters in LOOKALIKES.items()})
 
 def folded(token: str) -> str:
     """A token's likeliest letters, each once in a row: what tells which pieces may make a known word."""
-    return _DOUBLED.sub(r"\1", token.strip(_EDGES).translate(_FOLD))
+    core = token.strip(_EDGES)
+    return _DOUBLED.sub(r"\1", core if core.isalpha() else core.translate(_FOLD))
 
 
 class Pieces:
@@ -265,19 +266,32 @@ class Pieces:
     def __init__(self, words: Iterator[str] | list[str], usual: np.ndarray, channel: Channel):
         self.whole = {folded(w) for w in words if len(w) <= LONGEST_WORD and w.isalpha()}
         self.starts = {w[:n] for w in self.whole for n in range(1, len(w))}
-        self.usual, self.channel, self.known = usual, channel, {}
+        self.usual, self.channel, self.known, self.folds = usual, channel, {}, {}
+
+    def fold(self, token: str) -> str:
+        """A token's folded letters, looked up; a longer token is no piece."""
+        if (letters := self.folds.get(token)) is None:
+            if len(token) > LONGEST_KEPT:
+                return ""
+            if len(self.folds) >= 250_000:
+                self.folds.clear()
+            letters = self.folds[token] = folded(token)
+        return letters
 
     def is_usual(self, token: str) -> bool:
         return bool(self.usual[_slot(token.strip(_EDGES))])
 
     def begins(self, token: str) -> bool:
-        return len(token) <= LONGEST_KEPT and folded(token) in self.starts
+        head = token[:3]
+        if head not in self.starts and len(head) == 3 and head.isalpha() and head[0] != head[1] != head[2]:
+            return False  # three letters that fold to themselves, and no word begins so
+        return self.fold(token) in self.starts
 
     def ends(self, tokens: list[str], i: int) -> Iterator[int]:
         """The last places of tokens that, from place i on, make a known word; every step adds letters."""
-        letters = folded(tokens[i])
+        letters = self.fold(tokens[i])
         for j in range(i + 1, len(tokens)):
-            more = folded(tokens[j]) if len(tokens[j]) <= LONGEST_KEPT else ""
+            more = self.fold(tokens[j])
             more = more[1:] if more[:1] == letters[-1:] else more
             if not more:
                 return
@@ -303,7 +317,11 @@ class Pieces:
         """Restored words from the places `at`, where tokens begin one; runs of single letters are left out."""
         out, done = [], -1
         for i in at:
-            if i <= done:
+            if i <= done or i + 1 == len(tokens):
+                continue
+            first, second = self.fold(tokens[i]), self.fold(tokens[i + 1])
+            both = first + (second[1:] if second[:1] == first[-1:] else second)
+            if both not in self.starts and both not in self.whole:
                 continue
             for j in self.ends(tokens, i):
                 if not all(map(is_single, tokens[i : j + 1])) and (word := self.restored(tokens[i : j + 1])):
