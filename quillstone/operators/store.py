@@ -12,11 +12,12 @@ import json
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..sources.scratch import kept
 
 COLLECTIONS = ("_functions", "_classes", "_files")
 BATCH = 100
@@ -208,6 +209,20 @@ def batch_plan(groups: DataFrame, by: str, n: str, size: int = BATCH) -> DataFra
     return groups.select(by, n, F.ceil(F.col(n) / F.lit(size)).cast("long").alias("batches"))
 
 
+def running_total(rows: DataFrame, order: str, value: str, name: str, parts: int = 64) -> DataFrame:
+    """`rows` with `name`, the sum of `value` over all rows before, by `order`, whose values are distinct; nulls are first.
+
+    Rows are cut into ranges of `order`. Each range is summed in its own task, and only the sums of
+    the ranges, at most `parts` numbers, pass through one.
+    """
+    ranged = kept(rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    earlier = sums.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    own = F.sum(value).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    summed = ranged.withColumn("_own", own).join(F.broadcast(earlier), F.col("_part") == F.col("_p"))
+    return summed.withColumn(name, F.coalesce("_own", F.lit(0)) + F.col("_earlier")).drop("_part", "_p", "_own", "_earlier")
+
+
 def latest(events: DataFrame, key: str, *order: str) -> DataFrame:
     """The last event of each key, by the given columns; one aggregate, no sort of a key's history."""
     rest = [c for c in events.columns if c not in (key, *order)]

@@ -587,10 +587,8 @@ def batch_plan(spark: SparkSession, sf: str) -> DataFrame:
 def batch_progress(spark: SparkSession, sf: str) -> DataFrame:
     """Percent done after each batch, batches in order of their groups."""
     groups = store.batch_plan(_table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n")), "source", "n")
-    # a row for each group, in one task: a running sum of two small columns
-    so_far = Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
-    total = groups.agg(F.sum("batches").alias("total"))
-    each = groups.withColumn("before", F.coalesce(F.sum("batches").over(so_far), F.lit(0)))
+    each = store.running_total(groups, "source", "batches", "before")
+    total = each.agg(F.sum("batches").alias("total"))
     each = each.select("source", "before", F.explode(F.sequence(F.lit(1).cast("long"), "batches")).alias("batch"))
     return each.join(F.broadcast(total)).select("source", "batch", F.floor(100.0 * (F.col("before") + F.col("batch")) / F.col("total")).alias("percent"))
 

@@ -206,3 +206,16 @@ def test_two_writers(spark, tmp_path):
     with pytest.raises(store.Conflict):
         s._commit("r", 0, {})
     assert s.count("r", "_functions") == 1
+
+
+def test_running_total_over_ranges(spark):
+    """Sums of ranges carried over, for any number of ranges, with a null and values of zero."""
+    rows = [(None, 4), *((f"k{i:03d}", i % 5) for i in range(200))]
+    want, so_far = {}, 0
+    for key, n in rows:
+        want[key], so_far = so_far, so_far + n
+    table = spark.createDataFrame(rows, "key string, n long").repartition(7)
+    for parts in (1, 3, 64):
+        got = store.running_total(table, "key", "n", "before", parts)
+        assert got.columns == ["key", "n", "before"] and {r.key: r.before for r in got.collect()} == want
+    assert store.running_total(table.where("n < 0"), "key", "n", "before").collect() == []
