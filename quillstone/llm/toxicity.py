@@ -423,17 +423,16 @@ def _contrast(one: np.ndarray, zero: np.ndarray, total: list[float]) -> np.ndarr
 USUAL = 3
 
 
-def train(rows: list[tuple[list[str], np.ndarray, int, float]], *, terms: int = 4000, penalty: float = 0.3, steps: int = 400) -> Lexicon:
+def train(rows: list[tuple[list[str], np.ndarray, int, float]], *, terms: int = 4000, least: int = 3, penalty: float = 0.3, steps: int = 400) -> Lexicon:
     """rows: a document's distinct restored words, their counts, the label and the row's weight.
 
-    Terms are counted in hashed slots first; only those in the slots with most contrast are
-    then counted by name, so memory does not grow with the vocabulary.
+    A term is in at least `least` of the rows. Terms are counted in hashed slots first; only those
+    in the slots with most contrast are then counted by name, so memory does not grow with the vocabulary.
     """
     if not any(y for *_, y, _ in rows) or all(y for *_, y, _ in rows):
         rate = 0.5 if not rows else (1e-3 if not rows[0][2] else 1 - 1e-3)
         return Lexicon({}, float(np.log(rate / (1 - rate))), 0.0)
     total = [sum(w for *_, y, w in rows if y == k) for k in (0, 1)]
-    least = 2 if len(rows) < 2000 else 3
     slots: dict[str, np.ndarray] = {}
 
     def slots_of(word: str) -> np.ndarray:
