@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+
 #: Fixed value: neighbours looked at in each direction of a seed.
 DEGREE_CAP = 50
 
@@ -13,15 +15,37 @@ def nodes(units: DataFrame) -> DataFrame:
     return units.select("id", "name", "file", "type", "start_line", "end_line")
 
 
-def edges(units: DataFrame, id_col: str = "id", name_col: str = "name", calls_col: str = "calls", seq_col: str = "seq") -> DataFrame:
+def callees(units: DataFrame, id_col: str = "id", name_col: str = "name", seq_col: str = "seq") -> DataFrame:
+    """(name, dst): the last unit of each name, by `seq`; written, so that a plan knows how small it is and calls need no shuffle to meet it."""
+    return kept(units.where(F.col(name_col).isNotNull()).groupBy(F.col(name_col).alias("name")).agg(F.max_by(id_col, seq_col).alias("dst")), "callees")
+
+
+def _calls(units: DataFrame, id_col: str, calls_col: str, seq_col: str) -> DataFrame:
+    return units.select(F.col(id_col).alias("src"), F.col(seq_col).alias("seq"), F.explode(F.array_distinct(calls_col)).alias("name"))
+
+
+def edges(units: DataFrame, id_col: str = "id", name_col: str = "name", calls_col: str = "calls", seq_col: str = "seq", at: DataFrame | None = None) -> DataFrame:
     """(src, dst): a unit calls a name; the last unit of that name, by `seq`, is the callee.
 
     Unresolved names give nothing, as do calls to oneself; repeated calls are one edge. `seq`
-    of an edge is its caller's.
+    of an edge is its caller's. With `at` (id), only the edges that begin or end there: calls of
+    other units are dropped as they are read.
     """
-    last = units.groupBy(F.col(name_col).alias("name")).agg(F.max_by(id_col, seq_col).alias("dst"))
-    calls = units.select(F.col(id_col).alias("src"), F.col(seq_col).alias("seq"), F.explode(F.array_distinct(calls_col)).alias("name"))
-    return calls.join(last, "name").where("src <> dst").groupBy("src", "dst").agg(F.min("seq").alias("seq"))
+    last, calls = callees(units, id_col, name_col, seq_col), _calls(units, id_col, calls_col, seq_col)
+    if at is None:
+        found = calls.join(last, "name")
+    else:
+        ends = kept(at.select(F.col("id").alias("_at")).distinct(), "ends")
+        begin = _calls(units.join(ends, F.col(id_col) == F.col("_at"), "left_semi"), id_col, calls_col, seq_col)
+        called = kept(last.join(ends, F.col("dst") == F.col("_at"), "left_semi"), "called")
+        found = begin.join(last, "name").union(calls.join(called, "name"))
+    return found.where("src <> dst").groupBy("src", "dst").agg(F.min("seq").alias("seq"))
+
+
+def named_edges(units: DataFrame) -> DataFrame:
+    """(repo, src, dst, source, target): edges with their caller's file and both names; ids are keys, so a call and a callee's name are an edge once."""
+    calls = units.where("name <> ''").select(F.col("file").alias("repo"), F.col("id").alias("src"), F.col("name").alias("source"), F.explode(F.array_distinct("calls")).alias("name"))
+    return calls.join(callees(units).where("name <> ''"), "name").where("src <> dst").select("repo", "src", "dst", "source", F.col("name").alias("target"))
 
 
 def degrees(edge: DataFrame) -> DataFrame:
@@ -61,7 +85,7 @@ def neighbours(seeds: DataFrame, edge: DataFrame, cap: int | None = DEGREE_CAP)
 def to_node_link(node: DataFrame, edge: DataFrame) -> DataFrame:
     """One row, `graph`: the node-link JSON of one repository's graph, nodes and links in order.
 
-    This is an export; a graph too large for one value stays in its two tables.
+    For a graph that fits one value; `node_link_pieces` gives the same document for any size.
     """
     n = node.agg(F.sort_array(F.collect_list(F.struct("id", "name", "file", "type", "start_line", "end_line"))).alias("nodes"))
     e = edge.agg(F.sort_array(F.collect_list(F.struct(F.col("src").alias("source"), F.col("dst").alias("target")))).alias("links"))
@@ -69,10 +93,9 @@ def to_node_link(node: DataFrame, edge: DataFrame) -> DataFrame:
     return n.join(e).select(F.to_json(whole).alias("graph"))
 
 
-NODE_LINK = (
-    "directed boolean, multigraph boolean, nodes array<struct<id:string,name:string,file:string,type:string,start_line:int,end_line:int>>, "
-    "links array<struct<source:string,target:string>>"
-)
+NODE = "array<struct<id:string,name:string,file:string,type:string,start_line:int,end_line:int>>"
+LINK = "array<struct<source:string,target:string>>"
+NODE_LINK = f"directed boolean, multigraph boolean, nodes {NODE}, links {LINK}"
 
 
 def from_node_link(graph: DataFrame) -> tuple[DataFrame, DataFrame]:

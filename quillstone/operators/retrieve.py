@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import embed, text
+from ..sources.scratch import kept
 from . import graph
 from .topk import ranked, sparse_top_k
 
@@ -40,7 +41,7 @@ def vector_hits(questions: DataFrame, vectors: DataFrame, k: int = SEEDS) -> Dat
 
 def seeds(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = SEEDS) -> DataFrame:
     """(question_id, id, sim, rank): a question's symbol hits, or its vector hits where it has none; `chunks` may be a `name_index`."""
-    exact = symbol_hits(questions, chunks, k)
+    exact = kept(symbol_hits(questions, chunks, k), "exact")
     near = vector_hits(questions.join(exact.select("question_id"), "question_id", "left_anti"), vectors, k)
     order = Window.partitionBy("question_id").orderBy(F.desc("sim"), "id")
     return exact.union(near).withColumn("rank", F.row_number().over(order))
@@ -65,7 +66,11 @@ def fuse(seed: DataFrame, near: DataFrame, k: int = FINAL) -> DataFrame:
 
 
 def described(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits (question_id, rank, id, type, score) with what is known of their chunks."""
+    """Hits (question_id, rank, id, type, score) with what is known of their chunks.
+
+    Hits are few and written first, so that a plan knows it and chunks need no shuffle to meet them.
+    """
+    hits = kept(hits, "hits")
     about = chunks.select("id", "name", "file", F.array("start_line", "end_line").alias("lines"), F.col("document").alias("content"))
     return hits.join(about, "id").select("question_id", "rank", "id", "name", "file", "lines", "type", F.round("score", 4).alias("score"), "content")
 
@@ -88,7 +93,7 @@ def graph_augmented(questions: DataFrame, chunks: DataFrame, vectors: DataFrame,
 
 
 def expanded(found: DataFrame, chunks: DataFrame, edges: DataFrame) -> DataFrame:
-    """Seeds that are known, with their neighbours among `chunks`."""
+    """Seeds that are known, with their neighbours among `chunks`; `edges` may be all, or those at the seeds."""
     near = graph.neighbours(found, edges).join(chunks.select("id"), "id", "left_semi").select("question_id", "id")
     return described(fuse(found, near), chunks)
 

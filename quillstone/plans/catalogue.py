@@ -42,7 +42,7 @@ def _units(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     return docs.select(
         F.col("doc_id").alias("id"),
-        F.try_element_at(words, F.lit(1)).alias("name"),
+        F.nullif(F.regexp_extract(F.lower("text"), "[a-z_0-9]+", 0), F.lit("")).alias("name"),  # the first word
         F.col("source").alias("file"),
         F.lit("function").alias("type"),
         F.lit(1).alias("start_line"),
@@ -70,7 +70,8 @@ def _seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _graph_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieve.expanded(_seeds(spark, sf), _units(spark, sf).where("type = 'function'"), kept(_edges(spark, sf), "edges"))
+    found, units = _seeds(spark, sf), _units(spark, sf)
+    return retrieve.expanded(found, units.where("type = 'function'"), graph.edges(units, at=found))
 
 
 # embedding
@@ -211,7 +212,7 @@ def graph_degree_distribution(spark: SparkSession, sf: str) -> DataFrame:
 
 def _hop(spark: SparkSession, sf: str, cap: int | None) -> DataFrame:
     asked = _table(spark, sf, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("question_id"), F.col("doc_id").alias("id"))
-    return graph.neighbours(asked, kept(_edges(spark, sf), "edges"), cap)
+    return graph.neighbours(asked, kept(graph.edges(_units(spark, sf), at=asked), "edges"), cap)
 
 
 @query
@@ -287,9 +288,7 @@ def prompt_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _repo_edges(spark: SparkSession, sf: str) -> DataFrame:
-    about = _units(spark, sf).select("id", "name", "file")
-    named = _edges(spark, sf).join(about.withColumnsRenamed({"id": "src", "name": "source", "file": "repo"}), "src").join(about.select(F.col("id").alias("dst"), F.col("name").alias("target")), "dst")
-    return named.where("source <> '' and target <> ''").select("repo", "src", "dst", "source", "target")
+    return graph.named_edges(_units(spark, sf))
 
 
 @query
@@ -300,12 +299,12 @@ def edge_sample_sha256(spark: SparkSession, sf: str) -> DataFrame:
 def _edge_rows(spark: SparkSession, sf: str) -> DataFrame:
     """For each sampled edge, whether its target's name is among the vector and graph hits of a question that names its source."""
     sample = kept(metrics.stable_sample(_repo_edges(spark, sf), "repo", "src", "dst"), "sample")
-    units, edge = _units(spark, sf), kept(_edges(spark, sf), "edges")
+    units = _units(spark, sf)
     # edges of one source ask the same, so a question is asked once
     asked = sample.select(F.col("source").alias("question_id"), F.concat(F.lit("Which function is directly called by `"), "source", F.lit("`?")).alias("question")).distinct()
     found = kept(retrieve.seeds(asked, units, _doc_vectors(spark, sf)), "seeds")
-    near = graph.neighbours(found, edge).join(units.select("id"), "id", "left_semi").select("question_id", "id")
-    hits = retrieve.fuse(found, near).select("question_id", "id", F.lit("graph").alias("mode")).union(found.select("question_id", "id", F.lit("naive")))
+    near = graph.neighbours(found, graph.edges(units, at=found)).join(units.select("id"), "id", "left_semi").select("question_id", "id")
+    hits = kept(retrieve.fuse(found, near).select("question_id", "id", F.lit("graph").alias("mode")).union(found.select("question_id", "id", F.lit("naive"))), "hits")
     named = hits.join(units.select("id", F.col("name").alias("target")), "id").groupBy(F.col("question_id").alias("source"), "target")
     named = named.agg(*[F.max((F.col("mode") == m).cast("int")).alias(m) for m in ("naive", "graph")])
     return sample.join(named, ["source", "target"], "left").select("repo", "src", "dst", *[F.coalesce(m, F.lit(0)).alias(f"{m}_hit_at_8") for m in ("naive", "graph")])

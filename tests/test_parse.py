@@ -101,3 +101,12 @@ def test_node_link_round_trip(spark):
     assert json.loads(row.first().graph)["links"] == [{"source": "1", "target": "2"}]
     n, e = graph.from_node_link(row)
     assert sorted(r.id for r in n.collect()) == ["1", "2"] and [(r.src, r.dst) for r in e.collect()] == [("1", "2")]
+
+
+def test_edges_at_some_units(spark):
+    """The edges that begin or end at given units are those of the whole graph."""
+    u = g(spark, [(str(i), f"n{i % 17}", [f"n{(i * 7 + j) % 17}" for j in range(4)]) for i in range(40)])
+    at = spark.createDataFrame([("3",), ("39",), ("39",), ("gone",)], "id string")
+    some = {"3", "39"}
+    want = sorted(tuple(r) for r in graph.edges(u).collect() if {r.src, r.dst} & some)
+    assert want and sorted(map(tuple, graph.edges(u, at=at).collect())) == want
