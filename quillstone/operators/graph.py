@@ -101,3 +101,40 @@ NODE_LINK = f"directed boolean, multigraph boolean, nodes {NODE}, links {LINK}"
 def from_node_link(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = graph.select(F.from_json("graph", NODE_LINK).alias("g"))
     return parsed.select(F.inline("g.nodes")), parsed.select(F.posexplode("g.links").alias("seq", "l")).select(F.col("l.source").alias("src"), F.col("l.target").alias("dst"), F.col("seq").cast("long").alias("seq"))
+
+
+#: Nodes or links of a piece.
+PIECE = 1_024
+
+
+def _pieces(rows: DataFrame, section: int) -> DataFrame:
+    """(section, place, piece): rows in order as JSON, many to a piece; each piece but the first begins with a comma."""
+    parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = rows.repartitionByRange(parts, *rows.columns).sortWithinPartitions(*rows.columns)
+    placed = ordered.select(F.monotonically_increasing_id().alias("at"), F.to_json(F.struct(*rows.columns)).alias("json"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "json"))), lambda x: x["json"]), ",")
+    chunks = kept(placed.groupBy(F.floor(F.col("at") / PIECE).alias("place")).agg(joined.alias("body")), "pieces")
+    comma = F.when(F.col("place") == F.col("first"), "").otherwise(",")
+    return chunks.join(F.broadcast(chunks.agg(F.min("place").alias("first")))).select(F.lit(section).alias("section"), "place", F.concat(comma, "body").alias("piece"))
+
+
+def node_link_pieces(node: DataFrame, edge: DataFrame) -> DataFrame:
+    """(section, place, piece): the node-link JSON of a graph of any size; in this order the pieces, joined, are the document.
+
+    Rows are ordered by ranges, and no task holds more than a piece at a time.
+    """
+    spark = node.sparkSession
+    frame = [(0, 0, '{"directed":true,"multigraph":false,"graph":{},"nodes":['), (2, 0, '],"links":['), (4, 0, "]}")]
+    nodes = _pieces(node.select("id", "name", "file", "type", "start_line", "end_line"), 1)
+    links = _pieces(edge.select(F.col("src").alias("source"), F.col("dst").alias("target")), 3)
+    return spark.createDataFrame(frame, "section int, place long, piece string").union(nodes).union(links)
+
+
+def from_node_link_pieces(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes, and links (src, dst, seq) numbered in the document's order, of pieces as `node_link_pieces` gives them."""
+    listed = F.concat(F.lit("["), F.regexp_replace("piece", "^,", ""), F.lit("]"))
+    parsed = lambda section, kind: pieces.where(F.col("section") == section).select("place", F.from_json(listed, kind).alias("x"))
+    links = parsed(3, LINK).select("place", F.posexplode("x").alias("at", "l"))
+    # gaps between pieces do not matter for the order
+    links = links.select(F.col("l.source").alias("src"), F.col("l.target").alias("dst"), (F.col("place") * PIECE + F.col("at")).alias("seq"))
+    return parsed(1, NODE).select(F.inline("x")), links

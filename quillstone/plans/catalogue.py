@@ -230,7 +230,7 @@ def graph_node_link_json(spark: SparkSession, sf: str) -> DataFrame:
     """The graph through its JSON and back."""
     text_ids = _edges(spark, sf).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "seq")
     nodes = graph.nodes(_units(spark, sf)).withColumn("id", F.col("id").cast("string"))
-    _, back = graph.from_node_link(graph.to_node_link(nodes, text_ids))
+    _, back = graph.from_node_link_pieces(kept(graph.node_link_pieces(nodes, text_ids), "node-link"))
     return back.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
 
 

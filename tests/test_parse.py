@@ -103,6 +103,22 @@ def test_node_link_round_trip(spark):
     assert sorted(r.id for r in n.collect()) == ["1", "2"] and [(r.src, r.dst) for r in e.collect()] == [("1", "2")]
 
 
+def test_node_link_pieces(spark, monkeypatch):
+    """Pieces in order are the one document, and give the graph back; no piece holds more than it may."""
+    monkeypatch.setattr(graph, "PIECE", 4)
+    u = g(spark, [(f"{i:02}", f"n{i}", [f"n{i - 1}", f"n{i // 2}"]) for i in range(30)] + [("q", 'a "b",', [])])
+    nodes, edges = graph.nodes(u), graph.edges(u)
+    pieces = graph.node_link_pieces(nodes, edges)
+    rows = sorted(pieces.collect())
+    assert "".join(r.piece for r in rows) == graph.to_node_link(nodes, edges).first().graph
+    assert len(rows) > 10 and max(r.piece.count("{") for r in rows[1:]) <= 4
+    n, e = graph.from_node_link_pieces(pieces)
+    assert sorted(map(tuple, n.collect())) == sorted(map(tuple, nodes.collect()))
+    assert [(r.src, r.dst) for r in e.orderBy("seq").collect()] == sorted((r.src, r.dst) for r in edges.collect())
+    empty = graph.node_link_pieces(nodes.where("false"), edges.where("false"))
+    assert json.loads("".join(r.piece for r in sorted(empty.collect()))) == {"directed": True, "multigraph": False, "graph": {}, "nodes": [], "links": []}
+
+
 def test_edges_at_some_units(spark):
     """The edges that begin or end at given units are those of the whole graph."""
     u = g(spark, [(str(i), f"n{i % 17}", [f"n{(i * 7 + j) % 17}" for j in range(4)]) for i in range(40)])
