@@ -182,14 +182,19 @@ def manifest(files: DataFrame, counts: DataFrame) -> DataFrame:
     return hashes.join(counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("split", "n")))).alias("rows")))
 
 
+def line_digest(line: str) -> Column:
+    return F.sha2(F.encode(F.coalesce(line, F.lit("")), "UTF-8"), 256)
+
+
 def digests(rows: DataFrame, by: str, index: str, line: str, *, block: int = 1_000) -> DataFrame:
     """(by, n, sha256): one digest of each group's lines in order of `index`, which counts from 0 without gaps.
 
     Digests of lines are joined block by block, by index, and digested again, at least twice
     and until one is left. No task holds more than a block, and how rows are dealt to
-    partitions or files changes nothing.
+    partitions or files changes nothing. A column `sha256` holds lines' digests already.
     """
-    level = rows.select(by, F.col(index).cast("long").alias("i"), F.sha2(F.encode(F.coalesce(line, F.lit("")), "UTF-8"), 256).alias("d"), F.lit(1).cast("long").alias("n"))
+    own = F.col("sha256") if line == "sha256" else line_digest(line)
+    level = rows.select(by, F.col(index).cast("long").alias("i"), own.alias("d"), F.lit(1).cast("long").alias("n"))
     last = rows.agg(F.coalesce(F.max(F.col(index).cast("long")), F.lit(0)).alias("i")).first().i
     rounds = 0
     while rounds < 2 or last > 0:
@@ -200,14 +205,14 @@ def digests(rows: DataFrame, by: str, index: str, line: str, *, block: int = 1_0
 
 
 def dataset_manifest(samples: DataFrame, *, dataset: str, configuration: str, scanned: int, seed: int = SEED, provenance: dict[str, str] | None = None, filters: dict[str, object] | None = None, scan: int = SCAN, buffer: int = BUFFER) -> DataFrame:
-    """One row, `manifest`: JSON about a written dataset from its samples (split, slot, place, line).
+    """One row, `manifest`: JSON about a written dataset from its samples (split, slot, place, line), or `sha256`, a line's digest, for `line`.
 
     Each split's lines are counted and digested in order of their slots; so are the places that
     the splits took of the accepted rows. The rest says where the rows came from and what they
     passed. Keys are sorted and nothing depends on partitions, so equal data gives equal JSON.
     """
     spark = samples.sparkSession
-    own = digests(samples, "split", "slot", "line").orderBy("split").collect()  # a row a split
+    own = digests(samples, "split", "slot", "sha256" if "sha256" in samples.columns else "line").orderBy("split").collect()  # a row a split
     places = digests(samples.withColumn("line", F.col("place").cast("string")), "split", "slot", "line").orderBy("split").collect()
     whole = "".join(f"{r.split}:{r.sha256};" for r in places)
     told = {

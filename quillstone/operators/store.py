@@ -223,6 +223,22 @@ def running_total(rows: DataFrame, order: str, value: str, name: str, parts: int
     return summed.withColumn(name, F.coalesce("_own", F.lit(0)) + F.col("_earlier")).drop("_part", "_p", "_own", "_earlier")
 
 
+def numbered(rows: DataFrame, by: str, order: str, name: str, parts: int = 64) -> DataFrame:
+    """`rows` with `name`, the place of each in its `by`, from 0, by `order`, whose values are distinct.
+
+    Rows are cut into ranges of both columns and numbered range by range; only the counts of
+    groups in ranges, at most groups + `parts` numbers, pass through one task. The rows travel, so they
+    should be narrow.
+    """
+    ranged = kept(rows.repartitionByRange(parts, by, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(by, "_part").agg(F.count("*").alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col(by).alias("_by"), F.col("_part").alias("_p"), earlier.alias("_earlier"))
+    own = F.row_number().over(Window.partitionBy(by, "_part").orderBy(order)) - 1
+    placed = ranged.withColumn("_own", own).join(F.broadcast(counts), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p")))
+    return placed.withColumn(name, F.col("_own") + F.col("_earlier")).drop("_part", "_p", "_by", "_own", "_earlier")
+
+
 def latest(events: DataFrame, key: str, *order: str) -> DataFrame:
     """The last event of each key, by the given columns; one aggregate, no sort of a key's history."""
     rest = [c for c in events.columns if c not in (key, *order)]

@@ -528,8 +528,12 @@ def curate_split_permutation(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def curate_hash_split(spark: SparkSession, sf: str) -> DataFrame:
     """A split that needs no numbering: by a digest of the id."""
+    return _table(spark, sf, "documents").select("doc_id", _hash_split().alias("split"))
+
+
+def _hash_split() -> Column:
     slot = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long") % 8
-    return _table(spark, sf, "documents").select("doc_id", F.when(slot < 6, "train").when(slot < 7, "validation").otherwise("test").alias("split"))
+    return F.when(slot < 6, "train").when(slot < 7, "validation").otherwise("test")
 
 
 @query
@@ -858,9 +862,9 @@ def sha256_manifest(spark: SparkSession, sf: str) -> DataFrame:
 def dataset_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Documents split by a digest of their ids: what the manifest says of each split."""
     docs = _table(spark, sf, "documents")
-    rows = docs.join(curate_hash_split(spark, sf), "doc_id")
-    # places are numbered in the splits of a report, by ids that are integers: a running number of two small columns
-    rows = rows.withColumn("slot", F.row_number().over(Window.partitionBy("split").orderBy("doc_id")) - 1).select("split", "slot", F.col("doc_id").alias("place"), F.col("text").alias("line"))
+    # lines are digested where they are read; only digests are ordered
+    rows = docs.select(_hash_split().alias("split"), F.col("doc_id").alias("place"), curate.line_digest("text").alias("sha256"))
+    rows = store.numbered(rows, "split", "place", "slot")
     told = curate.dataset_manifest(kept(rows, "samples"), dataset="documents", configuration="all", scanned=docs.count())
     parsed = told.select(F.from_json("manifest", "splits map<string, struct<samples: long, sha256: string>>, source_access struct<source_rows_scanned: long>").alias("m"))
     return parsed.select(F.explode("m.splits").alias("split", "s"), F.col("m.source_access.source_rows_scanned").alias("scanned")).select("split", "s.samples", "s.sha256", "scanned")

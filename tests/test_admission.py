@@ -8,10 +8,11 @@ from collections import Counter
 from datetime import UTC, datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import metrics
-from quillstone.operators import admission, curate, graph, retrieve
+from quillstone.operators import admission, curate, graph, retrieve, store
 
 
 def test_decisions(spark):
@@ -97,3 +98,15 @@ def test_a_hub_sends_few_rows(spark):
     index = retrieve.name_index(chunks)
     assert [r.id for r in retrieve.symbol_hits(asked, index).orderBy("id").collect()] == list(range(5)) == [r.id for r in retrieve.symbol_hits(asked, chunks).orderBy("id").collect()]
     assert "WindowGroupLimit" in index._jdf.queryExecution().toString()
+
+
+def test_places_by_ranges(spark):
+    """Places in each group as a window over the whole group gives them, though a group is cut into ranges; digests of lines serve as well as lines."""
+    df = spark.range(5_000).select(F.when(F.col("id") % 97 > 3, "train").when(F.col("id") % 97 > 0, "test").alias("split"), (F.col("id") * 7919 % 5_003).alias("place"), F.concat(F.lit("line "), "id").alias("line"))
+    got = store.numbered(df, "split", "place", "slot", parts=16)
+    assert got.count() == 5_000
+    want = df.withColumn("slot", F.row_number().over(Window.partitionBy("split").orderBy("place")) - 1)
+    assert sorted(map(repr, got.select("split", "place", "slot").collect())) == sorted(map(repr, want.select("split", "place", "slot").collect()))
+    named = got.where("split is not null")
+    told = [curate.dataset_manifest(x, dataset="d", configuration="c", scanned=1).first().manifest for x in (named, named.select("split", "slot", "place", curate.line_digest("line").alias("sha256")))]
+    assert told[0] == told[1]
