@@ -155,7 +155,8 @@ def _ready(candidates: DataFrame, queries: DataFrame, id_col: str, vector_col: s
         packed = asked.repartition(width, "id").mapInPandas(_packed(batch), _WIDE)
         packed = packed.select(F.col("ids").alias("qids"), F.col("width").alias("qwidth"), F.col("data").alias("qdata"), F.col("floors").alias("qfloors"))
         packed = packed.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-        return packed.join(groups, "tile").select("qids", "qwidth", "qdata", "qfloors", "ids", "width", "data")
+        # estimates know neither the wide rows nor how often they are repeated, and would broadcast them
+        return packed.hint("merge").join(groups, "tile").select("qids", "qwidth", "qdata", "qfloors", "ids", "width", "data")
 
     first = beside(asked).mapInPandas(_meet(k, block, first=True), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
