@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,34 +32,43 @@ def bucket(word: str | Column) -> Column:
     return ((F.lit(256) * (part[0] + part[1]) + part[2]) % DIMENSIONS).cast("int")
 
 
-def _count(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+#: Texts whose counts are held at a time, and words whose buckets are; a batch may have many more.
+_SLICE, _KNOWN = 500, 50_000
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A text's buckets in order and how many of its tokens fall into each; a word's bucket is looked up once known."""
     known: dict[str, int] = {}
-    for batch in texts:
-        rows = []
-        for text in batch:
-            found = []
-            for word in _TOKEN.findall(text.lower()) if text else ():
-                if (b := known.get(word)) is None:
-                    if len(known) >= 200_000:
-                        known.clear()
-                    b = int.from_bytes(hashlib.md5(word.encode(), usedforsecurity=False).digest()) % DIMENSIONS
-                    if len(word) <= 100:
-                        known[word] = b
-                found.append(b)
-            n = np.bincount(np.array(found, dtype=np.int64), minlength=1)
-            at = np.flatnonzero(n)
-            rows.append((at.astype(np.int32), n[at]))
-        yield pd.DataFrame(rows, columns=["buckets", "counts"])
+    for batch in batches:
+        for start in range(0, batch.num_rows, _SLICE):
+            part = batch.slice(start, _SLICE)
+            buckets, counts, ends = [], [], [0]
+            for text in part.column(1):
+                found = []
+                for word in _TOKEN.findall(text.as_py().lower()):
+                    if (b := known.get(word)) is None:
+                        if len(known) >= _KNOWN:
+                            known.clear()
+                        b = int.from_bytes(hashlib.md5(word.encode(), usedforsecurity=False).digest()) % DIMENSIONS
+                        if len(word) <= 100:
+                            known[word] = b
+                    found.append(b)
+                n = np.bincount(np.array(found, dtype=np.int64), minlength=1)
+                at = np.flatnonzero(n)
+                buckets.append(at.astype(np.int32))
+                counts.append(n[at])
+                ends.append(ends[-1] + len(at))
+            listed = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x))) for x in (buckets, counts)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *listed], ["id", "buckets", "counts"])
 
 
 def _counted(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, buckets, counts) of each text with tokens, counted inside its row.
+    """(id, buckets, counts) of each text with tokens, counted where it is read, a few texts at a time.
 
     Array functions alone can do it, but hash every token anew and took ten times as long.
     """
     with_tokens = rows.where(F.rlike(F.lower(text_col), F.lit("[a-z_0-9]")))
-    return with_tokens.select(F.col(id_col).alias("id"), F.pandas_udf(_count, "buckets array<int>, counts array<long>")(text_col).alias("h")).select("id", "h.buckets", "h.counts")
+    return with_tokens.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_count, f"id {dict(rows.dtypes)[id_col]}, buckets array<int>, counts array<long>")
 
 
 def token_counts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:

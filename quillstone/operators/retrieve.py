@@ -81,7 +81,8 @@ def public_view(rows: DataFrame) -> DataFrame:
 
 def naive(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = SEEDS, names: DataFrame | None = None) -> DataFrame:
     """Seeds as they are; the score is the similarity. `names` is a stored `name_index` of the chunks."""
-    return described(seeds(questions, chunks if names is None else names, vectors, k).select("question_id", "rank", "id", F.lit("seed").alias("type"), F.col("sim").alias("score")), chunks)
+    found = kept(seeds(questions, chunks if names is None else names, vectors, k), "seeds")
+    return described(found.select("question_id", "rank", "id", F.lit("seed").alias("type"), F.col("sim").alias("score")), chunks)
 
 
 def graph_augmented(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, edges: DataFrame, names: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,20 +28,23 @@ BLOCK, BATCH = 2_048, 512
 def _packed(vectors: DataFrame, size: int, name: str) -> DataFrame:
     """A partition's vectors, `size` at a time, as few wide rows: {name}_ids, {name}_sizes, {name}_flat."""
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), size):
-                part = batch.iloc[at : at + size]
-                entry = np.rec.fromarrays([np.concatenate(part["buckets"].to_list()), np.concatenate(part["weights"].to_list())], dtype=_ENTRY)
-                yield pd.DataFrame({f"{name}_ids": [part["id"].to_list()], f"{name}_sizes": [part["buckets"].map(len).to_numpy(np.int32).tobytes()], f"{name}_flat": [entry.tobytes()]})
+            for at in range(0, batch.num_rows, size):
+                ids, buckets, weights = batch.slice(at, size).columns
+                entry = np.empty(len(buckets.flatten()), dtype=_ENTRY)
+                entry["bucket"], entry["weight"] = buckets.flatten(), weights.flatten()
+                sizes = np.asarray(buckets.value_lengths(), dtype=np.int32)
+                one = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+                yield pa.RecordBatch.from_arrays([one, pa.array([sizes.tobytes()], pa.binary()), pa.array([entry.tobytes()], pa.binary())], [f"{name}_ids", f"{name}_sizes", f"{name}_flat"])
 
-    return vectors.select("id", "buckets", "weights").mapInPandas(pack, f"{name}_ids array<{dict(vectors.dtypes)['id']}>, {name}_sizes binary, {name}_flat binary")
+    return vectors.select("id", "buckets", "weights").mapInArrow(pack, f"{name}_ids array<{dict(vectors.dtypes)['id']}>, {name}_sizes binary, {name}_flat binary")
 
 
 _ENTRY = np.dtype([("bucket", np.int32), ("weight", np.float64)])
 
 
-def _dense(sizes: bytes, flat: bytes) -> np.ndarray:
+def _dense(sizes: bytes | pa.Buffer, flat: bytes | pa.Buffer) -> np.ndarray:
     n, entry = np.frombuffer(sizes, dtype=np.int32), np.frombuffer(flat, dtype=_ENTRY)
     out = np.zeros((len(n), embed.DIMENSIONS))
     out[np.repeat(np.arange(len(n)), n), entry["bucket"]] = entry["weight"]
@@ -48,19 +52,21 @@ def _dense(sizes: bytes, flat: bytes) -> np.ndarray:
 
 
 def _meet(k: int):
-    """Each query's k best rows of a block, by similarity, then id."""
+    """Each query's k best rows of a block, by similarity, then id. Packs are read where the batch holds them, without a copy."""
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                asked, ids = np.asarray(r.q_ids), np.asarray(r.d_ids)
+            kinds = [batch.schema.field(name).type.value_type for name in ("q_ids", "d_ids")]
+            for i in range(batch.num_rows):
+                asked, ids = (batch.column(name)[i].values.to_numpy(zero_copy_only=False) for name in ("q_ids", "d_ids"))
+                left, right = (_dense(*(batch.column(f"{name}_{x}")[i].as_buffer() for x in ("sizes", "flat"))) for name in "qd")
                 order = np.argsort(ids, kind="stable")
-                ids, rows = ids[order], _dense(r.d_sizes, r.d_flat)[order]
-                sims = np.round(_dense(r.q_sizes, r.q_flat) @ rows.T, PLACES)
+                ids = ids[order]
+                sims = np.round(left @ right[order].T, PLACES)
                 best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
                 top = np.take_along_axis(sims, best, axis=1)
                 q, at = np.nonzero(top > 0)
-                yield pd.DataFrame({"question_id": asked[q], "id": ids[best[q, at]], "sim": top[q, at]})
+                yield pa.RecordBatch.from_arrays([pa.array(asked[q], kinds[0]), pa.array(ids[best[q, at]], kinds[1]), pa.array(top[q, at])], ["question_id", "id", "sim"])
 
     return meet
 
@@ -72,12 +78,14 @@ def sparse_top_k(questions: DataFrame, documents: DataFrame, k: int, *, tiles: i
     once, packed in blocks that are dealt to tiles; each batch of questions goes to every tile.
     What leaves a meeting is k rows a question at most, so the shuffle before the last cut does
     not grow with questions times documents.
+
+    Neither side is broadcast: estimates know neither the width of packs nor how often they are repeated.
     """
     questions, documents = embed.packed(questions), embed.packed(documents)
     tiles = tiles or max(2, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = _packed(documents, BLOCK, "d").withColumn("tile", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(tiles)).cast("int"))
     asked = _packed(questions, BATCH, "q").withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    met = asked.join(rows, "tile").drop("tile").mapInPandas(_meet(k), f"question_id {dict(questions.dtypes)['id']}, id {dict(documents.dtypes)['id']}, sim double")
+    met = asked.hint("merge").join(rows, "tile").drop("tile").mapInArrow(_meet(k), f"question_id {dict(questions.dtypes)['id']}, id {dict(documents.dtypes)['id']}, sim double")
     return ranked(met, k, "question_id", F.desc("sim"), F.asc("id"))
 
 
@@ -144,5 +152,5 @@ def dense_top_k(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: st
     own = lambda df: df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     blocks = packed_dense(own(rows), BLOCK, "d").withColumn("tile", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(tiles)).cast("int"))
     asked = packed_dense(own(queries), BATCH, "q").withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    met = meet_dense(asked.join(blocks, "tile"), k, dict(queries.dtypes)[id_col], dict(rows.dtypes)[id_col])
+    met = meet_dense(asked.hint("merge").join(blocks, "tile"), k, dict(queries.dtypes)[id_col], dict(rows.dtypes)[id_col])
     return ranked(met, k, "query_id", F.desc("sim"), F.asc("id"))

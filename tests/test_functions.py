@@ -1,6 +1,9 @@
 import hashlib
 import random
+import re
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -214,3 +217,30 @@ def test_late_filters_see_only_what_is_left(spark):
     rows = [("python", "fix the bug in the long loop of all", "a", "b"), ("go", "fix the bug in the long loop of all", long, ""), ("python", "fix the bug in the long loop of all", long[:3000], "")]
     df = spark.createDataFrame(rows, "lang string, message string, old_contents string, new_contents string")
     assert [r.reason for r in df.select(curate.reject_reason().alias("reason")).collect()] == [None, "language", "diff_size"]
+
+
+def test_counts_are_made_a_few_texts_at_a_time(monkeypatch):
+    """A batch of many texts leaves in slices, with what each text counts alone; a word's bucket may be forgotten in between."""
+    monkeypatch.setattr(embed, "_SLICE", 3)
+    monkeypatch.setattr(embed, "_KNOWN", 2)
+    texts = ["a b a", "B!", "c d e f a", "a b", "x_1", "é a", "b b b b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["id", "text"])
+    out = list(embed._count(iter([batch])))
+    assert [x.num_rows for x in out] == [3, 3, 1]
+    bucket = lambda w: int(hashlib.md5(w.encode()).hexdigest(), 16) % 384
+    for row, text in zip([r for x in out for r in x.to_pylist()], texts, strict=True):
+        want = Counter(map(bucket, re.findall("[a-z_0-9]+", text.lower())))
+        assert dict(zip(row["buckets"], row["counts"], strict=True)) == want and row["buckets"] == sorted(want)
+
+
+def test_repeated_queries_are_not_broadcast(spark):
+    """Estimates know neither the width of packs nor how often queries are repeated: with small tables all three searches still shuffle."""
+    from quillstone.llm import topk as llm_topk
+    from quillstone.operators import topk
+
+    v = spark.createDataFrame([(i, [0, i % 3], [0.6, 0.8], [float(i), 1.0]) for i in range(1, 30)], "id long, buckets array<int>, weights array<double>, v array<double>")
+    found = [topk.sparse_top_k(v, v, 2), topk.dense_top_k(v, v, "id", "v", 2), llm_topk.top_k(v, v, "id", "v")]
+    for df in found:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+        assert df.count() > 0
