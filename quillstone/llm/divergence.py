@@ -16,12 +16,12 @@ zero. What changes against that:
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,32 +40,64 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def _counted(batches: Iterator[pa.RecordBatch], held: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Occurrences of a term in a group, and texts of it that hold the term; a row without a term for each group."""
-    known: dict[tuple, list[int]] = {}
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+def _folded(texts: pa.Array) -> pa.Array:
+    """Texts with signs outside terms as spaces and A-Z as small letters: all of them at once, as no length changes."""
+    texts = pa.concat_arrays([texts, pa.array([], pa.binary())])  # from the start of its buffers
+    _, ends, data = texts.buffers()
+    return pa.Array.from_buffers(pa.binary(), len(texts), [None, ends, pa.py_buffer((data or pa.py_buffer(b"")).to_pybytes().translate(_FOLD))])
+
+
+def _counts(lang: pa.Array, source: pa.Array, text: pa.Array) -> pa.RecordBatch:
+    """`_counted` of some texts."""
+    langs, sources = lang.dictionary_encode(), source.dictionary_encode()
+    width = max(len(sources.dictionary), 1)
+    own = langs.indices.to_numpy().astype(np.int64) * width + sources.indices.to_numpy()
+    groups, group = np.unique(own, return_inverse=True)
+    lists = pc.split_pattern(_folded(text), " ")
+    words, doc = lists.flatten(), pc.list_parent_indices(lists)
+    said = pc.greater(pc.binary_length(words), 0)
+    known = words.filter(said).dictionary_encode()
+    size = max(len(known.dictionary), 1)
+    doc, code = doc.filter(said).to_numpy().astype(np.int64), known.indices.to_numpy()
+    # a number for each group and term: once for each occurrence, then once for each text (with counts, `unique` sorts, which is faster)
+    key, n = np.unique(group[doc] * size + code, return_counts=True)
+    once, _ = np.unique(doc * size + code, return_counts=True)
+    docs = np.unique(group[once // size] * size + once % size, return_counts=True)[1]
+    of = groups[np.concatenate([key // size, np.arange(len(groups))])]
+    none = np.zeros(len(groups), dtype=np.int64)
+    columns = [langs.dictionary.take(pa.array(of // width)), sources.dictionary.take(pa.array(of % width))]
+    columns += [pa.concat_arrays([known.dictionary.take(pa.array(key % size)), pa.nulls(len(groups), pa.binary())])]
+    columns = [x.cast(pa.string()) for x in columns] + [pa.array(np.concatenate([x, none])) for x in (n, docs)]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], held: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Occurrences of a term in a group, and texts of it that hold the term; a row without a term for each group.
+
+    Texts are counted together up to `held` bytes, a longer one alone.
+    """
+    waiting: list[list[pa.Array]] = []
+    size = 0
 
     def rows() -> Iterator[pa.RecordBatch]:
-        keys = list(known)
-        columns = [pa.array([k[i] for k in keys], pa.binary()).cast(pa.string()) for i in range(3)]
-        columns += [pa.array([v[i] for v in known.values()], pa.int64()) for i in range(2)]
-        known.clear()
-        whole = pa.RecordBatch.from_arrays(columns, schema=schema)
+        whole = _counts(*(pa.concat_arrays(x) for x in zip(*waiting, strict=True)))
+        waiting.clear()
         for low in range(0, whole.num_rows, 20_000):
             yield whole.slice(low, 20_000)
 
     for batch in batches:
-        for lang, source, text in zip(*(batch.column(i).cast(pa.binary()).to_pylist() for i in range(3)), strict=True):
-            known.setdefault((lang, source, None), [0, 0])
-            for term, n in Counter(terms(text)).items():
-                if (seen := known.get((lang, source, term))) is None:
-                    known[lang, source, term] = [n, 1]
-                else:
-                    seen[0] += n
-                    seen[1] += 1
-            if len(known) > held:
+        columns = [batch.column(i).cast(pa.binary()) for i in range(3)]
+        low = 0
+        for i, n in enumerate(pc.binary_length(columns[2]).to_pylist()):
+            if size and size + n > held:
+                if i > low:
+                    waiting.append([c.slice(low, i - low) for c in columns])
                 yield from rows()
-    yield from rows()
+                low, size = i, 0
+            size += n
+        waiting.append([c.slice(low) for c in columns])
+    if waiting:
+        yield from rows()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
