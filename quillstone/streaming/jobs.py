@@ -71,7 +71,7 @@ class InOrder(StatefulProcessor):
             held.clear()
 
         for frame in frames:
-            for row in frame[names].astype(object).where(frame[names].notna(), None).itertuples(index=False, name=None):
+            for row in zip(*([None if x != x else x for x in frame[c].tolist()] for c in names), strict=True):  # NaN is what pandas makes of null
                 held.append(row)
                 if len(held) >= CHUNK:
                     spill()
@@ -90,7 +90,7 @@ class InOrder(StatefulProcessor):
         return merge(*(map(tuple, run.get()) for run in runs), key=itemgetter(0))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        kept = self.kept.get() if self.kept.exists() else None
+        kept = self.kept.get()
         columns, out = [c.split()[0] for c in self.out.split(", ")], []
         for row in self._sorted(rows):
             kept, given = self.step(kept, row)
@@ -166,6 +166,9 @@ def order_faults(events: DataFrame) -> DataFrame:
     return _run(events, "stream", Order())
 
 
+_EVENT, _DATA = (re.compile(f"(?m)^{name}: ?(.*)$") for name in ("event", "data"))
+
+
 class Frames(InOrder):
     """Whole frames of chunks that may be cut anywhere; what follows the last blank line is kept for the next chunk."""
 
@@ -178,7 +181,7 @@ class Frames(InOrder):
         *whole, tail = (tail + (row[1] or "")).split("\n\n")
         given = []
         for frame in whole:
-            event, data = (re.search(f"(?m)^{name}: ?(.*)$", frame) for name in ("event", "data"))
+            event, data = _EVENT.search(frame), _DATA.search(frame)
             if event and data and event[1] and _is_json(data[1]):
                 given.append((place, event[1], data[1]))
             place += 1

@@ -4,6 +4,7 @@ import json
 import os
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,35 @@ def test_frames_cut_at_every_byte(spark, tmp_path, size):
     assert got == [("s", 0, "token", parts[0][1]), ("s", 2, "done", "{}"), ("t", 0, "x", "1")]
     batch = text.frames(text.assembled(df), "text").select("stream", "place", "event", "data")
     assert sorted(map(tuple, batch.collect())) == got
+
+
+def test_a_key_takes_two_calls_of_state_and_no_copy_of_its_rows(monkeypatch):
+    """What a key costs besides its rows: its state is read and written once, its rows are taken from the frame by columns."""
+    calls, kept = [], []
+
+    class Value:
+        def exists(self):
+            calls.append("exists")
+            return bool(kept)
+
+        def get(self):
+            calls.append("get")
+            return kept[-1] if kept else None
+
+        def update(self, value):
+            calls.append("update")
+            kept.append(value)
+
+    def copied(*args, **kwargs):
+        raise AssertionError("a frame was copied")
+
+    processor = jobs.Frames()
+    processor.kept, processor.runs = Value(), []
+    parts = [pd.DataFrame({"stream": "s", "seq": [3, 1], "chunk": ["a: 1\n\n", "event: e\n"]}), pd.DataFrame({"stream": "s", "seq": [2, 4], "chunk": [None, float("nan")]})]
+    more = [pd.DataFrame({"stream": ["s"], "seq": [5], "chunk": ["event: f\ndata: {}\n\nda"]})]
+    for name in ("astype", "where", "notna"):
+        monkeypatch.setattr(pd.DataFrame, name, copied)
+    assert list(processor.handleInputRows(("s",), iter(parts), None)) == [] and kept == [("", 1)]
+    (given,) = processor.handleInputRows(("s",), iter(more), None)
+    assert given.to_dict("records") == [{"stream": "s", "place": 1, "event": "f", "data": "{}"}] and kept[-1] == ("da", 2)
+    assert calls == ["get", "update"] * 2
